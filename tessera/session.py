@@ -61,5 +61,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP_KEY, None)
+    if before is not None:  # the shuffle files of a written table are of no more use
+        spark.conf.set(CLEANUP_KEY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(CLEANUP_KEY, before)
     return spark.read.schema(df.schema).parquet(path)
