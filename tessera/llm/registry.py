@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import simhash
+from tessera.llm import simhash, substring
 
-MODULES = (simhash,)
+MODULES = (simhash, substring)
 
 
 def queries() -> dict:
