@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import simhash, substring
+from tessera.llm import quality, simhash, substring
 
-MODULES = (simhash, substring)
+MODULES = (substring, quality, simhash)
 
 
 def queries() -> dict:
