@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import quality, simhash, substring
+from tessera.llm import quality, sharding, simhash, substring
 
-MODULES = (substring, quality, simhash)
+MODULES = (substring, sharding, quality, simhash)
 
 
 def queries() -> dict:
