@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import quality, secret_scan, sharding, simhash, substring
+from tessera.llm import quality, secret_scan, sharding, simhash, substring, warc
 
-MODULES = (substring, sharding, quality, simhash, secret_scan)
+MODULES = (substring, sharding, warc, quality, simhash, secret_scan)
 
 
 def queries() -> dict:
