@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import quality, secret_scan, sharding, simhash, substring, warc
+from tessera.llm import decontaminate, line_dedup, quality, secret_scan, sharding, simhash, substring, warc
 
-MODULES = (substring, sharding, warc, quality, simhash, secret_scan)
+MODULES = (line_dedup, substring, sharding, warc, quality, simhash, decontaminate, secret_scan)
 
 
 def queries() -> dict:
