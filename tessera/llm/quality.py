@@ -113,8 +113,9 @@ def text_statistics(docs: DataFrame, flagged: list[str] | None = None) -> DataFr
     # One lambda variable holds the words, so that the split runs once for each text.
     trimmed = F.regexp_replace("t", EDGE_SPACES, "")
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WORD_SPLIT))
+    # Explode keeps later filters from computing the statistics once more for each use.
     counted = (
-        base.select("doc_id", _bind(words, lambda w: F.struct(*measure(w))).alias("m")).select("doc_id", "m.*")
+        base.select("doc_id", F.explode(F.transform(F.array(words), lambda w: F.struct(*measure(w)))).alias("m")).select("doc_id", "m.*")
         .withColumns({"n_lines": F.col("lines.all"), "n_dup_lines": F.col("lines.dup")}).drop("lines")
     )
     chars, n, lines = F.greatest("word_chars", F.lit(1)), F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, line_dedup, quality, secret_scan, sharding, simhash, substring, warc
+import corpus_pipeline
+from tessera.llm import decontaminate, line_dedup, perspectives, pieces, quality, secret_scan, sharding, simhash, substring, warc
 
-MODULES = (line_dedup, substring, sharding, warc, quality, simhash, decontaminate, secret_scan)
+MODULES = (pieces, line_dedup, substring, sharding, warc, perspectives, quality, simhash, decontaminate, secret_scan)
 
 
 def queries() -> dict:
-    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
+    found = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
+    found = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
