@@ -189,7 +189,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) ->
 def flagged_words(sample: DataFrame, most: int = FLAG_WORDS) -> list[str]:
     """Words that mark toxic texts in the labelled sample, chosen by greedy covering.
 
-    A candidate stands in at least 8 texts, nine in ten of them toxic; a word counts once
+    A candidate stands in at least 5 texts, nine in ten of them toxic; a word counts once
     for a text.  The word of most toxic texts is taken, its texts are set aside, and so
     on while a word marks three texts more; what rides along in copies of one toxic
     text is so passed over.
@@ -200,7 +200,7 @@ def flagged_words(sample: DataFrame, most: int = FLAG_WORDS) -> list[str]:
     candidates = (
         own.select("toxic", F.explode("words").alias("word")).filter("word <> ''").groupBy("word")
         .agg(F.count("*").alias("n"), F.sum("toxic").alias("n_toxic"))
-        .filter("n >= 8 AND n_toxic >= 0.9 * n").orderBy(F.desc("n_toxic"), "word").limit(most).select("word")
+        .filter("n >= 5 AND n_toxic >= 0.9 * n").orderBy(F.desc("n_toxic"), "word").limit(most).select("word")
     )
     known = [r["word"] for r in candidates.collect()]  # at most ``most`` words
     if not known:
