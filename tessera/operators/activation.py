@@ -1,8 +1,8 @@
-"""Sparse activation logs: scan, aggregate, rank and sample (placeholder for the first slice)."""
+"""Sparse activation logs: scan, aggregate, rank, sample and map."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.session import table
@@ -70,13 +70,218 @@ STATS_SQL = f"""{LOG_SQL}, stats AS (
          (arg_min(position, struct_pack(v := -value, p := position)) % 4)::INTEGER AS grid_col
   FROM log GROUP BY ALL)"""
 
+def feature_variation(stats: DataFrame, zero_mean: str = "one") -> DataFrame:
+    """Coefficient of variation of each feature's means; a mean of zero divides by one, or gives 0.0 (``zero_mean="zero"``)."""
+    by = stats.groupBy("block", "feature_id").agg(
+        F.count("*").alias("n_items"), F.avg("mean_value").alias("avg_mean"), F.stddev_pop("mean_value").alias("spread")
+    )
+    safe = F.when(F.col("avg_mean") > 0, F.col("spread") / F.col("avg_mean"))
+    return by.withColumn("cv", F.coalesce(safe, F.col("spread") if zero_mean == "one" else F.lit(0.0)))
+
+
+def metric_value(metric: str) -> Column:
+    """The ranking value of an activation: mean, max, sum, or adaptive (mean if over half the maximum, else maximum)."""
+    if metric == "adaptive":
+        return F.when(F.col("mean_value") > 0.5 * F.col("max_value"), F.col("mean_value")).otherwise(F.col("max_value"))
+    return F.col(f"{metric}_value")
+
+
+def hashed(*parts: Column) -> Column:
+    """A 32-bit draw from the MD5 of the parts: the same on every engine and partitioning."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long")
+
+
+def mid_range_items(stats: DataFrame, k: int = 10, take: int = 3, flat: float = 0.5, seed: int = 42) -> DataFrame:
+    """For flat features with more than k items, ``take`` hashed draws from the ranks [0.4n, 0.6n)."""
+    by = Window.partitionBy("block", "feature_id")
+    ranked = stats.withColumn("rank_pos", F.row_number().over(by.orderBy(F.desc("mean_value"), "item_id")) - 1).withColumn("n", F.count("*").over(by))
+    flat_ones = feature_variation(stats).filter(F.col("cv") < flat).select("block", "feature_id")
+    middle = ranked.filter((F.col("n") > k) & (F.col("rank_pos") >= F.floor(0.4 * F.col("n"))) & (F.col("rank_pos") < F.floor(0.6 * F.col("n"))))
+    draw = hashed(F.lit(seed), F.col("block"), F.col("feature_id"), F.col("item_id"))
+    chosen = middle.join(flat_ones, ["block", "feature_id"], "left_semi").withColumn("draw", F.row_number().over(by.orderBy(draw, "item_id")))
+    return chosen.filter(F.col("draw") <= take).select("block", "feature_id", "item_id", "rank_pos")
+
+
+def off_items(stats: DataFrame, n_items: int, take: int = 3, tries: int = 12, seed: int = 7) -> DataFrame:
+    """``take`` items on which a feature did not fire, by hashed candidates and an anti-join.
+
+    The complement of the log is never built: each feature draws ``tries`` candidate
+    items, those on which it fired are dropped.
+    """
+    features = stats.select("block", "feature_id").distinct()
+    drawn = features.select("block", "feature_id", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("i"))
+    drawn = drawn.withColumn("item_id", F.pmod(hashed(F.lit(seed), F.col("block"), F.col("feature_id"), F.col("i")), F.lit(max(n_items, 1))))
+    first = drawn.groupBy("block", "feature_id", "item_id").agg(F.min("i").alias("i"))
+    free = first.hint("merge").join(stats.select("block", "feature_id", "item_id"), ["block", "feature_id", "item_id"], "left_anti")
+    order = Window.partitionBy("block", "feature_id").orderBy("i")
+    return free.withColumn("draw", F.row_number().over(order)).filter(F.col("draw") <= take).select("block", "feature_id", "item_id", "draw")
+
+
+def heat_map(stats: DataFrame, k: int = 100) -> DataFrame:
+    """Sum of mean activations in each grid cell over a feature's top items; cells outside the grid are dropped."""
+    top = top_items(stats, k).filter((F.col("grid_row") >= 0) & (F.col("grid_row") < GRID) & (F.col("grid_col") >= 0) & (F.col("grid_col") < GRID))
+    return top.groupBy("block", "feature_id", "grid_row", "grid_col").agg(F.sum("mean_value").alias("heat"))
+
+
+REGIONS = {
+    "center": "grid_row BETWEEN 1 AND 2 AND grid_col BETWEEN 1 AND 2",
+    "corners": "grid_row IN (0, 3) AND grid_col IN (0, 3)",
+    "top": "grid_row = 0",
+    "bottom": "grid_row = 3",
+    "left_side": "grid_col = 0",
+    "right_side": "grid_col = 3",
+    "band": "grid_row BETWEEN 1 AND 2",
+    "border": "grid_row IN (0, 3) OR grid_col IN (0, 3)",
+}
+#: Ordered rules: the first region whose share passes its threshold names the pattern.
+SPATIAL_RULES = (("center", 0.6), ("corners", 0.5), ("top", 0.5), ("bottom", 0.5), ("left_side", 0.5), ("right_side", 0.5), ("band", 0.75), ("border", 0.85))
+
+
+def region_shares(heat: DataFrame) -> DataFrame:
+    """Share of a feature's heat in each region of the grid."""
+    total = F.sum("heat")
+    return heat.groupBy("block", "feature_id").agg(*[(F.sum(F.when(F.expr(where), F.col("heat")).otherwise(0.0)) / total).alias(name) for name, where in REGIONS.items()])
+
+
+def spatial_pattern(shares: DataFrame) -> DataFrame:
+    """The first spatial rule that holds, or null."""
+    pattern = F.lit(None).cast("string")
+    for name, least in reversed(SPATIAL_RULES):
+        pattern = F.when(F.col(name) > least, F.lit(name)).otherwise(pattern)
+    return shares.select("block", "feature_id", pattern.alias("spatial_pattern"))
+
+
+def top_codes(vectors: DataFrame, n_features: int = 16, k: int = 3) -> DataFrame:
+    """Linear projection of each vector on fixed weights cos(i * j), the k largest kept and clipped at zero."""
+    feature = F.explode(F.sequence(F.lit(0), F.lit(n_features - 1))).alias("feature_id")
+    score = F.aggregate(F.transform("embedding", lambda v, i: v.cast("double") * F.cos((i * F.col("feature_id")).cast("double"))), F.lit(0.0), lambda a, b: a + b)
+    scored = vectors.select("vec_id", "embedding", feature).select("vec_id", "feature_id", score.alias("score"))
+    order = Window.partitionBy("vec_id").orderBy(F.desc("score"), "feature_id")
+    return scored.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k).select("vec_id", "feature_id", F.greatest("score", F.lit(0.0)).alias("code"))
+
+
+def _stats(spark: SparkSession, d: str) -> DataFrame:
+    return aggregate_positions(activation_log(spark, d))
+
+
+def _prompts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.coalesce("text", F.lit("")).alias("prompt"))
+
+
+def _n_items(spark: SparkSession, d: str) -> int:
+    return (table(spark, d, "embeddings").agg(F.max(F.expr("vec_id div 16"))).first()[0] or 0) + 1
+
+
+def _quality_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of documents as captions: trimmed, five words or more, 200 characters or fewer, nine tenths ASCII."""
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw")).withColumn("caption", F.btrim("raw"))
+    ascii_share = F.length(F.regexp_replace("caption", r"[^\x00-\x7F]", "")) / F.length("caption")
+    return lines.filter((F.length("caption") > 0) & (F.length("caption") <= 200) & (F.size(F.split("caption", r"\s+")) >= 5) & (ascii_share >= 0.9)).select("doc_id", "line", "caption")
+
+
+def _dedup_captions(spark: SparkSession, d: str, n: int = 500) -> DataFrame:
+    """The first ``n`` distinct captions in scan order."""
+    first = _quality_prompts(spark, d).groupBy("caption").agg(F.min(F.struct("doc_id", "line")).alias("at"))
+    return first.select("caption", "at.doc_id", "at.line").orderBy("doc_id", "line").limit(n)
+
+
+def _dense(spark: SparkSession, d: str, n: int = 64) -> DataFrame:
+    """One row for every feature 0..n-1 of block 0, null where there is no pattern."""
+    found = spatial_pattern(region_shares(heat_map(_stats(spark, d)))).filter("block = 0")
+    ids = spark.range(n).select(F.col("id").cast("int").alias("feature_id"))
+    return ids.hint("merge").join(found.select("feature_id", "spatial_pattern"), "feature_id", "left")
+
+
+def _referenced(spark: SparkSession, d: str) -> DataFrame:
+    stats = _stats(spark, d)
+    return top_items(stats).select("item_id").union(mid_range_items(stats).select("item_id")).distinct()
+
+
 QUERIES = {
-    "agg_position_to_feature": lambda spark, d: aggregate_positions(activation_log(spark, d)),
-    "top_feature_items": lambda spark, d: top_items(aggregate_positions(activation_log(spark, d))),
+    "src_activation_log": lambda s, d: activation_log(s, d),
+    "src_rankings_prompts": lambda s, d: _stats(s, d).join(_prompts(s, d), "item_id", "left").select("block", "feature_id", "item_id", "mean_value", F.coalesce("prompt", F.lit("")).alias("prompt")),
+    "src_sparse_matrix": lambda s, d: _stats(s, d).select("block", "item_id", "feature_id", F.greatest(metric_value("adaptive"), F.lit(0.0)).alias("cell_value")),
+    "agg_position_to_feature": lambda s, d: _stats(s, d),
+    "top_feature_items": lambda s, d: top_items(_stats(s, d)),
+    "agg_index_stats": lambda s, d: _stats(s, d).groupBy("block").agg(F.count_distinct("feature_id").alias("n_features"), F.count("*").alias("n_entries")),
+    "agg_cv": lambda s, d: feature_variation(_stats(s, d)),
+    "agg_flat_count": lambda s, d: feature_variation(_stats(s, d)).agg(F.count_if(F.col("cv") < 0.5).alias("n_flat"), F.avg("cv").alias("mean_cv")),
+    "top_mid_range": lambda s, d: mid_range_items(_stats(s, d)),
+    "join_off_sample": lambda s, d: off_items(_stats(s, d), _n_items(s, d)),
+    "agg_heatmap": lambda s, d: heat_map(_stats(s, d)),
+    "join_top_items_heat": lambda s, d: _stats(s, d).hint("merge").join(top_items(_stats(s, d), 5).select("block", "feature_id", "item_id"), ["block", "feature_id", "item_id"], "left_semi").select("block", "feature_id", "item_id", "grid_row", "grid_col"),
+    "join_top_items_prompts": lambda s, d: top_items(_stats(s, d), 5).hint("merge").join(_prompts(s, d), "item_id").select("block", "feature_id", "item_id", F.length("prompt").alias("prompt_chars")),
+    "agg_region_fractions": lambda s, d: region_shares(heat_map(_stats(s, d))),
+    "fn_classify_spatial": lambda s, d: spatial_pattern(region_shares(heat_map(_stats(s, d)))),
+    "top_k_codes": lambda s, d: top_codes(table(s, d, "embeddings")),
+    "flt_prompt_quality": _quality_prompts,
+    "flt_dedup_limit": _dedup_captions,
+    "snk_supplement_dense": _dense,
+    "snk_manifest": lambda s, d: _referenced(s, d).agg(F.count("*").alias("n_items"), F.array_sort(F.collect_set("item_id")).alias("item_ids")),
+    "set_referenced": _referenced,
+    "set_complement": lambda s, d: table(s, d, "embeddings").select(F.expr("vec_id div 16").alias("item_id")).distinct().exceptAll(_referenced(s, d)),
 }
+
+_CV = f"""{STATS_SQL}, cv AS (
+  SELECT block, feature_id, count(*) AS n_items, avg(mean_value) AS avg_mean, stddev_pop(mean_value) AS spread,
+         coalesce(CASE WHEN avg(mean_value) > 0 THEN stddev_pop(mean_value) / avg(mean_value) END, stddev_pop(mean_value)) AS cv
+  FROM stats GROUP BY ALL),
+ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY block, feature_id ORDER BY mean_value DESC, item_id) - 1)::INTEGER AS rank_pos,
+         count(*) OVER (PARTITION BY block, feature_id) AS n FROM stats),
+mid AS (
+  SELECT block, feature_id, item_id, rank_pos FROM (
+    SELECT ranked.*, row_number() OVER (PARTITION BY block, feature_id ORDER BY ('0x' || substr(md5(concat_ws('|', 42, block, feature_id, item_id)), 1, 8))::BIGINT, item_id) AS draw
+    FROM ranked SEMI JOIN (SELECT * FROM cv WHERE cv < 0.5) c USING (block, feature_id)
+    WHERE n > 10 AND rank_pos >= floor(0.4 * n) AND rank_pos < floor(0.6 * n)) WHERE draw <= 3)"""
+_HEAT = f"""{STATS_SQL}, heat AS (
+  SELECT block, feature_id, grid_row, grid_col, sum(mean_value) AS heat FROM (
+    SELECT *, row_number() OVER (PARTITION BY block, feature_id ORDER BY mean_value DESC, item_id) AS rn FROM stats)
+  WHERE rn <= 100 GROUP BY ALL),
+shares AS (SELECT block, feature_id, {', '.join(f"sum(CASE WHEN {w} THEN heat ELSE 0 END) / sum(heat) AS {n}" for n, w in REGIONS.items())} FROM heat GROUP BY ALL),
+patterns AS (SELECT block, feature_id, CASE {' '.join(f"WHEN {n} > {t} THEN '{n}'" for n, t in SPATIAL_RULES)} END AS spatial_pattern FROM shares)"""
+_REF = "SELECT item_id FROM ranked WHERE rank_pos < 10 UNION SELECT item_id FROM mid"
+_CAPTIONS = r"""captions AS (
+  SELECT doc_id, line, trim(raw) AS caption FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(0, len(string_split(text, chr(10)))))::INTEGER AS line FROM documents)
+  WHERE length(trim(raw)) BETWEEN 1 AND 200 AND len(regexp_split_to_array(trim(raw), '\s+')) >= 5
+    AND length(regexp_replace(trim(raw), '[^\x00-\x7F]', '', 'g')) / length(trim(raw)) >= 0.9)"""
+
 ORACLE_SQL = {
+    "src_activation_log": f"WITH {LOG_SQL} SELECT * FROM log",
+    "src_rankings_prompts": f"WITH {STATS_SQL} SELECT block, feature_id, item_id, mean_value, coalesce(text, '') AS prompt FROM stats LEFT JOIN documents ON doc_id = item_id",
+    "src_sparse_matrix": f"WITH {STATS_SQL} SELECT block, item_id, feature_id, greatest(CASE WHEN mean_value > 0.5 * max_value THEN mean_value ELSE max_value END, 0.0) AS cell_value FROM stats",
     "agg_position_to_feature": f"WITH {STATS_SQL} SELECT * FROM stats",
     "top_feature_items": f"""WITH {STATS_SQL}
 SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY block, feature_id ORDER BY mean_value DESC, item_id) - 1)::INTEGER AS rank_pos
                FROM stats) WHERE rank_pos < 10""",
+    "agg_index_stats": f"WITH {STATS_SQL} SELECT block, count(DISTINCT feature_id) AS n_features, count(*) AS n_entries FROM stats GROUP BY block",
+    "agg_cv": f"WITH {_CV} SELECT * FROM cv",
+    "agg_flat_count": f"WITH {_CV} SELECT count(*) FILTER (cv < 0.5) AS n_flat, avg(cv) AS mean_cv FROM cv",
+    "top_mid_range": f"WITH {_CV} SELECT * FROM mid",
+    "join_off_sample": f"""WITH {STATS_SQL}, n AS (SELECT max(vec_id // 16) + 1 AS n FROM embeddings),
+drawn AS (SELECT block, feature_id, i, ('0x' || substr(md5(concat_ws('|', 7, block, feature_id, i)), 1, 8))::BIGINT % n AS item_id
+          FROM (SELECT DISTINCT block, feature_id FROM stats), (SELECT unnest(range(0, 12)) AS i), n)
+SELECT block, feature_id, item_id, draw FROM (
+  SELECT *, row_number() OVER (PARTITION BY block, feature_id ORDER BY i)::INTEGER AS draw FROM (
+    SELECT block, feature_id, item_id, min(i) AS i FROM drawn ANTI JOIN stats USING (block, feature_id, item_id) GROUP BY ALL)) WHERE draw <= 3""",
+    "agg_heatmap": f"WITH {_HEAT} SELECT * FROM heat",
+    "join_top_items_heat": f"""WITH {STATS_SQL} SELECT block, feature_id, item_id, grid_row, grid_col FROM (
+  SELECT *, row_number() OVER (PARTITION BY block, feature_id ORDER BY mean_value DESC, item_id) AS rn FROM stats) WHERE rn <= 5""",
+    "join_top_items_prompts": f"""WITH {STATS_SQL} SELECT block, feature_id, item_id, length(text)::INTEGER AS prompt_chars FROM (
+  SELECT *, row_number() OVER (PARTITION BY block, feature_id ORDER BY mean_value DESC, item_id) AS rn FROM stats) JOIN documents ON doc_id = item_id WHERE rn <= 5""",
+    "agg_region_fractions": f"WITH {_HEAT} SELECT * FROM shares",
+    "fn_classify_spatial": f"WITH {_HEAT} SELECT * FROM patterns",
+    "top_k_codes": """WITH scored AS (
+  SELECT vec_id, f::INTEGER AS feature_id, list_sum(list_transform(range(0, 64), lambda i: embedding[i + 1]::DOUBLE * cos(i * f))) AS score
+  FROM embeddings, (SELECT unnest(range(0, 16)) AS f))
+SELECT vec_id, feature_id, greatest(score, 0.0) AS code FROM (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, feature_id) AS rn FROM scored) WHERE rn <= 3""",
+    "flt_prompt_quality": f"WITH {_CAPTIONS} SELECT * FROM captions",
+    "flt_dedup_limit": f"""WITH {_CAPTIONS} SELECT caption, m.d AS doc_id, m.l AS line FROM (
+  SELECT caption, min(struct_pack(d := doc_id, l := line)) AS m FROM captions GROUP BY caption) ORDER BY 2, 3 LIMIT 500""",
+    "snk_supplement_dense": f"WITH {_HEAT} SELECT f::INTEGER AS feature_id, spatial_pattern FROM (SELECT unnest(range(0, 64)) AS f) LEFT JOIN (SELECT * FROM patterns WHERE block = 0) ON feature_id = f",
+    "snk_manifest": f"WITH {_CV} SELECT count(*) AS n_items, list_sort(list(item_id)) AS item_ids FROM ({_REF})",
+    "set_referenced": f"WITH {_CV} {_REF}",
+    "set_complement": f"WITH {_CV} SELECT DISTINCT vec_id // 16 AS item_id FROM embeddings EXCEPT ({_REF})",
 }
