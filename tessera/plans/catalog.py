@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.operators import activation
+from tessera.operators import activation, labels
 
-MODULES = (activation,)
+MODULES = (activation, labels)
 
 
 def queries() -> dict:
