@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.operators import activation, labels
+from tessera.operators import activation, labels, series
 
-MODULES = (activation, labels)
+MODULES = (activation, labels, series)
 
 
 def queries() -> dict:
