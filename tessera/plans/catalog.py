@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.operators import activation, labels, series
+from tessera.operators import activation, labels, search, series
 
-MODULES = (activation, labels, series)
+MODULES = (activation, labels, series, search)
 
 
 def queries() -> dict:
