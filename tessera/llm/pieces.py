@@ -23,7 +23,7 @@ LATTICE = 48
 #: Weight of a character that no piece covers; its bytes are the pieces.
 FALLBACK = np.exp(-10.0)
 #: Code points whose lattices are built side by side.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 600_000
 SEED = 42
 
 SLOT_BITS = 21
