@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.operators import activation, labels, search, series
+from tessera.operators import activation, labels, search, series, spectra
 
-MODULES = (activation, labels, series, search)
+MODULES = (activation, labels, series, search, spectra)
 
 
 def queries() -> dict:
