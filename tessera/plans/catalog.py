@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from tessera.operators import activation, labels, search, series, spectra
+from tessera.streaming import telemetry
 
-MODULES = (activation, labels, series, search, spectra)
+MODULES = (activation, labels, series, search, spectra, telemetry)
 
 
 def queries() -> dict:
