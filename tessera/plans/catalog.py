@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.operators import activation, labels, search, series, spectra
+from tessera.operators import activation, labels, learn, search, series, spectra
+from tessera.plans import actions
 from tessera.streaming import telemetry
 
-MODULES = (activation, labels, series, search, spectra, telemetry)
+MODULES = (activation, labels, series, search, spectra, learn, telemetry, actions)
 
 
 def queries() -> dict:
