@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.operators import activation, labels, learn, profile, search, series, spectra
+from tessera.operators import activation, labels, learn, profile, rules, search, series, spectra
 from tessera.plans import actions
 from tessera.streaming import telemetry
 
-MODULES = (activation, labels, series, profile, search, spectra, learn, telemetry, actions)
+MODULES = (activation, labels, series, profile, rules, search, spectra, learn, telemetry, actions)
 
 
 def queries() -> dict:
