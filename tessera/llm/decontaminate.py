@@ -1,4 +1,4 @@
-"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman scores them."""
+"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman scores them."""
 
 from __future__ import annotations
 
@@ -7,11 +7,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.text import Rolling, WordHashes
+from tessera.llm.text import BASE, WordHashes, mixed
 from tessera.session import materialize
 
-#: Words of a seed, seed hits on diagonals this close are one passage, words added around a passage.
+#: Places of a seed's words: four in a row, and four of five, which outlive an edit at every fourth word.
+PATTERNS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4))
 SEED_WORDS = 4
+#: Seed hits on diagonals this close are one passage; words added around a passage.
 BAND = 12
 MARGIN = 8
 #: A seed is rare if at most this many documents, or this share of them, have it.
@@ -31,6 +33,20 @@ def plain_words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").translate(PARTS).split()
 
 
+def seeds_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(seed, place) of each pattern at each place of a sequence of word hashes."""
+    seeds, places = [], []
+    for number, pattern in enumerate(PATTERNS):
+        n = len(words) - pattern[-1]
+        if n > 0:
+            total = np.full(n, number, np.uint64)
+            for at in pattern:
+                total = total * np.uint64(BASE) + words[at : at + n]
+            seeds.append(mixed(total))
+            places.append(np.arange(n))
+    return (np.concatenate(seeds), np.concatenate(places)) if seeds else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     """(score, end) of the best local alignment: match 1, mismatch -1, gap -1; end is a place in the passage."""
     n = len(passage)
@@ -53,24 +69,24 @@ class Items:
     def __init__(self, pieces: list[tuple[int, list[int]]]) -> None:
         self.ids = [i for i, _ in pieces]
         self.words = [np.array(w, np.uint64) for _, w in pieces]
-        rolling = Rolling()
-        grams = [rolling.windows(w, SEED_WORDS) for w in self.words]
-        piece = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, int)
-        seeds = np.concatenate(grams) if grams else np.empty(0, np.uint64)
+        found = [seeds_of(w) for w in self.words]
+        piece = np.repeat(np.arange(len(found)), [len(g) for g, _ in found])
+        place = np.concatenate([p for _, p in found]) if found else np.empty(0, np.int64)
+        seeds = np.concatenate([g for g, _ in found]) if found else np.empty(0, np.uint64)
         order = np.argsort(seeds, kind="stable")
         self.seeds, self.piece, self.place = seeds[order], piece[order], place[order]
         self.distinct = np.unique(self.seeds)
 
-    def hits(self, grams: np.ndarray) -> list[tuple[int, int, int, int]]:
+    def hits(self, words: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(piece, place in the text, place in the piece, seed) of each seed found."""
+        grams, places = seeds_of(words)
         if not len(self.distinct) or not len(grams):
             return []
         at = np.minimum(np.searchsorted(self.distinct, grams), len(self.distinct) - 1)
         out = []
         for i in np.flatnonzero(self.distinct[at] == grams):
             lo, hi = np.searchsorted(self.seeds, grams[i], "left"), np.searchsorted(self.seeds, grams[i], "right")
-            out += [(int(self.piece[k]), int(i), int(self.place[k]), int(grams[i])) for k in range(lo, hi)]
+            out += [(int(self.piece[k]), int(places[i]), int(self.place[k]), int(grams[i])) for k in range(lo, hi)]
         return out
 
 
@@ -85,13 +101,13 @@ def _seeded(pieces: list[tuple[int, list[int]]]):
     """Passages of each text around the seeds of one piece on near diagonals."""
 
     def run(batches):
-        items, hashes, rolling = Items(pieces), WordHashes(), Rolling()
+        items, hashes = Items(pieces), WordHashes()
         for batch in batches:
             rows: dict[str, list] = {k: [] for k in ("at", "piece", "seeds", "start", "words")}
             for i, text in enumerate(batch.column(2).to_pylist()):
                 words = hashes.of(plain_words(text))
                 groups: list[list[tuple[int, int, int, int]]] = []
-                for hit in sorted(items.hits(rolling.windows(words, SEED_WORDS)), key=lambda h: (h[0], h[1] - h[2])):
+                for hit in sorted(items.hits(words), key=lambda h: (h[0], h[1] - h[2])):
                     last = groups[-1][-1] if groups else None
                     if last and last[0] == hit[0] and (hit[1] - hit[2]) - (last[1] - last[2]) <= BAND:
                         groups[-1].append(hit)
@@ -153,7 +169,7 @@ def _pieces(batches):
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Documents that hold a copy of a test item: doc_id, text_key, item_id, score, item_words, last_word.
 
-    Word n-grams that a document shares with an item seed a passage; a passage with a rare
+    Word n-grams, with and without a gap, that a document shares with an item seed a passage; a passage with a rare
     seed, or with two seeds on near diagonals, is aligned with the item by
     Smith-Waterman.  A pair is a leak if the score reaches ``threshold`` of the item's
     words, so edited and paraphrased copies count.  The best passage of each pair is

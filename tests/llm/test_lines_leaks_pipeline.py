@@ -90,6 +90,15 @@ def test_copies_edits_and_clean_documents(spark):
     assert decontaminate.find_leaks(docs.limit(0), bench).count() == 0
 
 
+def test_an_edit_at_every_fourth_word_is_still_a_leak(spark):
+    rng = random.Random(13)
+    item = prose(rng, 40)
+    edited = " ".join("edit%d" % i if i % 4 == 3 else w for i, w in enumerate(item.split(" ")))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = decontaminate.find_leaks(documents(spark, [prose(rng, 30) + " " + edited, prose(rng, 90)]), bench).collect()
+    assert [(r.doc_id, r.score >= 19) for r in found] == [(0, True)]
+
+
 def test_many_copies_of_one_passage_are_all_found(spark, monkeypatch):
     rng = random.Random(12)
     monkeypatch.setattr(decontaminate, "RARE_DOCS", 5)  # every seed of the passage is frequent
