@@ -20,16 +20,17 @@ EDGE_SPACES = r"\A[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z"
 PLAIN_SPLIT = r"""[\x20\x09-\x0D.,;:!?"'()\[\]{}]+"""
 
 #: Bounds of the fit: labelled rows used (those with the least hashes of their doc_id),
-#: flagged words, thresholds tried for a statistic, rules, conditions of a rule.
+#: flagged stems, thresholds tried for a statistic, rules, conditions of a rule.
 FIT_ROWS = 8_000
-FLAG_WORDS = 256
+FLAG_STEMS = 256
+STEM_CHARS = 5
 CUTS = 24
 MAX_RULES = 10
 MAX_CONDITIONS = 3
 MIN_PRECISION = 0.97
 MIN_COVER = 12
 
-FEATURES = ("word_len", "symbol_share", "upper_share", "bang_share", "dup_line_share", "repeat_share", "line_words", "digit_share", "flag_words", "flag_share", "n_words")
+FEATURES = ("word_len", "symbol_share", "upper_share", "bang_share", "dup_line_share", "repeat_share", "line_words", "digit_share", "flag_words", "flag_share", "flag_stems", "stem_share", "n_words")
 
 
 def _bind(value: Column, body) -> Column:
@@ -80,24 +81,27 @@ def _matches(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, f"{pattern}+", ""))
 
 
-def text_statistics(docs: DataFrame, flagged: list[str] | None = None) -> DataFrame:
+def _stems(text: Column) -> Column:
+    """First STEM_CHARS letters of each lower-cased word, punctuation aside."""
+    return F.transform(F.split(F.lower(text), PLAIN_SPLIT), lambda w: F.left(w, F.lit(STEM_CHARS)))
+
+
+def text_statistics(docs: DataFrame, strong: tuple[str, ...] = (), weak: tuple[str, ...] = ()) -> DataFrame:
     """Statistics of each whole text: the four counts of the base rule and the shares that rules may test.
 
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and
     FEATURES.  A null or empty text has no words and zero counts; shares of nothing are 0.
-    ``flagged`` are the words that flag_words counts (distinct ones, case and
-    surrounding punctuation aside); None leaves the count at zero.  One row for each
-    document row, repeated rows and null ids included; other columns are ignored.
+    flag_words counts the words whose stem is in ``strong``, flag_stems those whose stem
+    is in ``weak``.  One row for each document row, repeated rows and null ids included;
+    other columns are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select("doc_id", text.alias("t"))
 
     def measure(words: Column) -> list[Column]:
         lines = F.filter(F.split("t", "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
-        if flagged:
-            hits = F.size(F.array_intersect(F.split(F.lower("t"), PLAIN_SPLIT), F.array(*[F.lit(w) for w in flagged])))
-        else:
-            hits = F.lit(0)
+        count = lambda stems, known: F.size(F.filter(stems, lambda w: w.isin(*known))) if known else F.lit(0)
+        hits = _bind(_stems(F.col("t")), lambda x: F.struct(count(x, strong).alias("strong"), count(x, weak).alias("weak"))) if strong or weak else F.struct(F.lit(0).alias("strong"), F.lit(0).alias("weak"))
         return [
             F.size(words).cast("long").alias("n_words"),
             F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
@@ -107,7 +111,7 @@ def text_statistics(docs: DataFrame, flagged: list[str] | None = None) -> DataFr
             _matches(F.col("t"), r"\p{Lu}").alias("n_upper"),
             _matches(F.col("t"), "!").alias("n_bang"),
             _matches(F.col("t"), "[0-9]").alias("n_digit"),
-            hits.alias("flag_words"),
+            hits.alias("flags"),
         ]
 
     # One lambda variable holds the words, so that the split runs once for each text.
@@ -116,7 +120,7 @@ def text_statistics(docs: DataFrame, flagged: list[str] | None = None) -> DataFr
     # Explode keeps later filters from computing the statistics once more for each use.
     counted = (
         base.select("doc_id", F.explode(F.transform(F.array(words), lambda w: F.struct(*measure(w)))).alias("m")).select("doc_id", "m.*")
-        .withColumns({"n_lines": F.col("lines.all"), "n_dup_lines": F.col("lines.dup")}).drop("lines")
+        .withColumns({"n_lines": F.col("lines.all"), "n_dup_lines": F.col("lines.dup"), "flag_words": F.col("flags.strong"), "flag_stems": F.col("flags.weak")}).drop("lines", "flags")
     )
     chars, n, lines = F.greatest("word_chars", F.lit(1)), F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
     return counted.withColumns(
@@ -130,6 +134,7 @@ def text_statistics(docs: DataFrame, flagged: list[str] | None = None) -> DataFr
             "line_words": F.col("n_words") / lines,
             "digit_share": F.col("n_digit") / chars,
             "flag_share": F.col("flag_words") / n,
+            "stem_share": F.col("flag_stems") / n,
         }
     ).drop("n_lines", "n_upper", "n_bang", "n_digit")
 
@@ -186,34 +191,41 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) ->
     )
 
 
-def flagged_words(sample: DataFrame, most: int = FLAG_WORDS) -> list[str]:
-    """Words that mark toxic texts in the labelled sample, chosen by greedy covering.
+def flagged_stems(sample: DataFrame, most: int = FLAG_STEMS) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """(strong, weak) stems that mark toxic texts in the labelled sample, chosen by greedy covering.
 
-    A candidate stands in at least 5 texts, nine in ten of them toxic; a word counts once
-    for a text.  The word of most toxic texts is taken, its texts are set aside, and so
-    on while a word marks three texts more; what rides along in copies of one toxic
-    text is so passed over.
+    A stem counts once for a text.  A strong one stands in five texts or more, nine in
+    ten of them toxic; a weak one stands in four standard deviations and two more toxic
+    texts than chance gives.  The stem of most toxic texts is taken, its texts are set
+    aside, and so on while a stem marks three texts and a hundredth of the toxic ones
+    more; what rides along in copies of one toxic text is so passed over.  A strong stem
+    of ten toxic texts and a twentieth of all is taken in any case.
     """
-    own = materialize(
-        sample.filter("part <> 0").select("toxic", F.array_distinct(F.split(F.lower("text"), PLAIN_SPLIT)).alias("words")), "words"
-    )
+    own = materialize(sample.filter("part <> 0").select("toxic", F.array_distinct(_stems(F.col("text"))).alias("stems")), "stems")
+    sums = own.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
+    if not sums["toxic"]:
+        return (), ()
+    base = sums["toxic"] / sums["n"]
+    is_strong = (F.col("n") >= 5) & (F.col("n_toxic") >= 0.9 * F.col("n"))
+    is_weak = F.col("n_toxic") >= base * F.col("n") + 4 * F.sqrt(base * (1 - base) * F.col("n")) + 2
     candidates = (
-        own.select("toxic", F.explode("words").alias("word")).filter("word <> ''").groupBy("word")
+        own.select("toxic", F.explode("stems").alias("stem")).filter("stem <> ''").groupBy("stem")
         .agg(F.count("*").alias("n"), F.sum("toxic").alias("n_toxic"))
-        .filter("n >= 5 AND n_toxic >= 0.9 * n").orderBy(F.desc("n_toxic"), "word").limit(most).select("word")
+        .withColumn("strong", is_strong).filter(is_strong | is_weak).orderBy(F.desc("n_toxic"), "stem").limit(most).select("stem", "strong", "n_toxic")
     )
-    known = [r["word"] for r in candidates.collect()]  # at most ``most`` words
+    found = candidates.collect()  # at most ``most`` stems
+    known = {r["stem"]: r["strong"] for r in found}
     if not known:
-        return []
-    marks = materialize(own.filter("toxic = 1").select(F.array_intersect("words", F.array(*[F.lit(w) for w in known])).alias("words")), "marks")
-    taken: list[str] = []
+        return (), ()
+    marks = materialize(own.filter("toxic = 1").select(F.array_intersect("stems", F.array(*[F.lit(w) for w in known])).alias("stems")), "marks")
+    taken = [r["stem"] for r in found if r["strong"] and r["n_toxic"] >= max(10, 0.05 * sums["toxic"])]
     while len(taken) < len(known):
-        open_texts = marks.filter(~F.arrays_overlap("words", F.array(*[F.lit(w) for w in taken]))) if taken else marks
-        top = open_texts.select(F.explode("words").alias("word")).groupBy("word").count().orderBy(F.desc("count"), "word").first()
-        if top is None or top["count"] < 3:
+        open_texts = marks.filter(~F.arrays_overlap("stems", F.array(*[F.lit(w) for w in taken]))) if taken else marks
+        top = open_texts.select(F.explode("stems").alias("stem")).groupBy("stem").count().orderBy(F.desc("count"), "stem").first()
+        if top is None or top["count"] < max(3, 0.01 * sums["toxic"]):
             break
-        taken.append(top["word"])
-    return taken
+        taken.append(top["stem"])
+    return tuple(w for w in taken if known[w]), tuple(w for w in taken if not known[w])
 
 
 def learn_rules(stats: DataFrame) -> list[Rule]:
@@ -224,8 +236,10 @@ def learn_rules(stats: DataFrame) -> list[Rule]:
     Spark aggregation by statistic and bin; the driver sees those sums only, CUTS + 1
     for each statistic.
     """
-    row = stats.agg(*[F.percentile(f, F.array(*[F.lit((i + 0.5) / CUTS) for i in range(CUTS)])).alias(f) for f in FEATURES]).first()
-    cuts = {f: sorted({float(x) for x in row[f] or []} | ({0.5} if f == "flag_words" else set())) for f in FEATURES}
+    # Most statistics are zero on most rows: zero is a threshold, the others are quantiles of what is above it.
+    steps = F.array(*[F.lit((i + 0.5) / CUTS) for i in range(CUTS)])
+    row = stats.agg(*[F.percentile(F.when(F.col(f) > 0, F.col(f)), steps).alias(f) for f in FEATURES]).first()
+    cuts = {f: sorted({0.0, *(float(x) for x in row[f] or [])}) for f in FEATURES}
     # The bin of a value is the number of cuts below it.
     below = lambda f: F.size(F.filter(F.array(*[F.lit(c) for c in cuts[f]]), lambda c: c < F.col(f)))
     bins = F.array(*[F.struct(F.lit(f).alias("f"), below(f).alias("b")) for f in FEATURES])
@@ -279,24 +293,25 @@ def learn_rules(stats: DataFrame) -> list[Rule]:
 
 @dataclass(frozen=True)
 class QualityModel:
-    flagged: tuple[str, ...]
+    strong: tuple[str, ...]
+    weak: tuple[str, ...]
     rules: tuple[Rule, ...]
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> QualityModel:
-    """Fit flagged words and the decision list on at most ``rows`` labelled documents.
+    """Fit flagged stems and the decision list on at most ``rows`` labelled documents.
 
     Without labelled rows of both kinds the model has no rules and rejects nothing.
     """
     sample = materialize(labelled_sample(docs, labels, rows), "sample")
-    flagged = flagged_words(sample)
-    stats = text_statistics(sample, flagged).join(F.broadcast(sample.select("doc_id", "bad", "part")), "doc_id")
-    return QualityModel(tuple(flagged), tuple(learn_rules(materialize(stats.select("bad", "part", *FEATURES), "stats"))))
+    strong, weak = flagged_stems(sample)
+    stats = text_statistics(sample, strong, weak).join(F.broadcast(sample.select("doc_id", "bad", "part")), "doc_id")
+    return QualityModel(strong, weak, tuple(learn_rules(materialize(stats.select("bad", "part", *FEATURES), "stats"))))
 
 
 def judge(docs: DataFrame, model: QualityModel) -> DataFrame:
     """Statistics of each document with base_failed, rule (number of the first rule that fires, or null) and kept."""
-    stats = text_statistics(docs, list(model.flagged))
+    stats = text_statistics(docs, model.strong, model.weak)
     fired = F.lit(None).cast("int")
     for i, rule in reversed(list(enumerate(model.rules, 1))):
         fired = F.when(rule.column(), F.lit(i)).otherwise(fired)

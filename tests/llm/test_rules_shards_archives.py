@@ -28,7 +28,7 @@ def counts(text):
 
 def test_statistics_match_brute_force(spark):
     texts = [*sample_texts(4), "a b c a b c a b c", "x\nx\n \nx", "é ü #1 | <b>", " a b a b a b ", "one\x0btwo\x0cthree", "a b c d"]
-    found = quality.text_statistics(documents(spark, texts, CLASH), ["one"]).collect()
+    found = quality.text_statistics(documents(spark, texts, CLASH), ("one",), ("two",)).collect()
     for r in found:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts(texts[r.doc_id]), texts[r.doc_id]
     assert len(found) == len(texts)
@@ -53,7 +53,7 @@ def labelled(spark, seed=1, n=240):
 def test_decision_list_learns_planted_rules(spark):
     docs, labels = labelled(spark)
     model = quality.fit_quality(docs, labels)
-    assert "dunce" in model.flagged
+    assert "dunce" in model.strong
     assert model.rules and all("THEN reject" in str(r) for r in model.rules)
     kept = {r.doc_id for r in quality.judge(docs, model).filter("kept").collect()}
     assert kept == {i for i in range(240) if i % 4 in (0, 3)}
@@ -70,7 +70,7 @@ def test_quality_without_labels_or_documents(spark):
 
 def test_quality_plan_has_no_python(spark):
     docs, labels = labelled(spark, n=40)
-    plan = quality.judge(docs, quality.QualityModel(("dunce",), ()))._jdf.queryExecution().toString()
+    plan = quality.judge(docs, quality.QualityModel(("dunce",), ("thin",), ()))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
