@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from tessera.operators import activation, follow, labels, learn, profile, rules, search, series, spectra
 from tessera.plans import actions
+from tessera.sources import artifacts
 from tessera.streaming import telemetry
 
-MODULES = (activation, labels, series, profile, follow, rules, search, spectra, learn, telemetry, actions)
+MODULES = (activation, labels, series, profile, follow, rules, search, spectra, learn, artifacts, telemetry, actions)
 
 
 def queries() -> dict:
