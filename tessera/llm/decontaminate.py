@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.text import BASE, WordHashes, mixed
+from tessera.llm.text import BASE, WordHashes, mixed, sliced
 from tessera.session import materialize
 
 #: Places of a seed's words: four in a row, and four of five, which outlive an edit at every fourth word.
@@ -102,7 +102,7 @@ def _seeded(pieces: list[tuple[int, list[int]]]):
 
     def run(batches):
         items, hashes = Items(pieces), WordHashes()
-        for batch in batches:
+        for batch in sliced(batches):
             rows: dict[str, list] = {k: [] for k in ("at", "piece", "seeds", "start", "words")}
             for i, text in enumerate(batch.column(2).to_pylist()):
                 words = hashes.of(plain_words(text))
@@ -134,7 +134,7 @@ def _seeded(pieces: list[tuple[int, list[int]]]):
 def _scored(pieces: list[tuple[int, list[int]]]):
     def run(batches):
         items = Items(pieces)
-        for batch in batches:
+        for batch in sliced(batches):
             ids, scores, lengths, ends = [], [], [], []
             for piece, start, words in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
                 score, end = align(items.words[piece], words.values.to_numpy(zero_copy_only=False).view(np.uint64))
@@ -152,7 +152,7 @@ def _scored(pieces: list[tuple[int, list[int]]]):
 
 def _pieces(batches):
     hashes = WordHashes()
-    for batch in batches:
+    for batch in sliced(batches):
         rows: dict[str, list] = {"item_id": [], "piece": [], "words": []}
         for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             words = _signed(hashes.of(plain_words(text)).tolist())

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.text import mixed
+from tessera.llm.text import mixed, sliced
 
 #: Place of the public model file; only the driver reads it.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -225,7 +225,7 @@ def encode_pieces(docs: DataFrame, vocabulary: Vocabulary, seed: int = SEED) ->
     def run(batches):
         sampler = Sampler(vocabulary, seed)
         kind = pa.list_(pa.int32())
-        for batch in batches:
+        for batch in sliced(batches):
             column = batch.column(2).to_pylist()
             keys = [k if d is None else d for d, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             at = 0
@@ -253,7 +253,7 @@ def decode_pieces(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     surfaces = vocabulary.surfaces
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             out = [None if x is None else decode(surfaces, x.tolist()) for x in (None if not y.is_valid else y.values.to_numpy(zero_copy_only=False) for y in batch.column("piece_ids"))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary()).cast(pa.string())], [*batch.schema.names, "text"])
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.text import texts
+from tessera.llm.text import sliced, texts
 from tessera.session import materialize
 
 #: Kinds in the order of ties: the base first, then those reported only when linked.
@@ -49,7 +49,7 @@ def spans_of(text: bytes) -> tuple[list[tuple[str, int, int]], list[tuple[str, i
 
 
 def _scan(batches):
-    for batch in batches:
+    for batch in sliced(batches):
         out: dict[str, list] = {"base": [], "weak": []}
         for text in texts(batch.column(2)):
             base, weak = spans_of(text)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
-from tessera.llm.text import texts
+from tessera.llm.text import sliced, texts
 from tessera.session import materialize
 
 #: A-Z to a-z, nothing else.
@@ -42,7 +42,7 @@ def with_fingerprint(docs: DataFrame, width: int = 3, id_column: str = "doc_id",
     """(doc_id, fp) with fp the fingerprint as a signed long, one row for each document row."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             prints = np.array([fingerprint(t, width) for t in texts(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 

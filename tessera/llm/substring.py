@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.text import Rolling, WordHashes, covered, sliding_min, texts
+from tessera.llm.text import Rolling, WordHashes, covered, sliced, sliding_min, texts
 from tessera.session import materialize
 
 #: Words of the short windows whose least hash names the group that a long window is counted in.
@@ -26,7 +26,7 @@ def _window_hashes(words: list[bytes], window: int, hashes: WordHashes, rolling:
 def _anchors_of(window: int):
     def run(batches):
         hashes, rolling, short = WordHashes(), Rolling(), min(ANCHOR_WORDS, window)
-        for batch in batches:
+        for batch in sliced(batches):
             found, sizes = [], []
             for text in texts(batch.column(2)):
                 words = text.split()
@@ -49,7 +49,7 @@ def _anchors_of(window: int):
 def _windows_of(window: int):
     def run(batches):
         hashes, rolling = WordHashes(), Rolling()
-        for batch in batches:
+        for batch in sliced(batches):
             for doc_id, key, wanted, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), texts(batch.column(2))):
                 anchors, windows = _window_hashes(text.split(), window, hashes, rolling)
                 mine = np.sort(wanted.values.to_numpy(zero_copy_only=False).view(np.uint64))
@@ -66,7 +66,7 @@ def _windows_of(window: int):
 
 def _cut(window: int):
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             kept, digests, sizes, removed, spans = [], [], [], [], []
             for whole, starts, text in zip(batch.column(2).to_pylist(), batch.column(3), texts(batch.column(1))):
                 words = text.split()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -9,7 +11,16 @@ import xxhash
 #: Base of the polynomial; odd, so that it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
+#: Rows of an Arrow batch that are Python objects at one time.
+SLICE_ROWS = 512
+
+
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``; the buffers are shared."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def texts(column: pa.Array) -> list[bytes]:
