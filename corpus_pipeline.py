@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.decontaminate import drop_leaks
 from tessera.llm.line_dedup import dedup_lines
+from tessera.llm.near_copies import keep_first_near
 from tessera.llm.pieces import encode_and_check
 from tessera.llm.quality import filter_quality
-from tessera.llm.simhash import keep_first
 from tessera.session import materialize
 
 
@@ -23,8 +23,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each SimHash class."""
-    return keep_first(docs)
+    """The document with the smallest doc_id of each class of near copies: five-word shingles, Jaccard 0.8 or more."""
+    return keep_first_near(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
