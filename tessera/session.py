@@ -39,15 +39,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one where it names none."""
-    named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
+    """The folder that the cluster names for checkpoints.
+
+    Where none is named, a local master gets a temporary one; any other raises, since
+    executors on other machines could not read it.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current.rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -55,10 +59,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark)}/tessera-{label}-{uuid.uuid4().hex}"
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system delete a scratch folder when the driver ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a DataFrame as Parquet into the shared checkpoint folder and read it back.
 
-    This cuts lineage, survives lost executors and gives later joins true sizes.
+    This cuts lineage, survives lost executors and gives later joins true sizes.  The
+    folder is deleted when the application ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
@@ -70,4 +81,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     finally:
         if before is not None:
             spark.conf.set(CLEANUP_KEY, before)
+    delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, count: str, label: str, share: float = 0.0005) -> DataFrame:
+    """Inner join of ``rows`` with a table of one row a key, in which ``count`` says how many of ``rows`` have the key.
+
+    Keys that hold more than ``share`` of all rows, so fewer than 1 / ``share`` of them,
+    go by broadcast and never meet in one task; the others are sort-merge joined.
+    ``rows`` should be a written table, as it is read twice; ``counted`` is written here.
+    """
+    counted = materialize(counted, label)
+    total = counted.agg(F.sum(count)).first()[0] or 0
+    heavy = counted.filter(F.col(count) > share * total)
+    light = counted.filter(F.col(count) <= share * total)
+    if heavy.isEmpty():
+        return rows.hint("merge").join(light, key)
+    dealt = rows.join(F.broadcast(heavy), key)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").hint("merge").join(light, key)
+    return dealt.unionByName(rest)
