@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.text import BASE, WordHashes, mixed, sliced
+from tessera.llm.text import BASE, Rolling, WordHashes, mixed, sliced
 from tessera.session import materialize
 
 #: Places of a seed's words: four in a row, and four of five, which outlive an edit at every fourth word.
@@ -19,10 +19,12 @@ MARGIN = 8
 #: A seed is rare if at most this many documents, or this share of them, have it.
 RARE_DOCS = 50
 RARE_SHARE = 0.001
+#: A seed names items if at most this many items, or this share of them, have it.
+RARE_ITEMS = 50
+ITEM_SHARE = 0.001
 #: Least alignment score as a share of the item's words (match 1, mismatch and gap -1).
 THRESHOLD = 0.4
-#: Items are aligned in pieces of at most this many words; about this many words of items are sent to the executors at a time.
-PIECE_WORDS = 512
+#: About this many words of items are sent to the executors at a time; a longer item goes alone.
 BLOCK_WORDS = 400_000
 
 #: ASCII characters that are no letters or digits part words; other characters are kept.
@@ -64,118 +66,167 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 
 
 class Items:
-    """Word hashes of the pieces of a block of test items, and their seeds in order."""
+    """Word hashes of a block of distinct test items, and the seeds that name few of them."""
 
-    def __init__(self, pieces: list[tuple[int, list[int]]]) -> None:
-        self.ids = [i for i, _ in pieces]
-        self.words = [np.array(w, np.uint64) for _, w in pieces]
-        found = [seeds_of(w) for w in self.words]
-        piece = np.repeat(np.arange(len(found)), [len(g) for g, _ in found])
+    def __init__(self, words: list[np.ndarray], most_items: float) -> None:
+        self.words = words
+        found = [seeds_of(w) for w in words]
+        item = np.repeat(np.arange(len(found)), [len(g) for g, _ in found])
         place = np.concatenate([p for _, p in found]) if found else np.empty(0, np.int64)
         seeds = np.concatenate([g for g, _ in found]) if found else np.empty(0, np.uint64)
-        order = np.argsort(seeds, kind="stable")
-        self.seeds, self.piece, self.place = seeds[order], piece[order], place[order]
-        self.distinct = np.unique(self.seeds)
-
-    def hits(self, words: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(piece, place in the text, place in the piece, seed) of each seed found."""
+        order = np.lexsort((item, seeds))
+        seeds, item, place = seeds[order], item[order], place[order]
+        self.all_seeds, group = np.unique(seeds, return_inverse=True)
+        first = np.ones(len(seeds), bool)
+        first[1:] = (seeds[1:] != seeds[:-1]) | (item[1:] != item[:-1])
+        naming = (np.bincount(group, first, minlength=len(self.all_seeds)) <= most_items)[group]
+        # An item of which each seed stands in very many items is looked up as a whole.
+        named = np.zeros(len(words), bool)
+        named[item[naming]] = True
+        self.whole = [i for i in range(len(words)) if not named[i]]
+        self.seeds, self.item, self.place = seeds[naming], item[naming], place[naming]
+        sizes = np.array([len(w) for w in words], np.int64)
+        # How far an item reaches before and after a place with the seed, at most.
+        self.before, self.after = np.zeros(len(self.all_seeds), np.int64), np.zeros(len(self.all_seeds), np.int64)
+        np.maximum.at(self.before, group, place)
+        np.maximum.at(self.after, group, sizes[item] - place)
+
+    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in the text, number of the seed, seed) of each seed of an item found in a text."""
         grams, places = seeds_of(words)
-        if not len(self.distinct) or not len(grams):
-            return []
-        at = np.minimum(np.searchsorted(self.distinct, grams), len(self.distinct) - 1)
-        out = []
-        for i in np.flatnonzero(self.distinct[at] == grams):
-            lo, hi = np.searchsorted(self.seeds, grams[i], "left"), np.searchsorted(self.seeds, grams[i], "right")
-            out += [(int(self.piece[k]), int(places[i]), int(self.place[k]), int(grams[i])) for k in range(lo, hi)]
-        return out
-
-
-PASSAGE = "doc_id long, text_key long, piece int, seeds array<long>, start int, words array<long>"
+        if not len(self.all_seeds) or not len(grams):
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        at = np.minimum(np.searchsorted(self.all_seeds, grams), len(self.all_seeds) - 1)
+        good = self.all_seeds[at] == grams
+        return places[good], at[good], grams[good]
 
 
-def _signed(values) -> list[int]:
-    return [v - (1 << 64) if v >> 63 else v for v in values]
+HITS = "doc_id long, text_key long, places array<int>, seeds array<long>, start int, words array<long>"
+LEAKS = "doc_id long, text_key long, item int, score int, last_word int"
 
 
-def _seeded(pieces: list[tuple[int, list[int]]]):
-    """Passages of each text around the seeds of one piece on near diagonals."""
+def _found(items: list[np.ndarray], most_items: float):
+    """The seed hits of each text that has one, and its words as far as an item may reach."""
 
     def run(batches):
-        items, hashes = Items(pieces), WordHashes()
+        block, hashes = Items(items, most_items), WordHashes()
         for batch in sliced(batches):
-            rows: dict[str, list] = {k: [] for k in ("at", "piece", "seeds", "start", "words")}
+            rows: dict[str, list] = {k: [] for k in ("at", "places", "seeds", "start", "words")}
             for i, text in enumerate(batch.column(2).to_pylist()):
                 words = hashes.of(plain_words(text))
-                groups: list[list[tuple[int, int, int, int]]] = []
-                for hit in sorted(items.hits(words), key=lambda h: (h[0], h[1] - h[2])):
-                    last = groups[-1][-1] if groups else None
-                    if last and last[0] == hit[0] and (hit[1] - hit[2]) - (last[1] - last[2]) <= BAND:
-                        groups[-1].append(hit)
-                    else:
-                        groups.append([hit])
-                for g in groups:
-                    size = len(items.words[g[0][0]])
-                    lo = max(0, min(h[1] - h[2] for h in g) - MARGIN)
-                    hi = min(len(words), max(h[1] - h[2] for h in g) + size + MARGIN)
-                    rows["at"].append(i)
-                    rows["piece"].append(g[0][0])
-                    rows["seeds"].append(_signed({h[3] for h in g}))
-                    rows["start"].append(lo)
-                    rows["words"].append(words[lo:hi].view(np.int64).tolist())
-            at, longs = pa.array(rows["at"], pa.int64()), pa.list_(pa.int64())
+                places, numbers, seeds = block.hits(words)
+                if not len(places):
+                    continue
+                lo = max(0, int((places - block.before[numbers]).min()) - MARGIN)
+                hi = min(len(words), int((places + block.after[numbers]).max()) + MARGIN)
+                rows["at"].append(i)
+                rows["places"].append(places - lo)
+                rows["seeds"].append(seeds.view(np.int64))
+                rows["start"].append(lo)
+                rows["words"].append(words[lo:hi].view(np.int64))
+            at = pa.array(rows["at"], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(rows["piece"], pa.int32()), pa.array(rows["seeds"], longs), pa.array(rows["start"], pa.int32()), pa.array(rows["words"], longs)],
-                ["doc_id", "text_key", "piece", "seeds", "start", "words"],
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(rows["places"], pa.list_(pa.int32())), pa.array(rows["seeds"], pa.list_(pa.int64())), pa.array(rows["start"], pa.int32()), pa.array(rows["words"], pa.list_(pa.int64()))],
+                ["doc_id", "text_key", "places", "seeds", "start", "words"],
             )
 
     return run
 
 
-def _scored(pieces: list[tuple[int, list[int]]]):
+def whole_items(words: np.ndarray, wanted: dict[int, dict[bytes, int]]) -> list[tuple[int, int]]:
+    """(item, end) of the items by length and words that stand word for word in a text, each once."""
+    found: dict[int, int] = {}
+    rolling = Rolling()
+    for size, known in wanted.items():
+        windows = rolling.windows(words, size)
+        keys = rolling.windows(np.concatenate([np.frombuffer(k, np.uint64) for k in known]), size)[::size]
+        for p in np.flatnonzero(np.isin(windows, keys)):
+            item = known.get(words[p : p + size].tobytes())
+            if item is not None:
+                found[item] = int(p) + size
+    return list(found.items())
+
+
+def passages(items: Items, places: np.ndarray, seeds: np.ndarray, frequent: np.ndarray, threshold: float) -> list[tuple[int, int, int]]:
+    """(item, least diagonal, largest diagonal) of the groups of hits on near diagonals that are worth an alignment.
+
+    One hit of a rare seed is enough; hits of frequent seeds must cover ``threshold`` of the item's words.
+    """
+    lo, hi = np.searchsorted(items.seeds, seeds, "left"), np.searchsorted(items.seeds, seeds, "right")
+    count = hi - lo
+    hit = np.repeat(np.arange(len(seeds)), count)
+    entry = np.arange(len(hit)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
+    item, inside = items.item[entry], items.place[entry]
+    diagonal, rare = places[hit] - inside, ~np.isin(seeds, frequent)[hit]
+    order = np.lexsort((diagonal, item))
+    item, inside, diagonal, rare = item[order], inside[order], diagonal[order], rare[order]
+    edges = np.flatnonzero((np.diff(item) != 0) | (np.diff(diagonal) > BAND)) + 1
+    out = []
+    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(item)]):
+        if a == b:
+            continue
+        size = len(items.words[item[a]])
+        if not rare[a:b].any():
+            held = np.zeros(size, bool)
+            for k in range(SEED_WORDS):
+                held[np.minimum(inside[a:b] + k, size - 1)] = True
+            if held.sum() < threshold * size:
+                continue
+        out.append((int(item[a]), int(diagonal[a]), int(diagonal[b - 1])))
+    return out
+
+
+def _scored(items: list[np.ndarray], most_items: float, frequent: np.ndarray, threshold: float):
+    """Leaks among the hits of each text."""
+
     def run(batches):
-        items = Items(pieces)
+        block = Items(items, most_items)
+        wanted: dict[int, dict[bytes, int]] = {}
+        for i in block.whole:
+            if len(items[i]) >= SEED_WORDS:
+                wanted.setdefault(len(items[i]), {})[items[i].tobytes()] = i
         for batch in sliced(batches):
-            ids, scores, lengths, ends = [], [], [], []
-            for piece, start, words in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
-                score, end = align(items.words[piece], words.values.to_numpy(zero_copy_only=False).view(np.uint64))
-                ids.append(items.ids[piece])
-                scores.append(score)
-                lengths.append(len(items.words[piece]))
-                ends.append(start + end)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array(scores, pa.int32()), pa.array(lengths, pa.int32()), pa.array(ends, pa.int32())],
-                ["doc_id", "text_key", "item_id", "score", "item_words", "last_word"],
-            )
+            rows: dict[str, list] = {k: [] for k in ("at", "item", "score", "last")}
+            starts = batch.column(4).to_pylist()
+            for i in range(batch.num_rows):
+                places, seeds, words = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (2, 3, 5))
+                words = words.view(np.uint64)
+                found = [(k, len(items[k]), end) for k, end in whole_items(words, wanted)] if wanted else []
+                for k, least, most in passages(block, places.astype(np.int64), seeds.view(np.uint64), frequent, threshold):
+                    lo, hi = max(0, least - MARGIN), min(len(words), most + len(items[k]) + MARGIN)
+                    score, end = align(items[k], words[lo:hi])
+                    if score >= threshold * len(items[k]):
+                        found.append((k, score, lo + end))
+                for k, score, end in found:
+                    rows["at"].append(i)
+                    rows["item"].append(k)
+                    rows["score"].append(score)
+                    rows["last"].append(starts[i] + end)
+            at = pa.array(rows["at"], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(rows[c], pa.int32()) for c in ("item", "score", "last"))], ["doc_id", "text_key", "item", "score", "last_word"])
 
     return run
 
 
-def _pieces(batches):
+def _item_words(batches):
     hashes = WordHashes()
     for batch in sliced(batches):
-        rows: dict[str, list] = {"item_id": [], "piece": [], "words": []}
-        for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = _signed(hashes.of(plain_words(text)).tolist())
-            count = max(1, -(-len(words) // PIECE_WORDS))
-            size = max(1, -(-len(words) // count))
-            for k in range(0, len(words), size):
-                if len(part := words[k : k + size]) >= SEED_WORDS:
-                    rows["item_id"].append(item)
-                    rows["piece"].append(k // size)
-                    rows["words"].append(part)
-        yield pa.RecordBatch.from_arrays([pa.array(rows["item_id"], pa.int64()), pa.array(rows["piece"], pa.int32()), pa.array(rows["words"], pa.list_(pa.int64()))], ["item_id", "piece", "words"])
+        words = [hashes.of(plain_words(t)).view(np.int64) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.int64()))], ["item_id", "words"])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Documents that hold a copy of a test item: doc_id, text_key, item_id, score, item_words, last_word.
 
-    Word n-grams, with and without a gap, that a document shares with an item seed a passage; a passage with a rare
-    seed, or with two seeds on near diagonals, is aligned with the item by
-    Smith-Waterman.  A pair is a leak if the score reaches ``threshold`` of the item's
+    Word n-grams, with and without a gap, that a document shares with an item seed
+    passages.  Seeds in more than RARE_ITEMS items and ITEM_SHARE of all name none of them; an item
+    that has no other is looked up word for word.  A passage with a seed that is rare among the
+    documents too, or whose seeds cover ``threshold`` of the item's words, is aligned with the
+    whole item by Smith-Waterman.  A pair is a leak if the score reaches ``threshold`` of the item's
     words, so edited and paraphrased copies count.  The best passage of each pair is
     returned.  last_word is the place after the passage's last aligned word.
 
-    Items are sent to the executors in blocks of about BLOCK_WORDS words, a proven bound; a
+    Items of equal words are one, under their smallest item_id.  They are sent to the executors in blocks of about BLOCK_WORDS words, a proven bound; a
     larger benchmark takes more passes over the documents.  Words are lower-cased runs
     of letters and digits.  Null and empty texts, items of fewer than SEED_WORDS
     words and rows with a null doc_id or item_id find nothing; repeated documents or
@@ -184,32 +235,37 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     items = benchmark.filter("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    pieces = materialize(items.mapInArrow(_pieces, "item_id long, piece int, words array<long>"), "items")
-    total = pieces.agg(F.sum(F.size("words"))).first()[0] or 0
-    blocks = -(-total // BLOCK_WORDS)
-    # Pieces have at most PIECE_WORDS words, so that a hash deals them evenly.
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("item_id", "piece"), F.lit(max(1, blocks))))
-    most = max(float(RARE_DOCS), RARE_SHARE * rows.count()) if blocks else 0.0
+    words = materialize(items.mapInArrow(_item_words, "item_id long, words array<long>").filter(F.size("words") >= SEED_WORDS).withColumn("content", F.sha2(F.to_json("words"), 256)), "items")
+    sized = materialize(words.groupBy("content").agg(F.min("item_id").alias("item_id"), F.first("words").alias("words"), F.size(F.first("words")).alias("n")), "contents")
+    sums = sized.agg(F.count("*").alias("items"), F.sum("n").alias("words")).first()
+    blocks = -(-(sums["words"] or 0) // BLOCK_WORDS)
+    dealt = sized.withColumn("block", F.pmod(F.xxhash64("content"), F.lit(max(1, blocks))))
+    most_docs = max(float(RARE_DOCS), RARE_SHARE * rows.count()) if blocks else 0.0
+    most_items = max(float(RARE_ITEMS), ITEM_SHARE * sums["items"])
     leaks = None
     for block in range(blocks):
-        mine = [(r["item_id"], [w & ((1 << 64) - 1) for w in r["words"]]) for r in dealt.filter(F.col("block") == block).orderBy("item_id", "piece").select("item_id", "words").toLocalIterator()]
-        passages = materialize(rows.mapInArrow(_seeded(mine), PASSAGE), "passages")
-        frequent = passages.select("doc_id", F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count_distinct("doc_id").alias("docs")).filter(F.col("docs") > most)
-        single = passages.filter(F.size("seeds") == 1).withColumn("seed", F.get("seeds", F.lit(0))).hint("merge").join(frequent.select("seed"), "seed", "left_anti").drop("seed")
-        wanted = passages.filter(F.size("seeds") > 1).unionByName(single)
-        scored = materialize(wanted.select("doc_id", "text_key", "piece", "start", "words").mapInArrow(_scored(mine), "doc_id long, text_key long, item_id long, score int, item_words int, last_word int"), "scored")
-        hit = scored.filter(F.col("score") >= threshold * F.col("item_words"))
-        leaks = hit if leaks is None else leaks.unionByName(hit)
+        mine = dealt.filter(F.col("block") == block).orderBy("content").select("item_id", "words").collect()  # about BLOCK_WORDS words
+        if not mine:
+            continue
+        block_words = [np.array(r["words"], np.int64).view(np.uint64) for r in mine]
+        hits = materialize(rows.mapInArrow(_found(block_words, most_items), HITS), "hits")
+        counts = hits.select(F.explode(F.array_distinct("seeds")).alias("seed")).groupBy("seed").count().filter(F.col("count") > most_docs)
+        frequent = np.array([r["seed"] for r in counts.select("seed").collect()], np.int64).view(np.uint64)  # seeds of this block
+        found = hits.mapInArrow(_scored(block_words, most_items, frequent, threshold), LEAKS)
+        names = spark.createDataFrame([(i, r["item_id"], len(r["words"])) for i, r in enumerate(mine)], "item int, item_id long, item_words int")
+        named = materialize(found, "scored").join(F.broadcast(names), "item").drop("item")  # three numbers for each item of this block
+        leaks = named if leaks is None else leaks.unionByName(named)
     if leaks is None:
         return spark.createDataFrame([], "doc_id long, text_key long, item_id long, score int, item_words int, last_word int")
-    best = F.max(F.struct((F.col("score") / F.col("item_words")).alias("share"), "score", "item_words", "last_word")).alias("best")
-    return leaks.groupBy("doc_id", "text_key", "item_id").agg(best).select("doc_id", "text_key", "item_id", "best.score", "best.item_words", "best.last_word")
+    best = leaks.groupBy("doc_id", "text_key", "item_id", "item_words").agg(F.max(F.struct("score", "last_word")).alias("best"))
+    return best.select("doc_id", "text_key", "item_id", "best.score", "item_words", "best.last_word")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents without those that leak a test item; all their columns stay, null ids too."""
-    found = find_leaks(docs, benchmark, threshold).select(F.col("doc_id").alias("_leak_id"), F.col("text_key").alias("_leak_key")).distinct()
-    return docs.hint("merge").join(found, (docs["doc_id"].cast("long") == F.col("_leak_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_leak_key")), "left_anti")
+    found = find_leaks(docs, benchmark, threshold).select(F.col("doc_id").alias("leak_id"), F.col("text_key").alias("leak_key")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(F.col("text").cast("string")).alias("own_key"))
+    return rows.hint("merge").join(found, (F.col("own_id") == F.col("leak_id")) & (F.col("own_key") == F.col("leak_key")), "left_anti").select("row.*")
 
 
 def op9_seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
-from tessera.llm.simhash import LOWER, fingerprint, linked_fingerprints
+from tessera.llm.simhash import LOWER, fingerprint, linked_fingerprints, without
 from tessera.llm.text import Rolling, WordHashes, sliced, texts
-from tessera.session import materialize
+from tessera.session import join_counted, materialize
 
 #: Words of a shingle, and the Jaccard similarity of two shingle sets from which texts are near copies.
 WIDTH = 5
@@ -20,6 +20,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 #: Members before it in a band that a text is compared with, besides the first one.
 LAGS = 4
+#: Members of a band that one window puts in order; larger bands are dealt into groups of about so many.
+GROUP = 500
 #: Shingles that are hashed at one time.
 BLOCK = 4096
 
@@ -78,19 +80,21 @@ def candidates(nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) of ``nodes(node, fp, bands)`` that may be near copies, at most LAGS + 1 for each node and band.
 
     Nodes within two bits of one another's fingerprint are linked as in op8.  In each band
-    a node is compared with the first member and the LAGS before it; a band's members are in
+    a node is compared with the least member and the LAGS before it; a band's members are in
     the order of their next band, so those that share that too are neighbours, and each
-    band gives other neighbours.  Bands of up to LAGS + 1 members are compared in full.
+    band gives other neighbours.  Bands of up to LAGS + 1 members are compared in full; very
+    large ones are ordered in groups of about GROUP members.
     """
-    least = nodes.groupBy("fp").agg(F.min("node").alias("least"))
-    least = materialize(least, "least")
-    same = nodes.select("fp", "node").hint("merge").join(least, "fp").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    least = materialize(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")), "least")
+    same = join_counted(nodes.select("fp", "node"), least.filter("n > 1"), "fp", "n", "twins").select(F.col("least").alias("a"), F.col("node").alias("b"))
     balls = linked_fingerprints(least.select("fp"))
     balls = balls.hint("merge").join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").hint("merge").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    keyed = nodes.select("node", "bands", F.posexplode("bands").alias("i", "key")).select("node", "key", F.get("bands", (F.col("i") + 1) % BANDS).alias("next"))
-    order = Window.partitionBy("key").orderBy("next", "node")
-    before = F.array(F.first("node").over(order), *[F.lag("node", k).over(order) for k in range(1, LAGS + 1)])
-    banded = keyed.select("node", before.alias("others")).select(F.explode("others").alias("a"), F.col("node").alias("b")).filter("a IS NOT NULL")
+    keyed = materialize(nodes.select("node", "bands", F.posexplode("bands").alias("i", "key")).select("node", "key", F.get("bands", (F.col("i") + 1) % BANDS).alias("next")), "bands")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).filter("n > 1")
+    group = F.when(F.col("n") > 2 * GROUP, F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / GROUP))).otherwise(F.lit(0).cast("long"))
+    order = Window.partitionBy("key", "group").orderBy("next", "node")
+    before = F.array(F.col("leader"), *[F.lag("node", k).over(order) for k in range(1, LAGS + 1)])
+    banded = join_counted(keyed, sizes, "key", "n", "sizes").withColumn("group", group).select("node", before.alias("others")).select(F.explode("others").alias("a"), F.col("node").alias("b")).filter("a IS NOT NULL")
     pairs = same.union(balls).union(banded).filter("a <> b")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -98,8 +102,8 @@ def candidates(nodes: DataFrame) -> DataFrame:
 def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The candidate pairs (a, b) whose shingle sets have a Jaccard similarity of SIMILARITY or more."""
     pairs = materialize(candidates(nodes), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().hint("merge").join(nodes.select("node", "text_key"), "node")
-    held = materialize(docs.hint("merge").join(wanted, "text_key").select("node", "text").dropDuplicates(["node"]), "held")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().hint("merge").join(nodes.select("node", F.col("first_id").alias("doc_id"), "text_key"), "node")
+    held = materialize(docs.hint("merge").join(wanted, ["doc_id", "text_key"]).select("node", "text").dropDuplicates(["node"]), "held")
     left, right = (held.select(F.col("node").alias(k), F.col("text").alias(f"{k}_text")) for k in "ab")
     both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "a_text", "b_text")
     return both.mapInArrow(_verify, "a long, b long")
@@ -115,12 +119,12 @@ def near_components(docs: DataFrame) -> DataFrame:
     """
     rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
     sketches = materialize(rows.select("doc_id", "text_key", "text").mapInArrow(_sketches, "doc_id long, text_key long, node long, fp long, bands array<long>"), "sketches")
-    nodes = materialize(sketches.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
-    roots = connected_components(near_links(rows.select("text_key", "text"), nodes))
-    rooted = nodes.select("node", "first_id").hint("merge").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = rooted.hint("merge").join(named, "root").select("node", "component_id")
-    return sketches.select("doc_id", "node").hint("merge").join(labels, "node").select("doc_id", "component_id")
+    nodes = materialize(sketches.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.count("*").alias("n_rows"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).select("node", "first.*", "n_rows", "fp", "bands").withColumnRenamed("doc_id", "first_id"), "nodes")
+    roots = connected_components(near_links(rows, nodes))
+    rooted = materialize(nodes.select("node", "first_id", "n_rows").hint("merge").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n_nodes"))
+    labels = join_counted(rooted, named, "root", "n_nodes", "named").select("node", "component_id", "n_rows")
+    return join_counted(sketches.select("doc_id", "node"), labels, "node", "n_rows", "labels").select("doc_id", "component_id")
 
 
 def keep_first_near(docs: DataFrame) -> DataFrame:
@@ -128,5 +132,4 @@ def keep_first_near(docs: DataFrame) -> DataFrame:
 
     Of repeated rows with one doc_id, all stay; rows with a null doc_id stay.
     """
-    gone = near_components(docs).filter("doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.hint("merge").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return without(docs, near_components(docs).filter("doc_id > component_id").select(F.col("doc_id").alias("gone_id")).distinct())

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
 from tessera.llm.text import sliced, texts
-from tessera.session import materialize
+from tessera.session import join_counted, materialize
 
 #: A-Z to a-z, nothing else.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SEED = 42
+#: Fingerprints whose variants one task emits, at most about.
+TASK_PRINTS = 200_000
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -66,7 +68,8 @@ def linked_fingerprints(prints: DataFrame, radius: int = 2) -> DataFrame:
     if radius % 2:
         raise ValueError("the radius must be even")
     masks = F.array(*[F.lit(m).cast("long") for m in ball(radius // 2)])
-    variants = prints.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
+    tasks = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-prints.count() // TASK_PRINTS))
+    variants = prints.repartition(tasks, "fp").select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
     # Distinct fingerprints share a word with few others: a set is bounded by the size of the ball.
     shared = variants.groupBy("variant").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("members")).filter(F.size("members") > 1)
     return (
@@ -88,12 +91,18 @@ def simhash_components(docs: DataFrame, width: int = 3, radius: int = 2) -> Data
     table gives no rows.  Columns other than doc_id and text are ignored.
     """
     rows = materialize(with_fingerprint(docs, width), "prints")
-    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
+    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_rows")), "classes")
     roots = connected_components(linked_fingerprints(classes.select("fp"), radius))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = rooted.hint("merge").join(named, "root").select("fp", "component_id")
-    return rows.hint("merge").join(labels, "fp").select("doc_id", "fp", "component_id")
+    rooted = materialize(classes.hint("merge").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n_prints"))
+    labels = join_counted(rooted, named, "root", "n_prints", "named").select("fp", "component_id", "n_rows")
+    return join_counted(rows, labels, "fp", "n_rows", "labels").select("doc_id", "fp", "component_id")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``gone``(gone_id); their columns may have any names."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("own_id"))
+    return rows.hint("merge").join(gone, F.col("own_id") == F.col("gone_id"), "left_anti").select("row.*")
 
 
 def keep_first(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
@@ -101,8 +110,7 @@ def keep_first(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
 
     Of repeated rows with one doc_id, all stay; rows with a null doc_id stay.
     """
-    gone = simhash_components(docs, width, radius).filter("doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.hint("merge").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return without(docs, simhash_components(docs, width, radius).filter("doc_id > component_id").select(F.col("doc_id").alias("gone_id")).distinct())
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

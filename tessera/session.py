@@ -89,15 +89,18 @@ def join_counted(rows: DataFrame, counted: DataFrame, key: str, count: str, labe
     """Inner join of ``rows`` with a table of one row a key, in which ``count`` says how many of ``rows`` have the key.
 
     Keys that hold more than ``share`` of all rows, so fewer than 1 / ``share`` of them,
-    go by broadcast and never meet in one task; the others are sort-merge joined.
-    ``rows`` should be a written table, as it is read twice; ``counted`` is written here.
+    go by broadcast and never meet in one task; the others are sort-merge joined.  A
+    table of no more keys than that is broadcast whole.  ``rows`` should be a written
+    table, as it is read twice; ``counted`` is written here.
     """
     counted = materialize(counted, label)
-    total = counted.agg(F.sum(count)).first()[0] or 0
-    heavy = counted.filter(F.col(count) > share * total)
-    light = counted.filter(F.col(count) <= share * total)
-    if heavy.isEmpty():
-        return rows.hint("merge").join(light, key)
+    sums = counted.agg(F.count("*").alias("keys"), F.sum(count).alias("total"), F.max(count).alias("most")).first()
+    limit = share * (sums["total"] or 0)
+    if sums["keys"] * share <= 1:
+        return rows.join(F.broadcast(counted), key)
+    if sums["most"] <= limit:
+        return rows.hint("merge").join(counted, key)
+    heavy, light = counted.filter(F.col(count) > limit), counted.filter(F.col(count) <= limit)
     dealt = rows.join(F.broadcast(heavy), key)
     rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").hint("merge").join(light, key)
     return dealt.unionByName(rest)

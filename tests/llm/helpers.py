@@ -17,7 +17,7 @@ def documents(spark, texts, extra=()):
     return spark.createDataFrame([(i, t, "en", f"src{(i or 0) % 3}", None if t is None else len(t), *("x" for _ in extra)) for i, t in rows], schema)
 
 
-CLASH = ("text_key", "hash", "row", "bucket", "node", "kept", "digest", "shard", "anchors", "rule")
+CLASH = ("text_key", "hash", "row", "bucket", "node", "kept", "digest", "shard", "anchors", "rule", "gone_id", "own_id", "leak_id", "leak_key", "own_key", "fetched_at")
 
 
 def sample_texts(seed=1):

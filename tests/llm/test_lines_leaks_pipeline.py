@@ -99,13 +99,72 @@ def test_an_edit_at_every_fourth_word_is_still_a_leak(spark):
     assert [(r.doc_id, r.score >= 19) for r in found] == [(0, True)]
 
 
+def bench_of(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+
+
+def leaks(spark, docs, items):
+    return {(r.doc_id, r.item_id): (r.score, r.item_words) for r in decontaminate.find_leaks(documents(spark, docs), bench_of(spark, items)).collect()}
+
+
 def test_many_copies_of_one_passage_are_all_found(spark, monkeypatch):
     rng = random.Random(12)
-    monkeypatch.setattr(decontaminate, "RARE_DOCS", 5)  # every seed of the passage is frequent
-    item = prose(rng, 30)
-    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
-    docs = documents(spark, [prose(rng, 10) + " " + item + " " + prose(rng, 10) for _ in range(30)])
-    assert decontaminate.find_leaks(docs, bench).count() == 30
+    monkeypatch.setattr(decontaminate, "RARE_DOCS", 5)  # every seed of the passages is frequent
+    item, four = prose(rng, 30), "four words only here"
+    edited = item.split(" ")
+    edited[9], edited[20] = "changed", "other"
+    docs = [prose(rng, 10) + " " + (item, " ".join(edited), four)[i % 3] + " " + prose(rng, 10) for i in range(30)]
+    assert set(leaks(spark, docs, [item, four])) == {(i, int(i % 3 == 2)) for i in range(30)}
+
+
+def test_an_opening_of_many_items_names_none_of_them(spark, monkeypatch):
+    rng = random.Random(14)
+    monkeypatch.setattr(decontaminate, "RARE_ITEMS", 10)
+    opening = prose(rng, 12)
+    items = [f"{opening} {prose(rng, 8)}" for _ in range(30)] + [opening]
+    docs = [prose(rng, 20) + " " + opening + " " + prose(rng, 20) for _ in range(20)] + [prose(rng, 9) + " " + items[4] + " " + prose(rng, 9)]
+    found = leaks(spark, docs, items)
+    sure = {(i, 30) for i in range(21)} | {(20, 4)}  # the opening as an item of its own is looked up as a whole
+    assert sure <= set(found) and len(found) < len(sure) + 20  # of 600 pairs; a few tails begin with the document's next word
+    assert found[20, 4] == (20, 20)
+
+
+def test_the_threshold_is_of_the_whole_item(spark):
+    rng = random.Random(15)
+    words = prose(rng, 1200).split(" ")
+    found = leaks(spark, [prose(rng, 30) + " " + " ".join(words[400:570]), " ".join(words[300:900]), " ".join(words)], [" ".join(words)])
+    assert set(found) == {(1, 0), (2, 0)} and found[1, 0][1] == 1200 and found[2, 0] == (1200, 1200)
+
+
+def test_leaks_match_brute_force(spark):
+    rng = random.Random(16)
+    items = [prose(rng, rng.randrange(4, 30)) for _ in range(12)] + [None, "a b", ""]
+    docs = []
+    for _ in range(40):
+        words = rng.choice(items[:12]).split(" ")
+        for _ in range(rng.randrange(0, 6)):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice(([], ["edit"], [words[at], "more"]))
+        docs.append(" ".join([prose(rng, rng.randrange(5, 30)), *words[: rng.randrange(1, 40)], prose(rng, rng.randrange(5, 30))]))
+    want, plain = {}, decontaminate.plain_words
+    for i, text in enumerate(docs):
+        for k, item in enumerate(items[:12]):
+            score = brute_local(plain(item), plain(text))
+            if score >= 0.4 * len(plain(item)):
+                want[i, k] = score
+    found = leaks(spark, docs, items)
+    assert all(want[p] == score for p, (score, _) in found.items())
+    missed = set(want) - set(found)
+    assert len(missed) <= 0.1 * len(want), missed  # pairs without three words of four or five in common places
+    assert all(want[p] < 0.7 * len(plain(items[p[1]])) for p in missed)
+
+
+def test_leaks_under_clashing_columns(spark):
+    rng = random.Random(17)
+    item = prose(rng, 20)
+    docs = documents(spark, [item, prose(rng, 30)], ("_leak_id", "leak_id", "leak_key", "own_id", "own_key", "row", "_gone", "gone_id"))
+    kept = decontaminate.drop_leaks(docs, bench_of(spark, [item]))
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1]
 
 
 def test_pipeline_stages_keep_the_schema_and_whole_texts(spark):
