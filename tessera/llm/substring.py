@@ -9,18 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.text import Rolling, WordHashes, covered, sliced, sliding_min, texts
-from tessera.session import materialize
+from tessera.llm.text import Rolling, WordHashes, covered, mixed, sliced, sliding_min, texts
+from tessera.session import join_counted, materialize
 
 #: Words of the short windows whose least hash names the group that a long window is counted in.
 ANCHOR_WORDS = 8
 
 
-def _window_hashes(words: list[bytes], window: int, hashes: WordHashes, rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
-    """(anchor, hash) of each window; equal windows have equal anchors."""
+def _window_hashes(words: list[bytes], window: int, hashes: WordHashes, rolling: Rolling) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, hash, second hash) of each window; equal windows have equal anchors, other windows another pair of hashes."""
     h = hashes.of(words)
     short = min(ANCHOR_WORDS, window)
-    return sliding_min(rolling.windows(h, short), window - short + 1), rolling.windows(h, window)
+    return sliding_min(rolling.windows(h, short), window - short + 1), rolling.windows(h, window), rolling.windows(mixed(~h), window)
 
 
 def _anchors_of(window: int):
@@ -51,14 +51,14 @@ def _windows_of(window: int):
         hashes, rolling = WordHashes(), Rolling()
         for batch in sliced(batches):
             for doc_id, key, wanted, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), texts(batch.column(2))):
-                anchors, windows = _window_hashes(text.split(), window, hashes, rolling)
+                anchors, windows, second = _window_hashes(text.split(), window, hashes, rolling)
                 mine = np.sort(wanted.values.to_numpy(zero_copy_only=False).view(np.uint64))
                 at = np.minimum(np.searchsorted(mine, anchors), len(mine) - 1)
                 starts = np.flatnonzero(mine[at] == anchors)
                 n = len(starts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, doc_id, np.int64)), pa.array(np.full(n, key, np.int64)), pa.array(windows[starts].view(np.int64)), pa.array(starts.astype(np.int32))],
-                    ["doc_id", "text_key", "hash", "start"],
+                    [pa.array(np.full(n, doc_id, np.int64)), pa.array(np.full(n, key, np.int64)), pa.array(windows[starts].view(np.int64)), pa.array(second[starts].view(np.int64)), pa.array(starts.astype(np.int32))],
+                    ["doc_id", "text_key", "hash", "second", "start"],
                 )
 
     return run
@@ -109,7 +109,8 @@ def remove_repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
     Every window has a Rabin-Karp hash.  Its anchor, the least hash of its 8-word
     windows, is a function of its words; a first count over anchors, about one for
     twenty windows, shows which windows cannot repeat in another document, and only
-    the others are shuffled and counted by their own hash.  Documents whose whole
+    the others are shuffled and counted by two hashes of their own, 128 bits together, so
+    that windows of other words don't meet.  Documents whose whole
     texts repeat an earlier one go at once: all their windows start there.
 
     Windows are judged on the input.  A null or empty text, or one of fewer than
@@ -123,26 +124,23 @@ def remove_repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
     ).withColumn("text_key", F.xxhash64("text"))
     known = rows.filter("doc_id IS NOT NULL")
 
-    digests = known.select("doc_id", "text_key", F.md5("text").alias("digest"))
-    first = digests.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id < last_id")
-    copies = materialize(
-        digests.hint("merge").join(first, "digest").filter("doc_id > first_id").select("doc_id", "text_key").distinct(), "copies"
-    )
+    digests = materialize(known.select("doc_id", "text_key", F.md5("text").alias("digest")), "digests")
+    first = digests.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count("*").alias("n")).filter("first_id < last_id")
+    copies = materialize(join_counted(digests, first, "digest", "n", "firsts").filter("doc_id > first_id").select("doc_id", "text_key").distinct(), "copies")
 
-    anchors = materialize(known.select("doc_id", "text_key", "text").mapInArrow(_anchors_of(window), "doc_id long, text_key long, anchor long"), "anchors")
-    anchors = anchors.hint("merge").join(copies, ["doc_id", "text_key"], "left_anti")
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
-    wanted = materialize(
-        anchors.hint("merge").join(shared, "anchor").groupBy("doc_id", "text_key").agg(F.collect_list("anchor").alias("anchors")), "wanted"
-    )
+    anchors = known.select("doc_id", "text_key", "text").mapInArrow(_anchors_of(window), "doc_id long, text_key long, anchor long")
+    anchors = materialize(anchors.hint("merge").join(copies, ["doc_id", "text_key"], "left_anti"), "anchors")
+    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("anchor", "n")
+    wanted = materialize(join_counted(anchors, shared, "anchor", "n", "shared").groupBy("doc_id", "text_key").agg(F.collect_list("anchor").alias("anchors")), "wanted")
     windows = materialize(
         known.hint("merge").join(wanted, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "anchors")
-        .mapInArrow(_windows_of(window), "doc_id long, text_key long, hash long, start int"),
+        .mapInArrow(_windows_of(window), "doc_id long, text_key long, hash long, second long, start int"),
         "windows",
     )
-    counted = windows.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("hash", "lo")
+    both = ["hash", "second"]
+    counted = windows.groupBy(*both).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select(*both, "lo", "n")
     repeats = materialize(
-        windows.hint("merge").join(counted, "hash").filter("doc_id > lo").groupBy("doc_id", "text_key").agg(F.collect_set("start").alias("starts")),
+        join_counted(windows, counted, both, "n", "counted").filter("doc_id > lo").groupBy("doc_id", "text_key").agg(F.collect_set("start").alias("starts")),
         "repeats",
     )
 
