@@ -85,7 +85,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_counted(rows: DataFrame, counted: DataFrame, key: str, count: str, label: str, share: float = 0.0005) -> DataFrame:
+def join_counted(rows: DataFrame, counted: DataFrame, key: str | list[str], count: str, label: str, share: float = 0.0005) -> DataFrame:
     """Inner join of ``rows`` with a table of one row a key, in which ``count`` says how many of ``rows`` have the key.
 
     Keys that hold more than ``share`` of all rows, so fewer than 1 / ``share`` of them,
