@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,10 +17,10 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Stands for a literal SPACE character of the text; no UTF-8 text holds a lone surrogate.
 LITERAL = "\udfff"
-#: Begins a later part of a cut word, which no space stands before.
-GOES_ON = "\udffe"
-#: Code points of a lattice, at most: longer words are cut at multiples of this.
-LATTICE = 48
+#: A run of spaces and the word after it: no piece goes on behind a word into the next spaces.
+UNIT = re.compile(" +[^ ]*")
+#: Path weights below this are scaled up, so that words of any length keep their shares.
+TINY = 1e-150
 #: Weight of a character that no piece covers; its bytes are the pieces.
 FALLBACK = np.exp(-10.0)
 #: Code points whose lattices are built side by side.
@@ -57,6 +58,8 @@ class Vocabulary:
                 surfaces[i], byte_ids[value] = bytes([value]), i
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 surfaces[i], normal[piece] = piece.replace(SPACE, " ").encode(), i
+        if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in normal):
+            raise ValueError("the model has pieces that go on behind a word; units would cut them")
         first = min(normal.values())
         weights = (np.maximum(np.arange(n) - first, 0) + 1.0) ** -theta
         prefixes = {p[:k]: -1 for p in normal for k in range(1, len(p) + 1)} | normal
@@ -101,9 +104,11 @@ class _Numbers(dict):
         return number
 
 
-def _cut(word: str) -> list[str]:
-    first = LATTICE - 1  # the space before the word takes one place
-    return [word[:first], *(GOES_ON + word[at : at + LATTICE] for at in range(first, len(word), LATTICE))]
+def units(text: str) -> list[str]:
+    """The words of a text, each without the space before it but with further ones; joined by spaces they are the text."""
+    if "  " not in text and not text.endswith(" "):
+        return text.split(" ")
+    return [u[1:] for u in UNIT.findall(" " + text)]
 
 
 class Sampler:
@@ -147,16 +152,18 @@ class Sampler:
         order = np.argsort(-lengths, kind="stable")
         # Cumulated shares of the piece lengths of each slot; lengths that cannot end there stay above every draw.
         shares = np.full((n, most), 2.0, np.float32)
-        sizes = lengths[order]
+        sizes, back = lengths[order], np.arange(1, most + 1)
+        fewer = -sizes
         for t in range(1, int(sizes[0]) + 1 if len(sizes) else 1):
-            rows = zero[order[: np.searchsorted(-sizes, -t, side="right")]] + t
-            total, sums = np.zeros(len(rows)), []
-            for k in range(min(t, most)):
-                total = total + weight[rows, k] * alpha[rows - k - 1]
-                sums.append(total)
+            rows = zero[order[: np.searchsorted(fewer, -t, side="right")]] + t
+            m = min(t, most)
+            sums = np.cumsum(weight[rows, :m] * alpha[rows[:, None] - back[:m]], axis=1)
+            total = sums[:, -1]
             alpha[rows] = total
-            for k, x in enumerate(sums):
-                shares[rows, k] = x / total
+            shares[rows, :m] = sums / total[:, None]
+            tiny = total < TINY
+            if tiny.any():  # only the sums that later slots look back at
+                alpha[rows[tiny, None] - back[:m] + 1] /= total[tiny, None]
         return zero + lengths, lengths, shares, ids
 
     def encode(self, batch: list[str], keys: list[int]) -> list[np.ndarray]:
@@ -164,12 +171,10 @@ class Sampler:
         known = _Numbers()
         places, counts = [], []
         for text in batch:
-            words = text.replace(SPACE, LITERAL).split(" ")
-            if len(max(words, key=len)) >= LATTICE:
-                words = [part for w in words for part in ([w] if len(w) < LATTICE else _cut(w))]
+            words = units(text.replace(SPACE, LITERAL))
             places.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
             counts.append(len(words))
-        last, lengths, shares, ids = self._lattices([w[1:] if w.startswith(GOES_ON) else SPACE + w for w in known])
+        last, lengths, shares, ids = self._lattices([SPACE + w.replace(" ", SPACE) for w in known])
         word = np.concatenate(places)
         owner = np.repeat(np.arange(len(batch)), counts)
         ends = np.cumsum(lengths[word])
@@ -211,7 +216,8 @@ def decode(surfaces: tuple[bytes, ...], ids: list[int]) -> bytes:
 def encode_pieces(docs: DataFrame, vocabulary: Vocabulary, seed: int = SEED) -> DataFrame:
     """(doc_id, text_key, piece_ids, n_pieces): one sampled segmentation of each whole text.
 
-    Words with the space before them are lattices of all pieces that fit; forward sums
+    Words with the spaces before them are lattices of all pieces that fit, whole however long; no piece of
+    the model leaves such a unit, so their product is the lattice of the text.  Forward sums
     of path weights filter them, and pieces are drawn from the end backwards, by a
     counter generator on (seed, doc_id, place).  So a row's segmentation depends on its
     own text and id only, not on partitions or runs.  Characters outside the

@@ -51,7 +51,7 @@ def spans_of(text: bytes) -> tuple[list[tuple[str, int, int]], list[tuple[str, i
 def _scan(batches):
     for batch in sliced(batches):
         out: dict[str, list] = {"base": [], "weak": []}
-        for text in texts(batch.column(2)):
+        for text in texts(batch.column(3)):
             base, weak = spans_of(text)
             if base or weak:
                 places = None if text.isascii() else np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))
@@ -63,7 +63,7 @@ def _scan(batches):
             out["base"].append(base)
             out["weak"].append(weak)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("scope", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out["base"], kind), pa.array(out["weak"], kind)], ["doc_id", "text_key", "base", "weak"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out["base"], kind), pa.array(out["weak"], kind)], ["own_id", "doc_id", "text_key", "base", "weak"])
 
 
 def linked_weak_spans(scanned: DataFrame, reach: int = REACH) -> DataFrame:
@@ -73,7 +73,7 @@ def linked_weak_spans(scanned: DataFrame, reach: int = REACH) -> DataFrame:
     touches, a candidate asks those within ``reach`` of it, and a left semi join ends
     at the first match, so no pairs are made.
     """
-    rows = scanned.filter("size(weak) > 0 AND doc_id IS NOT NULL").dropDuplicates(["doc_id", "text_key"])
+    rows = scanned.filter("size(weak) > 0").dropDuplicates(["doc_id", "text_key"])
     role = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
     spans = rows.select("doc_id", "text_key", F.explode(F.concat("base", "weak")).alias("s"))
     parts = spans.select(
@@ -101,14 +101,15 @@ def scan_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     (a secret for an identifier or an endpoint, either of those for a secret) stands in
     the same paragraph within ``reach`` code points.  Offsets count code points, ends are
     exclusive.  A null or empty text has no spans.  One row for each document row;
-    rows with a null doc_id get base spans only; repeated rows repeat their results.
+    rows with a null doc_id are scanned like any other; repeated rows repeat their results.
     Other columns are ignored; an empty table gives no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
-    scanned = materialize(rows.mapInArrow(_scan, f"doc_id long, text_key long, base array<struct<{SPAN}>>, weak array<struct<{SPAN}>>"), "scanned")
+    rows = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
+    # Links depend on the text only: a null id may share the number 0, since the key of the text stands beside it.
+    scanned = materialize(rows.mapInArrow(_scan, f"own_id long, doc_id long, text_key long, base array<struct<{SPAN}>>, weak array<struct<{SPAN}>>"), "scanned")
     linked = linked_weak_spans(scanned, reach)
     return scanned.hint("merge").join(linked, ["doc_id", "text_key"], "left").select(
-        "doc_id", "base", F.coalesce("linked", F.array().cast(f"array<struct<{SPAN}>>")).alias("linked")
+        F.col("own_id").alias("doc_id"), "base", F.coalesce("linked", F.array().cast(f"array<struct<{SPAN}>>")).alias("linked")
     )
 
 

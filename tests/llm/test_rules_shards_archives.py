@@ -152,7 +152,27 @@ def test_base_spans_and_linked_parts(spark):
     assert found[8].base == found[9].base == [] and found[10].base == []
     assert secret_scan.scan_secrets(documents(spark, []).limit(0)).count() == 0
     twice = secret_scan.scan_secrets(documents(spark, [(None, texts[1]), (2, texts[1]), (2, texts[1])])).collect()
-    assert sorted(len(r.linked) for r in twice) == [0, 2, 2]
+    assert [len(r.linked) for r in twice] == [2, 2, 2]
+
+
+def test_base_spans_match_the_contract_on_random_text(spark):
+    """Base spans of random text against patterns over code points, counted one match at a time."""
+    rng = random.Random(41)
+    parts = ["password", "PassWd", "secret", "token", "api_key", "ApiKey", "=", ":", " ", "  ", "'", '"', "AKIA", "AKIAA", "A1B2", "0123456789abcdef", "deadbeef", "é", "\n", "x", "/+_.-", "hunter2", "ſecret", "K"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 60))) for _ in range(300)]
+    kinds = [
+        ("assign", re.compile("""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m.group(2)) >= 6),
+        ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m.group()) >= 20),
+        ("hex", re.compile("[0-9a-f]+"), lambda m: len(m.group()) >= 24),
+    ]
+    docs = documents(spark, texts).withColumnRenamed("doc_id", "doc_id")
+    found = {r.doc_id: r for r in secret_scan.scan_secrets(docs).collect()}
+    hits = 0
+    for i, text in enumerate(texts):
+        want = sorted((m.start(), k, m.end(), name) for k, (name, pattern, good) in enumerate(kinds) for m in pattern.finditer(text) if good(m))
+        hits += len(want)
+        assert [(a, n, b) for a, _, b, n in want] == sorted(((s.start, s.kind, s.end) for s in found[i].base), key=lambda x: (x[0], [n for n, *_ in kinds].index(x[1])))
+    assert hits > 50
 
 
 def test_every_speaker_has_a_perspective(spark):
@@ -208,3 +228,39 @@ def test_sampled_frequencies_follow_the_lattice(vocabulary):
     for path, w in want.items():
         p = w / total
         assert abs(drawn[path] / n - p) < 5 * (p * (1 - p) / n) ** 0.5 + 2e-4
+
+
+@pytest.mark.parametrize("text", ["x  y", "internationalisation" * 4, "a     b", "   ", "the   end ▁ "])
+def test_sampled_cuts_follow_forward_and_backward_sums(vocabulary, text):
+    """Shares of the places where pieces end, against exact sums over all paths of the whole text."""
+    units = " " + text
+    ids = {}
+    byte_like = set(vocabulary.byte_ids.tolist())
+    for i, s in enumerate(vocabulary.surfaces):
+        if s and i not in byte_like:
+            ids.setdefault(s.decode(), i)
+
+    def weight(piece):
+        if piece in ids and "▁" not in piece:
+            return vocabulary.weights[ids[piece]]
+        return float(pieces.FALLBACK) if len(piece) == 1 else 0.0
+
+    n = len(units)
+    ahead, back = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+    for e in range(1, n + 1):
+        ahead[e] = sum(ahead[s] * weight(units[s:e]) for s in range(max(0, e - vocabulary.longest), e))
+    for s in range(n - 1, -1, -1):
+        back[s] = sum(weight(units[s:e]) * back[e] for e in range(s + 1, min(n, s + vocabulary.longest) + 1))
+    draws = 4_000
+    seen = Counter()
+    for x in pieces.Sampler(vocabulary).encode([text] * draws, list(range(draws))):
+        got = b"".join(vocabulary.surfaces[i] for i in x.tolist())
+        assert got == units.encode()
+        at = 0
+        for i in x.tolist():
+            at += len(vocabulary.surfaces[i])
+            seen[at] += 1
+    places = {len(units[:k].encode()): k for k in range(1, n + 1)}
+    for byte, k in places.items():
+        p = ahead[k] * back[k] / ahead[n]
+        assert abs(seen[byte] / draws - p) < 5 * (max(p * (1 - p), 0) / draws) ** 0.5 + 2e-3, (k, p, seen[byte] / draws)
