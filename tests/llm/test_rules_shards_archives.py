@@ -176,16 +176,33 @@ def test_base_spans_match_the_contract_on_random_text(spark):
 
 
 def test_every_speaker_has_a_perspective(spark):
-    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", "hé"), (1, 2, "bob", "hé"), (1, 3, "cy", None), (1, 600, "ann", "late"), (2, 0, None, "x"), (None, 1, "a", "b"), (3, None, "a", "b"), (4, 0, "system", "only")]
-    found = perspectives.rotate_perspectives(spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, chunk string")).collect()
-    assert sorted((r.conv_id, r.perspective, r.chunk) for r in found) == [(1, p, c) for p in ("ann", "bob", "cy") for c in (0, 1)] + [(2, "unknown", 0)]
-    ann = next(r for r in found if (r.conv_id, r.perspective, r.chunk) == (1, "ann", 0))
+    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", "hé"), (1, 2, "bob", "hé"), (1, 3, "cy", None), (1, 600, "ann", "late"), (2, 0, None, "x"), (None, 1, "a", "b"), (3, None, "a", "b"), (4, 0, "system", "only"), (5, 1, "b\nassistant", "x")]
+    found = perspectives.rotate_perspectives(spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, segment string")).collect()
+    assert sorted((r.conv_id, r.perspective, r.segment) for r in found) == [(1, p, 0) for p in ("ann", "bob", "cy")] + [(2, "unknown", 0), (5, "b assistant", 0)]
+    ann = next(r for r in found if (r.conv_id, r.perspective) == (1, "ann"))
     spans = [tuple(map(int, s.split("-"))) for s in ann.mask.split(",")]
-    assert [ann.rendered[a:b] for a, b in spans] == ["hi < |im_end|><|im_end|>"]
-    assert "user name=bob\nhé<|im_end|>" in ann.rendered and ann.n_turns == 4 and ann.n_own_turns == 1
+    assert [ann.rendered[a:b] for a, b in spans] == ["hi < |im_end|><|im_end|>", "late<|im_end|>"]
+    assert "user name=bob\nhé<|im_end|>" in ann.rendered and ann.n_turns == 5 and ann.n_own_turns == 2
     assert perspectives.rotate_perspectives(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_segments_of_a_long_dialogue_are_one_rendering(spark):
+    rng = random.Random(51)
+    names = ["ann", "bo", "system", "cécile"]
+    rows = {(t // 7 if t < 400 else 10**12 + t, rng.choice(names), prose(rng, rng.randrange(0, 6))) for t in range(700)}  # ties, gaps
+    table = spark.createDataFrame([(1, *r) for r in rows], "conv_id long, turn long, role string, text string")
+    order = sorted(rows, key=lambda r: (r[0], hashlib.md5("|".join(r[1:]).encode()).hexdigest()))
+    found = perspectives.rotate_perspectives(table, segment_turns=16).collect()
+    for who in ("ann", "bo", "cécile"):
+        mine = sorted((r for r in found if r.perspective == who), key=lambda r: r.segment)
+        whole = "".join(r.rendered for r in mine)
+        assert whole == "".join(f"<|im_start|>{'assistant' if n == who else n if n == 'system' else 'user name=' + n}\n{t}<|im_end|>\n" for _, n, t in order)
+        assert [r.start for r in mine] == [sum(len(x.rendered) for x in mine[:i]) for i in range(len(mine))]
+        spans = [tuple(map(int, s.split("-"))) for r in mine if r.mask for s in r.mask.split(",")]
+        assert [whole[a:b] for a, b in spans] == [t + "<|im_end|>" for _, n, t in order if n == who]
+        assert all(r.n_turns <= 16 for r in mine)
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return pieces.Vocabulary.load()
