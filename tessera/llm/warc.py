@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import zlib
 from collections.abc import Callable, Iterator
@@ -11,19 +12,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.session import materialize, scratch_path
+from tessera.llm.text import sliced, texts
+from tessera.session import delete_at_exit, join_counted, materialize, scratch_path
 
 #: Payloads below this many bytes are never revisits.
 REVISIT_BYTES = 1000
-#: Records of one archive file and index rows of one merge task, at most about.
-FILE_RECORDS = 2_000
+#: Payload bytes of one archive file, and index rows of one merge task, at most about.
+ARCHIVE_BYTES = 32_000_000
 MERGE_ROWS = 50_000
-EPOCH = "2024-01-01T00:00:00Z"
+#: Capture time of pages that have none: EPOCH and page_id seconds, modulo about 30 years.
+EPOCH = 1_704_067_200
+EPOCH_SPAN = 1_000_000_000
+#: A gzip member of nothing stands between two records, which are members of their own.
+EMPTY = gzip.compress(b"", mtime=0)
+UNPACK_BYTES = 65_536
 CRLF = "\r\n"
 
 
 def _with_payload(pages: DataFrame) -> DataFrame:
-    captured = F.to_timestamp("fetched_at") if "fetched_at" in pages.columns else F.timestamp_seconds(F.unix_timestamp(F.lit(EPOCH).cast("timestamp")) + F.coalesce(F.col("page_id").cast("long"), F.lit(0)))
+    own = F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.coalesce(F.col("page_id").cast("long"), F.lit(0)), F.lit(EPOCH_SPAN)))
+    fetched = F.try_to_timestamp(F.col("fetched_at").cast("string")) if "fetched_at" in pages.columns else F.lit(None).cast("timestamp")
+    captured = F.when(F.year(fetched).between(1, 9999), fetched).otherwise(own)
     return pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
@@ -36,9 +45,9 @@ def _decided(rows: DataFrame) -> DataFrame:
     """(page_id, payload_digest, refers_to, ...) of the pages that revisit another."""
     large = rows.filter(F.col("payload_bytes") >= REVISIT_BYTES).filter("page_id IS NOT NULL").select("page_id", "payload_digest", "url", "captured")
     large = materialize(large, "large")
-    best = large.groupBy("payload_digest").agg(F.max(F.struct("page_id", "url", "captured")).alias("first"), F.min("page_id").alias("least")).filter("least < first.page_id")
+    best = large.groupBy("payload_digest").agg(F.max(F.struct("page_id", "url", "captured")).alias("first"), F.min("page_id").alias("least"), F.count("*").alias("n")).filter("least < first.page_id")
     return (
-        large.hint("merge").join(best, "payload_digest").filter("page_id < first.page_id")
+        join_counted(large.select("page_id", "payload_digest"), best, "payload_digest", "n", "best").filter("page_id < first.page_id")
         .select("page_id", "payload_digest", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url"), F.col("first.captured").alias("refers_date"))
         .dropDuplicates(["page_id", "payload_digest"])
     )
@@ -50,7 +59,7 @@ def _one_line(value: Column) -> Column:
 
 
 def _record() -> Column:
-    """Text of one WARC/1.1 record without the two line ends that close it."""
+    """Text of one WARC/1.1 record with the two line ends that close it."""
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF + CRLF))
     revisit = F.col("refers_to").isNotNull()
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
@@ -68,22 +77,33 @@ def _record() -> Column:
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     ]
-    return F.concat(F.concat_ws(CRLF, *fields), F.lit(CRLF + CRLF), block)
+    return F.concat(F.concat_ws(CRLF, *fields), F.lit(CRLF + CRLF), block, F.lit(CRLF + CRLF))
+
+
+def _packed(batches):
+    for batch in sliced(batches):
+        members = [gzip.compress(x, 6, mtime=0) for x in texts(batch.column(0))]
+        yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], ["member"])
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """Write one record for each row of ``pages``(page_id, url, html) as gzipped WARC/1.1 files below ``path``.
+    """Write one record for each row of ``pages``(page_id, url, html) as WARC/1.1 files below ``path``.
 
+    Each record is a gzip member of its own.  Spark's text writer sets the members side by side;
+    what it puts after each is an empty member.  Records are dealt by a hash of page and payload into files of
+    about ARCHIVE_BYTES of payload.
     Of payloads that are equal and have REVISIT_BYTES or more, the record with the
     largest page_id holds the payload; the others are revisit records that refer to it.
-    Records end in two line ends, which Spark's text writer puts after each; files
-    hold FILE_RECORDS records at most.  The capture time is ``fetched_at`` where there is such
-    a column and otherwise EPOCH plus page_id seconds, as the table has none.
+    The capture time is ``fetched_at`` where it can be read and otherwise EPOCH and page_id seconds.
     """
     rows = _with_payload(pages)
     decided = materialize(_decided(rows), "revisits")
-    joined = rows.hint("merge").join(decided, ["page_id", "payload_digest"], "left")
-    joined.select(_record().alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    total = rows.agg(F.sum("payload_bytes")).first()[0] or 0
+    files = max(pages.sparkSession.sparkContext.defaultParallelism, -(-total // ARCHIVE_BYTES))
+    dealt = rows.repartition(files, "page_id", "payload_digest")
+    joined = dealt.hint("merge").join(decided, ["page_id", "payload_digest"], "left")
+    members = joined.select(_record().alias("record")).mapInArrow(_packed, "member binary")
+    members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
 
 
 def url_key(url: str) -> str:
@@ -98,21 +118,32 @@ def url_key(url: str) -> str:
     return key + (f"?{'&'.join(sorted(parts.query.split('&')))}" if parts.query else "")
 
 
-def parse_records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, headers, block) of each record of an unpacked archive, by its Content-Length."""
-    at = 0
+def members_of(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """(offset, content) of each gzip member that has content."""
+    at, view = 0, memoryview(data)
     while at < len(data):
-        head_end = data.find(b"\r\n\r\n", at)
-        if head_end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        lines = data[at:head_end].decode("utf-8").split(CRLF)
-        headers = {k.lower(): v for k, v in (line.split(": ", 1) for line in lines[1:] if ": " in line)}
-        start = head_end + 4
-        end = start + int(headers["content-length"])
-        if data[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"record at byte {at} does not end where its length says")
-        yield at, headers, data[start:end]
-        at = end + 4
+        unpack, parts, start = zlib.decompressobj(31), [], at
+        while not unpack.eof:
+            if at >= len(data):
+                raise ValueError(f"the gzip member at byte {start} is cut off")
+            chunk = view[at : at + UNPACK_BYTES]
+            parts.append(unpack.decompress(chunk))
+            at += len(chunk) - len(unpack.unused_data)
+        if content := b"".join(parts):
+            yield start, content
+
+
+def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
+    """(headers, block) of one record, by its Content-Length."""
+    head_end = data.find(b"\r\n\r\n")
+    if head_end < 0 or not data.startswith(b"WARC/"):
+        raise ValueError("no WARC record")
+    lines = data[:head_end].decode("utf-8").split(CRLF)
+    headers = {k.lower(): v for k, v in (line.split(": ", 1) for line in lines[1:] if ": " in line)}
+    end = head_end + 4 + int(headers["content-length"])
+    if data[end:] != b"\r\n\r\n":
+        raise ValueError("the record does not end where its length says")
+    return headers, data[head_end + 4 : end]
 
 
 CAPTURE = (
@@ -132,9 +163,9 @@ def _read(batches):
     ])
     for batch in batches:
         for i in range(batch.num_rows):
-            data = zlib.decompress(batch.column(1)[i].as_py(), 31)
             name, run = batch.column(0)[i].as_py().rsplit("/", 1)[-1], []
-            for offset, h, block in parse_records(data):
+            for offset, record in members_of(batch.column(1)[i].as_py()):
+                h, block = parse_record(record)
                 http, _, payload = block.partition(b"\r\n\r\n")
                 said = int(http.rsplit(b"Content-Length: ", 1)[1])
                 kind, digest = h["warc-type"], h["warc-payload-digest"].removeprefix("sha1:")
@@ -153,7 +184,7 @@ def capture_order(row: tuple) -> tuple:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Captures of all archives below ``path``, each archive sorted as one run; response payloads are checked by digest."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     return files.select("path", "content").mapInArrow(_read, CAPTURE)
 
 
@@ -187,21 +218,22 @@ def loser_tree_merge(runs: list[list], key: Callable) -> Iterator:
 
 
 def _merge(batches):
-    """Rows of one key range: put the fragments of each archive's run side by side and merge them."""
-    runs: dict[str, list[tuple]] = {}
-    schema = None
+    """Rows of one key range, which come archive by archive in order: merge the fragments of the archives' runs."""
+    runs: list[list[tuple]] = []
+    schema, archive = None, None
     for batch in batches:
         schema = batch.schema
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            runs.setdefault(row[8], []).append(row)
+            if row[8] != archive:
+                archive = row[8]
+                runs.append([])
+            runs[-1].append(row)
     if schema is None:
         return
-    for run in runs.values():
-        run.sort(key=capture_order)  # a shuffle may deliver a run's fragments in any order; sorted pieces cost one pass
     out: list[tuple] = []
     place = 0
     out_schema = pa.schema([*schema, pa.field("range_place", pa.int64())])
-    for row in loser_tree_merge(list(runs.values()), capture_order):
+    for row in loser_tree_merge(runs, capture_order):
         out.append((*row, place))
         place += 1
         if len(out) == 5_000:
@@ -221,13 +253,19 @@ def merged_index(captures: DataFrame) -> DataFrame:
     spark = captures.sparkSession
     captures = materialize(captures, "runs")
     ranges = max(1, -(-captures.count() // MERGE_ROWS), spark.sparkContext.defaultParallelism)
-    dealt = captures.repartitionByRange(ranges, "url_key", "captured", "page_id", "archive", "offset")
+    order = ["url_key", "captured", "page_id", "offset"]
+    dealt = captures.repartitionByRange(ranges, "url_key", "captured", "page_id", "archive", "offset").sortWithinPartitions("archive", *order)
     merged = dealt.mapInArrow(_merge, f"{CAPTURE}, range_place long").withColumn("range_id", F.spark_partition_id())
     merged = materialize(merged, "merged")
-    sizes = merged.groupBy("range_id").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
-    # One row for each range, MERGE_ROWS captures each.
-    return merged.hint("merge").join(before.select("range_id", "before"), "range_id").withColumn("capture_rank", F.col("before") + F.col("range_place")).drop("before", "range_id", "range_place")
+    # Sizes are summed up in groups of ranges, then over the groups, so that no window grows with the captures by more than their root.
+    group = F.expr(f"range_id div {max(1, int(ranges**0.5))}")
+    ahead = (Window.unboundedPreceding, -1)
+    sizes = merged.groupBy("range_id").agg(F.count("*").alias("n")).withColumn("group", group)
+    inside = sizes.withColumn("inside", F.coalesce(F.sum("n").over(Window.partitionBy("group").orderBy("range_id").rowsBetween(*ahead)), F.lit(0).cast("long")))
+    groups = sizes.groupBy("group").agg(F.sum("n").alias("n")).select("group", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("group").rowsBetween(*ahead)), F.lit(0).cast("long")).alias("ahead"))
+    before = inside.hint("merge").join(groups, "group").select("range_id", F.col("n"), (F.col("ahead") + F.col("inside")).alias("before"))
+    ranked = join_counted(merged, before, "range_id", "n", "places")
+    return ranked.withColumn("capture_rank", F.col("before") + F.col("range_place")).drop("before", "range_id", "range_place", "n")
 
 
 def archive_round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
@@ -236,12 +274,14 @@ def archive_round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     Returns CAPTURE and capture_rank, one row for each row of pages.  A null html is an
     empty payload, a null url an empty one; a null page_id is written as none, never takes part in
     revisits and reads back as null.  Repeated rows are repeated records with equal
-    decisions.  Line ends in a url are percent-encoded.  An empty table gives no rows.
+    decisions.  A fetched_at that is null, no time or outside the years 1 to 9999 counts as missing.  Line ends in a url are percent-encoded.  An empty table gives no rows.
     """
     spark = pages.sparkSession
-    path = path or scratch_path(spark, "warc")
-    write_archives(pages, path)
-    return merged_index(read_archives(spark, path))
+    own = path or scratch_path(spark, "warc")
+    write_archives(pages, own)
+    if not path:
+        delete_at_exit(spark, own)
+    return merged_index(read_archives(spark, own))
 
 
 def op5_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:

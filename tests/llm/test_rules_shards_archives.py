@@ -118,6 +118,37 @@ def test_archives_round_trip(spark):
     assert keys == sorted(keys)
 
 
+def test_archives_match_brute_force_on_hostile_rows(spark):
+    rng = random.Random(61)
+    bodies = [prose(rng, 300), "é" * 499 + "x", "é" * 500, None, "", "short", "WARC/1.1\r\n\r\n" * 100]
+    rows = [(rng.choice([i, 2**62 + i, -i, None]), f"http://h{rng.randrange(3)}/{i % 5}", rng.choice(bodies), rng.choice([None, "no time", "2024-05-06 07:08:09", "99999-01-01"])) for i in range(80)]
+    found = warc.archive_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string, fetched_at string")).collect()
+    best = {}
+    for i, _, html, _ in rows:
+        if i is not None and len((html or "").encode()) >= 1000:
+            best[html] = max(best.get(html, i), i)
+    want = Counter()
+    for i, _, html, _ in rows:
+        body = (html or "").encode()
+        other = best.get(html) if i is not None and i != best.get(html) else None
+        want[i, len(body), hashlib.sha1(body).hexdigest(), "revisit" if other is not None else "response", other] += 1
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found) == want
+    assert all(r.digest_ok for r in found) and sorted(r.capture_rank for r in found) == list(range(80))
+    keys = [(r.url_key, r.captured) for r in sorted(found, key=lambda r: r.capture_rank)]
+    assert keys == sorted(keys) and sum(r.captured == "2024-05-06T07:08:09Z" for r in found) == sum(r[3] == "2024-05-06 07:08:09" for r in rows)
+
+
+def test_each_record_is_a_member_at_its_offset(spark, tmp_path):
+    path = str(tmp_path / "warc")
+    warc.write_archives(pages(spark, [(i, f"http://a/{i}", "x" * i, "") for i in range(40)]).select("page_id", "url", "html"), path)
+    seen = warc.read_archives(spark, path).collect()
+    assert len(seen) == 40
+    for r in seen:
+        with open(f"{path}/{r.archive}", "rb") as file:
+            headers, _ = warc.parse_record(zlib.decompressobj(31).decompress(file.read()[r.offset :]))
+        assert headers["warc-record-id"] == f"<urn:page:{r.page_id}>"
+
+
 def test_archives_of_nothing(spark):
     assert warc.archive_round_trip(pages(spark, []).limit(0)).count() == 0
 
