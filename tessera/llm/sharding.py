@@ -7,14 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.session import materialize
+from tessera.session import join_counted, materialize
 
 SHARDS = 24
 #: Bins of a node in one pass of the median search: what the driver sees of it.
-BINS = 1024
-#: A group of equal texts is cut into pieces of at most this share of a shard.
-PIECE = 0.002
-MOST_PIECES = 4096
+BINS = 4096
+#: A cut goes through a group of equal texts only if beside it shards would be uneven by more than this share of one.
+TOLERANCE = 0.002
+#: Low bits of a code, which deal the rows of a group of equal texts.
+PIECE_BITS = 12
 #: Rows numbered in one window partition, about.
 SLOT_ROWS = 20_000
 DIMENSIONS = ("length", "source", "lang", "doc_id")
@@ -57,18 +58,17 @@ def _slim(docs: DataFrame) -> DataFrame:
     )
 
 
-def _placed(rows: DataFrame, shards: int) -> DataFrame:
-    """Rows with one code for each dimension: 30 bits of the value, 20 of the text's hash, 12 of the piece.
+def _placed(rows: DataFrame) -> DataFrame:
+    """Rows with one code for each dimension: 30 bits of the value, 20 of the text's hash, 12 of the doc_id's.
 
     Equal texts take the least source, language and doc_id among them, so that they
-    stay together; a group too large for that is numbered in pieces.
+    stand side by side.
     """
     groups = rows.groupBy("digest").agg(
-        F.sum("size").alias("group_size"), F.min("source").alias("g_source"), F.min("lang").alias("g_lang"), F.min("doc_id").alias("g_id"), F.min("chars").alias("g_chars")
+        F.sum("size").alias("group_size"), F.min("source").alias("g_source"), F.min("lang").alias("g_lang"), F.min("doc_id").alias("g_id"), F.min("chars").alias("g_chars"), F.count("*").alias("n")
     )
     groups = materialize(groups, "groups")
-    total = groups.agg(F.sum("group_size").alias("w"), F.min("g_id").alias("a"), F.max("g_id").alias("b"), F.max(F.log1p("g_chars")).alias("c")).first()
-    piece = max(1.0, PIECE * (total["w"] or 0) / shards)
+    total = groups.agg(F.min("g_id").alias("a"), F.max("g_id").alias("b"), F.max(F.log1p("g_chars")).alias("c")).first()
     top = (1 << 30) - 1
     value = {
         "length": F.log1p("g_chars") / F.lit(max(total["c"] or 0.0, 1e-9)),
@@ -76,36 +76,31 @@ def _placed(rows: DataFrame, shards: int) -> DataFrame:
         "lang": F.crc32(F.col("g_lang").cast("binary")) / F.lit(2.0**32),
         "doc_id": (F.coalesce("g_id", F.lit(total["a"] or 0)) - F.lit(total["a"] or 0)) / F.lit(float(max((total["b"] or 0) - (total["a"] or 0), 1))),
     }
-    pieces = F.least(F.ceil(F.col("group_size") / piece), F.lit(MOST_PIECES)).cast("long")
-    low = F.shiftleft(F.pmod(F.xxhash64("digest"), F.lit(1 << 20)), 12) + F.pmod(F.xxhash64("doc_id", F.lit(3)), pieces)
+    low = F.shiftleft(F.pmod(F.xxhash64("digest"), F.lit(1 << 20)), PIECE_BITS) + F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << PIECE_BITS))
     codes = {f"code{i}": F.shiftleft(F.floor(value[d] * top).cast("long"), 32) + low for i, d in enumerate(DIMENSIONS)}
-    return rows.select("doc_id", "size", "text_crc32", "digest").hint("merge").join(groups, "digest").select("doc_id", "size", "text_crc32", "digest", *[c.alias(n) for n, c in codes.items()])
+    return join_counted(rows.select("doc_id", "size", "text_crc32", "digest"), groups, "digest", "n", None).select("doc_id", "size", "text_crc32", "digest", *[c.alias(n) for n, c in codes.items()])
 
 
-def _medians(rows: DataFrame, nodes: list[Node], where: Column, spans: dict[int, tuple[int, int, int]]) -> None:
+def _medians(rows: DataFrame, nodes: list[Node], where: Column, spans: dict[int, tuple[int, int, int]], slack: float) -> None:
     """Set the cut of each node at the code where the weight left of it is nearest its share.
 
     ``spans`` has (weight, least code, largest code) of each node.  A pass sums the
     weights of BINS bins of each node and goes on inside the bin of the median, until
-    that bin holds one code.
+    that bin holds one group of equal texts.  The cut stands beside the group if it is
+    off by ``slack`` at most there, and is otherwise sought among the group's codes.
     """
-    search = {n.first: [0, *spans[n.first]] for n in nodes}  # weight below, weight, least, largest
+    search = {}  # weight below, weight wanted, least, largest, bits set aside
     for n in nodes:
-        search[n.first][1] = spans[n.first][0] * (n.shards // 2) / n.shards
+        weight, least, largest = spans[n.first]
+        search[n.first] = (0, weight * (n.shards // 2) / n.shards, least >> PIECE_BITS, largest >> PIECE_BITS, PIECE_BITS)
     live = {n.first: n for n in nodes}
-    for n in nodes:
-        if spans[n.first][1] == spans[n.first][2]:
-            n.cut = spans[n.first][2] + 1
-            live.pop(n.first)
     while live:
-        code, low, step = F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("long")
-        high = F.lit(None).cast("long")
+        code, low, high, step = (F.lit(None).cast("long") for _ in range(4))
         for first, n in live.items():
-            _, _, lo, hi = search[first]
-            code = F.when(F.col("node") == first, F.col(f"code{n.dim}")).otherwise(code)
-            low = F.when(F.col("node") == first, F.lit(lo)).otherwise(low)
-            high = F.when(F.col("node") == first, F.lit(hi)).otherwise(high)
-            step = F.when(F.col("node") == first, F.lit((hi - lo) // BINS + 1)).otherwise(step)
+            here, (_, _, lo, hi, bits) = F.col("node") == first, search[first]
+            code = F.when(here, F.shiftright(f"code{n.dim}", bits)).otherwise(code)
+            low, high = F.when(here, F.lit(lo)).otherwise(low), F.when(here, F.lit(hi)).otherwise(high)
+            step = F.when(here, F.lit((hi - lo) // BINS + 1)).otherwise(step)
         seen = rows.select(where.alias("node"), "*").filter(F.col("node").isin(list(live))).select("node", "size", code.alias("code"), low.alias("low"), high.alias("high"), step.alias("step"))
         cells = (
             seen.filter("code BETWEEN low AND high")
@@ -114,33 +109,40 @@ def _medians(rows: DataFrame, nodes: list[Node], where: Column, spans: dict[int,
             .collect()  # BINS rows for each of fewer than SHARDS nodes
         )
         for first in list(live):
-            n, (below, target, _, _) = live[first], search[first]
+            n, (below, target, _, _, bits) = live[first], search[first]
             mine = sorted((c for c in cells if c["node"] == first), key=lambda c: c["bin"])
+            if not mine:
+                live.pop(first)  # no rows: any cut will do
+                continue
             for c in mine:
                 if below + c["w"] >= target or c is mine[-1]:
                     break
                 below += c["w"]
-            if c["a"] == c["b"]:
-                n.cut = c["a"] if target - below < below + c["w"] - target else c["b"] + 1
-                live.pop(first)
+            under, over = target - below, below + c["w"] - target
+            if c["a"] < c["b"]:
+                search[first] = (below, target, c["a"], c["b"], bits)
+            elif bits and min(under, over) > slack:
+                search[first] = (below, target, c["a"] << bits, ((c["a"] + 1) << bits) - 1, 0)
             else:
-                search[first] = [below, target, c["a"], c["b"]]
+                n.cut = (c["a"] if under < over else c["a"] + 1) << bits
+                live.pop(first)
 
 
 def kd_tree(rows: DataFrame, shards: int) -> Node:
     """Split ``rows``(size, code0..) level by level along each node's widest dimension."""
-    root = Node(0, shards)
+    root, slack = Node(0, shards), 0.0
     while nodes := root.open():
         where = root.column()
         aggs = [x for i in range(len(DIMENSIONS)) for x in (F.min(f"code{i}").alias(f"a{i}"), F.max(f"code{i}").alias(f"b{i}"))]
         found = {r["node"]: r for r in rows.groupBy(where.alias("node")).agg(F.sum("size").alias("w"), *aggs).collect()}
+        slack = slack or TOLERANCE * sum(r["w"] for r in found.values()) / shards
         spans = {}
         for n in nodes:
             r = found.get(n.first)
             width = [((r[f"b{i}"] >> 32) - (r[f"a{i}"] >> 32)) if r else 0 for i in range(len(DIMENSIONS))]
             n.dim = width.index(max(width))
             spans[n.first] = (r["w"], r[f"a{n.dim}"], r[f"b{n.dim}"]) if r else (0, 0, 0)
-        _medians(rows, nodes, where, spans)
+        _medians(rows, nodes, where, spans, slack)
         for n in nodes:
             half = n.shards // 2
             n.left, n.right = Node(n.first, half), Node(n.first + half, n.shards - half)
@@ -156,14 +158,14 @@ def shard_by_kd_tree(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     The dimensions are log length, source, language and doc_id, each scaled to the
     table's range; a node is split along its widest one at the weighted median, by
     passes of bounded histograms, until each leaf is one shard.  Equal texts share
-    their place in all dimensions and so their shard, unless the group is over PIECE of a
-    shard and lies on a cut.  Sizes differ by about the rows on the cuts.
+    their place in all dimensions and so their shard; a cut goes through a group only where
+    shards would be uneven by more than TOLERANCE of one beside it.  Sizes differ by that and the row on the cut.
 
     A null text counts as empty, a null source or language as "", a null doc_id as
     the least one.  Missing source or lang columns, extra columns, repeated rows and an
     empty table are fine; no rows give no rows.
     """
-    rows = materialize(_placed(materialize(_slim(docs), "slim"), shards), "placed")
+    rows = materialize(_placed(materialize(_slim(docs), "slim")), "placed")
     tree = kd_tree(rows, shards)
     n_rows = rows.count()
     buckets = max(1, -(-n_rows // (SLOT_ROWS * shards)))

@@ -91,6 +91,48 @@ def test_shards_are_even_whole_and_gapless(spark):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
 
 
+def brute_tree(rows, shards, slack, first=0):
+    """Shard by row number: the same tree from sorted codes."""
+    if shards == 1 or not rows:
+        return {r["i"]: first for r in rows}
+    width = [max(r[f"code{d}"] for r in rows) // 2**32 - min(r[f"code{d}"] for r in rows) // 2**32 for d in range(4)]
+    dim = f"code{width.index(max(width))}"
+    half = shards // 2
+
+    def cut(known, target, bits, below):
+        weights = Counter()
+        for r in known:
+            weights[r[dim] >> bits] += r["size"]
+        for code in sorted(weights):
+            if below + weights[code] >= target or code == max(weights):
+                under, over = target - below, below + weights[code] - target
+                if bits and min(under, over) > slack:
+                    return cut([r for r in known if r[dim] >> bits == code], target, 0, below)
+                return (code if under < over else code + 1) << bits
+            below += weights[code]
+
+    at = cut(rows, sum(r["size"] for r in rows) * half / shards, sharding.PIECE_BITS, 0)
+    return brute_tree([r for r in rows if r[dim] < at], half, slack, first) | brute_tree([r for r in rows if r[dim] >= at], shards - half, slack, first + half)
+
+
+def test_shards_match_a_tree_of_sorted_codes(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BINS", 16)
+    rng = random.Random(19)
+    texts = [prose(rng, rng.randrange(1, 40)) for _ in range(150)]
+    texts += [texts[5]] * 120 + [texts[7]] * 3 + [None, ""]
+    docs = documents(spark, texts)
+    placed = sharding._placed(sharding._slim(docs)).collect()
+    rows = [r.asDict() | {"i": r["doc_id"]} for r in placed]
+    want = brute_tree(rows, 24, sharding.TOLERANCE * sum(r["size"] for r in rows) / 24)
+    found = {r.doc_id: r.shard for r in sharding.shard_by_kd_tree(docs, 24).collect()}
+    assert found == want
+    sums = Counter()
+    for r in rows:
+        sums[found[r["i"]]] += r["size"]
+    assert len({found[i] for i, t in enumerate(texts) if t == texts[5]}) > 1  # only the large group is cut
+    assert len({found[i] for i, t in enumerate(texts) if t == texts[7]}) == 1
+
+
 def test_sharding_edges(spark):
     assert sharding.shard_by_kd_tree(documents(spark, []).limit(0)).count() == 0
     rows = sharding.shard_by_kd_tree(documents(spark, [(None, "a"), (None, "a"), (1, "b")]).drop("lang", "source"), 24).collect()
