@@ -85,15 +85,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_counted(rows: DataFrame, counted: DataFrame, key: str | list[str], count: str, label: str, share: float = 0.0005) -> DataFrame:
+def join_counted(rows: DataFrame, counted: DataFrame, key: str | list[str], count: str, label: str | None, share: float = 0.0005) -> DataFrame:
     """Inner join of ``rows`` with a table of one row a key, in which ``count`` says how many of ``rows`` have the key.
 
     Keys that hold more than ``share`` of all rows, so fewer than 1 / ``share`` of them,
     go by broadcast and never meet in one task; the others are sort-merge joined.  A
     table of no more keys than that is broadcast whole.  ``rows`` should be a written
-    table, as it is read twice; ``counted`` is written here.
+    table, as it is read twice; ``counted`` is written here unless ``label`` is None.
     """
-    counted = materialize(counted, label)
+    counted = counted if label is None else materialize(counted, label)
     sums = counted.agg(F.count("*").alias("keys"), F.sum(count).alias("total"), F.max(count).alias("most")).first()
     limit = share * (sums["total"] or 0)
     if sums["keys"] * share <= 1:
