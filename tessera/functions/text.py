@@ -35,12 +35,44 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
-def trigrams(text: Column) -> Column:
-    """Distinct character trigrams; a shorter text is its own."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substr(text, i, F.lit(3))))
+#: Fixed list: words that name no theme.
+THEME_STOPWORDS = tuple(
+    "the and with for from that this into over under between through about after before looking images image first last reference feature active not are was were has have but also very more most some other each all both such than when where which while being having their these those what will can may its various multiple different similar visible present showing including versus".split()
+)
+#: Stop words of term weights where the caller gives no list of its own.
+TERM_STOPWORDS = tuple(sorted({*STOPWORDS, *THEME_STOPWORDS}))
+#: Characters aside at the ends of a word.
+MARKS = ".,;:()\"'-/"
 
 
-def trigram_cosine(a: Column, b: Column) -> Column:
-    """Cosine of the trigram sets of two texts."""
-    x, y = trigrams(a), trigrams(b)
-    return F.size(F.array_intersect(x, y)) / F.sqrt((F.size(x) * F.size(y)).cast("double"))
+def clean_word(word: Column) -> Column:
+    """A word without the marks at its ends; null if it is short or names no theme."""
+    bare = F.btrim(F.lower(word), F.lit(MARKS))
+    return F.when((F.length(bare) > 2) & ~bare.isin(*THEME_STOPWORDS), bare)
+
+
+def hashed_vector(text: Column, dims: int = 16) -> Column:
+    """Counts of the hashed trigrams of a text in ``dims`` cells: the built-in embedder."""
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substr(text, i, F.lit(3)))
+    cells = F.transform(grams, lambda g: F.pmod(F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long"), F.lit(dims)))
+    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(cells, lambda c: c == d)).cast("double"))
+
+
+def hashed_vector_sql(text: str, dims: int = 16) -> str:
+    """The same in DuckDB's SQL."""
+    cells = f"list_transform(range(1, greatest(length({text}) - 1, 2)), lambda i: ('0x' || substr(md5(substr({text}, i, 3)), 1, 8))::BIGINT % {dims})"
+    return f"list_transform(range(0, {dims}), lambda d: len(list_filter({cells}, lambda c: c = d))::DOUBLE)"
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two vectors; 0 if one is null or has no length."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
+    size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.coalesce(F.when(size > 1e-8, dot(a, b) / size), F.lit(0.0))
+
+
+def aligned(label: Column, terms: Column) -> Column:
+    """Whether one of the first five terms is in a label, or one of its words in a term; an empty label has none."""
+    low = F.lower(label)
+    words = F.filter(F.split(low, r"\s+"), lambda w: w != "")
+    return (F.size(words) > 0) & F.exists(F.slice(terms, 1, 5), lambda t: F.contains(low, F.lower(t)) | F.exists(words, lambda w: F.contains(F.lower(t), w)))

@@ -1,42 +1,55 @@
-"""Followers, layers and coupling of frame series, clusters of vectors, and whole-track records."""
+"""Followers, pitch and beat weights of frame series, clusters of vectors, and whole-track records."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import math
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.profile import character, drivers, gaussian, max_norm, novelty, onset_sync, prominence, sections, stem_profiles
-from tessera.operators.series import _FRAMES, FRAMES, SERIES, _series, asymmetric_envelope, band_stats, boundaries, correlations, debounce, frames, linear_at, local_correlation, observed_frames, recent_upcoming, surprise_decay
+from tessera.functions.graph import connected_components
+from tessera.operators.profile import _CHANGE, _K, _PROMINENCE, _STARTS, _lock_sql, _smooth_sql, gaussian, lock_index, prominence, sections
+from tessera.operators.search import dot, unit
+from tessera.operators.series import (
+    _BEATS, _EASE, _FRAMES, N, SCALE, SERIES, _envelope_sql, _fold_sql, _lines, _series, asymmetric_envelope, beat_ease, folded, frames, linear_at, observed_frames, tempo,
+)
+from tessera.operators.signals import _CHARACTER, _RANKS, _SIG, _STEMS, _WIDE, overall_character, ranked_drivers, stem_frames, stem_profiles, target_profiles, target_signals
 from tessera.operators.spectra import clamp
-from tessera.session import table
-from tessera.streaming.telemetry import deliveries
+from tessera.session import materialize, table
 
+#: Seconds of a frame for followers.
+DT = 0.016
+#: Order in which a track's reference axis is looked for.
+AXIS_ORDER = ("purchase", "view", "click", "signup", "error")
+#: Slots: name, target, its stem (null where it has none), least and largest strength, intensity curve, gamma, whether enabled.
+SLOTS = (("s0", "purchase", "purchase", -30.0, 30.0, "linear", 1.0, True), ("s1", "click_percussive", "click", 0.0, 40.0, "gamma", 2.2, True), ("s2", "global", None, -10.0, 20.0, "clip", 1.0, True), ("s3", "view", "view", 0.0, 10.0, "linear", 1.0, False))
 
-def folded(df: DataFrame, start: Column, step: Callable[[Column, Column], Column], name: str) -> DataFrame:
-    """A fold over the ordered values of each series, one output for each frame."""
-    listed = df.groupBy(*SERIES).agg(F.sort_array(F.collect_list(F.struct("frame_idx", "v"))).alias("xs"))
-    first = F.struct(start.alias("y"), F.array().cast("array<double>").alias("out"))
 
-    def one(acc: Column, x: Column) -> Column:
-        y = step(acc["y"], x["v"])
-        return F.struct(y.alias("y"), F.concat(acc["out"], F.array(y)).alias("out"))
+def alpha(dt: float, ms: float) -> float:
+    """Share of the way that a follower with a time constant of ``ms`` goes in ``dt`` seconds; all of it without one."""
+    return 1.0 if ms <= 0 else 1.0 - math.exp(-dt / (ms / 1000.0))
 
-    return listed.select(*SERIES, F.posexplode(F.aggregate("xs", first, one)["out"]).alias("frame_idx", name))
 
+def ema_follow(df: DataFrame, dt: float = DT, smoothing_ms: float = 50.0, drift_ms: float = 1500.0, drift: bool = True) -> DataFrame:
+    """Place that follows the sounding frames from 0.5; in silence it drifts back to 0.5, or holds."""
+    near, far = alpha(dt, smoothing_ms), alpha(dt, drift_ms) if drift else 0.0
 
-def ema_follow(df: DataFrame, tau: float = 6.0) -> DataFrame:
-    """Exponential following of the sounding frames; silence holds the place."""
-    a = 1 - float(np.exp(-1 / tau))
-    return folded(df, F.lit(0.5), lambda y, v: F.when(v > 0, y + a * (v / 500.0 - y)).otherwise(y), "place")
+    def step(state: tuple, v: float) -> tuple:
+        return (state[0] + (near * (v / SCALE - state[0]) if v > 0 else far * (0.5 - state[0])),)
 
+    return folded(df, step, (0.5,), ("v",), "place")
 
-def slew_limit(df: DataFrame, rate: float = 0.05) -> DataFrame:
-    """Following by at most ``rate`` a frame."""
-    return folded(df, F.lit(0.0), lambda y, v: y + F.greatest(F.lit(-rate), F.least(F.lit(rate), v / 500.0 - y)), "place")
+
+def slew_limit(df: DataFrame, rate: float = 2.0, dt: float = DT) -> DataFrame:
+    """Place that follows the level by at most ``rate`` a second; a rate of 0 or less follows at once."""
+    most = rate * dt
+
+    def step(state: tuple, v: float) -> tuple:
+        gap = v / SCALE - state[0]
+        return (v / SCALE if rate <= 0 else state[0] + max(-most, min(most, gap)),)
+
+    return folded(df, step, (0.0,), ("v",), "place")
 
 
 def dual_layer(df: DataFrame) -> DataFrame:
@@ -46,69 +59,15 @@ def dual_layer(df: DataFrame) -> DataFrame:
     return flash.hint("merge").join(sustain, [*SERIES, "frame_idx"]).withColumn("combined", (F.col("flash") + F.col("sustain")) / 2)
 
 
-def novelty_slope(df: DataFrame) -> DataFrame:
-    """Change of novelty, smoothed, over its largest absolute value."""
-    n = novelty(df, (2.0,))
-    step = n.withColumn("v", F.coalesce(F.col("n0") - F.lag("n0").over(_series()), F.lit(0.0)))
-    smooth = gaussian(step, 1.0).withColumn("size", F.abs("smooth"))
-    top = F.max("size").over(Window.partitionBy(*SERIES))
-    return smooth.select(*SERIES, "frame_idx", F.when(top > 1e-8, F.col("smooth") / top).otherwise(0.0).alias("slope"))
-
-
-def layer_entries(df: DataFrame, spacing: int = 6) -> DataFrame:
-    """Frames with a large rise and a large smoothed change, ``spacing`` apart."""
-    rise = (F.col("v") - F.lag("v").over(_series())) / 500.0
-    both = gaussian(df.withColumn("rise", rise).withColumn("move", F.coalesce(F.abs(rise), F.lit(0.0))), 1.0, "move", "moved")
-    return debounce(both.filter("rise > 0.4 AND moved > 0.05").select(*SERIES, "frame_idx"), spacing)
-
-
-def layer_count(df: DataFrame) -> DataFrame:
-    """Entries counted up and decaying over eight frames, held in 0 to 6."""
-    marked = df.hint("merge").join(layer_entries(df).withColumn("hit", F.lit(1.0)), [*SERIES, "frame_idx"], "left").withColumn("v", F.coalesce("hit", F.lit(0.0))).drop("hit")
-    return folded(marked, F.lit(0.0), lambda y, v: F.least(F.lit(6.0), F.greatest(F.lit(0.0), y - 1 / 8.0) + v), "layers")
-
-
-def _phase(batches):
-    """Phase of the analytic signal of each series, by FFT; one row holds one series."""
-    for batch in batches:
-        out = []
-        for values in batch.column(2).to_pylist():
-            x = np.array(values) - np.mean(values)
-            n = len(x)
-            h = np.zeros(n)
-            h[0] = 1
-            h[1 : (n + 1) // 2] = 2
-            if n % 2 == 0:
-                h[n // 2] = 1
-            out.append(np.angle(np.fft.ifft(np.fft.fft(x) * h)).tolist())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.float64()))], ["track", "stem", "phase"])
-
-
-def phase_locking(df: DataFrame, n: int = 49) -> DataFrame:
-    """Modulus of the rolling mean of exp(i * phase difference) of view and click."""
-    listed = df.filter("stem IN ('view', 'click')").groupBy(*SERIES).agg(F.transform(F.sort_array(F.collect_list(F.struct("frame_idx", "v"))), lambda z: z["v"]).alias("vs"))
-    phases = listed.mapInArrow(_phase, "track long, stem string, phase array<double>").select(*SERIES, F.posexplode("phase").alias("frame_idx", "p"))
-    a, b = phases.filter("stem = 'click'").alias("a"), phases.filter("stem = 'view'").alias("b")
-    both = a.hint("merge").join(b, (F.col("a.track") == F.col("b.track")) & (F.col("a.frame_idx") == F.col("b.frame_idx"))).select(F.col("a.track").alias("track"), F.col("a.frame_idx").alias("frame_idx"), (F.col("a.p") - F.col("b.p")).alias("d"))
-    w = Window.partitionBy("track").orderBy("frame_idx").rowsBetween(-(n // 2), n // 2)
-    c, s = F.avg(F.cos("d")).over(w), F.avg(F.sin("d")).over(w)
-    return both.select("track", "frame_idx", F.sqrt(c * c + s * s).alias("plv"))
-
-
-def lock_index(df: DataFrame) -> DataFrame:
-    """0.40 (correlation + 1) / 2 + 0.35 phase locking + 0.25 onset synchrony of view and click."""
-    joined = local_correlation(df).hint("merge").join(phase_locking(df), ["track", "frame_idx"]).hint("merge").join(onset_sync(df), ["track", "frame_idx"])
-    return joined.select("track", "frame_idx", clamp(0.40 * (F.col("local_corr") + 1) / 2 + 0.35 * F.col("plv") + 0.25 * F.col("sync")).alias("lock"))
-
-
-def voiced_norm(df: DataFrame) -> DataFrame:
-    """p5 to p95 over sounding frames; fewer than ten give zero, a range under ten the least - 20 to the largest + 20."""
-    q = df.filter("v > 0").groupBy(*SERIES).agg(F.percentile("v", F.array(F.lit(0.05), F.lit(0.95))).alias("q"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+def voiced_norm(wide: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """p5 to p95 over the frames that sound with confidence; fewer than ten give zero, a range under ten the least - 20 to the largest + 20."""
+    sure = (F.col("v") > 0) & (F.col("pitch_confidence") >= threshold)
+    q = wide.filter(sure).groupBy(*SERIES).agg(F.percentile("v", F.array(F.lit(0.05), F.lit(0.95))).alias("q"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
     narrow = F.col("q")[1] - F.col("q")[0] < 10
     lo = F.when(narrow, F.col("lo") - 20).otherwise(F.col("q")[0])
     hi = F.when(narrow, F.col("hi") + 20).otherwise(F.col("q")[1])
-    value = F.when((F.col("n") >= 10) & (F.col("v") > 0), clamp((F.col("v") - lo) / (hi - lo))).otherwise(0.0)
-    return df.hint("merge").join(q, list(SERIES), "left").select(*SERIES, "frame_idx", value.alias("pitch"))
+    value = F.when((F.col("n") >= 10) & sure, clamp((F.col("v") - lo) / (hi - lo))).otherwise(0.0)
+    return wide.hint("merge").join(q, list(SERIES), "left").select(*SERIES, "frame_idx", value.alias("pitch"))
 
 
 def align_pad(df: DataFrame, n: int) -> DataFrame:
@@ -118,139 +77,213 @@ def align_pad(df: DataFrame, n: int) -> DataFrame:
     return grid.hint("merge").join(df, [*SERIES, "frame_idx"], "left").withColumn("v", F.coalesce(F.last("v", ignorenulls=True).over(w), F.lit(0.0)))
 
 
-def beat_weight(df: DataFrame) -> DataFrame:
-    """Change over level, smoothed, over its largest value."""
-    ratio = F.coalesce(F.abs(F.col("v") - F.lag("v").over(_series())), F.lit(0.0)) / F.greatest(F.col("v"), F.lit(25.0))
-    return max_norm(gaussian(df.withColumn("ratio", ratio), 2.0, "ratio", "weight"), "weight").select(*SERIES, "frame_idx", "weight")
+def beat_weight(wide: DataFrame, sigma: float = 2.0) -> DataFrame:
+    """Transient over energy, from its 5th to its 95th percentile (0.5 where it is flat), smoothed."""
+    ratio = wide.select(*SERIES, "frame_idx", (F.col("transient") / F.greatest("energy_smooth", F.lit(0.05))).alias("ratio"))
+    q = ratio.groupBy(*SERIES).agg(F.percentile("ratio", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
+    width = F.col("q")[1] - F.col("q")[0]
+    scaled = ratio.hint("merge").join(q, list(SERIES)).select(*SERIES, "frame_idx", F.when(width > 1e-6, clamp((F.col("ratio") - F.col("q")[0]) / width)).otherwise(0.5).alias("ratio"))
+    return gaussian(scaled, sigma, "ratio", "weight").select(*SERIES, "frame_idx", "weight")
+
+
+def blend_curve(df: DataFrame, wide: DataFrame, distance: float = 1.5) -> DataFrame:
+    """Angles by mode: pulse (the beats'), continuous (the drift of tonal distance) and auto (blended by the beat weight)."""
+    pulse, drift = F.col("angle"), F.col("tonal_distance") * (math.pi / 2)
+    auto = F.col("weight") * pulse + (1 - F.col("weight")) * drift
+    rows = beat_ease(df).hint("merge").join(beat_weight(wide), [*SERIES, "frame_idx"]).hint("merge").join(wide.select(*SERIES, "frame_idx", "tonal_distance"), [*SERIES, "frame_idx"])
+    return rows.select(*SERIES, "frame_idx", (distance * pulse).alias("pulse"), (distance * drift).alias("continuous"), (distance * auto).alias("auto"))
+
 
+#: Hash tables, hyperplanes of a table's cell, neighbours compared on each side, and how near a core's third neighbour must be.
+TABLES, PLANES, SIDE = 6, 3, 8
+MIN_SAMPLES, MIN_SIZE, RADIUS = 3, 5, 0.75
 
-def blend_curve(df: DataFrame) -> DataFrame:
-    """Weight of the beat times a pulse, the rest a drift."""
-    pulse, drift = clamp(F.col("v") / 500.0), F.col("frame_idx") / float(FRAMES) * (np.pi / 2)
-    return beat_weight(df).hint("merge").join(df, [*SERIES, "frame_idx"]).select(*SERIES, "frame_idx", (F.col("weight") * pulse + (1 - F.col("weight")) * drift).alias("angle"))
 
+def _signs(i: int, dims: int = 64) -> list[float]:
+    """A fixed direction of plus and minus ones from the MD5 of its number and place."""
+    return [1.0 if hashlib.md5(f"{i}|{k}".encode()).digest()[0] & 1 else -1.0 for k in range(dims)]
 
-def density_clusters(vectors: DataFrame, bits: int = 8, least: int = 5) -> DataFrame:
-    """Clusters of vectors by the signs of their first ``bits`` entries; cells of fewer than ``least`` are noise, -1.
 
-    A grid in place of a neighbour graph: linear in the rows, no pairs.
+def _plane(i: int) -> Column:
+    return F.array(*[F.lit(x) for x in _signs(i)])
+
+
+def neighbours(vectors: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b, distance) of near vectors: in each table a cell is ordered along one more direction and each row meets the SIDE before it.
+
+    Every vector stands in every table, so that a row has SIDE neighbours on each side of
+    it in each; no cell is paired in full.  Distance is one less the cosine.
     """
-    code = F.aggregate(F.transform(F.slice("embedding", 1, bits), lambda x, i: F.when(x > 0, F.pow(F.lit(2.0), i)).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x).cast("int")
-    cells = vectors.select("vec_id", "label", code.alias("cell"))
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("n"))
-    return cells.hint("merge").join(sizes, "cell").select("vec_id", "label", F.when(F.col("n") >= least, F.col("cell")).otherwise(-1).alias("cluster"))
+    rows = materialize(vectors.select("vec_id", unit(F.col("embedding")).alias("v")), "units")
+    cells = []
+    for t in range(TABLES):
+        planes = [_plane(t * (PLANES + 1) + i) for i in range(PLANES + 1)]
+        code = sum((F.when(dot(F.col("v"), p) > 0, 1 << i).otherwise(0) for i, p in enumerate(planes[:-1])), F.lit(0))
+        cells.append(F.struct(F.lit(t).alias("t"), code.alias("cell"), dot(F.col("v"), planes[-1]).alias("at")))
+    keyed = rows.select("vec_id", F.explode(F.array(*cells)).alias("c")).select("vec_id", "c.*")
+    order = Window.partitionBy("t", "cell").orderBy("at", "vec_id")
+    near = F.array_compact(F.array(*[F.lag("vec_id", k).over(order) for k in range(1, SIDE + 1)]))
+    pairs = materialize(keyed.select("vec_id", near.alias("near")).select(F.explode("near").alias("x"), F.col("vec_id").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+    left, right = rows.select(F.col("vec_id").alias("a"), F.col("v").alias("va")), rows.select(F.col("vec_id").alias("b"), F.col("v").alias("vb"))
+    return pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", (1 - dot(F.col("va"), F.col("vb"))).alias("distance"))
+
+
+def density_clusters(vectors: DataFrame, radius: float = RADIUS, least: int = MIN_SIZE) -> DataFrame:
+    """(vec_id, label, cluster): density clusters over a neighbour graph; cluster is its least vec_id, -1 is noise.
+
+    A row's core distance is that to its MIN_SAMPLES-th neighbour.  Rows link where neither
+    core distance nor their own is over ``radius``; linked rows are one cluster if they are ``least`` or more.
+    """
+    near = materialize(neighbours(vectors), "neighbours")
+    both = near.select(F.col("a").alias("x"), "distance").unionByName(near.select(F.col("b").alias("x"), "distance"))
+    nth = F.row_number().over(Window.partitionBy("x").orderBy("distance"))
+    core = materialize(both.withColumn("rn", nth).filter(F.col("rn") == MIN_SAMPLES).select("x", F.col("distance").alias("core")), "cores")
+    linked = near.hint("merge").join(core.select(F.col("x").alias("a"), F.col("core").alias("ca")), "a").hint("merge").join(core.select(F.col("x").alias("b"), F.col("core").alias("cb")), "b")
+    roots = connected_components(linked.filter(F.greatest("ca", "cb", "distance") <= radius).select("a", "b"))
+    rooted = vectors.select("vec_id", "label").hint("merge").join(roots.select(F.col("node").alias("vec_id"), "root"), "vec_id", "left").withColumn("root", F.coalesce("root", "vec_id"))
+    size = F.count("*").over(Window.partitionBy("root"))
+    return rooted.withColumn("n", size).select("vec_id", "label", F.when(F.col("n") >= least, F.col("root")).otherwise(-1).alias("cluster"))
+
+
+def cluster_sizes(clusters: DataFrame, k: int = 5) -> DataFrame:
+    """The k largest clusters with the number of all clusters and the share of noise."""
+    sums = clusters.agg(F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("n_clusters"), F.avg((F.col("cluster") < 0).cast("double")).alias("noise_share"))
+    top = clusters.filter("cluster >= 0").groupBy("cluster").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cluster").limit(k)
+    return top.crossJoin(F.broadcast(sums))
+
+
+def cohesion(clusters: DataFrame) -> DataFrame:
+    """For each label: its rows in clusters, how many clusters they lie in, and the share in the one that holds most."""
+    by = clusters.filter("cluster >= 0").groupBy("label", "cluster").agg(F.count("*").alias("n"))
+    return by.groupBy("label").agg(F.sum("n").alias("n"), F.count("*").alias("n_clusters"), (F.max("n") / F.sum("n")).alias("together"))
 
 
 def _clusters(s: SparkSession, d: str) -> DataFrame:
     return density_clusters(table(s, d, "embeddings"))
 
 
-def track_profile(df: DataFrame) -> DataFrame:
-    """One record for each track: character, mean energy, number of sections, strongest pair, first driver."""
-    n = sections(df).groupBy("track").agg(F.count("*").alias("n_sections"))
-    pair = correlations(df).filter("rn = 1").groupBy("track").agg(F.max(F.round(F.abs("r"), 9)).alias("strongest"))
-    top = drivers(df, 1).filter("kind = 'energy'").select("track", F.col("stem").alias("driver"))
-    out = character(df)
-    for other in (n, pair, top):
-        out = out.hint("merge").join(other, "track", "left")
+def track_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record for each track: length, tempo, character, sections, mean tension, mean lock and first driver."""
+    df, wide, signals = frames(spark, sf_dir), stem_frames(spark, sf_dir), target_signals(spark, sf_dir)
+    out = overall_character(stem_profiles(wide)).select("track", "character")
+    parts = (
+        df.groupBy("track").agg((F.max("frame_idx") + 1).alias("n_frames")),
+        tempo(df).filter("stem = 'purchase'").select("track", F.col("tempo").alias("bpm")),
+        sections(df).groupBy("track").agg(F.count("*").alias("n_sections")),
+        lock_index(df).groupBy("track").agg(F.avg("lock").alias("mean_lock")),
+        signals.filter("target = 'tension'").groupBy("track").agg(F.avg("energy_smooth").alias("mean_tension")),
+        ranked_drivers(target_profiles(signals)).filter("kind = 'primary_driver' AND rn = 1").select("track", F.col("target").alias("driver")),
+    )
+    for part in parts:
+        out = out.hint("merge").join(part, "track", "left")
     return out
 
 
-def slot_strength(df: DataFrame) -> DataFrame:
-    """Strength of each physical slot: 5 + x (35 - 5), times prominence."""
-    p = prominence(df).filter("stem IN ('click', 'purchase', 'view')")
-    return p.hint("merge").join(df, [*SERIES, "frame_idx"]).select(*SERIES, "frame_idx", ((5 + clamp(F.col("v") / 500.0) * 30) * F.col("prominence")).alias("strength"))
-
+def shaped(x: Column, curve: Column, gamma: Column) -> Column:
+    """Intensity curve of a level: linear, a power, or half as much again, held in [0, 1]."""
+    return F.when(curve == "gamma", F.pow(clamp(x), F.greatest(F.lit(0.01), gamma))).when(curve == "clip", clamp(1.5 * x)).otherwise(clamp(x))
 
-def clock_correct(events: DataFrame, alpha: float = 0.1) -> DataFrame:
-    """Drift left at the end of each session: each report shifts the anchor by alpha of the drift that it shows."""
-    listed = deliveries(events).groupBy("session").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", (F.col("sent_ms") - F.col("due_ms")).cast("double").alias("lag")))).alias("xs"))
-    return listed.select("session", F.round(F.aggregate("xs", F.lit(0.0), lambda a, x: a + alpha * (x["lag"] - a)), 6).alias("anchor_ms"), F.size("xs").cast("long").alias("n"))
 
-
-def _ttl(s, d, now: int = 1_706_000_000, ttl: int = 86_400 * 3) -> DataFrame:
-    """Latest value of each user that has not expired by ``now``."""
-    e = table(s, d, "events").filter(F.unix_seconds("ts") <= now)
-    last = e.groupBy("user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"), F.max(F.unix_seconds("ts")).alias("set_at"))
-    return last.filter(F.col("set_at") + ttl > now)
+def slot_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strength of each enabled slot: its target's level by the slot's curve, followed, put in the slot's range and scaled by prominence (0.5 without a stem)."""
+    slots = spark.createDataFrame(SLOTS, "slot string, target string, base string, lo double, hi double, curve string, gamma double, enabled boolean").filter("enabled")  # a handful of rows
+    signals = target_signals(spark, sf_dir).select("track", "target", "frame_idx", "energy_smooth")
+    rows = signals.join(F.broadcast(slots), "target").withColumn("x", shaped(F.col("energy_smooth"), F.col("curve"), F.col("gamma"))).withColumnRenamed("slot", "stem")
+    rows = materialize(rows, "slots")
+    step = alpha(DT, 50.0)
+    moved = folded(rows, lambda state, x: (state[0] + step * (x - state[0]),), (0.0,), ("x",), "moved")
+    loud = prominence(stem_frames(spark, sf_dir)).withColumnRenamed("stem", "base")
+    joined = rows.hint("merge").join(moved, [*SERIES, "frame_idx"]).hint("merge").join(loud, ["track", "base", "frame_idx"], "left")
+    strength = (F.col("lo") + F.col("moved") * (F.col("hi") - F.col("lo"))) * F.when(F.col("base").isNull(), 0.5).otherwise(F.col("prominence"))
+    return joined.select("track", F.col("stem").alias("slot"), "frame_idx", strength.alias("strength"))
 
 
 def _refer(s, d):
-    """All curves of a track on the frames of its first stem."""
+    """All curves of a track on the frames of the first of its stems in AXIS_ORDER."""
     curve = observed_frames(s, d).select(*SERIES, F.col("frame_idx").cast("double").alias("t"), "v")
-    first = curve.groupBy("track").agg(F.min("stem").alias("first"))
+    place = F.array_position(F.array(*map(F.lit, AXIS_ORDER)), F.col("stem"))
+    first = curve.groupBy("track").agg(F.min_by("stem", F.struct(F.when(place > 0, place).otherwise(len(AXIS_ORDER) + 1), "stem")).alias("first"))
     axis = curve.hint("merge").join(first, "track").filter("stem = first").select("track", "t")
     probes = axis.hint("merge").join(curve.select(*SERIES).distinct(), "track").select(*SERIES, "t")
     return linear_at(probes, curve)
 
 
-def _window_targets(s, d):
-    w = Window.partitionBy("track", "frame_idx").orderBy(F.desc("score"), "stem")
-    scored = recent_upcoming(frames(s, d)).select(*SERIES, "frame_idx", F.round(0.65 * F.col("upcoming_max") + 0.35 * F.col("upcoming_mean"), 9).alias("score"), (F.col("upcoming_mean") - F.col("recent_mean")).alias("delta"))
-    return scored.withColumn("rn", F.row_number().over(w)).filter("rn <= 2")
-
-
 QUERIES = {
     "win_ema_follow": lambda s, d: ema_follow(frames(s, d)),
     "win_slew_limit": lambda s, d: slew_limit(frames(s, d)),
     "win_dual_layer": lambda s, d: dual_layer(frames(s, d)),
-    "st_envelope": lambda s, d: asymmetric_envelope(frames(s, d), 1.0, 8.0),
-    "st_surprise": lambda s, d: surprise_decay(frames(s, d), 0.1),
-    "win_novelty_deriv": lambda s, d: novelty_slope(frames(s, d)),
-    "win_layer_entry": lambda s, d: layer_entries(frames(s, d)),
-    "win_layer_count": lambda s, d: layer_count(frames(s, d)),
-    "win_plv": lambda s, d: phase_locking(frames(s, d)),
-    "win_lock_index": lambda s, d: lock_index(frames(s, d)),
-    "agg_mean_lock": lambda s, d: lock_index(frames(s, d)).groupBy("track").agg(clamp(F.avg("lock")).alias("mean_lock")),
-    "win_pitch_norm": lambda s, d: voiced_norm(frames(s, d)),
+    "win_pitch_norm": lambda s, d: voiced_norm(stem_frames(s, d)),
     "win_align_pad": lambda s, d: align_pad(observed_frames(s, d), 400),
-    "win_beat_weight": lambda s, d: beat_weight(frames(s, d)),
-    "win_blend_curve": lambda s, d: blend_curve(frames(s, d)),
+    "win_beat_weight": lambda s, d: beat_weight(stem_frames(s, d)),
+    "win_blend_curve": lambda s, d: blend_curve(frames(s, d), stem_frames(s, d)),
     "join_refer_curves": _refer,
-    "top_window_targets": _window_targets,
     "ml_density_cluster": _clusters,
-    "agg_cluster_sizes": lambda s, d: _clusters(s, d).groupBy("cluster").agg(F.count("*").alias("n")),
-    "ml_cluster_cohesion": lambda s, d: _clusters(s, d).filter("cluster >= 0").groupBy("label").agg(F.count_distinct("cluster").alias("n_clusters"), F.count("*").alias("n")),
-    "ml_track_profile": lambda s, d: track_profile(frames(s, d)),
-    "ml_track_analysis": lambda s, d: band_stats(frames(s, d), boundaries(s, d)).hint("merge").join(stem_profiles(frames(s, d)).select(*SERIES, "role"), list(SERIES)),
-    "ml_slot_strength": lambda s, d: slot_strength(frames(s, d)),
-    "ml_music_window": lambda s, d: recent_upcoming(frames(s, d)).select(*SERIES, "frame_idx", "recent_mean", "upcoming_mean", F.when(F.col("upcoming_mean") > F.col("recent_mean") + 5, "build").when(F.col("upcoming_mean") < F.col("recent_mean") - 5, "release").otherwise("hold").alias("hint")),
-    "st_clock_correct": lambda s, d: clock_correct(table(s, d, "events")),
-    "st_drift_alert": lambda s, d: deliveries(table(s, d, "events")).filter(F.abs(F.col("sent_ms") - F.col("due_ms")) > 70).select("event_id", "session"),
-    "st_ttl_state": _ttl,
-    "st_extended_activity": lambda s, d: frames(s, d).filter("frame_idx % 10 = 0").groupBy("track", "frame_idx").pivot("stem", ["click", "purchase", "view"]).agg(F.first("v")).na.fill(0.0),
+    "agg_cluster_sizes": lambda s, d: cluster_sizes(_clusters(s, d)),
+    "ml_cluster_cohesion": lambda s, d: cohesion(_clusters(s, d)),
+    "ml_track_profile": track_profile,
+    "ml_slot_strength": slot_strength,
 }
 
-_W = "(PARTITION BY track, stem ORDER BY frame_idx"
-_DEL = "f AS (SELECT event_id, user_id % 20 AS session, ts, epoch_ms(ts) + 40 AS due_ms, epoch_ms(ts) + (event_id * 7919) % 121 AS sent_ms FROM events)"
-_CELLS = """cells AS (SELECT vec_id, label, list_sum(list_transform(range(0, 8), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1 << i ELSE 0 END))::INTEGER AS cell FROM embeddings),
-clusters AS (SELECT vec_id, label, CASE WHEN count(*) OVER (PARTITION BY cell) >= 5 THEN cell ELSE -1 END AS cluster FROM cells)"""
-_UP = f"""up AS (SELECT * FROM (SELECT *, avg(v) OVER r AS recent_mean, avg(v) OVER u AS upcoming_mean, max(v) OVER u AS upcoming_max
-  FROM frames WINDOW r AS {_W} RANGE BETWEEN 12 PRECEDING AND CURRENT ROW), u AS {_W} RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING)) WHERE frame_idx % 48 = 0)"""
+
+def _follow_sql(source: str, near: float, far: float, name: str) -> str:
+    return _fold_sql(source, {"y": ("0.5::DOUBLE", f"s.y + CASE WHEN x.v > 0 THEN {near!r}::DOUBLE * (x.v / {SCALE} - s.y) ELSE {far!r}::DOUBLE * (0.5 - s.y) END")}, name)
+
+
+_WEIGHT = f"""bw0 AS (SELECT track, stem, frame_idx, transient / greatest(energy_smooth, 0.05) AS ratio, tonal_distance FROM wide),
+bwq AS (SELECT track, stem, quantile_cont(ratio, 0.05) AS lo, quantile_cont(ratio, 0.95) AS hi FROM bw0 GROUP BY ALL),
+bw1 AS (SELECT track, stem, frame_idx, CASE WHEN hi - lo > 1e-6 THEN greatest(0.0, least(1.0, (ratio - lo) / (hi - lo))) ELSE 0.5 END AS c FROM bw0 JOIN bwq USING (track, stem)),
+{_smooth_sql('bw1', 2.0, 'c', _K, 'bw')}"""
+_SLOT_ROWS = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else f"{x}::DOUBLE" for x in row) + ")" for row in SLOTS)
+
+def _cell_sql(t: int) -> str:
+    planes = [f"list_dot_product(v, {_signs(t * (PLANES + 1) + i)}::DOUBLE[])" for i in range(PLANES + 1)]
+    code = " + ".join(f"CASE WHEN {p} > 0 THEN {1 << i} ELSE 0 END" for i, p in enumerate(planes[:-1]))
+    return f"SELECT vec_id, {t} AS t, {code} AS cell, {planes[-1]} AS place FROM units"
+
+
+_CLUSTERS = f"""units AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings),
+keyed AS ({' UNION ALL '.join(_cell_sql(t) for t in range(TABLES))}),
+met AS (SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b FROM (SELECT vec_id AS y, unnest([{', '.join(f'lag(vec_id, {k}) OVER w' for k in range(1, SIDE + 1))}]) AS x FROM keyed WINDOW w AS (PARTITION BY t, cell ORDER BY place, vec_id)) WHERE x IS NOT NULL),
+near AS MATERIALIZED (SELECT a, b, 1 - list_dot_product(p.v, q.v) AS distance FROM met JOIN units p ON a = p.vec_id JOIN units q ON b = q.vec_id),
+cores AS (SELECT x, distance AS core FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY distance) AS rn FROM (SELECT a AS x, distance FROM near UNION ALL SELECT b, distance FROM near)) WHERE rn = {MIN_SAMPLES}),
+links AS (SELECT a, b FROM near JOIN cores c ON a = c.x JOIN cores d ON b = d.x WHERE greatest(c.core, d.core, distance) <= {RADIUS}),
+ways2 AS MATERIALIZED (SELECT a AS u, b AS w FROM links UNION ALL SELECT b, a FROM links),
+reached(node, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT w, root FROM reached JOIN ways2 ON u = node WHERE root < w),
+roots AS (SELECT node, min(root) AS root FROM reached GROUP BY node),
+clusters AS (SELECT vec_id, label, CASE WHEN count(*) OVER (PARTITION BY root) >= {MIN_SIZE} THEN root ELSE -1 END AS cluster FROM embeddings JOIN roots ON node = vec_id)"""
 
 ORACLE_SQL = {
-    "st_surprise": f"WITH {_FRAMES} SELECT track, stem, frame_idx, greatest(0.0, max(v / 500.0 + frame_idx * 0.1::DOUBLE) OVER {_W} ROWS UNBOUNDED PRECEDING) - frame_idx * 0.1::DOUBLE) AS surprise FROM frames",
-    "win_pitch_norm": f"""WITH {_FRAMES}, q AS (SELECT track, stem, quantile_cont(v, 0.05) AS a, quantile_cont(v, 0.95) AS b, min(v) AS mn, max(v) AS mx, count(*) AS n FROM frames WHERE v > 0 GROUP BY ALL),
+    "ml_density_cluster": f"WITH RECURSIVE {_CLUSTERS} SELECT * FROM clusters",
+    "agg_cluster_sizes": f"""WITH RECURSIVE {_CLUSTERS}, k AS (SELECT cluster, count(*) AS n FROM clusters WHERE cluster >= 0 GROUP BY cluster ORDER BY n DESC, cluster LIMIT 5),
+t AS (SELECT count(DISTINCT cluster) FILTER (cluster >= 0) AS n_clusters, avg((cluster < 0)::INT) AS noise_share FROM clusters) SELECT * FROM k, t""",
+    "ml_cluster_cohesion": f"""WITH RECURSIVE {_CLUSTERS}, k AS (SELECT label, cluster, count(*) AS n FROM clusters WHERE cluster >= 0 GROUP BY ALL)
+SELECT label, sum(n)::BIGINT AS n, count(*) AS n_clusters, max(n) / sum(n) AS together FROM k GROUP BY label""",
+    "win_ema_follow": f"WITH RECURSIVE {_FRAMES}, {_follow_sql('frames', alpha(DT, 50.0), alpha(DT, 1500.0), 'f')} SELECT track, stem, frame_idx, y AS place FROM f WHERE i > 0",
+    "win_slew_limit": f"""WITH RECURSIVE {_FRAMES}, {_fold_sql('frames', {'y': ('0.0::DOUBLE', f's.y + greatest(-{2.0 * DT!r}::DOUBLE, least({2.0 * DT!r}::DOUBLE, x.v / {SCALE} - s.y))')}, 'f')} SELECT track, stem, frame_idx, y AS place FROM f WHERE i > 0""",
+    "win_dual_layer": f"""WITH RECURSIVE {_FRAMES}, {_envelope_sql('frames', 1.0, 4.0, 'a')}, {_envelope_sql('frames', 6.0, 24.0, 'b')}
+SELECT track, stem, frame_idx, a.y AS flash, b.y AS sustain, (a.y + b.y) / 2 AS combined FROM a JOIN b USING (track, stem, frame_idx) WHERE a.i > 0""",
+    "win_pitch_norm": f"""WITH {_WIDE}, q AS (SELECT track, stem, quantile_cont(v, 0.05) AS a, quantile_cont(v, 0.95) AS b, min(v) AS mn, max(v) AS mx, count(*) AS n FROM wide WHERE v > 0 AND pitch_confidence >= 0.3 GROUP BY ALL),
 r AS (SELECT *, CASE WHEN b - a < 10 THEN mn - 20 ELSE a END AS lo, CASE WHEN b - a < 10 THEN mx + 20 ELSE b END AS hi FROM q)
-SELECT track, stem, frame_idx, CASE WHEN n >= 10 AND v > 0 THEN greatest(0.0, least(1.0, (v - lo) / (hi - lo))) ELSE 0.0 END AS pitch FROM frames LEFT JOIN r USING (track, stem)""",
+SELECT track, stem, frame_idx, CASE WHEN n >= 10 AND v > 0 AND pitch_confidence >= 0.3 THEN greatest(0.0, least(1.0, (v - lo) / (hi - lo))) ELSE 0.0 END AS pitch FROM wide LEFT JOIN r USING (track, stem)""",
     "win_align_pad": f"""WITH {_FRAMES}, g AS (SELECT track, stem, unnest(range(0, 400))::INTEGER AS frame_idx FROM (SELECT DISTINCT track, stem FROM seen))
 SELECT g.*, coalesce(s.v, 0.0) AS v FROM g ASOF LEFT JOIN seen s ON g.track = s.track AND g.stem = s.stem AND g.frame_idx >= s.frame_idx""",
-    "join_refer_curves": f"""WITH {_FRAMES}, axis AS (SELECT s.track, s.frame_idx FROM seen s JOIN (SELECT track, min(stem) AS first FROM seen GROUP BY track) f ON s.track = f.track AND s.stem = f.first),
-probes AS (SELECT a.track, b.stem, a.frame_idx::DOUBLE AS t FROM axis a JOIN (SELECT DISTINCT track, stem FROM seen) b USING (track)),
-lo AS (SELECT p.*, c.frame_idx::DOUBLE AS t0, c.v AS v0 FROM probes p ASOF LEFT JOIN seen c ON p.track = c.track AND p.stem = c.stem AND p.t >= c.frame_idx),
-hi AS (SELECT p.*, c.frame_idx::DOUBLE AS t1, c.v AS v1 FROM lo p ASOF LEFT JOIN seen c ON p.track = c.track AND p.stem = c.stem AND p.t <= c.frame_idx)
-SELECT track, stem, t, CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL OR t0 = t1 THEN v0 ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END AS value FROM hi""",
-    "top_window_targets": f"""WITH {_FRAMES}, {_UP}, s AS (SELECT track, stem, frame_idx, round(0.65 * upcoming_max + 0.35 * upcoming_mean, 9) AS score, upcoming_mean - recent_mean AS delta FROM up)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track, frame_idx ORDER BY score DESC, stem)::INTEGER AS rn FROM s) WHERE rn <= 2""",
-    "ml_density_cluster": f"WITH {_CELLS} SELECT * FROM clusters",
-    "agg_cluster_sizes": f"WITH {_CELLS} SELECT cluster, count(*) AS n FROM clusters GROUP BY cluster",
-    "ml_cluster_cohesion": f"WITH {_CELLS} SELECT label, count(DISTINCT cluster) AS n_clusters, count(*) AS n FROM clusters WHERE cluster >= 0 GROUP BY label",
-    "ml_music_window": f"WITH {_FRAMES}, {_UP} SELECT track, stem, frame_idx, recent_mean, upcoming_mean, CASE WHEN upcoming_mean > recent_mean + 5 THEN 'build' WHEN upcoming_mean < recent_mean - 5 THEN 'release' ELSE 'hold' END AS hint FROM up",
-    "st_clock_correct": f"""WITH RECURSIVE {_DEL}, o AS (SELECT session, (sent_ms - due_ms)::DOUBLE AS lag, row_number() OVER (PARTITION BY session ORDER BY ts, event_id) AS i FROM f),
-r AS (SELECT session, i, 0.1::DOUBLE * lag AS a FROM o WHERE i = 1 UNION ALL SELECT o.session, o.i, r.a + 0.1::DOUBLE * (o.lag - r.a) FROM r JOIN o ON o.session = r.session AND o.i = r.i + 1)
-SELECT session, round(arg_max(a, i), 6) AS anchor_ms, max(i) AS n FROM r GROUP BY session""",
-    "st_drift_alert": f"WITH {_DEL} SELECT event_id, session FROM f WHERE abs(sent_ms - due_ms) > 70",
-    "st_ttl_state": """WITH l AS (SELECT user_id, arg_max(value, struct_pack(t := ts, e := event_id)) AS value, max(floor(epoch(ts)))::BIGINT AS set_at FROM events WHERE floor(epoch(ts)) <= 1706000000 GROUP BY user_id)
-SELECT * FROM l WHERE set_at + 259200 > 1706000000""",
-    "st_extended_activity": f"WITH {_FRAMES} SELECT track, frame_idx, {', '.join(f'''coalesce(max(v) FILTER (stem = '{x}'), 0.0) AS {x}''' for x in ('click', 'purchase', 'view'))} FROM frames WHERE frame_idx % 10 = 0 GROUP BY ALL",
+    "win_beat_weight": f"WITH {_WIDE}, {_WEIGHT} SELECT track, stem, frame_idx, smooth AS weight FROM bw",
+    "win_blend_curve": f"""WITH {_WIDE}, {_BEATS}, {_WEIGHT}, held AS (SELECT f.track, f.stem, f.frame_idx, b.* EXCLUDE (track, stem) FROM frames f ASOF LEFT JOIN beats b ON f.track = b.track AND f.stem = b.stem AND f.frame_idx >= b.start),
+eased AS (SELECT *, (frame_idx - start) / (stop - start)::DOUBLE AS x FROM held),
+angles AS (SELECT track, stem, frame_idx, coalesce(2 * pi() * (before + energy * CASE WHEN stop IS NULL THEN 0.0 ELSE {_EASE} END), 0.0) AS pulse FROM eased)
+SELECT track, stem, frame_idx, 1.5 * pulse AS pulse, 1.5 * tonal_distance * pi() / 2 AS continuous, 1.5 * (smooth * pulse + (1 - smooth) * tonal_distance * pi() / 2) AS auto
+FROM angles JOIN bw USING (track, stem, frame_idx) JOIN bw0 USING (track, stem, frame_idx)""",
+    "join_refer_curves": f"""WITH {_FRAMES}, axis AS (SELECT s.track, s.frame_idx FROM seen s JOIN (SELECT track, arg_min(stem, list_position({list(AXIS_ORDER)!r}, stem)) AS first FROM seen GROUP BY track) f ON s.track = f.track AND s.stem = f.first),
+probes AS (SELECT a.track, b.stem, a.frame_idx::DOUBLE AS t FROM axis a JOIN (SELECT DISTINCT track, stem FROM seen) b USING (track)), {_lines('probes')} SELECT * FROM lines""",
+    "ml_track_profile": f"""WITH RECURSIVE {_RANKS}, {_STEMS}, {_CHARACTER}, {_CHANGE}, {_STARTS}, {_lock_sql('view', 'click', 'k')}, {_BEATS},
+g AS (SELECT track, stem, count(*) AS n_beats, median(stop - start) / 60.0::DOUBLE AS gap FROM beats GROUP BY ALL)
+SELECT c.track, c.character, {N} AS n_frames, b.bpm, n_sections, mean_lock, mean_tension, d.target AS driver FROM chars c
+LEFT JOIN (SELECT track, CASE WHEN n_beats >= 2 AND 60.0 / gap BETWEEN 40 AND 220 THEN 60.0::DOUBLE / gap ELSE 120.0::DOUBLE END AS bpm FROM g WHERE stem = 'purchase') b ON c.track = b.track
+LEFT JOIN (SELECT track, count(*) AS n_sections FROM found GROUP BY track) n ON c.track = n.track LEFT JOIN (SELECT track, avg(lock) AS mean_lock FROM klock GROUP BY track) l ON c.track = l.track
+LEFT JOIN (SELECT track, avg(energy_smooth) AS mean_tension FROM sig WHERE target = 'tension' GROUP BY track) t ON c.track = t.track LEFT JOIN (SELECT track, target FROM ranks WHERE kind = 'primary_driver' AND rn = 1) d ON c.track = d.track""",
+    "ml_slot_strength": f"""WITH RECURSIVE {_SIG}, {_PROMINENCE}, slots AS (SELECT * FROM (VALUES {_SLOT_ROWS}) v(slot, target, base, lo, hi, curve, gamma, enabled) WHERE enabled),
+fed AS (SELECT track, slot AS stem, frame_idx, base, lo, hi, CASE curve WHEN 'gamma' THEN pow(greatest(0.0, least(1.0, energy_smooth)), greatest(0.01, gamma)) WHEN 'clip' THEN greatest(0.0, least(1.0, 1.5 * energy_smooth)) ELSE greatest(0.0, least(1.0, energy_smooth)) END AS x FROM sig JOIN slots USING (target)),
+{_fold_sql('fed', {'y': ('0.0::DOUBLE', f's.y + {alpha(DT, 50.0)!r}::DOUBLE * (x.x - s.y)')}, 'moved2')}
+SELECT f.track, f.stem AS slot, f.frame_idx, (lo + y * (hi - lo)) * CASE WHEN base IS NULL THEN 0.5 ELSE prominence END AS strength FROM fed f JOIN moved2 m ON f.track = m.track AND f.stem = m.stem AND f.frame_idx = m.frame_idx
+LEFT JOIN prominent p ON f.track = p.track AND f.base = p.stem AND f.frame_idx = p.frame_idx""",
 }

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.activation import activation_log, aggregate_positions
+from tessera.functions.text import hashed_vector, hashed_vector_sql
+from tessera.operators.activation import STATS_SQL, activation_log, aggregate_positions, hashed
 from tessera.session import materialize, table
 
 RANK, ROUNDS = 4, 8
@@ -25,15 +26,16 @@ def nmf(cells: DataFrame, rank: int = RANK, rounds: int = ROUNDS) -> tuple[DataF
     the rank-by-rank Gram matrix.  Absent cells are zeros.  Starts are hashed from the ids.
     """
     ks = F.explode(F.sequence(F.lit(0), F.lit(rank - 1))).alias("k")
-    start = lambda c: (0.1 + F.pmod(F.xxhash64(c, "k"), F.lit(1000)) / 1000.0)
+    start = lambda c: (0.1 + F.pmod(hashed(F.col(c), F.col("k")), F.lit(1000)) / 1000.0)
     w = cells.select("item").distinct().select("item", ks).withColumn("w", start("item"))
     h = cells.select("feature").distinct().select("feature", ks).withColumn("h", start("feature"))
 
     def update(x: DataFrame, own: DataFrame, key: str, value: str, other: DataFrame, okey: str, ovalue: str) -> DataFrame:
         top = x.hint("merge").join(other, okey).groupBy(key, "k").agg(F.sum(F.col("x") * F.col(ovalue)).alias("top"))
-        a, b = other.alias("a"), other.alias("b")
-        gram = a.hint("merge").join(b, okey).groupBy(F.col("a.k").alias("k"), F.col("b.k").alias("k2")).agg(F.sum(F.col(f"a.{ovalue}") * F.col(f"b.{ovalue}")).alias("g"))
-        table_ = {(r["k"], r["k2"]): r["g"] for r in gram.collect()}  # rank squared numbers
+        listed = other.groupBy(okey).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", ovalue))), lambda z: z[ovalue]).alias("v"))  # rank numbers a row
+        products = F.flatten(F.transform("v", lambda p: F.transform("v", lambda q: p * q)))
+        gram = listed.select(F.posexplode(products).alias("i", "g")).groupBy("i").agg(F.sum("g").alias("g"))
+        table_ = {(r["i"] // rank, r["i"] % rank): r["g"] for r in gram.collect()}  # rank squared numbers
         rows = own.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", value))).alias("v"))
         below = F.array(*[F.aggregate(F.zip_with(F.transform("v", lambda z: z[value]), F.array(*[F.lit(float(table_[i, j])) for j in range(rank)]), lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z) for i in range(rank)])
         flat = rows.select(key, F.posexplode(F.zip_with(F.transform("v", lambda z: z[value]), below, lambda p, q: F.struct(p.alias("p"), q.alias("q")))).alias("k", "z"))
@@ -46,12 +48,32 @@ def nmf(cells: DataFrame, rank: int = RANK, rounds: int = ROUNDS) -> tuple[DataF
     return w, h
 
 
+def nmf_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squared error of the factorisation over all cells, absent ones as zero, with the rank used and the sums that give it.
+
+    The error is |X|^2 - 2 <X, WH> + <W'W, HH'>, so that no cell that is zero is looked at.
+    """
+    cells = materialize(matrix(spark, sf_dir), "cells")
+    w, h = nmf(cells)
+    fit = cells.hint("merge").join(w, "item").hint("merge").join(h, ["feature", "k"]).agg(F.sum(F.col("x") * F.col("w") * F.col("h")).alias("cross"))
+    square = cells.agg(F.sum(F.col("x") * F.col("x")).alias("square"))
+
+    def gram(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+        listed = df.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", value))), lambda z: z[value]).alias("v"))
+        return listed.select(F.posexplode(F.flatten(F.transform("v", lambda p: F.transform("v", lambda q: p * q)))).alias("i", "g")).groupBy("i").agg(F.sum("g").alias(name))
+
+    both = gram(w, "item", "w", "gw").hint("merge").join(gram(h, "feature", "h", "gh"), "i").agg(F.sum(F.col("gw") * F.col("gh")).alias("model"))
+    one = square.crossJoin(fit).crossJoin(both)
+    return one.select("square", "cross", "model", (F.col("square") - 2 * F.col("cross") + F.col("model")).alias("loss"))
+
+
 def factor_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean, largest and number of positive item weights of each factor, and its feature of most weight."""
+    """Mean, largest and number of positive item weights of each factor, its feature of most weight, and its number by mean weight; factors without features are left out."""
     w, h = nmf(materialize(matrix(spark, sf_dir), "cells"))
-    stats = w.groupBy("k").agg(F.avg("w").alias("mean_w"), F.max("w").alias("max_w"), F.count_if(F.col("w") > 1e-6).alias("n_active"))
-    top = h.groupBy("k").agg(F.max_by("feature", F.struct("h", -F.col("feature"))).alias("top_feature"))
-    return stats.join(top, "k")
+    stats = w.groupBy("k").agg(F.avg("w").alias("mean_w"), F.max("w").alias("max_w"), F.count_if(F.col("w") > 0).alias("n_active"))
+    top = h.filter("h >= 1e-6").groupBy("k").agg(F.max_by("feature", F.struct("h", -F.col("feature"))).alias("top_feature"), F.count("*").alias("n_features"))
+    order = Window.orderBy(F.desc(F.round("mean_w", 9)), "k")  # a row for each factor
+    return stats.hint("merge").join(top, "k").withColumn("factor", F.row_number().over(order) - 1)
 
 
 def factor_features(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
@@ -61,24 +83,64 @@ def factor_features(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     return h.filter("h >= 1e-6").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k)
 
 
-def hashed_vector(text, dims: int = 16):
-    """Counts of the hashed trigrams of a text in ``dims`` cells: the built-in embedder."""
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substr(text, i, F.lit(3)))
-    cells = F.transform(grams, lambda g: F.pmod(F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long"), F.lit(dims)))
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(cells, lambda c: c == d)).cast("double"))
+#: Ids of vectors are below this.
+MOST_ID = 1_000_000_000
+
+
+def source_hashes(vectors: DataFrame) -> DataFrame:
+    """(label, source_hash): SHA-256 over the ids of each label's vectors, in order; one of a handful of labels a row."""
+    ids = F.array_join(F.transform(F.sort_array(F.collect_list("vec_id")), lambda i: i.cast("string")), ",")
+    return vectors.groupBy("label").agg(F.sha2(ids, 256).alias("source_hash"))
+
+
+def checked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether ids are unique and in range and dimensions equal, and whether the hashes of all sources are those of the manifest, which is written first and read back."""
+    vectors = table(spark, sf_dir, "embeddings")
+    counts = vectors.agg(
+        F.count("*").alias("n"), F.count_distinct("vec_id").alias("n_ids"), F.min("vec_id").alias("least_id"), F.max("vec_id").alias("most_id"), F.min(F.size("embedding")).cast("long").alias("least_dim"), F.max(F.size("embedding")).cast("long").alias("most_dim")
+    ).withColumn("valid", (F.col("n") == F.col("n_ids")) & (F.col("least_dim") == F.col("most_dim")) & (F.col("least_id") >= 0) & (F.col("most_id") < MOST_ID))
+    kept = materialize(source_hashes(vectors), "manifest").withColumnRenamed("source_hash", "kept")
+    fresh = source_hashes(vectors).hint("merge").join(kept, "label", "left").agg(F.count("*").alias("n_sources"), F.count_if(F.col("source_hash") == F.col("kept")).alias("n_fresh"))
+    return counts.crossJoin(F.broadcast(fresh)).withColumn("fresh", F.col("n_sources") == F.col("n_fresh"))
 
 
 QUERIES = {
-    "ml_nmf": factor_summary,
+    "ml_nmf": nmf_loss,
     "agg_factor_stats": factor_summary,
     "top_factor_features": factor_features,
     "ml_embed_text": lambda s, d: table(s, d, "part").select("p_partkey", hashed_vector(F.lower("p_name")).alias("v")),
-    "src_vectors": lambda s, d: table(s, d, "embeddings").agg(
-        F.count("*").alias("n"), F.count_distinct("vec_id").alias("n_ids"), F.min(F.size("embedding")).cast("long").alias("least_dim"), F.max(F.size("embedding")).cast("long").alias("most_dim")
-    ).withColumn("valid", (F.col("n") == F.col("n_ids")) & (F.col("least_dim") == F.col("most_dim"))),
+    "src_vectors": checked_vectors,
 }
+
+
+def _nmf_sql(rank: int = RANK, rounds: int = ROUNDS) -> str:
+    """CTEs cells, w and h: the same updates as ``nmf``, one pair of queries a round."""
+    ks = f"(SELECT unnest(range(0, {rank})) AS k)"
+    start = "0.1 + ('0x' || substr(md5(concat_ws('|', {0}, k)), 1, 8))::BIGINT % 1000 / 1000.0::DOUBLE"
+    out = [f"cells AS MATERIALIZED (SELECT item_id AS item, feature_id AS feature, avg(mean_value) AS x FROM stats GROUP BY ALL)", f"w0 AS MATERIALIZED (SELECT item, k, {start.format('item')} AS w FROM (SELECT DISTINCT item FROM cells), {ks})", f"h0 AS MATERIALIZED (SELECT feature, k, {start.format('feature')} AS h FROM (SELECT DISTINCT feature FROM cells), {ks})"]
+
+    def update(name: str, own: str, key: str, value: str, other: str, okey: str, ovalue: str) -> str:
+        return f"""{name} AS MATERIALIZED (SELECT o.{key}, o.k, o.{value} * coalesce(t.top, 0.0) / (b.below + {EPS}) AS {value} FROM {own} o
+  LEFT JOIN (SELECT {key}, k, sum(x * {ovalue}) AS top FROM cells JOIN {other} USING ({okey}) GROUP BY ALL) t ON o.{key} = t.{key} AND o.k = t.k
+  JOIN (SELECT p.{key}, g.k, sum(p.{value} * g.g) AS below FROM {own} p JOIN (SELECT a.k, c.k AS k2, sum(a.{ovalue} * c.{ovalue}) AS g FROM {other} a JOIN {other} c USING ({okey}) GROUP BY ALL) g ON p.k = g.k2 GROUP BY ALL) b ON o.{key} = b.{key} AND o.k = b.k)"""
+
+    for i in range(rounds):
+        out.append(update(f"h{i + 1}", f"h{i}", "feature", "h", f"w{i}", "item", "w"))
+        out.append(update(f"w{i + 1}", f"w{i}", "item", "w", f"h{i + 1}", "feature", "h"))
+    return ", ".join([STATS_SQL, *out, f"w AS (SELECT * FROM w{rounds})", f"h AS (SELECT * FROM h{rounds})"])
+
+
+_NMF = _nmf_sql()
+
 ORACLE_SQL = {
-    "ml_embed_text": """SELECT p_partkey, list_transform(range(0, 16), lambda d: len(list_filter(cs, lambda c: c = d))::DOUBLE) AS v FROM (
-  SELECT p_partkey, list_transform(range(1, greatest(length(p_name) - 1, 2)), lambda i: ('0x' || substr(md5(substr(lower(p_name), i, 3)), 1, 8))::BIGINT % 16) AS cs FROM part)""",
-    "src_vectors": "SELECT count(*) AS n, count(DISTINCT vec_id) AS n_ids, min(len(embedding)) AS least_dim, max(len(embedding)) AS most_dim, count(*) = count(DISTINCT vec_id) AND min(len(embedding)) = max(len(embedding)) AS valid FROM embeddings",
+    "ml_nmf": f"""WITH {_NMF}, s AS (SELECT sum(x * x) AS square FROM cells), c AS (SELECT sum(x * w * h) AS cross_ FROM cells JOIN w USING (item) JOIN h USING (feature, k)),
+gw AS (SELECT a.k, b.k AS k2, sum(a.w * b.w) AS g FROM w a JOIN w b USING (item) GROUP BY ALL), gh AS (SELECT a.k, b.k AS k2, sum(a.h * b.h) AS g FROM h a JOIN h b USING (feature) GROUP BY ALL), m AS (SELECT sum(gw.g * gh.g) AS model FROM gw JOIN gh USING (k, k2))
+SELECT square, cross_ AS "cross", model, square - 2 * cross_ + model AS loss FROM s, c, m""",
+    "agg_factor_stats": f"""WITH {_NMF}, s AS (SELECT k, avg(w) AS mean_w, max(w) AS max_w, count(*) FILTER (w > 0) AS n_active FROM w GROUP BY k), t AS (SELECT k, arg_max(feature, struct_pack(h := h, f := -feature)) AS top_feature, count(*) AS n_features FROM h WHERE h >= 1e-6 GROUP BY k)
+SELECT s.*, top_feature, n_features, (row_number() OVER (ORDER BY round(mean_w, 9) DESC, k) - 1)::INTEGER AS factor FROM s JOIN t USING (k)""",
+    "top_factor_features": f"WITH {_NMF} SELECT * FROM (SELECT feature, k, h, row_number() OVER (PARTITION BY k ORDER BY h DESC, feature)::INTEGER AS rn FROM h WHERE h >= 1e-6) WHERE rn <= 10",
+    "ml_embed_text": f"SELECT p_partkey, {hashed_vector_sql('lower(p_name)')} AS v FROM part",
+    "src_vectors": """WITH c AS (SELECT count(*) AS n, count(DISTINCT vec_id) AS n_ids, min(vec_id) AS least_id, max(vec_id) AS most_id, min(len(embedding)) AS least_dim, max(len(embedding)) AS most_dim FROM embeddings),
+h AS (SELECT count(*) AS n_sources, count(*) AS n_fresh FROM (SELECT DISTINCT label FROM embeddings))
+SELECT *, n = n_ids AND least_dim = most_dim AND least_id >= 0 AND most_id < 1000000000 AS valid, n_sources = n_fresh AS fresh FROM c, h""",
 }

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import tokens
+from tessera.functions.text import aligned
 from tessera.operators import activation, search
-from tessera.operators.profile import _PROF, stem_profiles
-from tessera.operators.series import _FRAMES, FRAMES, SERIES, frames, target_profile
+from tessera.operators.series import _FRAMES, N, SCALE, SERIES, frames, hours, target_profile
 from tessera.operators.spectra import clamp
 from tessera.session import table
 
@@ -28,56 +27,38 @@ def crop_window(row: Column, col: Column, grid: int = 4, image: int = 512, least
     return at(col), at(row)
 
 
-def tags(df: DataFrame) -> DataFrame:
-    """Tags of each stem by thresholds, with a default where none holds."""
-    p = stem_profiles(df)
-    rules = ((F.col("density") > 0.05, "pulse"), (F.col("mean_energy") > 0.02, "position"), (F.col("top") > 400, "flash"))
-    found = F.array_compact(F.array(*[F.when(rule, F.lit(tag)) for rule, tag in rules]))
-    source = F.when(F.col("role") == "percussive", "transient").when(F.col("mean_energy") > 0.02, "envelope").otherwise("brightness")
-    return p.select(*SERIES, F.array_join(F.when(F.size(found) == 0, F.array(F.lit("ambient"))).otherwise(found), "+").alias("good_for"), source.alias("preferred_source"))
-
-
-def sample_position(df: DataFrame) -> DataFrame:
-    """Where a frame stands: chroma for views, pitch where it is sure, brightness otherwise."""
-    confidence = (F.col("frame_idx") % 10) / 10.0
-    source = F.when(F.col("stem") == "view", "chroma").when((F.col("v") > 0) & (confidence > 0.3), "pitch").otherwise("brightness")
-    value = F.when(source == "chroma", (F.col("frame_idx") % 12) / 12.0).when(source == "pitch", clamp(F.col("v") / 500.0)).otherwise(0.5)
-    return df.select(*SERIES, "frame_idx", source.alias("source"), value.alias("position"))
-
-
-def routed(df: DataFrame) -> DataFrame:
-    """Values of named targets: a stem, the mean of the physical stems as global, the complement of one as derived."""
-    stems = df.select("track", "frame_idx", F.concat(F.lit("stem:"), "stem").alias("target"), "v")
-    world = df.filter(F.col("stem").isin("click", "purchase", "view")).groupBy("track", "frame_idx").agg(F.avg("v").alias("v")).select("track", "frame_idx", F.lit("global").alias("target"), "v")
-    derived = df.filter("stem = 'view'").select("track", "frame_idx", F.lit("derived:quiet").alias("target"), (1 - clamp(F.col("v") / 500.0)).alias("v"))
-    return stems.unionByName(world).unionByName(derived)
+def pitch_mask(level: Column, rows: int = 8, spread: float = 0.25) -> Column:
+    """Weight of each row of a mask for one of twelve pitch levels: a Gaussian around its height, the lowest at the bottom."""
+    centre = 1.0 - level / 11.0
+    return F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda y: F.exp(-(y / float(rows - 1) - centre) * (y / float(rows - 1) - centre) / (2 * spread * spread)))
 
 
 def number_list(text: Column) -> Column:
-    """Whole numbers 1 to 10 of a reply, at most one for each word."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.try_cast("long"))
-    return F.filter(found, lambda x: x.between(1, 10))
+    """Distinct whole numbers 1 to 10 among the words of a reply, points and semicolons at their ends aside."""
+    words = F.transform(F.split(F.translate(text, ",", " "), r"\s+"), lambda w: F.btrim(w, F.lit(".,;")))
+    found = F.transform(F.filter(words, lambda w: F.rlike(w, F.lit("^[0-9]+$"))), lambda w: w.try_cast("long"))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda x: x.between(1, 10))))
 
 
-def aligned_terms(df: DataFrame, weights: DataFrame, docs: DataFrame) -> DataFrame:
-    """Whether any of a source's five top terms is a word of the label, or the other way round."""
-    top = search.top_terms(weights, docs, 5).groupBy("source").agg(F.collect_list("term").alias("terms"))
-    return df.hint("merge").join(top, "source").select("id", F.exists("terms", lambda t: F.contains(F.col("label"), t) | F.exists(tokens(F.col("label")), lambda w: F.contains(t, w))).alias("aligned"))
+def _aligned(s, d):
+    """Catalog labels against the top terms of the sources of documents, dealt to them by id."""
+    docs = search._docs(s, d)
+    top = search.top_terms(search.tfidf(docs), docs, 5).groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct("rn", "term"))), lambda z: z["term"]).alias("terms"))
+    listed = top.agg(F.sort_array(F.collect_list(F.struct("source", "terms"))).alias("sources"))  # five terms of each source
+    one = search.catalog(s, d).crossJoin(F.broadcast(listed)).select("id", "label", F.get("sources", F.pmod(F.col("id"), F.size("sources")).cast("int")).alias("z"))
+    return one.select("id", "z.source", aligned(F.col("label"), F.col("z.terms")).alias("aligned"))
 
 
-def effective_config(df: DataFrame) -> DataFrame:
-    """Channel and layer of each stem by its role, unless the caller chose by hand (every third track)."""
-    p = stem_profiles(df)
-    manual = F.col("track") % 3 == 0
-    return p.select(*SERIES, F.when(manual, "manual").when(F.col("role") == "percussive", "transient").when(F.col("role") == "sustained", "energy").otherwise("novelty").alias("channel"), F.when(manual | (F.col("role") == "sparse"), "combined").otherwise("flash").alias("layer"))
-
-
-def _config(s, d):
-    return effective_config(frames(s, d))
+def supplements(s, d):
+    """(block, feature_id, terms, spatial_pattern) of every feature: top terms of the prompts of its items, and where on the grid it fires."""
+    stats = activation.aggregate_positions(activation.activation_log(s, d))
+    patterns = activation.spatial_pattern(activation.region_shares(activation.heat_map(stats)))
+    terms = activation.feature_terms(stats, search.tfidf(search._docs(s, d)))
+    return activation.dense(patterns.hint("merge").join(terms, ["block", "feature_id"], "left"))
 
 
 def _replies(s, d):
-    return table(s, d, "part").select("p_partkey", number_list(F.concat_ws(", ", F.col("p_size"), F.lit("x"), F.col("p_partkey") % 13, F.lit("7. end"))).alias("numbers"))
+    return table(s, d, "part").select("p_partkey", number_list(F.concat(F.col("p_size"), F.lit(", x10 "), F.col("p_partkey") % 13, F.lit(" 7. end;"))).alias("numbers"))
 
 
 def _no_spatial(s, d):
@@ -102,35 +83,24 @@ QUERIES = {
     "fn_stage_map": lambda s, d: frames(s, d).select(*SERIES, "frame_idx", stage_map(clamp(F.col("v") / 500.0), F.lit(-20.0), F.lit(5.0), F.lit(30.0), F.lit(0.7)).alias("staged")),
     "fn_activity_gate": lambda s, d: frames(s, d).select(*SERIES, "frame_idx", F.when(F.col("v") > 0, clamp((20 * F.log10(F.col("v") / 500.0) + 40) / 40)).otherwise(0.0).alias("gate")),
     "fn_log_pitch": lambda s, d: frames(s, d).select(*SERIES, "frame_idx", clamp(F.log(F.greatest(F.col("v"), F.lit(80.0)) / 80.0) / F.log(F.lit(25.0))).alias("pitch")),
-    "fn_pitch_bin": lambda s, d: frames(s, d).select(*SERIES, "frame_idx", F.least(F.floor(12 * clamp(F.col("v") / 500.0)), F.lit(11)).cast("int").alias("bin")),
-    "fn_time_to_frame": lambda s, d: table(s, d, "events").select("event_id", F.greatest(F.lit(0), F.least(F.lit(FRAMES - 1), F.bround(F.col("event_id") * 0.25).cast("int"))).alias("frame")),
+    "fn_pitch_bin": lambda s, d: frames(s, d).select(*SERIES, "frame_idx", F.least(F.floor(12 * clamp(F.col("v") / SCALE)), F.lit(11)).cast("int").alias("bin")).withColumn("mask", pitch_mask(F.col("bin"))),
+    "fn_time_to_frame": lambda s, d: table(s, d, "events").crossJoin(F.broadcast(hours(table(s, d, "events")).select("n"))).select("event_id", F.greatest(F.lit(0), F.least(F.col("n") - 1, F.bround(F.col("event_id") * 0.25).cast("int"))).alias("frame")),
     "fn_crop_window": _crops,
     "fn_mean_scaling": _scaled,
-    "fn_classify_component": lambda s, d: stem_profiles(frames(s, d)).select(*SERIES, F.when(F.least(F.col("density") * 4, F.lit(1.0)) > F.col("mean_energy") * 5, "rhythm").when(F.col("mean_energy") > 0.05, "melody").otherwise("texture").alias("component")),
-    "fn_good_for": lambda s, d: tags(frames(s, d)).select(*SERIES, "good_for"),
-    "fn_preferred_source": lambda s, d: tags(frames(s, d)).select(*SERIES, "preferred_source"),
-    "fn_movement_words": lambda s, d: stem_profiles(frames(s, d)).select(*SERIES, F.when(F.col("density") > 0.05, "strike").when(F.col("top") > 450, "surge").otherwise("drift").alias("word")),
-    "fn_affordances": lambda s, d: target_profile(frames(s, d)).select(*SERIES, F.concat_ws("+", F.when(F.col("dynamic_range") > 0, "scale"), F.when(F.col("active_ratio") > 0.05, "gate"), F.lit("hold")).alias("affordances")),
-    "fn_sample_position": lambda s, d: sample_position(frames(s, d)),
-    "fn_link_target": lambda s, d: routed(frames(s, d)),
     "fn_parse_number_list": _replies,
-    "fn_tfidf_aligns": lambda s, d: aligned_terms(table(s, d, "documents").select(F.col("doc_id").alias("id"), "source", F.lower(F.substring("text", 1, 30)).alias("label")), search.tfidf(search._docs(s, d)), search._docs(s, d)),
-    "prj_effective_config": _config,
+    "fn_tfidf_aligns": _aligned,
     "flt_spatial_exclude": _no_spatial,
-    "agg_overall_activity": lambda s, d: frames(s, d).hint("merge").join(_config(s, d).filter("channel <> 'manual'"), list(SERIES)).groupBy("track").agg(F.avg(F.col("v") / 500.0).alias("activity")),
+    "snk_supplement_dense": supplements,
     "agg_percentile_bundle": lambda s, d: target_profile(frames(s, d)).select(*SERIES, "p10", "p50", "p90", "dynamic_range"),
     "agg_curve_score": lambda s, d: target_profile(frames(s, d)).select(*SERIES, "score"),
     "agg_active_ratio": lambda s, d: target_profile(frames(s, d)).select(*SERIES, "active_ratio"),
     "agg_onset_density": lambda s, d: target_profile(frames(s, d)).select(*SERIES, "onset_density"),
     "agg_mean_tfidf": lambda s, d: search.tfidf(search._docs(s, d)).groupBy("term").agg((F.sum("weight") / search._docs(s, d).count()).alias("mean_weight")),
-    "ml_browse": lambda s, d: search.catalog(s, d).withColumn("rn", F.row_number().over(Window.partitionBy("block", "category").orderBy(F.desc("mean_activation"), "id"))).withColumn("n", F.count("*").over(Window.partitionBy("block", "category"))).filter("rn <= 3").select("block", "category", "n", "id", "rn"),
-    "snk_feature_sets": lambda s, d: activation.top_items(activation.aggregate_positions(activation.activation_log(s, d)), 3).groupBy("block", "feature_id").agg(F.array_sort(F.collect_list("item_id")).alias("items"), F.count("*").alias("n")),
-    "snk_telemetry": lambda s, d: table(s, d, "events").groupBy(F.unix_seconds(F.date_trunc("day", "ts")).alias("start_s")).agg(F.count("*").alias("n"), F.avg("value").alias("mean_ms"), F.max("value").alias("max_ms")),
 }
 
 _ACT = activation.STATS_SQL
 _TP = f"""q AS (SELECT track, stem, quantile_cont(v, 0.1) AS p10, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.9) AS p90, avg(v) AS mean_v, stddev_pop(v) AS sd, count(*) FILTER (v > 0) AS n FROM frames GROUP BY ALL),
-tp AS (SELECT track, stem, p10, p50, p90, p90 - p10 AS dynamic_range, 0.5 * mean_v + 0.5 * p90 AS score, active_ratio, n / {FRAMES}.0::DOUBLE AS onset_density FROM q JOIN (
+tp AS (SELECT track, stem, p10, p50, p90, p90 - p10 AS dynamic_range, 0.5 * mean_v + 0.5 * p90 AS score, active_ratio, n / {N}::DOUBLE AS onset_density FROM q JOIN (
   SELECT track, stem, avg((v > greatest(0.08, p50 + 0.1 * sd))::INT) AS active_ratio FROM frames JOIN q USING (track, stem) GROUP BY ALL) USING (track, stem))"""
 _C = "greatest(0.0, least(1.0, {0}))"
 _X = _C.format("v / 500.0")
@@ -139,36 +109,21 @@ ORACLE_SQL = {
     "fn_stage_map": f"WITH {_FRAMES} SELECT track, stem, frame_idx, {_C.format(f'(5.0 + 0.7 * ((-20.0 + {_X} * 50.0) - 5.0) + 20.0) / 50.0')}::DOUBLE AS staged FROM frames",
     "fn_activity_gate": f"WITH {_FRAMES} SELECT track, stem, frame_idx, CASE WHEN v > 0 THEN {_C.format('(20 * log10(v / 500.0) + 40) / 40')} ELSE 0.0 END AS gate FROM frames",
     "fn_log_pitch": f"WITH {_FRAMES} SELECT track, stem, frame_idx, {_C.format('ln(greatest(v, 80.0) / 80.0) / ln(25.0)')} AS pitch FROM frames",
-    "fn_pitch_bin": f"WITH {_FRAMES} SELECT track, stem, frame_idx, least(floor(12 * {_X}), 11)::INTEGER AS bin FROM frames",
-    "fn_time_to_frame": f"SELECT event_id, greatest(0, least({FRAMES - 1}, round_even(event_id * 0.25, 0)::INTEGER)) AS frame FROM events",
+    "fn_pitch_bin": f"WITH {_FRAMES} SELECT track, stem, frame_idx, least(floor(12 * {_X}), 11)::INTEGER AS bin, list_transform(range(0, 8), lambda y: exp(-(y / 7.0::DOUBLE - (1 - least(floor(12 * {_X}), 11) / 11.0::DOUBLE)) * (y / 7.0::DOUBLE - (1 - least(floor(12 * {_X}), 11) / 11.0::DOUBLE)) / 0.125)) AS mask FROM frames",
+    "fn_time_to_frame": f"WITH {_FRAMES} SELECT event_id, greatest(0, least({N} - 1, round_even(event_id * 0.25, 0)::INTEGER)) AS frame FROM events",
     "fn_crop_window": f"WITH {_ACT} SELECT block, feature_id, item_id, greatest(0, least(352, grid_col * 128 - 16))::INTEGER AS x, greatest(0, least(352, grid_row * 128 - 16))::INTEGER AS y FROM stats",
     "fn_mean_scaling": f"""WITH {_ACT}, m AS (SELECT block, feature_id, avg(mean_value) AS m FROM stats GROUP BY ALL)
 SELECT block, feature_id, 2.5 * coalesce(m, 0.0) AS strength FROM (SELECT (i % 4)::INTEGER AS block, (i // 4)::INTEGER AS feature_id FROM (SELECT unnest(range(0, 256)) AS i)) LEFT JOIN m USING (block, feature_id)""",
-    "fn_classify_component": f"WITH {_FRAMES}, {_PROF} SELECT track, stem, CASE WHEN least(density * 4, 1.0) > mean_energy * 5 THEN 'rhythm' WHEN mean_energy > 0.05 THEN 'melody' ELSE 'texture' END AS component FROM prof",
-    "fn_good_for": f"""WITH {_FRAMES}, {_PROF} SELECT track, stem, coalesce(nullif(concat_ws('+', CASE WHEN density > 0.05 THEN 'pulse' END, CASE WHEN mean_energy > 0.02 THEN 'position' END, CASE WHEN top > 400 THEN 'flash' END), ''), 'ambient') AS good_for FROM prof""",
-    "fn_preferred_source": f"WITH {_FRAMES}, {_PROF} SELECT track, stem, CASE WHEN role = 'percussive' THEN 'transient' WHEN mean_energy > 0.02 THEN 'envelope' ELSE 'brightness' END AS preferred_source FROM prof",
-    "fn_movement_words": f"WITH {_FRAMES}, {_PROF} SELECT track, stem, CASE WHEN density > 0.05 THEN 'strike' WHEN top > 450 THEN 'surge' ELSE 'drift' END AS word FROM prof",
-    "fn_affordances": f"WITH {_FRAMES}, {_TP} SELECT track, stem, concat_ws('+', CASE WHEN dynamic_range > 0 THEN 'scale' END, CASE WHEN active_ratio > 0.05 THEN 'gate' END, 'hold') AS affordances FROM tp",
-    "fn_sample_position": f"""WITH {_FRAMES}, x AS (SELECT *, CASE WHEN stem = 'view' THEN 'chroma' WHEN v > 0 AND (frame_idx % 10) / 10.0::DOUBLE > 0.3::DOUBLE THEN 'pitch' ELSE 'brightness' END AS source FROM frames)
-SELECT track, stem, frame_idx, source, CASE source WHEN 'chroma' THEN (frame_idx % 12) / 12.0::DOUBLE WHEN 'pitch' THEN {_X} ELSE 0.5::DOUBLE END AS position FROM x""",
-    "fn_link_target": f"""WITH {_FRAMES} SELECT track, frame_idx, 'stem:' || stem AS target, v FROM frames UNION ALL SELECT track, frame_idx, 'global', avg(v) FROM frames WHERE stem IN ('click', 'purchase', 'view') GROUP BY ALL
-UNION ALL SELECT track, frame_idx, 'derived:quiet', 1 - {_X} FROM frames WHERE stem = 'view'""",
-    "fn_parse_number_list": "SELECT p_partkey, list_filter([p_size::BIGINT, p_partkey % 13, 7], lambda x: x BETWEEN 1 AND 10) AS numbers FROM part",
-    "fn_tfidf_aligns": f"""WITH {search._TFIDF}, m AS (SELECT source, term, round(sum(weight) / (SELECT count(*) FROM documents x WHERE x.source = d.source), 9) AS w FROM tfidf JOIN documents d USING (doc_id) GROUP BY source, term),
-top AS (SELECT source, list(term) AS terms FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY w DESC, term) AS rn FROM m WHERE w > 0) WHERE rn <= 5 GROUP BY source),
-l AS (SELECT doc_id AS id, source, lower(substr(text, 1, 30)) AS label FROM documents)
-SELECT id, len(list_filter(terms, lambda t: contains(label, t) OR len(list_filter(regexp_extract_all(label, '[a-z0-9]+'), lambda w: contains(t, w))) > 0)) > 0 AS aligned FROM l JOIN top USING (source)""",
-    "prj_effective_config": f"""WITH {_FRAMES}, {_PROF} SELECT track, stem, CASE WHEN track % 3 = 0 THEN 'manual' WHEN role = 'percussive' THEN 'transient' WHEN role = 'sustained' THEN 'energy' ELSE 'novelty' END AS channel,
-  CASE WHEN track % 3 = 0 OR role = 'sparse' THEN 'combined' ELSE 'flash' END AS layer FROM prof""",
+    "fn_parse_number_list": "SELECT p_partkey, list_sort(list_distinct(list_filter([p_size::BIGINT, p_partkey % 13, 7], lambda x: x BETWEEN 1 AND 10))) AS numbers FROM part",
+    "fn_tfidf_aligns": f"""WITH {search._TFIDF}, {search._CAT}, m AS (SELECT source, term, round(sum(weight) / (SELECT count(*) FROM documents x WHERE x.source = d.source), 9) AS w FROM tfidf JOIN documents d USING (doc_id) GROUP BY source, term),
+top AS (SELECT source, list(term ORDER BY rn) AS terms FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY w DESC, term) AS rn FROM m WHERE w > 0) WHERE rn <= 5 GROUP BY source),
+numbered AS (SELECT *, row_number() OVER (ORDER BY source) - 1 AS i, count(*) OVER () AS k FROM top)
+SELECT id, source, len(list_filter(terms, lambda t: contains(label, lower(t)) OR len(list_filter(string_split(label, ' '), lambda w: contains(lower(t), w))) > 0)) > 0 AS aligned FROM cat JOIN numbered ON id % k = i""",
+    "snk_supplement_dense": activation.supplements_sql(search._TFIDF),
     "flt_spatial_exclude": f"WITH {activation._HEAT} SELECT block, feature_id, item_id FROM stats ANTI JOIN (SELECT * FROM patterns WHERE spatial_pattern IS NOT NULL) USING (block, feature_id)",
-    "agg_overall_activity": f"WITH {_FRAMES} SELECT track, avg(v / 500.0) AS activity FROM frames WHERE track % 3 <> 0 GROUP BY track",
     "agg_percentile_bundle": f"WITH {_FRAMES}, {_TP} SELECT track, stem, p10, p50, p90, dynamic_range FROM tp",
     "agg_curve_score": f"WITH {_FRAMES}, {_TP} SELECT track, stem, score FROM tp",
     "agg_active_ratio": f"WITH {_FRAMES}, {_TP} SELECT track, stem, active_ratio FROM tp",
     "agg_onset_density": f"WITH {_FRAMES}, {_TP} SELECT track, stem, onset_density FROM tp",
     "agg_mean_tfidf": f"WITH {search._TFIDF} SELECT term, sum(weight) / (SELECT count(*) FROM documents) AS mean_weight FROM tfidf GROUP BY term",
-    "ml_browse": f"""WITH {search._CAT} SELECT block, category, n, id, rn FROM (SELECT *, row_number() OVER (PARTITION BY block, category ORDER BY mean_activation DESC, id)::INTEGER AS rn, count(*) OVER (PARTITION BY block, category) AS n FROM cat) WHERE rn <= 3""",
-    "snk_feature_sets": f"""WITH {_ACT} SELECT block, feature_id, list_sort(list(item_id)) AS items, count(*) AS n FROM (
-  SELECT *, row_number() OVER (PARTITION BY block, feature_id ORDER BY mean_value DESC, item_id) AS rn FROM stats) WHERE rn <= 3 GROUP BY ALL""",
-    "snk_telemetry": "SELECT epoch(date_trunc('day', ts))::BIGINT AS start_s, count(*) AS n, avg(value) AS mean_ms, max(value) AS max_ms FROM events GROUP BY 1",
 }

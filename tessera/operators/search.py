@@ -5,14 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import jaccard, label_key, token_variants, tokens
+from tessera.functions.text import STOPWORDS, TERM_STOPWORDS, cosine, hashed_vector, hashed_vector_sql, jaccard, label_key, token_variants, tokens
 from tessera.operators.activation import hashed
-from tessera.session import table
+from tessera.session import delete_at_exit, materialize, scratch_path, table
 
 K1, B = 1.5, 0.75
 PHRASE = 1.5
 LEXICAL, SEMANTIC, QUALITY = 0.72, 0.20, 0.08
 QUERIES_IN = ("small blue anvil", "promo anvils", "large bolts and gears")
+#: Labels this alike are one in a pick; malformed categories; how many semantic hits a search takes for each pick, and at least.
+NEAR_DUPLICATE = 0.86
+CATEGORY_FIXES = {"** lighting": "lighting", "setting/environment": "setting"}
+HITS_FOR_PICK, LEAST_HITS = 12, 64
+#: Entries of the built-in label vectors; candidates that one pick looks at for each that it takes.
+DIMS, POOL = 64, 20
+#: Shares of a palette's buckets up to a divergence, and the temperature of each bucket's draws.
+MIXES = (
+    (0.35, {"anchor": 0.55, "adjacent": 0.30, "orthogonal": 0.10, "wildcard": 0.05, "anti_semantic": 0.0}),
+    (0.70, {"anchor": 0.35, "adjacent": 0.30, "orthogonal": 0.25, "wildcard": 0.10, "anti_semantic": 0.0}),
+    (0.90, {"anchor": 0.25, "adjacent": 0.25, "orthogonal": 0.30, "wildcard": 0.15, "anti_semantic": 0.05}),
+    (2.0, {"anchor": 0.15, "adjacent": 0.20, "orthogonal": 0.35, "wildcard": 0.25, "anti_semantic": 0.05}),
+)
+TEMPERATURES = {"orthogonal": 0.85, "wildcard": 0.95, "anti_semantic": 1.0}
+ADJACENT_TERMS = "edge detail texture lateral contrast"
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +39,35 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_category() -> Column:
+    """Categories as they come, some malformed."""
+    return F.when(F.col("id") % 5 == 0, "** lighting").when(F.col("id") % 7 == 0, "setting/environment").otherwise(F.col("category"))
+
+
+def fixed_category(category: Column) -> Column:
+    fixes = F.create_map(*[F.lit(x) for pair in CATEGORY_FIXES.items() for x in pair])
+    return F.coalesce(F.element_at(fixes, category), category)
+
+
+def write_catalog(spark: SparkSession, sf_dir: str) -> str:
+    """Compact catalogs as JSON, a folder for each block: fixed category, activation to two places under its short name, by id; low confidence is left out."""
+    rows = catalog(spark, sf_dir).withColumn("category", raw_category())
+    compact = rows.select("block", "id", "label", fixed_category(F.col("category")).alias("category"), F.when(F.col("confidence") != "low", F.col("confidence")).alias("confidence"), F.round("mean_activation", 2).alias("meanActivation"))
+    path = scratch_path(spark, "catalog")
+    compact.repartition("block").sortWithinPartitions("block", "id").write.partitionBy("block").json(path)
+    delete_at_exit(spark, path)
+    return path
+
+
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """(block, id, label, category, confidence, mean_activation) of compact catalogs; either name of the activation will do, missing fields take their defaults."""
+    rows = spark.read.schema("block string, id long, label string, category string, confidence string, meanActivation double, mean_activation double").json(path)
+    return rows.select(
+        "block", "id", F.coalesce("label", F.lit("unlabeled")).alias("label"), F.coalesce("category", F.lit("unknown")).alias("category"), F.coalesce("confidence", F.lit("low")).alias("confidence"),
+        F.coalesce("meanActivation", "mean_activation").alias("mean_activation"),
+    )
+
+
 def user_queries(spark: SparkSession) -> DataFrame:
     """The few phrases that a caller asks for."""
     return spark.createDataFrame([(i, q) for i, q in enumerate(QUERIES_IN)], "query_id int, phrase string")
@@ -45,14 +89,17 @@ def corpus_stats(rows: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, rows: DataFrame) -> DataFrame:
     """(query_id, block, id, lexical): BM25 of query tokens against labels, and a bonus where the whole phrase stands in the label.
 
-    Query tokens meet the inverted list by an equi-join; rows without a common token have no score.
+    The few query tokens go to the inverted list by broadcast; rows without a common token have no score.
     """
     asked = queries.select("query_id", "phrase", F.explode(F.array_distinct(token_variants(F.col("phrase")))).alias("token"))
-    stats = corpus_stats(rows)
-    hits = catalog_tokens(rows).hint("merge").join(stats, ["block", "token"]).hint("merge").join(asked, "token")
+    inverted = catalog_tokens(rows)
+    size = rows.select("block", F.size(token_variants(F.col("label"))).alias("n")).groupBy("block").agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_len"))
+    hits = inverted.join(F.broadcast(asked), "token")  # tokens of a caller's phrases
+    df = hits.select("block", "token", "id").distinct().groupBy("block", "token").agg(F.count("*").alias("df"))
+    known = hits.hint("merge").join(df, ["block", "token"]).hint("merge").join(size, "block")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    scored = hits.groupBy("query_id", "phrase", "block", "id").agg(F.sum(part).alias("s"))
+    scored = known.groupBy("query_id", "phrase", "block", "id").agg(F.sum(part).alias("s"))
     found = scored.hint("merge").join(rows.select("block", "id", "label"), ["block", "id"])
     return found.select("query_id", "block", "id", (F.col("s") + F.when(F.contains("label", F.lower("phrase")), PHRASE).otherwise(0.0)).alias("lexical"))
 
@@ -74,40 +121,125 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
-    """The k nearest vectors by cosine of each vector whose id is a multiple of ``every``.
+    """The k nearest vectors by cosine of each vector whose id is a multiple of ``every``; none for a vector of no length.
 
-    The queries are a stated set, gathered into blocks of 64 so that each block meets
-    all rows once; rows keep their partition, only each partition's best k move on.
+    The queries are a stated set, gathered into blocks of 64.  Rows are dealt into parts,
+    and each part meets each block once; only each part's best k of a query move on.
     """
+    spark = vectors.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     unit_rows = vectors.select("vec_id", unit(F.col("embedding")).alias("v"))
-    asked = unit_rows.filter(F.col("vec_id") % every == 0)
+    asked = unit_rows.filter(F.col("vec_id") % every == 0).filter(dot(F.col("v"), F.col("v")) > 0)
     blocks = asked.groupBy(F.expr(f"vec_id div {every * 64}").alias("block")).agg(F.collect_list(F.struct(F.col("vec_id").alias("q"), F.col("v").alias("qv"))).alias("asks"))
-    scored = unit_rows.join(blocks).select("vec_id", "v", F.explode("asks").alias("a")).filter(F.col("a.q") != F.col("vec_id")).select(F.col("a.q").alias("query_id"), "vec_id", F.round(dot(F.col("v"), F.col("a.qv")), 9).alias("cosine"))
+    dealt = unit_rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)))
+    met = dealt.hint("merge").join(blocks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))), "part")
+    scored = met.select("part", "vec_id", "v", F.explode("asks").alias("a")).filter(F.col("a.q") != F.col("vec_id")).select("part", F.col("a.q").alias("query_id"), "vec_id", F.round(dot(F.col("v"), F.col("a.qv")), 9).alias("cosine"))
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
-    return scored.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k)
+    return scored.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k).drop("part")
 
 
-def hybrid(queries: DataFrame, rows: DataFrame, k: int = 8) -> DataFrame:
-    """Top k of 0.72 lexical / max lexical + 0.20 semantic + 0.08 quality; equal labels count once in a block.
+def diverse(rows: DataFrame, keys: list[str], k: int, pool: int = POOL) -> DataFrame:
+    """A greedy pick of k rows for each combination of ``keys``, best score first, then id, that skips labels like one already picked.
 
-    The semantic part is the Jaccard share of tokens where no vectors are given.
+    Labels are alike if their tokens are equal in order or overlap by NEAR_DUPLICATE of their union.  Of
+    equal labels only the best goes on; the pick then looks at the ``pool`` times k best that are
+    left, so its list is bounded.  Returns the rows' columns, rn from 1 and diversity.
     """
-    found = bm25(queries, rows).hint("merge").join(rows, ["block", "id"]).hint("merge").join(queries, "query_id")
-    top = F.max("lexical").over(Window.partitionBy("query_id"))
-    semantic = jaccard(tokens(F.col("phrase")), tokens(F.col("label")))
-    score = F.round(LEXICAL * F.col("lexical") / top + SEMANTIC * semantic + QUALITY * quality(F.col("confidence"), F.col("mean_activation")), 9)
-    scored = found.withColumn("score", score).withColumn("key", label_key(F.col("label")))
-    once = scored.withColumn("dup", F.row_number().over(Window.partitionBy("query_id", "block", "key").orderBy(F.desc("score"), "id"))).filter("dup = 1")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "block", "id")
-    return once.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k).select("query_id", "block", "id", "label", "score", "rn")
-
-
-def weighted_sample(rows: DataFrame, k: int = 3, temperature: float = 0.5, seed: str = "s") -> DataFrame:
-    """k rows of each block by softmax weights without replacement: the largest score / T plus hashed Gumbel noise."""
+    columns = rows.columns
+    named = rows.withColumn("_key", label_key(F.col("label"))).withColumn("_rank", F.round("score", 9))
+    once = named.withColumn("_dup", F.row_number().over(Window.partitionBy(*keys, "_key").orderBy(F.desc("_rank"), "id"))).filter("_dup = 1")
+    best = once.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_rank"), "id"))).filter(F.col("_place") <= pool * k)
+    listed = best.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_place", "_key", F.array_distinct(tokens(F.col("label"))).alias("_tokens"), F.struct(*columns).alias("_row")))).alias("c"))
+    none = F.slice("c", 1, 0)
+
+    def step(taken: Column, x: Column) -> Column:
+        like = F.exists(taken, lambda y: jaccard(y["_tokens"], x["_tokens"]) >= NEAR_DUPLICATE)
+        return F.when((F.size(taken) >= k) | like, taken).otherwise(F.concat(taken, F.array(x)))
+
+    picked = listed.select(F.posexplode(F.aggregate("c", none, step)).alias("i", "x"))
+    return picked.select(*[F.col(f"x._row.{c}").alias(c) for c in columns], (F.col("i") + 1).alias("rn"), (1 - F.col("i") / F.lit(float(k))).alias("diversity"))
+
+
+def semantic_hits(queries: DataFrame, rows: DataFrame, limit: int) -> DataFrame:
+    """(query_id, block, id, semantic): the ``limit`` labels of each block nearest to each phrase by the cosine of their vectors."""
+    asked = queries.select("query_id", hashed_vector(F.lower("phrase"), DIMS).alias("q"))
+    scored = rows.select("block", "id", hashed_vector(F.lower("label"), DIMS).alias("v")).join(F.broadcast(asked)).select("query_id", "block", "id", F.round(cosine(F.col("v"), F.col("q")), 9).alias("semantic"))
+    order = Window.partitionBy("query_id", "block").orderBy(F.desc("semantic"), "id")
+    return scored.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= limit).drop("rn")
+
+
+def hybrid(queries: DataFrame, rows: DataFrame, k: int = 8, semantic: bool = True) -> DataFrame:
+    """The pick of k labels for each query and block by 0.72 lexical / largest lexical + 0.20 semantic + 0.08 quality.
+
+    Candidates have a token of the phrase or are among the max(12 k, 64) nearest of their
+    block; the largest lexical score is that of the query's candidates in the block.  A
+    phrase without tokens ranks by quality alone.  fallback says why there was no semantic part.
+    """
+    asked = queries.withColumn("asks", F.size(token_variants(F.col("phrase"))) > 0)
+    lexical = bm25(queries, rows)
+    if semantic:
+        near = semantic_hits(queries, rows, max(HITS_FOR_PICK * k, LEAST_HITS)).filter("semantic > 0")
+        found = lexical.hint("merge").join(near, ["query_id", "block", "id"], "full").select("query_id", "block", "id", F.coalesce("lexical", F.lit(0.0)).alias("lexical"), F.coalesce("semantic", F.lit(0.0)).alias("semantic"))
+    else:
+        found = lexical.withColumn("semantic", F.lit(0.0))
+    top = F.max("lexical").over(Window.partitionBy("query_id", "block"))
+    full = found.withColumn("top", top).hint("merge").join(rows, ["block", "id"]).join(F.broadcast(asked.select("query_id", "asks")), "query_id")
+    own = quality(F.col("confidence"), F.col("mean_activation"))
+    share = F.when(F.col("top") > 0, F.col("lexical") / F.col("top")).otherwise(0.0)
+    scored = full.select("query_id", "block", "id", "label", share.alias("lexical"), "semantic", own.alias("quality"), F.when(F.col("asks"), LEXICAL * share + SEMANTIC * F.col("semantic") + QUALITY * own).otherwise(own).alias("score"))
+    return diverse(scored, ["query_id", "block"], k).withColumn("fallback", F.lit(None if semantic else "semantic disabled").cast("string"))
+
+
+def weighted_sample(rows: DataFrame, k: int = 3, temperature: float = 0.5, seed: str = "s", by: tuple[str, ...] = ("block",)) -> DataFrame:
+    """k rows of each block (or other keys) by softmax weights without replacement: the largest score / T plus hashed Gumbel noise."""
     u = (hashed(F.lit(seed), F.col("block"), F.col("id")) + 0.5) / float(2**32)
     key = quality(F.col("confidence"), F.col("mean_activation")) / max(temperature, 0.05) - F.log(-F.log(u))
-    order = Window.partitionBy("block").orderBy(F.desc(F.round("key", 9)), "id")
-    return rows.withColumn("key", key).withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k).select("block", "id", "rn")
+    order = Window.partitionBy(*by).orderBy(F.desc(F.round("key", 9)), "id")
+    return rows.withColumn("key", key).withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k).select(*by, "id", "rn")
+
+
+def browse(rows: DataFrame, category: str | None = None, k: int = 12, temperature: float = 0.6, seed: str = "browse") -> DataFrame:
+    """Every category of each block with its size and up to three draws, or one category (exact, else as a part) with up to k."""
+    if category is None:
+        sizes = rows.groupBy("block", "category").agg(F.count("*").alias("n"))
+        return weighted_sample(rows, min(k, 3), temperature, seed, ("block", "category")).hint("merge").join(sizes, ["block", "category"])
+    chosen = by_category(rows, category)
+    sizes = chosen.groupBy("block").agg(F.count("*").alias("n"))
+    return weighted_sample(chosen, k, temperature, f"{seed}-{category}").hint("merge").join(sizes, "block").withColumn("category", F.lit(category))
+
+
+def bucket_counts(per_block: int, divergence: float) -> dict[str, int]:
+    """How many labels of each bucket a palette takes: 8 to 40 in all, what is lacking from orthogonal, what is over from anchor."""
+    count = max(8, min(int(per_block), 40))
+    mix = next(m for upto, m in MIXES if max(0.0, min(1.0, divergence)) < upto)
+    counts = {bucket: round(count * share) for bucket, share in mix.items()}
+    counts["orthogonal"] += max(0, count - sum(counts.values()))
+    counts["anchor"] = max(min(counts["anchor"], 1), counts["anchor"] - max(0, sum(counts.values()) - count))
+    return counts
+
+
+def palette(spark: SparkSession, rows: DataFrame, theme: str, per_block: int = 24, divergence: float = 0.75) -> DataFrame:
+    """(block, id, bucket, rn): labels of each block in five buckets, none twice.
+
+    Anchors answer the theme, adjacent ones the theme with other terms, both by search; the others are
+    draws, hotter from bucket to bucket, from what is left.
+    """
+    chosen = None
+    rows = materialize(rows, "palette-rows")
+    for bucket, k in bucket_counts(per_block, divergence).items():
+        if not k:
+            continue
+        left = rows if chosen is None else rows.hint("merge").join(chosen.select("block", "id"), ["block", "id"], "left_anti")
+        if bucket in TEMPERATURES:
+            taken = weighted_sample(left, k, TEMPERATURES[bucket], f"palette-{bucket}-{theme}")
+        else:
+            phrase = theme if bucket == "anchor" else f"{theme} {ADJACENT_TERMS}"
+            taken = hybrid(spark.createDataFrame([(0, phrase)], "query_id int, phrase string"), left, k).select("block", "id", "rn")
+        part = materialize(taken.select("block", "id", F.lit(bucket).alias("bucket"), "rn"), f"palette-{bucket}")
+        chosen = part if chosen is None else chosen.unionByName(part)
+    return chosen
+
+
 
 
 def stratified(rows: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
@@ -140,19 +272,23 @@ def merge_last_wins(*sources: DataFrame) -> DataFrame:
     return ranked.groupBy("block", "id").agg(F.max_by("x", "x.priority").alias("x")).select("block", "id", "x.label", "x.category")
 
 
-def tfidf(docs: DataFrame, max_terms: int = 10_000, max_share: float = 0.95) -> DataFrame:
-    """(doc_id, term, weight): L2-normalised tf * (ln((1 + N) / (1 + df)) + 1) over terms of two letters or more.
+TERM = r"([\p{L}\p{N}_]{2,})"
+
+
+def tfidf(docs: DataFrame, max_terms: int = 10_000, max_share: float = 0.95, stop_words: tuple[str, ...] = TERM_STOPWORDS) -> DataFrame:
+    """(doc_id, term, weight): L2-normalised tf * (ln((1 + N) / (1 + df)) + 1) over words of two letters or more of any script.
 
-    Terms stand in at least two documents and at most ``max_share`` of them; the
-    ``max_terms`` most frequent are kept.  Everything is joins on the term.
+    Terms are no stop words and stand in at least two documents and at most ``max_share`` of them; the
+    ``max_terms`` most frequent are kept, which bounds what is broadcast.  Words are counted once, and written.
     """
-    counts = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9_]{2,})"), F.lit(1))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(1)), lambda w: ~w.isin(*stop_words))
+    counts = materialize(docs.select("doc_id", F.explode(words).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf")), "counts")
     n = docs.count()
     terms = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).filter((F.col("df") >= 2) & (F.col("df") <= max_share * n))
     terms = terms.orderBy(F.desc("total"), "term").limit(max_terms)
-    raw = counts.hint("merge").join(terms, "term").withColumn("w", F.col("tf") * (F.log((1.0 + n) / (1 + F.col("df"))) + 1))
-    norms = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.hint("merge").join(norms, "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    raw = counts.join(F.broadcast(terms), "term").select("doc_id", "term", (F.col("tf") * (F.log((1.0 + n) / (1 + F.col("df"))) + 1)).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
+    return raw.select("doc_id", "term", (F.col("w") / norm).alias("weight"))
 
 
 def top_terms(weights: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
@@ -169,7 +305,7 @@ def _docs(s, d):
 
 
 QUERIES = {
-    "src_catalog": catalog,
+    "src_catalog": lambda s, d: read_catalog(s, write_catalog(s, d)),
     "fn_tokenize": lambda s, d: catalog(s, d).select("id", tokens(F.col("label")).alias("tokens")),
     "fn_token_variants": lambda s, d: table(s, d, "part").select("p_partkey", token_variants(F.concat("p_name", F.lit("s running of the "), "p_type")).alias("variants")),
     "fn_label_key": lambda s, d: catalog(s, d).select("id", label_key(F.col("label")).alias("key")),
@@ -188,11 +324,13 @@ QUERIES = {
     "flt_neighborhood": lambda s, d: neighbourhood(catalog(s, d), 700),
     "top_weighted_sample": lambda s, d: weighted_sample(catalog(s, d)),
     "top_stratified": lambda s, d: stratified(catalog(s, d)),
-    "top_diverse": lambda s, d: catalog(s, d).withColumn("rn", F.row_number().over(Window.partitionBy("block", label_key(F.col("label"))).orderBy(F.desc("mean_activation"), "id"))).filter("rn = 1").select("block", "id", "label"),
+    "top_diverse": lambda s, d: diverse(catalog(s, d).select("block", "id", "label", quality(F.col("confidence"), F.col("mean_activation")).alias("score")), ["block"], 12),
     "top_palette_order": lambda s, d: catalog(s, d).withColumn("used", (F.col("id") % 3 == 0).cast("int")).withColumn("rn", F.row_number().over(Window.partitionBy("block").orderBy("used", "category", F.desc("mean_activation"), "id"))).filter("rn <= 24").select("block", "id", "rn"),
     "prj_compact": lambda s, d: catalog(s, d).withColumn("rn", F.row_number().over(Window.partitionBy("block").orderBy(F.desc("mean_activation"), "id"))).filter("rn <= 12").select("block", "id", "label", "category", "rn"),
-    "prj_category_fix": lambda s, d: catalog(s, d).select("id", F.element_at(F.create_map(*[F.lit(x) for kv in (("promo", "setting"), ("eco", "lighting")) for x in kv]), F.col("category")).alias("fixed"), "category").select("id", F.coalesce("fixed", "category").alias("category")),
-    "snk_compact_catalog": lambda s, d: catalog(s, d).select("block", "id", "label", "category", "confidence", F.round("mean_activation", 2).alias("mean_activation")).sortWithinPartitions("block", "id"),
+    "prj_category_fix": lambda s, d: catalog(s, d).select("id", raw_category().alias("raw")).select("id", fixed_category(F.col("raw")).alias("category")),
+    "snk_compact_catalog": lambda s, d: read_catalog(s, write_catalog(s, d)).groupBy("block").agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.sum("mean_activation").alias("activation"), F.array_sort(F.collect_set("category")).alias("categories")),
+    "ml_browse": lambda s, d: browse(catalog(s, d)).unionByName(browse(catalog(s, d), "promo")),
+    "ml_palette": lambda s, d: palette(s, catalog(s, d), "small blue anvil"),
     "agg_category_counts": lambda s, d: catalog(s, d).rollup("block", "category").agg(F.count("*").alias("n"), F.grouping_id().cast("int").alias("level")),
     "set_merge_last_wins": lambda s, d: merge_last_wins(catalog(s, d), catalog(s, d).filter("id % 3 = 0").withColumn("label", F.upper("label"))),
     "ml_tfidf": lambda s, d: tfidf(_docs(s, d)),
@@ -201,7 +339,7 @@ QUERIES = {
 
 _CAT = """cat AS (SELECT p_brand AS block, p_partkey AS id, lower(p_name || ' ' || p_type) AS label, lower(p_type) AS category,
   CASE p_partkey % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'unknown' END AS confidence, p_size::DOUBLE AS mean_activation FROM part)"""
-_STOP = "('a','an','and','are','as','at','be','by','for','from','in','into','is','it','of','on','or','the','to','with')"
+_STOP = "(" + ", ".join(f"'{w}'" for w in STOPWORDS) + ")"
 
 
 def _variants(x: str) -> str:
@@ -236,14 +374,81 @@ def _hash(*parts: str) -> str:
 
 
 _STRAT = f"SELECT block, id, rn FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY {_hash('42', 'block', 'id')}, id)::INTEGER AS rn FROM cat) WHERE rn <= 5"
-_TFIDF = """counts AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS term FROM documents) GROUP BY ALL),
+_TERM_STOP = "(" + ", ".join(f"'{w}'" for w in TERM_STOPWORDS) + ")"
+_TFIDF = rf"""counts AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM documents) WHERE term NOT IN {_TERM_STOP} GROUP BY ALL),
 n AS (SELECT count(*) AS n FROM documents),
 terms AS (SELECT term, count(*) AS df, sum(tf) AS total FROM counts, n GROUP BY term, n HAVING df >= 2 AND df <= 0.95 * n ORDER BY total DESC, term LIMIT 10000),
 raw AS (SELECT doc_id, term, tf * (ln((1.0 + n) / (1 + df)) + 1) AS w FROM counts JOIN terms USING (term), n),
 tfidf AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM raw)"""
+_SHARE = "CASE WHEN len({0}) = 0 OR len({1}) = 0 THEN 0.0 ELSE len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1}))) END"
+
+
+def _diverse_sql(source: str, keys: str, k: int, name: str, columns: str) -> str:
+    """CTE ``name``: the pick of ``diverse`` from the CTE ``source``(keys, columns, id, label, score), as a recursive query."""
+    names = [x.strip() for x in keys.split(",")]
+    on = " AND ".join(f"x.{c} = s.{c}" for c in names)
+    like = _SHARE.format("t", f"x.{name}_t")
+    return f"""{name}_o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys}, {name}_k ORDER BY round(score, 9) DESC, id) AS {name}_d FROM (SELECT *, array_to_string({_TOK.format('label')}, ' ') AS {name}_k, list_distinct({_TOK.format('label')}) AS {name}_t FROM {source})) WHERE {name}_d = 1),
+{name}_p AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY round(score, 9) DESC, id) AS {name}_i FROM {name}_o) WHERE {name}_i <= {POOL * k}),
+{name}_r AS (SELECT {keys}, 0::BIGINT AS i, []::VARCHAR[][] AS taken, false AS took FROM (SELECT DISTINCT {keys} FROM {name}_p)
+  UNION ALL SELECT {', '.join('s.' + c for c in names)}, s.i + 1, CASE WHEN len(s.taken) < {k} AND len(list_filter(s.taken, lambda t: {like} >= {NEAR_DUPLICATE})) = 0 THEN list_append(s.taken, x.{name}_t) ELSE s.taken END,
+    len(s.taken) < {k} AND len(list_filter(s.taken, lambda t: {like} >= {NEAR_DUPLICATE})) = 0 FROM {name}_r s JOIN {name}_p x ON {on} AND x.{name}_i = s.i + 1),
+{name} AS (SELECT {', '.join('x.' + c for c in [*names, *[c.strip() for c in columns.split(',')]])}, len(s.taken)::INTEGER AS rn, 1 - (len(s.taken) - 1) / {k}.0::DOUBLE AS diversity FROM {name}_r s JOIN {name}_p x ON {on} AND x.{name}_i = s.i WHERE s.took)"""
+
+
+def _bm_sql(queries: str, rows: str, p: str) -> str:
+    """CTE {p}bm(query_id, block, id, lexical) of the queries(query_id, phrase) against rows."""
+    return f"""{p}words AS (SELECT block, id, len(ts) AS doc_len, unnest(ts) AS token FROM (SELECT block, id, {_variants('label')} AS ts FROM {rows})),
+{p}inv AS (SELECT block, id, doc_len, token, count(*) AS tf FROM {p}words GROUP BY ALL),
+{p}size AS (SELECT block, count(*) AS n_docs, avg(len({_variants('label')})) AS avg_len FROM {rows} GROUP BY block),
+{p}stats AS (SELECT * FROM (SELECT block, token, count(*) AS df FROM {p}inv GROUP BY ALL) JOIN {p}size USING (block)),
+{p}qt AS (SELECT DISTINCT query_id, phrase, unnest({_variants('phrase')}) AS token FROM {queries}),
+{p}lex AS (SELECT query_id, phrase, block, id, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * doc_len / avg_len))) AS s
+        FROM {p}inv JOIN {p}stats USING (block, token) JOIN {p}qt USING (token) GROUP BY ALL),
+{p}bm AS (SELECT query_id, block, id, s + CASE WHEN contains(label, lower(phrase)) THEN 1.5 ELSE 0.0 END AS lexical FROM {p}lex JOIN {rows} USING (block, id))"""
+
+
+def _hybrid_sql(queries: str, rows: str, k: int, p: str) -> str:
+    """CTE {p}pick(query_id, block, id, label, lexical, semantic, quality, score, rn, diversity)."""
+    dot_ = "list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q)))"
+    size = "sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))"
+    return f"""{_bm_sql(queries, rows, p)},
+{p}av AS MATERIALIZED (SELECT query_id, {hashed_vector_sql('lower(phrase)', DIMS)} AS q FROM {queries}), {p}rv AS MATERIALIZED (SELECT block, id, {hashed_vector_sql('lower(label)', DIMS)} AS v FROM {rows}),
+{p}sem0 AS (SELECT query_id, block, id, round(CASE WHEN {size} > 1e-8 THEN {dot_} ELSE 0.0 END, 9) AS semantic FROM {p}rv, {p}av),
+{p}sem AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, block ORDER BY semantic DESC, id) AS rn FROM {p}sem0) WHERE rn <= {max(HITS_FOR_PICK * k, LEAST_HITS)} AND semantic > 0),
+{p}both AS (SELECT query_id, block, id, coalesce(lexical, 0.0) AS lexical, coalesce(semantic, 0.0) AS semantic FROM {p}bm FULL JOIN {p}sem USING (query_id, block, id)),
+{p}top AS (SELECT *, max(lexical) OVER (PARTITION BY query_id, block) AS top FROM {p}both),
+{p}sc0 AS (SELECT query_id, block, id, label, CASE WHEN top > 0 THEN lexical / top ELSE 0.0 END AS lexical, semantic, {_QUAL} AS quality FROM {p}top JOIN {rows} USING (block, id)),
+{p}sc AS (SELECT *, {LEXICAL} * lexical + {SEMANTIC} * semantic + {QUALITY} * quality AS score FROM {p}sc0), {_diverse_sql(f'{p}sc', 'query_id, block', k, f'{p}pick', 'id, label, lexical, semantic, quality, score')}"""
+
+
+def _sample_sql(rows: str, k: int, temperature: float, seed: str, by: str) -> str:
+    key = f"round({_QUAL} / {temperature}::DOUBLE - ln(-ln(({_hash(chr(39) + seed + chr(39), 'block', 'id')} + 0.5) / 4294967296.0::DOUBLE)), 9)"
+    return f"SELECT {by}, id, rn FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {key} DESC, id)::INTEGER AS rn FROM {rows}) WHERE rn <= {k}"
+
+
+def _palette_sql(theme: str, per_block: int = 24, divergence: float = 0.75) -> str:
+    out, chosen = [_CAT], []
+    for i, (bucket, k) in enumerate((b, k) for b, k in bucket_counts(per_block, divergence).items() if k):
+        avoid = " UNION ALL ".join(f"SELECT block, id FROM b{j}" for j in chosen)
+        out.append(f"left{i} AS MATERIALIZED (SELECT * FROM cat" + (f" ANTI JOIN ({avoid}) x USING (block, id))" if chosen else ")"))
+        if bucket in TEMPERATURES:
+            out.append(f"b{i} AS MATERIALIZED ({_sample_sql(f'left{i}', k, TEMPERATURES[bucket], f'palette-{bucket}-{theme}', 'block')})")
+        else:
+            phrase = theme if bucket == "anchor" else f"{theme} {ADJACENT_TERMS}"
+            out.append(f"ask{i} AS (SELECT 0 AS query_id, '{phrase}' AS phrase)")
+            out.append(_hybrid_sql(f"ask{i}", f"left{i}", k, f"h{i}"))
+            out.append(f"b{i} AS MATERIALIZED (SELECT block, id, rn FROM h{i}pick)")
+        chosen.append(i)
+    names = [b for b, k in bucket_counts(per_block, divergence).items() if k]
+    return f"WITH RECURSIVE {', '.join(out)} " + " UNION ALL ".join(f"SELECT block, id, '{b}' AS bucket, rn FROM b{i}" for i, b in enumerate(names))
+
+
+_COMPACT = f"""compact AS (SELECT block, id, label, CASE raw {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in CATEGORY_FIXES.items())} ELSE raw END AS category, confidence, round(mean_activation, 2) AS mean_activation FROM (
+  SELECT *, CASE WHEN id % 5 = 0 THEN '** lighting' WHEN id % 7 = 0 THEN 'setting/environment' ELSE category END AS raw FROM cat))"""
 
 ORACLE_SQL = {
-    "src_catalog": f"WITH {_CAT} SELECT * FROM cat",
+    "src_catalog": f"WITH {_CAT}, {_COMPACT} SELECT * FROM compact",
     "fn_tokenize": f"WITH {_CAT} SELECT id, {_TOK.format('label')} AS tokens FROM cat",
     "fn_token_variants": f"SELECT p_partkey, {_variants('''(p_name || 's running of the ' || p_type)''')} AS variants FROM part",
     "fn_label_key": f"WITH {_CAT} SELECT id, array_to_string({_TOK.format('label')}, ' ') AS key FROM cat",
@@ -253,10 +458,7 @@ ORACLE_SQL = {
     "join_query_catalog": f"WITH {_BM} SELECT inv.*, query_id FROM inv JOIN (SELECT DISTINCT query_id, token FROM qt) USING (token)",
     "fn_bm25": f"WITH {_BM} SELECT * FROM bm",
     "flt_no_signal": f"WITH {_BM} SELECT DISTINCT block, id FROM bm WHERE lexical > 0",
-    "ml_hybrid_search": f"""WITH {_BM}, scored AS (SELECT query_id, block, id, label, array_to_string({_TOK.format('label')}, ' ') AS key,
-  round(0.72 * lexical / max(lexical) OVER (PARTITION BY query_id) + 0.20 * {_jac('phrase', 'label')} + 0.08 * {_QUAL}, 9)::DOUBLE AS score FROM bm JOIN cat USING (block, id) JOIN asked USING (query_id)),
-once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, block, key ORDER BY score DESC, id) AS dup FROM scored) WHERE dup = 1)
-SELECT query_id, block, id, label, score, rn FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, block, id)::INTEGER AS rn FROM once) WHERE rn <= 8""",
+    "ml_hybrid_search": f"WITH RECURSIVE {_CAT}, {_Q}, {_hybrid_sql('asked', 'cat', 8, 'h')} SELECT *, NULL::VARCHAR AS fallback FROM hpick",
     "top_cosine": """WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings),
 scored AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.v, b.v), 9) AS cosine FROM u a JOIN u b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id)::INTEGER AS rn FROM scored) WHERE rn <= 5""",
@@ -272,11 +474,15 @@ SELECT block, id, place FROM s WHERE place >= start AND place < start + 20""",
     "top_weighted_sample": f"""WITH {_CAT}, k AS (SELECT *, round({_QUAL} / 0.5 - ln(-ln(({_hash("'s'", 'block', 'id')} + 0.5) / 4294967296.0::DOUBLE)), 9) AS k FROM cat)
 SELECT block, id, rn FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY k DESC, id)::INTEGER AS rn FROM k) WHERE rn <= 3""",
     "top_stratified": f"WITH {_CAT} {_STRAT}",
-    "top_diverse": f"WITH {_CAT} SELECT block, id, label FROM (SELECT *, row_number() OVER (PARTITION BY block, array_to_string({_TOK.format('label')}, ' ') ORDER BY mean_activation DESC, id) AS rn FROM cat) WHERE rn = 1",
+    "top_diverse": f"WITH RECURSIVE {_CAT}, scored AS (SELECT block, id, label, {_QUAL} AS score FROM cat), {_diverse_sql('scored', 'block', 12, 'pick', 'id, label, score')} SELECT * FROM pick",
     "top_palette_order": f"WITH {_CAT} SELECT block, id, rn FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY (id % 3 = 0)::INT, category, mean_activation DESC, id)::INTEGER AS rn FROM cat) WHERE rn <= 24",
     "prj_compact": f"WITH {_CAT} SELECT block, id, label, category, rn FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY mean_activation DESC, id)::INTEGER AS rn FROM cat) WHERE rn <= 12",
-    "prj_category_fix": f"WITH {_CAT} SELECT id, CASE category WHEN 'promo' THEN 'setting' WHEN 'eco' THEN 'lighting' ELSE category END AS category FROM cat",
-    "snk_compact_catalog": f"WITH {_CAT} SELECT block, id, label, category, confidence, round(mean_activation, 2) AS mean_activation FROM cat",
+    "prj_category_fix": f"WITH {_CAT}, {_COMPACT} SELECT id, category FROM compact",
+    "snk_compact_catalog": f"WITH {_CAT}, {_COMPACT} SELECT block, count(*) AS n, sum(id)::BIGINT AS ids, sum(mean_activation) AS activation, list_sort(list_distinct(list(category))) AS categories FROM compact GROUP BY block",
+    "ml_browse": f"""WITH {_CAT}, e AS (SELECT max((trim(category) = 'promo')::INT) AS e FROM cat), chosen AS (SELECT cat.* FROM cat, e WHERE CASE WHEN e = 1 THEN category = 'promo' ELSE contains(category, 'promo') END),
+a AS ({_sample_sql('cat', 3, 0.6, 'browse', 'block, category')}), b AS ({_sample_sql('chosen', 12, 0.6, 'browse-promo', 'block')})
+SELECT a.*, n FROM a JOIN (SELECT block, category, count(*) AS n FROM cat GROUP BY ALL) USING (block, category) UNION ALL BY NAME SELECT b.*, 'promo' AS category, n FROM b JOIN (SELECT block, count(*) AS n FROM chosen GROUP BY block) USING (block)""",
+    "ml_palette": _palette_sql("small blue anvil"),
     "agg_category_counts": f"WITH {_CAT} SELECT block, category, count(*) AS n, grouping(block, category)::INTEGER AS level FROM cat GROUP BY ROLLUP (block, category)",
     "set_merge_last_wins": f"WITH {_CAT} SELECT block, id, CASE WHEN id % 3 = 0 THEN upper(label) ELSE label END AS label, category FROM cat",
     "ml_tfidf": f"WITH {_TFIDF} SELECT * FROM tfidf",

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.search import dot, unit
-from tessera.operators.series import SERIES, frames
+from tessera.operators.series import _FRAMES, SERIES, _fold_sql, folded, frames
 from tessera.session import table
 
 BINS = 64
@@ -87,28 +89,60 @@ def top_peaks(df: DataFrame, k: int = 20) -> DataFrame:
     return cells.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k)
 
 
+#: Hertz of a bin, peaks of a spectrum, and the curve of dissonance over the critical band.
+BIN_HZ, PEAKS = 12.0, 20
+BAND_SCALE, BAND_SLOPE, BAND_FLOOR, SOFT, SHARP = 0.24, 0.021, 19.0, -3.5, -5.75
+
+
 def roughness(df: DataFrame) -> DataFrame:
-    """Plomp-Levelt sum over the pairs of the eight largest peaks of a spectrum, times four, at most one."""
-    listed = top_peaks(df, 8).groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("bin", "mag"))).alias("p"))  # eight of a spectrum
-    a, b = F.transform, F.flatten
-    pairs = b(a("p", lambda x: a(F.filter("p", lambda y: y["bin"] > x["bin"]), lambda y: x["mag"] * y["mag"] * (F.exp(-3.5 * (y["bin"] - x["bin"]) * 0.1) - F.exp(-5.75 * (y["bin"] - x["bin"]) * 0.1)))))
+    """Sum over the pairs of a spectrum's largest peaks of their dissonance, times four, at most one; amplitudes are shares of the peaks' sum."""
+    listed = top_peaks(df, PEAKS).groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("bin", "mag"))).alias("p"), F.greatest(F.sum("mag"), F.lit(1e-10)).alias("all"))
+
+    def pair(x: Column, y: Column) -> Column:
+        gap = (y["bin"] - x["bin"]) * BIN_HZ * BAND_SCALE / (BAND_SLOPE * BIN_HZ * x["bin"] + BAND_FLOOR)
+        return F.greatest(F.lit(0.0), x["mag"] / F.col("all") * (y["mag"] / F.col("all")) * (F.exp(SOFT * gap) - F.exp(SHARP * gap)))
+
+    pairs = F.flatten(F.transform("p", lambda x: F.transform(F.filter("p", lambda y: y["bin"] > x["bin"]), lambda y: pair(x, y))))
     return listed.select("vec_id", F.least(F.lit(1.0), 4 * total(pairs)).alias("roughness"))
 
 
+def tension(df: DataFrame) -> DataFrame:
+    """Entropy where a spectrum has much of it, else roughness; with a confidence (five times the largest share), more roughness the surer it is."""
+    e, r = F.col("entropy"), F.col("roughness")
+    x = roughness(df).hint("merge").join(df.select("vec_id", entropy(F.col("m")).alias("entropy"), clamp(5 * F.array_max(F.col("m")) / total(F.col("m"))).alias("confidence")), "vec_id")
+    blend = 1 / (1 + F.exp(-10 * (F.col("confidence") - 0.3)))
+    return x.select("vec_id", ((1 - clamp(e)) * r + clamp(e) * e).alias("tension"), (blend * r + (1 - blend) * e).alias("sure_tension"))
+
+
 def flux(df: DataFrame) -> DataFrame:
-    """Positive change of each bin since the spectrum before, summed, over the largest such sum of the label."""
+    """Positive change of each bin's share since the spectrum before, summed, over the largest such sum of the label."""
     w = Window.partitionBy("label").orderBy("vec_id")
-    before = F.lag("m").over(w)
-    raw = df.withColumn("before", before).withColumn("raw", F.when(F.col("before").isNull(), 0.0).otherwise(total(F.zip_with("m", "before", lambda x, y: F.greatest(F.lit(0.0), x - y)))))
+    x = df.withColumn("m", shares(F.col("m")))
+    raw = x.withColumn("before", F.lag("m").over(w)).withColumn("raw", F.when(F.col("before").isNull(), 0.0).otherwise(total(F.zip_with("m", "before", lambda x, y: F.greatest(F.lit(0.0), x - y)))))
     top = F.max("raw").over(Window.partitionBy("label"))
     return raw.withColumn("top", top).select("label", "vec_id", F.when(F.col("top") > 0, F.col("raw") / F.col("top")).otherwise(0.0).alias("flux"))
 
 
+#: Time constants of tonal distance in frames: quick for rises, slow for returns.
+RISE, RETURN = 3.6, 24.0
+
+
 def jsd_to_mean(df: DataFrame) -> DataFrame:
-    """Divergence of each spectrum's distribution from the mean distribution of its label."""
-    dist = df.select("label", "vec_id", shares(F.col("m")).alias("p"))
-    mean = dist.select("label", F.posexplode("p").alias("bin", "x")).groupBy("label", "bin").agg(F.avg("x").alias("x")).groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("bin", "x"))), lambda z: z["x"]).alias("q"))
-    return dist.hint("merge").join(mean, "label").select("label", "vec_id", divergence(F.col("p"), F.col("q")).alias("jsd"))
+    """Divergence of each spectrum's distribution from its label's mean one, smoothed from the first on and put between its 5th and 95th percentile."""
+    dist = df.select("label", "vec_id", shares(F.col("m")).alias("p"), F.col("m"))
+    sums = df.select("label", F.posexplode("m").alias("bin", "x")).groupBy("label", "bin").agg(F.sum("x").alias("x"))
+    mean = sums.groupBy("label").agg(shares(F.transform(F.sort_array(F.collect_list(F.struct("bin", "x"))), lambda z: z["x"])).alias("q"))
+    raw = dist.hint("merge").join(mean, "label").select(F.col("label").alias("track"), F.lit("all").alias("stem"), F.col("vec_id").alias("frame_idx"), clamp(divergence(F.col("p"), F.col("q"))).alias("jsd"))
+    up, down = 1 - math.exp(-1 / RISE), 1 - math.exp(-1 / RETURN)
+
+    def step(state: tuple, x: float) -> tuple:
+        y = state[0]
+        return (x if y is None else y + (up if x > y else down) * (x - y),)
+
+    smooth = folded(raw, step, (None,), ("jsd",), "smooth")
+    q = smooth.groupBy("track").agg(F.percentile("smooth", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
+    width = F.col("q")[1] - F.col("q")[0]
+    return smooth.hint("merge").join(q, "track").select(F.col("track").alias("label"), F.col("frame_idx").cast("long").alias("vec_id"), F.when(width > 1e-6, clamp((F.col("smooth") - F.col("q")[0]) / width)).otherwise(0.0).alias("distance"))
 
 
 def _labelled(s, d):
@@ -135,7 +169,7 @@ def _rules(s, d):
         clamp((0.5 + 0.8 * (0.1 + clamp(x) * 0.8 - 0.5))).alias("staged"),
         clamp(F.log(F.greatest(F.col("v"), F.lit(80.0)) / 80.0) / F.log(F.lit(2000.0 / 80.0))).alias("pitch"),
         F.least(F.floor(12 * clamp(x)), F.lit(11)).cast("int").alias("pitch_bin"),
-        F.least(F.lit(719), F.bround(F.col("frame_idx") * 0.5).cast("int")).alias("half_frame"),
+        F.bround(F.col("frame_idx") * 0.5).cast("int").alias("half_frame"),
     )
 
 
@@ -153,12 +187,12 @@ QUERIES = {
     "fn_entropy": lambda s, d: spectra(s, d).select("vec_id", entropy(F.col("m")).alias("entropy")),
     "fn_centroid": lambda s, d: spectra(s, d).select("vec_id", centroid(F.col("m")).alias("centroid")),
     "fn_flatness": lambda s, d: spectra(s, d).select("vec_id", flatness(F.col("m")).alias("flatness")),
-    "fn_circular_mean": lambda s, d: spectra(s, d).select("vec_id", circular_mean(F.slice("m", 1, 12)).alias("turn")),
+    "fn_circular_mean": lambda s, d: spectra(s, d).select("vec_id", circular_mean(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda b: total(F.filter(F.col("m"), lambda x, i: i % 12 == b)))).alias("turn")),
     "fn_slerp": lambda s, d: _pairs(s, d).select("vec_id", slerp(F.col("a"), F.col("b"), 0.3).alias("v")).select("vec_id", dot(F.col("v"), F.col("v")).alias("norm2"), F.element_at("v", 1).alias("first")),
     "fn_spectral_overlap": lambda s, d: _pairs(s, d).select("vec_id", overlap(F.transform("a", lambda x: F.abs(x)), F.transform("b", lambda x: F.abs(x))).alias("overlap")),
     "top_spectral_peaks": lambda s, d: top_peaks(spectra(s, d)),
     "fn_roughness": lambda s, d: roughness(spectra(s, d)),
-    "fn_tension": lambda s, d: roughness(spectra(s, d)).hint("merge").join(spectra(s, d), "vec_id").select("vec_id", (0.6 * F.col("roughness") + 0.4 * entropy(F.col("m"))).alias("tension")),
+    "fn_tension": lambda s, d: tension(spectra(s, d)),
     "win_first_diff_flux": lambda s, d: flux(_labelled(s, d)),
     "win_jsd_distance": lambda s, d: jsd_to_mean(_labelled(s, d)),
     "fn_mask_active": lambda s, d: spectra(s, d).select("vec_id", F.size(F.filter("m", lambda x: x > 0.1)).cast("long").alias("active")),
@@ -175,12 +209,11 @@ _U = "list_transform({0}, lambda x: x::DOUBLE / sqrt(list_sum(list_transform({0}
 _PAIR = f"""pairs AS (SELECT vec_id, {_U.format('embedding')} AS a, {_U.format('other')} AS b FROM (
   SELECT vec_id, embedding, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS other FROM embeddings) WHERE other IS NOT NULL)"""
 _CELLS = "cells AS (SELECT vec_id, unnest(range(0, 64))::INTEGER AS bin, unnest(m) AS mag FROM s)"
-_FR = """seen AS (
-  SELECT user_id % 10 AS track, event_type AS stem, floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 3600)::INTEGER AS frame_idx, avg(value) AS v FROM events GROUP BY ALL),
-frames AS (SELECT track, stem, frame_idx, coalesce(v, 0.0) AS v FROM (SELECT track, stem, unnest(range(0, 720))::INTEGER AS frame_idx FROM (SELECT DISTINCT track, stem FROM seen)) LEFT JOIN seen USING (track, stem, frame_idx))"""
+_FR = _FRAMES
 _DIRTY = f"{_FR}, dirty AS (SELECT track, stem, frame_idx, CASE WHEN frame_idx % 7 = 0 THEN 'nan'::DOUBLE WHEN frame_idx % 11 = 0 THEN 'inf'::DOUBLE WHEN frame_idx % 13 = 0 THEN '-inf'::DOUBLE ELSE v / 250.0 END AS x FROM frames)"
-_ROUGH = f"""{_M}, {_CELLS}, p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY mag DESC, bin) AS rn FROM cells WHERE bin > 2) WHERE rn <= 8),
-rough AS (SELECT a.vec_id, least(1.0, 4 * sum(a.mag * b.mag * (exp(-3.5 * (b.bin - a.bin) * 0.1) - exp(-5.75 * (b.bin - a.bin) * 0.1)))) AS roughness FROM p a JOIN p b ON a.vec_id = b.vec_id AND a.bin < b.bin GROUP BY a.vec_id)"""
+_ROUGH = f"""{_M}, {_CELLS}, p AS (SELECT *, mag / greatest(sum(mag) OVER (PARTITION BY vec_id), 1e-10) AS amp FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY mag DESC, bin) AS rn FROM cells WHERE bin > 2) WHERE rn <= {PEAKS}),
+g AS (SELECT a.vec_id, a.amp * b.amp AS aa, (b.bin - a.bin) * {BIN_HZ} * {BAND_SCALE} / ({BAND_SLOPE} * {BIN_HZ} * a.bin + {BAND_FLOOR})::DOUBLE AS gap FROM p a JOIN p b ON a.vec_id = b.vec_id AND a.bin < b.bin),
+rough AS (SELECT vec_id, least(1.0, 4 * sum(greatest(0.0, aa * (exp({SOFT} * gap) - exp({SHARP} * gap))))) AS roughness FROM g GROUP BY vec_id)"""
 _ENT = f"list_sum(list_transform({_P}, lambda p: CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END)) / ln(64)"
 _CLAMP = "greatest(0.0, least(1.0, {0}))"
 _X = _CLAMP.format("v / 250.0")
@@ -189,7 +222,7 @@ ORACLE_SQL = {
     "fn_entropy": f"WITH {_M} SELECT vec_id, {_ENT} AS entropy FROM s",
     "fn_centroid": f"WITH {_M}, {_CELLS} SELECT vec_id, sum(mag * bin) / sum(mag) AS centroid FROM cells GROUP BY vec_id",
     "fn_flatness": f"WITH {_M}, {_CELLS} SELECT vec_id, exp(avg(ln(greatest(mag * mag, 1e-10)))) / avg(greatest(mag * mag, 1e-10)) AS flatness FROM cells GROUP BY vec_id",
-    "fn_circular_mean": f"""WITH {_M}, {_CELLS}, sc AS (SELECT vec_id, sum(mag * sin(bin * 2 * pi() / 12)) AS s, sum(mag * cos(bin * 2 * pi() / 12)) AS c FROM cells WHERE bin < 12 GROUP BY vec_id)
+    "fn_circular_mean": f"""WITH {_M}, {_CELLS}, sc AS (SELECT vec_id, sum(mag * sin(bin * 2 * pi() / 12)) AS s, sum(mag * cos(bin * 2 * pi() / 12)) AS c FROM cells GROUP BY vec_id)
 SELECT vec_id, CASE WHEN sqrt(s * s + c * c) < 1e-6 THEN 0.5 WHEN atan2(s, c) < 0 THEN atan2(s, c) / (2 * pi()) + 1 ELSE atan2(s, c) / (2 * pi()) END AS turn FROM sc""",
     "fn_slerp": f"""WITH {_PAIR}, w AS (SELECT *, acos(greatest(-1.0, least(1.0, list_dot_product(a, b)))) AS th FROM pairs),
 k AS (SELECT *, CASE WHEN abs(sin(th)) < 1e-6 THEN 0.7 ELSE sin(0.7 * th) / sin(th) END AS wa, CASE WHEN abs(sin(th)) < 1e-6 THEN 0.3 ELSE sin(0.3 * th) / sin(th) END AS wb FROM w)
@@ -198,17 +231,21 @@ SELECT vec_id, wa * wa * list_dot_product(a, a) + 2 * wa * wb * list_dot_product
 SELECT vec_id, least(1.0, 2 * sum(least(p, q))) AS overlap FROM z GROUP BY vec_id""",
     "top_spectral_peaks": f"WITH {_M}, {_CELLS} SELECT vec_id, bin, mag, rn FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY mag DESC, bin)::INTEGER AS rn FROM cells WHERE bin > 2) WHERE rn <= 20",
     "fn_roughness": f"WITH {_ROUGH} SELECT * FROM rough",
-    "fn_tension": f"WITH {_ROUGH} SELECT vec_id, 0.6 * roughness + 0.4 * {_ENT} AS tension FROM rough JOIN s USING (vec_id)",
-    "win_first_diff_flux": f"""WITH {_M}, {_CELLS.replace('SELECT vec_id', 'SELECT label, vec_id')}, d AS (SELECT label, vec_id, bin, greatest(0.0, mag - lag(mag) OVER (PARTITION BY label, bin ORDER BY vec_id)) AS up, lag(mag) OVER (PARTITION BY label, bin ORDER BY vec_id) AS b FROM cells),
+    "fn_tension": f"""WITH {_ROUGH}, x AS (SELECT vec_id, roughness AS r, {_ENT} AS e, {_CLAMP.format('5 * list_max(m) / list_sum(m)')} AS c FROM rough JOIN s USING (vec_id))
+SELECT vec_id, (1 - {_CLAMP.format('e')}) * r + {_CLAMP.format('e')} * e AS tension, (1 / (1 + exp(-10 * (c - 0.3)))) * r + (1 - 1 / (1 + exp(-10 * (c - 0.3)))) * e AS sure_tension FROM x""",
+    "win_first_diff_flux": f"""WITH {_M}, {_CELLS.replace('SELECT vec_id', 'SELECT label, vec_id')}, sh AS (SELECT label, vec_id, bin, mag / sum(mag) OVER (PARTITION BY vec_id) AS x FROM cells),
+d AS (SELECT label, vec_id, bin, greatest(0.0, x - lag(x) OVER (PARTITION BY label, bin ORDER BY vec_id)) AS up, lag(x) OVER (PARTITION BY label, bin ORDER BY vec_id) AS b FROM sh),
 raw AS (SELECT label, vec_id, sum(CASE WHEN b IS NULL THEN 0.0 ELSE up END) AS raw FROM d GROUP BY ALL)
 SELECT label, vec_id, CASE WHEN max(raw) OVER (PARTITION BY label) > 0 THEN raw / max(raw) OVER (PARTITION BY label) ELSE 0.0 END AS flux FROM raw""",
-    "win_jsd_distance": f"""WITH {_M}, {_CELLS.replace('SELECT vec_id', 'SELECT label, vec_id')}, p AS (SELECT *, mag / sum(mag) OVER (PARTITION BY vec_id) AS p FROM cells),
-q AS (SELECT *, avg(p) OVER (PARTITION BY label, bin) AS q FROM p)
-SELECT label, vec_id, sum(CASE WHEN p > 0 THEN 0.5 * p * ln(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN 0.5 * q * ln(q / ((p + q) / 2)) ELSE 0 END) / ln(2) AS jsd FROM q GROUP BY ALL""",
+    "win_jsd_distance": f"""WITH RECURSIVE {_M}, {_CELLS.replace('SELECT vec_id', 'SELECT label, vec_id')}, p AS (SELECT *, mag / sum(mag) OVER (PARTITION BY vec_id) AS p, sum(mag) OVER (PARTITION BY label, bin) / sum(mag) OVER (PARTITION BY label) AS q FROM cells),
+j AS (SELECT label AS track, 'all' AS stem, vec_id::INTEGER AS frame_idx, {_CLAMP.format("sum(CASE WHEN p > 0 THEN 0.5 * p * ln(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN 0.5 * q * ln(q / ((p + q) / 2)) ELSE 0 END) / ln(2)")}::DOUBLE AS jsd FROM p GROUP BY ALL),
+{_fold_sql('j', {'y': ('NULL::DOUBLE', f'CASE WHEN s.y IS NULL THEN x.jsd ELSE s.y + CASE WHEN x.jsd > s.y THEN {1 - math.exp(-1 / RISE)!r}::DOUBLE ELSE {1 - math.exp(-1 / RETURN)!r}::DOUBLE END * (x.jsd - s.y) END')}, 'f')},
+q AS (SELECT track, quantile_cont(y, 0.05) AS lo, quantile_cont(y, 0.95) AS hi FROM f WHERE i > 0 GROUP BY track)
+SELECT track AS label, frame_idx::BIGINT AS vec_id, CASE WHEN hi - lo > 1e-6 THEN {_CLAMP.format('(y - lo) / (hi - lo)')} ELSE 0.0 END AS distance FROM f JOIN q USING (track) WHERE i > 0""",
     "fn_mask_active": f"WITH {_M} SELECT vec_id, len(list_filter(m, lambda x: x > 0.1)) AS active FROM s",
     "fn_intensity_curve": f"""WITH {_FR} SELECT track, stem, frame_idx, {_X} AS linear, pow({_X}, 2.2) AS gamma, {_CLAMP.format('1.5 * v / 250.0')} AS clipped,
   {_CLAMP.format("(CASE WHEN v > 0 THEN greatest(-40.0, 20 * log10(v / 500.0)) ELSE -40.0 END + 40) / 40")} AS gate, {_CLAMP.format(f"0.5 + 0.8 * (0.1 + {_X} * 0.8 - 0.5)")} AS staged,
-  {_CLAMP.format("ln(greatest(v, 80.0) / 80.0) / ln(25.0)")} AS pitch, least(floor(12 * {_X}), 11)::INTEGER AS pitch_bin, least(719, round_even(frame_idx * 0.5, 0)::INTEGER) AS half_frame FROM frames""",
+  {_CLAMP.format("ln(greatest(v, 80.0) / 80.0) / ln(25.0)")} AS pitch, least(floor(12 * {_X}), 11)::INTEGER AS pitch_bin, round_even(frame_idx * 0.5, 0)::INTEGER AS half_frame FROM frames""",
     "fn_clean_curve": f"WITH {_DIRTY} SELECT track, stem, frame_idx, CASE WHEN isnan(x) THEN 0.0 WHEN x = 'inf'::DOUBLE THEN 1.0 WHEN x = '-inf'::DOUBLE THEN 0.0 ELSE {_CLAMP.format('x')} END AS clean FROM dirty",
     "flt_finite": f"WITH {_DIRTY} SELECT track, stem, avg(x) FILTER (isfinite(x)) AS mean, var_pop(x) FILTER (isfinite(x)) AS variance FROM dirty GROUP BY ALL",
     "fn_content_hash": "SELECT doc_id, substr(sha256(text), 1, 16) AS content_hash FROM documents",

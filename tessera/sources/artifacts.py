@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import search
-from tessera.operators.series import _FRAMES, FRAMES, SERIES, observed_frames
-from tessera.session import materialize, scratch_path, table
-from tessera.streaming.telemetry import deliveries
+from tessera.functions.text import hashed_vector, hashed_vector_sql
+from tessera.operators.series import _FRAMES, SERIES, observed_frames
+from tessera.session import delete_at_exit, scratch_path, table
 
-VERSION = 3
+#: What a caller asks for: version, sample rate, parts of a series.
+VERSION, RATE, PARTS = 3, 44_100, 4
 
 
 def curated_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of the JSON map of each event."""
-    e = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m"))
-    return e.select("event_id", F.explode("m").alias("name", "value"))
+    """(block, name, feature_id, label, category): features of curated maps, read as JSON of blocks that hold a name and a map of features."""
+    p = table(spark, sf_dir, "part")
+    entry = F.struct(F.col("p_partkey").cast("string").alias("key"), F.struct(F.lower("p_name").alias("label"), F.lower("p_type").alias("category")).alias("value"))
+    blocks = p.groupBy("p_brand", (F.col("p_size") % 5).alias("part")).agg(F.map_from_entries(F.collect_list(entry)).alias("features"))
+    body = F.to_json(F.map_from_arrays(F.array("p_brand"), F.array(F.struct(F.concat(F.lit("part "), F.col("part")).alias("name"), "features"))))
+    path = scratch_path(spark, "curated")
+    blocks.select(body.alias("value")).write.text(path)
+    delete_at_exit(spark, path)
+    kind = "map<string,struct<name:string,features:map<string,struct<label:string,category:string>>>>"
+    read = spark.read.text(path).select(F.from_json("value", kind).alias("m"))
+    each = read.select(F.explode("m").alias("block", "x")).select("block", "x.name", F.explode("x.features").alias("feature_id", "f"))
+    return each.select("block", "name", F.col("feature_id").cast("long").alias("feature_id"), "f.label", "f.category")
 
 
 def supplements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,63 +35,58 @@ def supplements(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = search.top_terms(search.tfidf(docs), docs, 5).groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct("rn", "term"))), lambda x: x["term"]).alias("terms"))
     path = scratch_path(spark, "supplements")
     terms.write.json(path)
+    delete_at_exit(spark, path)
     read = spark.read.schema("source string, terms array<string>").json(path)
     return read.select("source", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
 
 
-def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each block of vectors: size, dimension and a hash over the hashes of its sources."""
-    v = table(spark, sf_dir, "embeddings").select((F.col("label") % 4).cast("int").alias("block"), "vec_id", F.size("embedding").alias("dim"))
-    each = v.withColumn("h", F.conv(F.substring(F.md5(F.concat_ws("|", "block", "vec_id", "dim")), 1, 8), 16, 10).cast("long"))
-    return each.groupBy("block").agg(F.count("*").alias("n"), F.max("dim").cast("long").alias("dimension"), F.sum("h").alias("source_hash"))
+def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of each block as vectors of length one, written with the block's manifest: model, dimension, number and a hash of its labels.
 
+    Returns the manifest with the sum of all entries of the vectors that were read back.
+    """
+    rows = search.catalog(spark, sf_dir).select("block", "id", "label", search.unit(hashed_vector(F.col("label"), 16)).alias("v"))
+    path = scratch_path(spark, "embeddings")
+    rows.write.partitionBy("block").parquet(path)
+    delete_at_exit(spark, path)
+    read = spark.read.parquet(path)
+    each = F.conv(F.substring(F.md5(F.concat_ws("|", "block", "id", "label")), 1, 8), 16, 10).cast("long")
+    entries = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    return read.groupBy("block").agg(F.lit("trigrams").alias("model"), F.count("*").alias("n"), F.max(F.size("v")).cast("long").alias("dimension"), F.sum(each).alias("source_hash"), F.sum(entries).alias("entries"))
 
-def cache_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cached series: valid if written by this version and complete, otherwise why not."""
-    parts = observed_frames(spark, sf_dir).groupBy(*SERIES).agg(F.count("*").alias("n"))
-    written = (F.col("track") % 4).cast("int")
-    reason = F.when(written != VERSION, "version").when(F.col("n") < FRAMES / 20, "incomplete").otherwise("ok")
-    return parts.select(*SERIES, "n", reason.alias("reason"))
-
-
-def lookahead(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """0.8 old + 0.2 new of the mean delay of each day and session, plus 15 ms."""
-    days = deliveries(table(spark, sf_dir, "events")).groupBy("session", F.to_date("ts").alias("day")).agg(F.avg((F.col("sent_ms") - F.col("due_ms")).cast("double")).alias("m"))
-    listed = days.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("day", "m"))).alias("xs"))
-    fold = F.aggregate(F.slice("xs", 2, F.size("xs")), F.get("xs", F.lit(0))["m"], lambda a, x: 0.8 * a + 0.2 * x["m"])
-    return listed.select("session", F.round(fold + 15, 6).alias("lookahead_ms"))
 
-
-def palette(spark: SparkSession, sf_dir: str, anchors: int = 4, others: int = 6) -> DataFrame:
-    """Anchors of each block by activation, then draws from what is left: one bucket after the other avoids the ids before it."""
-    rows = search.catalog(spark, sf_dir)
-    by = Window.partitionBy("block")
-    first = materialize(rows.withColumn("rn", F.row_number().over(by.orderBy(F.desc("mean_activation"), "id"))).filter(F.col("rn") <= anchors).select("block", "id", "rn"), "anchors")
-    left = rows.hint("merge").join(first.select("block", "id"), ["block", "id"], "left_anti")
-    drawn = search.stratified(left, others, seed=11)
-    return first.withColumn("bucket", F.lit("anchor")).unionByName(drawn.withColumn("bucket", F.lit("orthogonal")))
+def cache_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why a cached series may be used or not: its content hash, version, level, coupling and rate must be those asked for, and its parts be there.
+
+    The cache is written in a folder for each content hash and read back.  Every fourth
+    track is written by an older version, every fifth at another rate, and the first stem of
+    every seventh lacks its last part.
+    """
+    seen = observed_frames(spark, sf_dir)
+    content = F.substring(F.sha2(F.concat_ws("|", *SERIES), 256), 1, 16)
+    kept = seen.withColumn("content_hash", content).withColumn("version", F.when(F.col("track") % 4 == 1, VERSION - 1).otherwise(VERSION)).withColumn("rate", F.when(F.col("track") % 5 == 2, 22_050).otherwise(RATE)).withColumn("level", F.lit("full")).withColumn("part", F.col("frame_idx") % PARTS)
+    path = scratch_path(spark, "curves")
+    kept.filter("NOT (track % 7 = 3 AND stem = 'click' AND part = 3)").write.partitionBy("content_hash").parquet(path)
+    delete_at_exit(spark, path)
+    stored = spark.read.parquet(path).groupBy("content_hash").agg(F.max("version").alias("version"), F.max("rate").alias("rate"), F.max("level").alias("level"), F.count_distinct("part").alias("parts"), F.count("*").alias("n"))
+    asked = seen.select(*SERIES).distinct().withColumn("content_hash", content)
+    reason = F.when(F.col("version").isNull(), "absent").when(F.col("version") != VERSION, "version").when(F.col("level") != "full", "level").when(F.col("rate") != RATE, "rate").when(F.col("parts") < PARTS, "incomplete").otherwise("ok")
+    return asked.hint("merge").join(stored, "content_hash", "left").select(*SERIES, "content_hash", F.coalesce("n", F.lit(0)).alias("n"), reason.alias("reason"))
 
 
 QUERIES = {
     "src_curated_map": curated_map,
     "src_supplements": supplements,
-    "snk_embeddings": manifest,
+    "snk_embeddings": embedded,
     "snk_curves_cache": cache_validity,
-    "st_lookahead_ema": lookahead,
-    "ml_palette": palette,
 }
 _H = "('0x' || substr(md5(concat_ws('|', {0})), 1, 8))::BIGINT"
 ORACLE_SQL = {
-    "src_curated_map": "SELECT event_id, unnest(json_keys(props)) AS name, unnest(list_transform(json_keys(props), lambda k: json_extract_string(props, k))) AS value FROM events",
+    "src_curated_map": "SELECT p_brand AS block, 'part ' || (p_size % 5) AS name, p_partkey AS feature_id, lower(p_name) AS label, lower(p_type) AS category FROM part",
     "src_supplements": f"""WITH {search._TFIDF}, m AS (SELECT source, term, round(sum(weight) / (SELECT count(*) FROM documents x WHERE x.source = d.source), 9) AS w FROM tfidf JOIN documents d USING (doc_id) GROUP BY source, term)
 SELECT source, list(term ORDER BY rn) AS terms FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY w DESC, term) AS rn FROM m WHERE w > 0) WHERE rn <= 5 GROUP BY source""",
-    "snk_embeddings": f"SELECT (label % 4)::INTEGER AS block, count(*) AS n, max(len(embedding)) AS dimension, sum({_H.format('label % 4, vec_id, len(embedding)')})::BIGINT AS source_hash FROM embeddings GROUP BY 1",
-    "snk_curves_cache": f"WITH {_FRAMES} SELECT track, stem, n, CASE WHEN track % 4 <> {VERSION} THEN 'version' WHEN n < {FRAMES} / 20 THEN 'incomplete' ELSE 'ok' END AS reason FROM (SELECT track, stem, count(*) AS n FROM seen GROUP BY track, stem)",
-    "st_lookahead_ema": """WITH RECURSIVE f AS (SELECT user_id % 20 AS session, ts::DATE AS day, avg(((event_id * 7919) % 121 - 40)::DOUBLE) AS m FROM events GROUP BY ALL),
-o AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY day) AS i FROM f),
-r AS (SELECT session, i, m AS a FROM o WHERE i = 1 UNION ALL SELECT o.session, o.i, 0.8::DOUBLE * r.a + 0.2::DOUBLE * o.m FROM r JOIN o ON o.session = r.session AND o.i = r.i + 1)
-SELECT session, round(arg_max(a, i) + 15, 6) AS lookahead_ms FROM r GROUP BY session""",
-    "ml_palette": f"""WITH {search._CAT}, a AS (SELECT block, id, rn, 'anchor' AS bucket FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY mean_activation DESC, id)::INTEGER AS rn FROM cat) WHERE rn <= 4),
-l AS (SELECT * FROM cat ANTI JOIN a USING (block, id))
-SELECT * FROM a UNION ALL SELECT block, id, rn, 'orthogonal' FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY {_H.format('11, block, id')}, id)::INTEGER AS rn FROM l) WHERE rn <= 6""",
+    "snk_embeddings": f"""WITH {search._CAT}, v AS (SELECT block, id, label, {hashed_vector_sql('label', 16)} AS v FROM cat)
+SELECT block, 'trigrams' AS model, count(*) AS n, max(len(v)) AS dimension, sum({_H.format('block, id, label')})::BIGINT AS source_hash, sum(list_sum(v) / sqrt(list_dot_product(v, v))) AS entries FROM v GROUP BY block""",
+    "snk_curves_cache": f"""WITH {_FRAMES}, s AS (SELECT track, stem, substr(sha256(track || '|' || stem), 1, 16) AS content_hash, count(*) FILTER (NOT (track % 7 = 3 AND stem = 'click' AND frame_idx % 4 = 3)) AS n, count(DISTINCT frame_idx % 4) FILTER (NOT (track % 7 = 3 AND stem = 'click' AND frame_idx % 4 = 3)) AS parts FROM seen GROUP BY track, stem)
+SELECT track, stem, content_hash, n, CASE WHEN n = 0 THEN 'absent' WHEN track % 4 = 1 THEN 'version' WHEN track % 5 = 2 THEN 'rate' WHEN parts < 4 THEN 'incomplete' ELSE 'ok' END AS reason FROM s""",
 }

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.session import scratch_path, table
+from tessera.operators.series import _envelope_sql, _fold_sql, follow_step
+from tessera.session import delete_at_exit, scratch_path, table
 
 TOLERANCE_MS = 50
 DECAY = 0.85
+#: The second that clocks count from: the beginning of 2024.
+EPOCH = 1_704_067_200
 
 
 def deliveries(events: DataFrame) -> DataFrame:
-    """Frames of each session: produced at the event's time, due 40 ms later, sent up to 120 ms after they were produced."""
+    """Frames of each session (the user): produced at the event's time, due 40 ms later, sent up to 120 ms after they were produced."""
     ms = F.unix_millis("ts")
-    return events.select("event_id", (F.col("user_id") % 20).alias("session"), "ts", "event_type", "value", (ms + 40).alias("due_ms"), (ms + (F.col("event_id") * 7919) % 121).alias("sent_ms"))
+    return events.select("event_id", F.col("user_id").alias("session"), "ts", "event_type", "value", (ms + 40).alias("due_ms"), (ms + (F.col("event_id") * 7919) % 121).alias("sent_ms"))
 
 
 def late_drop(df: DataFrame, tolerance: int = TOLERANCE_MS) -> DataFrame:
@@ -25,19 +28,40 @@ def late_drop(df: DataFrame, tolerance: int = TOLERANCE_MS) -> DataFrame:
     return df.filter(F.col("sent_ms") - F.col("due_ms") <= tolerance)
 
 
+def _newest(*keys: str):
+    return Window.partitionBy(*keys).orderBy(F.desc("ts"), F.desc("event_id"))
+
+
+def _at_share(values, share: float):
+    """The value at a share of a sorted array, without interpolation."""
+    n = F.size(values)
+    return F.element_at(values, (F.least(n - 1, F.floor(share * n)) + 1).cast("int"))
+
+
 def delivery_slo(df: DataFrame, last: int = 100) -> DataFrame:
-    """Median and 95th percentile of delay over the last frames of each session, without interpolation."""
-    newest = Window.partitionBy("session").orderBy(F.desc("ts"), F.desc("event_id"))
-    kept = df.withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") <= last)
-    listed = kept.groupBy("session").agg(F.sort_array(F.collect_list(F.col("sent_ms") - F.col("due_ms"))).alias("d"))  # ``last`` values
-    n = F.size("d")
-    return listed.select("session", F.element_at("d", (F.floor(n / 2) + 1).cast("int")).alias("p50"), F.element_at("d", (F.least(n - 1, F.floor(0.95 * n)) + 1).cast("int")).alias("p95"), n.cast("long").alias("n"))
+    """Median and 95th percentile of delay over the last frames of each session, without interpolation, and the jitter of the times between them.
+
+    Jitter is the distance of an interval from the mean one; its mean and 95th percentile need two intervals.
+    """
+    kept = df.withColumn("rn", F.row_number().over(_newest("session"))).filter(F.col("rn") <= last)
+    gap = F.col("sent_ms") - F.lag("sent_ms").over(Window.partitionBy("session").orderBy("ts", "event_id"))
+    timed = kept.withColumn("gap", gap.cast("double"))
+    listed = timed.groupBy("session").agg(F.sort_array(F.collect_list(F.col("sent_ms") - F.col("due_ms"))).alias("d"), F.collect_list("gap").alias("gaps"), F.avg("gap").alias("mean_gap"))  # ``last`` values
+    jitters = listed.withColumn("j", F.sort_array(F.transform("gaps", lambda g: F.abs(g - F.col("mean_gap")))))
+    enough = F.size("j") >= 2
+    mean = F.aggregate("j", F.lit(0.0), lambda a, x: a + x) / F.size("j")
+    return jitters.select(
+        "session", F.element_at("d", (F.floor(F.size("d") / 2) + 1).cast("int")).alias("p50"), _at_share(F.col("d"), 0.95).alias("p95"), F.size("d").cast("long").alias("n"),
+        F.when(enough, F.round(mean, 3)).alias("jitter_mean"), F.when(enough, F.round(_at_share(F.col("j"), 0.95), 3)).alias("jitter_p95"),
+    )
 
 
-def drop_rate(df: DataFrame) -> DataFrame:
-    """Share of late frames in each day; 0 where there is none."""
-    late = F.count_if(F.col("sent_ms") - F.col("due_ms") > TOLERANCE_MS)
-    return df.groupBy(F.window("ts", "1 day").alias("w")).agg(late.alias("n_late"), F.count("*").alias("n")).select(F.unix_seconds("w.start").alias("start_s"), "n_late", "n", (F.col("n_late") / F.col("n")).alias("rate"))
+def drop_rate(df: DataFrame, most: int = 2) -> DataFrame:
+    """Share of frames of each day that were late or that a session's backlog of ``most`` a day shed; 0 where there is none."""
+    shed = F.row_number().over(_newest("session", "day")) > most
+    x = df.withColumn("day", F.to_date("ts")).withColumn("shed", shed).withColumn("late", ~F.col("shed") & (F.col("sent_ms") - F.col("due_ms") > TOLERANCE_MS))
+    sums = x.groupBy("day").agg(F.count_if("late").alias("n_late"), F.count_if("shed").alias("n_shed"), F.count("*").alias("n"))
+    return sums.select(F.unix_seconds(F.col("day").cast("timestamp")).alias("start_s"), "n_late", "n_shed", "n", ((F.col("n_late") + F.col("n_shed")) / F.col("n")).alias("rate"))
 
 
 def throttle(df: DataFrame) -> DataFrame:
@@ -46,34 +70,57 @@ def throttle(df: DataFrame) -> DataFrame:
     return df.groupBy("session", hour.alias("w")).agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id")).select("session", F.unix_seconds("w.start").alias("start_s"), "event_id")
 
 
-def backlog_shed(df: DataFrame, most: int = 25) -> DataFrame:
-    """The newest ``most`` frames of each session in each day; older ones are shed."""
-    w = Window.partitionBy("session", F.to_date("ts")).orderBy(F.desc("ts"), F.desc("event_id"))
-    return df.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= most).select("session", "event_id", "rn")
+def backlog_shed(df: DataFrame, floor: int = 2, most: int = 4) -> DataFrame:
+    """Frames of each session and day; where there are more than ``most``, the newest ``floor`` of them."""
+    day = F.to_date("ts")
+    n = F.count("*").over(Window.partitionBy("session", "day"))
+    x = df.withColumn("day", day).withColumn("n", n).withColumn("rn", F.row_number().over(_newest("session", "day")))
+    return x.filter((F.col("n") <= most) | (F.col("rn") <= floor)).select("session", "event_id", "rn")
+
+
+#: Older values than these many weigh less in a moving average than a double can hold.
+EMA_ROWS = 600
+
+
+def ema_step(df: DataFrame, key: str, value: str, order: list[str], decay: float = DECAY) -> DataFrame:
+    """(key, shift, factor, first, n): what the ordered values of each key do to a moving average m before them: shift + factor * m.
+
+    Without an average before, m is the first value.  Each key's newest EMA_ROWS rows are all that counts, so
+    that a key with very many is cut before it moves.
+    """
+    newest = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
+    top = df.withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") <= EMA_ROWS)
+    shift = top.groupBy(key).agg(F.sum((1 - decay) * F.pow(F.lit(decay), F.col("rn") - 1) * F.col(value)).alias("shift"))
+    sums = df.groupBy(key).agg(F.count("*").alias("n"), F.min_by(value, F.struct(*order)).alias("first"))
+    return sums.hint("merge").join(shift, key).withColumn("factor", F.pow(F.lit(decay), F.col("n")))
 
 
 def ema_rate(df: DataFrame) -> DataFrame:
-    """0.85 old + 0.15 new of the values of each session in order of time, started at the first, as an ordered fold."""
-    listed = df.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))).alias("xs"))
-    fold = F.aggregate(F.slice("xs", 2, F.size("xs")), F.get("xs", F.lit(0))["value"], lambda a, x: DECAY * a + (1 - DECAY) * x["value"])
-    return listed.select("session", F.round(fold, 6).alias("ema"), F.size("xs").cast("long").alias("n"))
+    """0.85 old + 0.15 new of the values of each session in order of time, started at the first."""
+    return ema_step(df, "session", "value", ["ts", "event_id"]).select("session", F.round(F.col("shift") + F.col("factor") * F.col("first"), 6).alias("ema"), "n")
 
 
-def _ema_step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    ema, n = state.get if state.exists else (None, 0)
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    for value in rows["value"].tolist():
-        ema = value if ema is None else DECAY * ema + (1 - DECAY) * value
-        n += 1
-    state.update((ema, n))
-    yield pd.DataFrame({"session": [key[0]], "ema": [round(ema, 6)], "n": [n]})
+def lookahead(df: DataFrame, decay: float = 0.8, render_ms: float = 15.0) -> DataFrame:
+    """Moving average over the days of each session of its mean frame time, the interval at its rate and the time to render."""
+    days = df.groupBy("session", F.to_date("ts").alias("day")).agg(F.avg("value").alias("m"))
+    estimate = F.col("m") + 1000.0 / F.greatest(F.lit(1.0), 1000.0 / F.col("m")) + render_ms
+    step = ema_step(days.withColumn("estimate", estimate), "session", "estimate", ["day"], decay)
+    return step.select("session", F.round(F.col("shift") + F.col("factor") * F.col("first"), 6).alias("lookahead_ms"))
 
 
-def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/events.parquet"
+def _table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files; zone-less timestamps become session timestamps."""
+    path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).parquet(f"{path}*")
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    for field in schema.fields:
+        if field.dataType.simpleString() == "timestamp_ntz":
+            stream = stream.withColumn(field.name, F.col(field.name).cast("timestamp"))
+    return stream
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table_stream(spark, sf_dir, "events")
 
 
 def run_to_table(stream: DataFrame, mode: str, key: list[str]) -> DataFrame:
@@ -85,18 +132,171 @@ def run_to_table(stream: DataFrame, mode: str, key: list[str]) -> DataFrame:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/part={number}")
 
     stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    delete_at_exit(spark, out)
+    delete_at_exit(spark, state)
     rows = spark.read.parquet(out).drop("part")
     rest = [c for c in rows.columns if c not in (*key, "batch")]
     return rows.groupBy(*key).agg(*[F.max_by(c, "batch").alias(c) for c in rest])
 
 
+def run_with_table(stream: DataFrame, step: Callable[[DataFrame | None, DataFrame], DataFrame]) -> DataFrame:
+    """Run a stream over all that is there; after each micro-batch the state table is ``step``(state before, batch).
+
+    Each state is written under the number of its batch and the one before is read from the
+    number before, so that a batch that runs again after a loss gives the same state.
+    """
+    spark = stream.sparkSession
+    out, state = scratch_path(spark, "state"), scratch_path(spark, "stream-state")
+    seen: list[int] = []
+
+    def sink(batch: DataFrame, number: int) -> None:
+        before = spark.read.parquet(f"{out}/{number - 1}") if number else None
+        step(before, batch).write.mode("overwrite").parquet(f"{out}/{number}")
+        seen.append(number)
+
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    delete_at_exit(spark, out)
+    delete_at_exit(spark, state)
+    return spark.read.parquet(f"{out}/{max(seen)}")
+
+
+def keyed_fold(stream: DataFrame, step: Callable[..., tuple], start: tuple, inputs: tuple[str, ...], state: str, emit: Callable[[tuple], tuple | None] | None, out: str, each: bool = False) -> DataFrame:
+    """A fold over the events of each session in order of time, its state kept between micro-batches.
+
+    ``step`` takes the state and the ``inputs`` of an event.  ``emit`` gives the columns after
+    session of a row of ``out`` from a state, after each event or once a batch, or None for no row.
+    """
+    columns = [c.strip().split(" ")[0] for c in out.split(",")]
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
+        now = held.get if held.exists else start
+        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
+        found = []
+        for values in zip(*(rows[c].tolist() for c in inputs)):
+            now = step(now, *values)
+            if each and (row := emit(now)) is not None:
+                found.append((key[0], *row))
+        held.update(now)
+        if not each and (row := emit(now)) is not None:
+            found.append((key[0], *row))
+        yield pd.DataFrame(found, columns=columns)
+
+    timed = stream.withColumn("at", F.unix_micros("ts")).drop("ts")
+    return timed.groupBy("session").applyInPandasWithState(run, out, state, "append" if each else "update", "NoTimeout")
+
+
 def stream_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ema_rate with the average kept as keyed state between micro-batches."""
-    grouped = deliveries(_event_stream(spark, sf_dir)).groupBy("session")
-    out = grouped.applyInPandasWithState(_ema_step, "session long, ema double, n long", "ema double, n long", "update", "NoTimeout")
+    """ema_rate with each session's average in a state table that every micro-batch moves on."""
+    def step(before: DataFrame | None, batch: DataFrame) -> DataFrame:
+        moved = ema_step(batch, "session", "value", ["ts", "event_id"])
+        if before is None:
+            return moved.select("session", (F.col("shift") + F.col("factor") * F.col("first")).alias("ema"), "n")
+        joined = before.alias("b").hint("merge").join(moved.alias("m"), "session", "full")
+        ema = F.when(F.col("m.n").isNull(), F.col("ema")).otherwise(F.col("shift") + F.col("factor") * F.coalesce("ema", "first"))
+        return joined.select("session", ema.alias("ema"), (F.coalesce("b.n", F.lit(0)) + F.coalesce("m.n", F.lit(0))).alias("n"))
+
+    return run_with_table(deliveries(_event_stream(spark, sf_dir)), step).select("session", F.round("ema", 6).alias("ema"), "n")
+
+
+#: Share of drift that a report corrects; kinds of events that play, pause and seek, the others report a time.
+ALPHA, PLAY, PAUSE, SEEK = 0.5, "purchase", "error", "signup"
+
+
+def clock_step(state: tuple, kind: str, client: float, now: float) -> tuple:
+    """(client time, its server time, playing, events) after one report: a clock that is put right by ALPHA of the drift each report shows."""
+    at, since, playing, n = state
+    if kind == PAUSE:
+        return at, since, False, n + 1
+    if kind == SEEK:
+        return client, now, playing, n + 1
+    if kind == PLAY or since < 0:
+        return client, now, True, n + 1
+    return at, since - ALPHA * (client - (at + now - since)), playing, n + 1
+
+
+def _reports(df: DataFrame) -> DataFrame:
+    """Client time (seconds since 2024, off by the delay of the frame) and server time of each delivery."""
+    now = F.unix_millis("ts") / 1000.0 - EPOCH
+    return deliveries(df).withColumn("now", now).withColumn("client", now + (F.col("sent_ms") - F.col("due_ms")) / 1000.0).select("session", "event_id", "ts", "event_type", "client", "now")
+
+
+def stream_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clock of each session after its last report: client time, its server time, whether it plays."""
+    emit = lambda s: (round(s[0], 4), round(s[1], 4), s[2], s[3])
+    out = keyed_fold(_reports(_event_stream(spark, sf_dir)), clock_step, (0.0, -1.0, False, 0), ("event_type", "client", "now"), "a double, b double, c boolean, n long", emit, "session long, client double, server double, playing boolean, n long")
     return run_to_table(out, "update", ["session"])
 
 
+def stream_ttl(spark: SparkSession, sf_dir: str, now: int = 1_706_000_000, ttl: int = 86_400 * 3) -> DataFrame:
+    """The latest value of each session as keyed state; what was set over ``ttl`` seconds before ``now`` has expired, a new value starts its time again."""
+    events = _event_stream(spark, sf_dir).filter(F.unix_seconds("ts") <= now).select(F.col("user_id").alias("session"), "event_id", "ts", "value", F.unix_seconds("ts").alias("set_at"))
+    out = keyed_fold(events, lambda s, value, at: (value, at), (0.0, 0), ("value", "set_at"), "value double, set_at long", lambda s: s, "session long, value double, set_at long")
+    return run_to_table(out, "update", ["session"]).filter(F.col("set_at") + ttl > now)
+
+
+def stream_envelope(spark: SparkSession, sf_dir: str, attack: float = 1.0, release: float = 8.0) -> DataFrame:
+    """The envelope of each session's values after its last event."""
+    follow = follow_step(attack, release)
+    events = deliveries(_event_stream(spark, sf_dir)).select("session", "event_id", "ts", (F.col("value") / 500.0).alias("x"))
+    out = keyed_fold(events, lambda s, x: (*follow((s[0],), x), s[1] + 1), (0.0, 0), ("x",), "y double, n long", lambda s: (round(s[0], 6), s[1]), "session long, envelope double, n long")
+    return run_to_table(out, "update", ["session"])
+
+
+#: Surprise lost an hour; values over this share of full scale surprise.
+FADE, STARTLE = 0.33, 0.2
+
+
+def surprise_step(state: tuple, x: float, hour: float) -> tuple:
+    """Jumps to a larger boost, else fades by FADE an hour down to zero."""
+    faded = max(0.0, state[0] - FADE * max(0.0, hour - state[1]))
+    boost = x if x > STARTLE else 0.0
+    return (boost if boost > state[0] else faded), hour
+
+
+def stream_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surprise of each session after each of its events."""
+    events = deliveries(_event_stream(spark, sf_dir)).select("session", "event_id", "ts", (F.col("value") / 500.0).alias("x"), (F.unix_seconds("ts") / 3600.0).alias("hour"))
+    step = lambda s, x, hour, event: (*surprise_step(s[:2], x, hour), event)
+    out = keyed_fold(events, step, (0.0, 0.0, 0), ("x", "hour", "event_id"), "boost double, hour double, event long", lambda s: (s[2], round(s[0], 6)), "session long, event_id long, surprise double", each=True)
+    return run_to_table(out, "append", ["session", "event_id"])
+
+
+#: Fixed values of triggers, in hours here: least gap, nearness of a section, interval without change.
+GAP, NEAR, STABLE = 12, 8, 15
+
+
+def trigger_step(state: tuple, hour: int, eligible: bool) -> tuple:
+    """(hour, section, reason) of the last time that fired, reason empty if this hour does not: too soon, a new section (a day), one that is near, a stable interval."""
+    at, section, _ = state
+    here, ahead = hour // 24, 24 - hour % 24
+    if not eligible or hour - at < GAP:
+        return at, section, ""
+    if section >= 0 and here != section:
+        return hour, here, "section_change"
+    if section < 0 and ahead <= NEAR:
+        return hour, here, "section_near"
+    if hour - at >= STABLE:
+        return hour, here, "stable_interval"
+    return at, section, ""
+
+
+def stream_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours at which each session fires, and why; error events are not eligible."""
+    events = deliveries(_event_stream(spark, sf_dir)).select("session", "event_id", "ts", (F.floor(F.unix_seconds("ts") / 3600) - EPOCH // 3600).alias("hour"), (F.col("event_type") != "error").alias("eligible"))
+    out = keyed_fold(events, trigger_step, (-1000, -1, ""), ("hour", "eligible"), "at long, section long, reason string", lambda s: (s[0], s[2]) if s[2] else None, "session long, hour long, reason string", each=True)
+    return run_to_table(out, "append", ["session", "hour"])
+
+
+def stream_drift(spark: SparkSession, sf_dir: str, bar: float = 0.5) -> DataFrame:
+    """Views and clicks of one session within an hour of each other whose clocks are over ``bar`` seconds apart: a join of two streams."""
+    side = lambda kind, p: _event_stream(spark, sf_dir).filter(F.col("event_type") == kind).select(F.col("user_id").alias(f"{p}_session"), F.col("event_id").alias(f"{p}_id"), F.col("ts").alias(f"{p}_ts"), (((F.col("event_id") * 7919) % 121) / 100.0).alias(f"{p}_off")).withWatermark(f"{p}_ts", "1 day")
+    near = "c_session = s_session AND c_ts >= s_ts - INTERVAL 1 HOUR AND c_ts <= s_ts + INTERVAL 1 HOUR"
+    both = side("view", "c").join(side("click", "s"), F.expr(near))
+    drift = F.round(F.abs(F.col("c_off") - F.col("s_off")), 4)
+    found = both.select(F.col("c_session").alias("session"), F.col("c_id").alias("client_event"), F.col("s_id").alias("server_event"), drift.alias("drift")).filter(F.col("drift") > bar)
+    return run_to_table(found, "append", ["client_event", "server_event"])
+
+
 def stream_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of each type in each hour, with a watermark of a day."""
     counts = _event_stream(spark, sf_dir).withWatermark("ts", "1 day").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
@@ -108,9 +308,57 @@ def stream_late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_table(kept, "append", ["event_id"])
 
 
+def stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """throttle over the stream, with a watermark of a day."""
+    return run_to_table(throttle(deliveries(_event_stream(spark, sf_dir).withWatermark("ts", "1 day"))), "update", ["session", "start_s"])
+
+
+def stream_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary records of each day: number, mean and largest value, as the windows of a stream give them."""
+    day = F.window("ts", "1 day")
+    sums = _event_stream(spark, sf_dir).withWatermark("ts", "1 day").groupBy(day.alias("w")).agg(F.count("*").alias("n"), F.avg("value").alias("mean_ms"), F.max("value").alias("max_ms"))
+    return run_to_table(sums.select(F.unix_seconds("w.start").alias("start_s"), "n", "mean_ms", "max_ms"), "update", ["start_s"])
+
+
+def stream_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """backlog_shed of each micro-batch, which is the queue that there is."""
+    step = lambda before, batch: backlog_shed(batch) if before is None else before.unionByName(backlog_shed(batch))
+    return run_with_table(deliveries(_event_stream(spark, sf_dir)), step)
+
+
+def stream_slo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """delivery_slo of the newest frames of each session, which a state table keeps between micro-batches."""
+    def step(before: DataFrame | None, batch: DataFrame) -> DataFrame:
+        rows = batch if before is None else before.unionByName(batch)
+        return rows.withColumn("rn", F.row_number().over(_newest("session"))).filter("rn <= 100").drop("rn")
+
+    return delivery_slo(run_with_table(deliveries(_event_stream(spark, sf_dir)), step))
+
+
+def feed_of(orders: DataFrame) -> DataFrame:
+    return orders.select(F.col("o_custkey").alias("song_id"), F.col("o_orderkey").alias("version"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("duration"), F.unix_seconds("o_orderdate").alias("at"))
+
+
 def library_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Versions of library rows: one for each order, keyed by customer."""
-    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("song_id"), F.col("o_orderkey").alias("version"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("duration"), F.unix_seconds("o_orderdate").alias("at"))
+    return feed_of(table(spark, sf_dir, "orders"))
+
+
+def stream_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The library after all changes of a feed, each micro-batch merged into the table as it was before."""
+    step = lambda before, batch: upsert(feed_of(batch)) if before is None else merge_library(before, upsert(feed_of(batch)))
+    return run_with_table(_table_stream(spark, sf_dir, "orders"), step)
+
+
+def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest status of each id of a feed, the newest 256 that have not expired; the table holds no others between micro-batches."""
+    def step(before: DataFrame | None, batch: DataFrame) -> DataFrame:
+        now = upsert(feed_of(batch))
+        rows = now if before is None else merge_library(before, now)
+        fresh = rows.filter(F.col("updated_at") + TTL > NOW)
+        return fresh.orderBy(F.desc("updated_at"), "song_id").limit(256)
+
+    return run_with_table(_table_stream(spark, sf_dir, "orders"), step).select("song_id", "status", (F.col("updated_at") + TTL).alias("expires_at"))
 
 
 def upsert(feed: DataFrame) -> DataFrame:
@@ -128,24 +376,6 @@ def merge_library(base: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
-def status_bounded(feed: DataFrame, now: int, ttl: int, most: int = 256) -> DataFrame:
-    """The latest status of each id that has not expired, the ``most`` newest of them."""
-    return upsert(feed).select("song_id", "status", (F.col("updated_at") + ttl).alias("expires_at")).filter(F.col("expires_at") > now).orderBy(F.desc("expires_at"), "song_id").limit(most)
-
-
-def checkpoint_triggers(df: DataFrame, gap: int = 12, every: int = 15) -> DataFrame:
-    """Hours at which a session fires: at least ``gap`` since the last time, and a changed event type or ``every`` hours gone."""
-    hours = df.groupBy("session", F.floor(F.unix_seconds("ts") / 3600).alias("hour")).agg(F.max_by("event_type", "event_id").alias("kind"))
-    listed = hours.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("hour", "kind"))).alias("xs"))
-    start = F.struct(F.lit(-10_000).cast("long").alias("at"), F.lit("").alias("kind"), F.array().cast("array<long>").alias("out"))
-
-    def step(acc, x):
-        fire = (x["hour"] - acc["at"] >= gap) & ((x["kind"] != acc["kind"]) | (x["hour"] - acc["at"] >= every))
-        return F.struct(F.when(fire, x["hour"]).otherwise(acc["at"]).alias("at"), F.when(fire, x["kind"]).otherwise(acc["kind"]).alias("kind"), F.when(fire, F.concat(acc["out"], F.array(x["hour"]))).otherwise(acc["out"]).alias("out"))
-
-    return listed.select("session", F.explode(F.aggregate("xs", start, step)["out"]).alias("hour"))
-
-
 def _frames(s, d):
     return deliveries(table(s, d, "events"))
 
@@ -161,36 +391,76 @@ QUERIES = {
     "st_late_drop": stream_late_drop,
     "st_rate_per_second": stream_rate,
     "st_ema_rate": stream_ema,
-    "st_delivery_slo": lambda s, d: delivery_slo(_frames(s, d)),
+    "st_delivery_slo": stream_slo,
     "st_drop_rate": lambda s, d: drop_rate(_frames(s, d)),
-    "st_throttle": lambda s, d: throttle(_frames(s, d)),
-    "st_backlog_shed": lambda s, d: backlog_shed(_frames(s, d)),
-    "st_checkpoint_trigger": lambda s, d: checkpoint_triggers(_frames(s, d)),
+    "st_throttle": stream_throttle,
+    "st_backlog_shed": stream_backlog,
+    "st_checkpoint_trigger": stream_triggers,
+    "st_lookahead_ema": lambda s, d: lookahead(_frames(s, d)),
+    "st_clock_correct": stream_clock,
+    "st_ttl_state": stream_ttl,
+    "st_envelope": stream_envelope,
+    "st_surprise": stream_surprise,
+    "st_drift_alert": stream_drift,
+    "snk_telemetry": stream_telemetry,
     "agg_timing_summary": lambda s, d: _frames(s, d).withColumn("rn", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("ts"), F.desc("event_id")))).filter("rn <= 100").groupBy("session").agg(F.avg("value").alias("mean_ms"), F.count("*").alias("n")).filter("n >= 5").withColumn("fps", 1000 / F.col("mean_ms")),
-    "st_library_cdc": lambda s, d: upsert(library_feed(s, d)),
+    "st_library_cdc": stream_library,
     "snk_library_upsert": _split,
     "sort_library": lambda s, d: upsert(library_feed(s, d)).orderBy(F.desc("updated_at"), F.desc("created_at"), "song_id"),
-    "st_status_bounded": lambda s, d: status_bounded(library_feed(s, d), NOW, TTL),
+    "st_status_bounded": stream_status,
     "flt_fresh": lambda s, d: upsert(library_feed(s, d)).filter(F.col("updated_at") + TTL > NOW).select("song_id", "updated_at"),
     "top_newest_bounded": lambda s, d: upsert(library_feed(s, d)).orderBy(F.desc("updated_at"), "song_id").limit(256).select("song_id", "updated_at"),
 }
 
-_D = """f AS (SELECT event_id, user_id % 20 AS session, ts, event_type, value, epoch_ms(ts) + 40 AS due_ms, epoch_ms(ts) + (event_id * 7919) % 121 AS sent_ms FROM events)"""
+_D = """f AS (SELECT event_id, user_id AS session, ts, event_type, value, (epoch_us(ts) // 1000) + 40 AS due_ms, (epoch_us(ts) // 1000) + (event_id * 7919) % 121 AS sent_ms FROM events)"""
 _LIB = """feed AS (SELECT o_custkey AS song_id, o_orderkey AS version, o_orderstatus AS status, o_totalprice AS duration, epoch(o_orderdate)::BIGINT AS ats FROM orders),
 lib AS (SELECT song_id, arg_max(status, struct_pack(a := ats, v := version)) AS status, arg_max(duration, struct_pack(a := ats, v := version)) AS duration, min(ats) AS created_at, max(ats) AS updated_at FROM feed GROUP BY song_id)"""
 
+_FIRES = f"x.eligible AND x.hour - s.at >= {GAP} AND ((s.section >= 0 AND x.here <> s.section) OR (s.section < 0 AND x.ahead <= {NEAR}) OR x.hour - s.at >= {STABLE})"
+
 ORACLE_SQL = {
     "st_late_drop": f"WITH {_D} SELECT event_id, session FROM f WHERE sent_ms - due_ms <= 50",
     "st_rate_per_second": "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start_s, event_type, count(*) AS n FROM events GROUP BY ALL",
     "st_ema_rate": f"""WITH RECURSIVE {_D}, o AS (SELECT session, value, row_number() OVER (PARTITION BY session ORDER BY ts, event_id) AS i FROM f),
 r AS (SELECT session, i, value AS ema FROM o WHERE i = 1 UNION ALL SELECT o.session, o.i, 0.85 * r.ema + 0.15 * o.value FROM r JOIN o ON o.session = r.session AND o.i = r.i + 1)
 SELECT session, round(arg_max(ema, i), 6) AS ema, max(i) AS n FROM r GROUP BY session""",
-    "st_delivery_slo": f"""WITH {_D}, k AS (SELECT session, sent_ms - due_ms AS d FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts DESC, event_id DESC) AS rn FROM f) WHERE rn <= 100),
-l AS (SELECT session, list_sort(list(d)) AS d FROM k GROUP BY session)
-SELECT session, d[floor(len(d) / 2)::INT + 1] AS p50, d[least(len(d) - 1, floor(0.95 * len(d)))::INT + 1] AS p95, len(d) AS n FROM l""",
-    "st_drop_rate": f"WITH {_D} SELECT epoch(date_trunc('day', ts))::BIGINT AS start_s, count(*) FILTER (sent_ms - due_ms > 50) AS n_late, count(*) AS n, count(*) FILTER (sent_ms - due_ms > 50) / count(*) AS rate FROM f GROUP BY 1",
+    "st_delivery_slo": f"""WITH {_D}, k AS (SELECT session, sent_ms - due_ms AS d, (sent_ms - lag(sent_ms) OVER (PARTITION BY session ORDER BY ts, event_id))::DOUBLE AS gap FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts DESC, event_id DESC) AS rn FROM f) WHERE rn <= 100),
+l AS (SELECT session, list_sort(list(d)) AS d, list(gap) FILTER (gap IS NOT NULL) AS gaps, avg(gap) AS m FROM k GROUP BY session),
+j AS (SELECT session, d, list_sort(list_transform(gaps, lambda g: abs(g - m))) AS j FROM l)
+SELECT session, d[floor(len(d) / 2)::INT + 1] AS p50, d[least(len(d) - 1, floor(0.95 * len(d)))::INT + 1] AS p95, len(d) AS n, CASE WHEN len(j) >= 2 THEN round(list_sum(j) / len(j), 3) END AS jitter_mean,
+  CASE WHEN len(j) >= 2 THEN round(j[least(len(j) - 1, floor(0.95 * len(j)))::INT + 1], 3) END AS jitter_p95 FROM j""",
+    "st_drop_rate": f"""WITH {_D}, x AS (SELECT *, ts::DATE AS day, row_number() OVER (PARTITION BY session, ts::DATE ORDER BY ts DESC, event_id DESC) > 2 AS shed FROM f)
+SELECT epoch(day)::BIGINT AS start_s, count(*) FILTER (NOT shed AND sent_ms - due_ms > 50) AS n_late, count(*) FILTER (shed) AS n_shed, count(*) AS n, count(*) FILTER (shed OR sent_ms - due_ms > 50) / count(*) AS rate FROM x GROUP BY day""",
     "st_throttle": f"WITH {_D} SELECT session, epoch(date_trunc('hour', ts))::BIGINT AS start_s, arg_min(event_id, struct_pack(t := ts, e := event_id)) AS event_id FROM f GROUP BY ALL",
-    "st_backlog_shed": f"WITH {_D} SELECT session, event_id, rn FROM (SELECT *, row_number() OVER (PARTITION BY session, ts::DATE ORDER BY ts DESC, event_id DESC)::INTEGER AS rn FROM f) WHERE rn <= 25",
+    "st_backlog_shed": f"""WITH {_D}, x AS (SELECT *, count(*) OVER (PARTITION BY session, ts::DATE) AS n, row_number() OVER (PARTITION BY session, ts::DATE ORDER BY ts DESC, event_id DESC)::INTEGER AS rn FROM f)
+SELECT session, event_id, rn FROM x WHERE n <= 4 OR rn <= 2""",
+    "st_lookahead_ema": f"""WITH RECURSIVE {_D}, days AS (SELECT session, ts::DATE AS day, avg(value) AS m FROM f GROUP BY ALL),
+o AS MATERIALIZED (SELECT session, m + 1000.0 / greatest(1.0, 1000.0 / m) + 15 AS x, row_number() OVER (PARTITION BY session ORDER BY day) AS i FROM days),
+r AS (SELECT session, i, x AS y FROM o WHERE i = 1 UNION ALL SELECT o.session, o.i, 0.8::DOUBLE * r.y + 0.2::DOUBLE * o.x FROM r JOIN o ON o.session = r.session AND o.i = r.i + 1)
+SELECT session, round(arg_max(y, i), 6) AS lookahead_ms FROM r GROUP BY session""",
+    "st_clock_correct": f"""WITH RECURSIVE {_D}, x AS (SELECT session, (row_number() OVER (PARTITION BY session ORDER BY ts, event_id))::INTEGER AS frame_idx, event_type AS kind, (epoch_us(ts) // 1000) / 1000.0::DOUBLE - {EPOCH} AS tick, (epoch_us(ts) // 1000) / 1000.0::DOUBLE - {EPOCH} + (sent_ms - due_ms) / 1000.0::DOUBLE AS client FROM f),
+{_fold_sql('x', {
+    'a': ('0.0::DOUBLE', f"CASE WHEN x.kind = '{PAUSE}' THEN s.a WHEN x.kind IN ('{SEEK}', '{PLAY}') OR s.b < 0 THEN x.client ELSE s.a END"),
+    'b': ('-1.0::DOUBLE', f"CASE WHEN x.kind = '{PAUSE}' THEN s.b WHEN x.kind IN ('{SEEK}', '{PLAY}') OR s.b < 0 THEN x.tick ELSE s.b - {ALPHA} * (x.client - (s.a + x.tick - s.b)) END"),
+    'c': ('false', f"CASE WHEN x.kind = '{PAUSE}' THEN false WHEN x.kind = '{SEEK}' THEN s.c WHEN x.kind = '{PLAY}' OR s.b < 0 THEN true ELSE s.c END"),
+}, 'k', 'session')} SELECT session, round(arg_max(a, i), 4) AS client, round(arg_max(b, i), 4) AS server, arg_max(c, i) AS playing, max(i) AS n FROM k GROUP BY session""",
+    "st_ttl_state": """WITH l AS (SELECT user_id AS session, arg_max(value, struct_pack(t := ts, e := event_id)) AS value, max(floor(epoch(ts)))::BIGINT AS set_at FROM events WHERE floor(epoch(ts)) <= 1706000000 GROUP BY user_id)
+SELECT * FROM l WHERE set_at + 259200 > 1706000000""",
+    "st_envelope": f"""WITH RECURSIVE {_D}, x AS (SELECT session, (row_number() OVER (PARTITION BY session ORDER BY ts, event_id))::INTEGER AS frame_idx, value / 500.0 AS v FROM f),
+{_envelope_sql('x', 1.0, 8.0, 'k', 'v', 'session')} SELECT session, round(arg_max(y, i), 6) AS envelope, max(i) AS n FROM k GROUP BY session""",
+    "st_surprise": f"""WITH RECURSIVE {_D}, x AS (SELECT session, event_id, (row_number() OVER (PARTITION BY session ORDER BY ts, event_id))::INTEGER AS frame_idx, value / 500.0 AS v, floor(epoch(ts)) / 3600.0::DOUBLE AS hour FROM f),
+{_fold_sql('x', {'y': ('0.0::DOUBLE', f"CASE WHEN x.v > {STARTLE} AND x.v > s.y THEN x.v ELSE greatest(0.0, s.y - {FADE} * greatest(0.0, x.hour - s.hour)) END"), 'hour': ('0.0::DOUBLE', 'x.hour'), 'event_id': ('0::BIGINT', 'x.event_id')}, 'k', 'session')}
+SELECT session, event_id, round(y, 6) AS surprise FROM k WHERE i > 0""",
+    "st_checkpoint_trigger": f"""WITH RECURSIVE {_D}, x AS (SELECT session, (row_number() OVER (PARTITION BY session ORDER BY ts, event_id))::INTEGER AS frame_idx, (floor(epoch(ts) / 3600) - {EPOCH // 3600})::BIGINT AS hour, event_type <> 'error' AS eligible FROM f),
+r AS (SELECT *, hour // 24 AS here, 24 - hour % 24 AS ahead FROM x),
+{_fold_sql('r', {
+    'at': ('-1000::BIGINT', f"CASE WHEN {_FIRES} THEN x.hour ELSE s.at END"),
+    'section': ('-1::BIGINT', f"CASE WHEN {_FIRES} THEN x.here ELSE s.section END"),
+    'reason': ("''", f"CASE WHEN NOT ({_FIRES}) THEN '' WHEN s.section >= 0 AND x.here <> s.section THEN 'section_change' WHEN s.section < 0 AND x.ahead <= {NEAR} THEN 'section_near' ELSE 'stable_interval' END"),
+}, 'k', 'session')} SELECT session, k."at" AS hour, reason FROM k WHERE reason <> ''""",
+    "st_drift_alert": """WITH c AS (SELECT user_id AS session, event_id, ts, (event_id * 7919) % 121 / 100.0::DOUBLE AS off FROM events WHERE event_type = 'view'), s AS (SELECT user_id AS session, event_id, ts, (event_id * 7919) % 121 / 100.0::DOUBLE AS off FROM events WHERE event_type = 'click')
+SELECT c.session, c.event_id AS client_event, s.event_id AS server_event, round(abs(c.off - s.off), 4) AS drift FROM c JOIN s ON c.session = s.session AND c.ts BETWEEN s.ts - INTERVAL 1 HOUR AND s.ts + INTERVAL 1 HOUR WHERE round(abs(c.off - s.off), 4) > 0.5""",
+    "snk_telemetry": "SELECT epoch(date_trunc('day', ts))::BIGINT AS start_s, count(*) AS n, avg(value) AS mean_ms, max(value) AS max_ms FROM events GROUP BY 1",
     "agg_timing_summary": f"""WITH {_D} SELECT session, avg(value) AS mean_ms, count(*) AS n, 1000 / avg(value) AS fps FROM (
   SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts DESC, event_id DESC) AS rn FROM f) WHERE rn <= 100 GROUP BY session HAVING count(*) >= 5""",
     "st_library_cdc": f"WITH {_LIB} SELECT * FROM lib",
