@@ -1,42 +1,7 @@
-"""Connected components of a linked graph by iterated minimum labels in Spark."""
+"""Connected components of a linked graph, as the other operators have them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from tessera.functions.graph import connected_components
 
-from tessera.session import join_counted, materialize
-
-
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for each node of ``links(a, b)``; root is the smallest node reachable.
-
-    Alternates large-star and small-star steps: each round keeps one link of a node to
-    a smaller one, so no star is expanded into pairs, and the links of a node with very
-    many are never brought together in one task.  Each step is written to the
-    shared checkpoint folder.  Self links, nulls and repeated links are ignored; an
-    empty graph gives no rows.  Raises if ``max_rounds`` rounds don't settle.
-    """
-    edges = materialize(
-        links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
-    )
-    before = None
-    for _ in range(max_rounds):
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = materialize(join_counted(both.filter("v > u"), least, "u", "n", "least").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = (
-            join_counted(large, low, "u", "n", "low")
-            .select(F.expr("inline(array(struct(v AS u, m AS v), struct(u AS u, m AS v)))"))
-            .filter("u <> v")
-            .distinct()
-        )
-        edges = materialize(small, "star")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
-        before = state
-    raise RuntimeError(f"components have not settled after {max_rounds} rounds")
+__all__ = ["connected_components"]
