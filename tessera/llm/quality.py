@@ -6,6 +6,7 @@ Everything here is DataFrame and SQL functions; no Python runs on the executors.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +30,8 @@ MAX_RULES = 10
 MAX_CONDITIONS = 3
 MIN_PRECISION = 0.97
 MIN_COVER = 12
+#: Words of the shortest text that passes the base rule.
+LEAST_WORDS = 50
 
 FEATURES = ("word_len", "symbol_share", "upper_share", "bang_share", "dup_line_share", "repeat_share", "line_words", "digit_share", "flag_words", "flag_share", "flag_stems", "stem_share", "n_words")
 
@@ -217,24 +220,27 @@ def flagged_stems(sample: DataFrame, most: int = FLAG_STEMS) -> tuple[tuple[str,
     known = {r["stem"]: r["strong"] for r in found}
     if not known:
         return (), ()
-    marks = materialize(own.filter("toxic = 1").select(F.array_intersect("stems", F.array(*[F.lit(w) for w in known])).alias("stems")), "marks")
+    marked = own.filter("toxic = 1").select(F.array_intersect("stems", F.array(*[F.lit(w) for w in known])).alias("stems"))
+    marks = [frozenset(r["stems"]) for r in marked.collect()]  # at most the sample's rows, of at most ``most`` stems
     taken = [r["stem"] for r in found if r["strong"] and r["n_toxic"] >= max(10, 0.05 * sums["toxic"])]
     while len(taken) < len(known):
-        open_texts = marks.filter(~F.arrays_overlap("stems", F.array(*[F.lit(w) for w in taken]))) if taken else marks
-        top = open_texts.select(F.explode("stems").alias("stem")).groupBy("stem").count().orderBy(F.desc("count"), "stem").first()
-        if top is None or top["count"] < max(3, 0.01 * sums["toxic"]):
+        marks = [m for m in marks if m.isdisjoint(taken)]
+        counts = Counter(w for m in marks for w in m)
+        top = min(counts, key=lambda w: (-counts[w], w), default=None)
+        if top is None or counts[top] < max(3, 0.01 * sums["toxic"]):
             break
-        taken.append(top["stem"])
+        taken.append(top)
     return tuple(w for w in taken if known[w]), tuple(w for w in taken if not known[w])
 
 
-def learn_rules(stats: DataFrame) -> list[Rule]:
+def learn_rules(stats: DataFrame, max_rules: int = MAX_RULES, max_conditions: int = MAX_CONDITIONS) -> list[Rule]:
     """A decision list by sequential covering over ``stats``(FEATURES, bad, part).
 
     Rules grow on parts 1 and 2, one threshold at a time by information gain (FOIL),
-    and are pruned on part 0 while that doesn't lower their precision.  Each step is one
-    Spark aggregation by statistic and bin; the driver sees those sums only, CUTS + 1
-    for each statistic.
+    and are pruned on part 0 while that doesn't lower their precision there.  A rule must be right on
+    MIN_PRECISION of all that it covers, and of what it covers in part 0 if that is MIN_COVER rows.  Spark finds
+    the thresholds and puts each value in its bin; the driver covers the bins, which are at most the
+    sample's rows of one small number for each statistic.
     """
     # Most statistics are zero on most rows: zero is a threshold, the others are quantiles of what is above it.
     steps = F.array(*[F.lit((i + 0.5) / CUTS) for i in range(CUTS)])
@@ -242,52 +248,56 @@ def learn_rules(stats: DataFrame) -> list[Rule]:
     cuts = {f: sorted({0.0, *(float(x) for x in row[f] or [])}) for f in FEATURES}
     # The bin of a value is the number of cuts below it.
     below = lambda f: F.size(F.filter(F.array(*[F.lit(c) for c in cuts[f]]), lambda c: c < F.col(f)))
-    bins = F.array(*[F.struct(F.lit(f).alias("f"), below(f).alias("b")) for f in FEATURES])
-    binned = materialize(stats.select("bad", "part", *FEATURES, bins.alias("bins")), "binned")
-    left, rules = F.lit(True), []
-
-    def grow(where: Column) -> tuple[int, int, list[tuple[Condition, int, int]]]:
-        """(bad, all) of the rows of ``where`` and of each condition on them."""
-        cells = binned.filter(where).select("bad", F.explode("bins").alias("x")).groupBy("x.f", "x.b").agg(F.sum("bad").alias("p"), F.count("*").alias("n")).collect()
-        by = {f: {c["b"]: (c["p"], c["n"]) for c in cells if c["f"] == f} for f in FEATURES}
-        p0, n0 = (sum(v[i] for v in by[FEATURES[0]].values()) for i in (0, 1))
-        out = []
-        for f in FEATURES:
+    rows = [(r["bad"], r["part"], r["bins"]) for r in stats.select("bad", "part", F.array(*[below(f) for f in FEATURES]).alias("bins")).collect()]
+    number = {f: i for i, f in enumerate(FEATURES)}
+
+    def holds(condition: Condition, bins: list[int]) -> bool:
+        # A value is above the cut of place b if more than b cuts are below it.
+        return (bins[number[condition.feature]] > cuts[condition.feature].index(condition.cut)) == condition.above
+
+    def grow(left: list[tuple]) -> tuple[int, int, list[tuple[Condition, int, int]]]:
+        """(bad, all) of the rows and of each condition on them."""
+        p0, n0, out = sum(r[0] for r in left), len(left), []
+        for f, i in number.items():
+            bad, every = Counter(), Counter()
+            for r in left:
+                every[r[2][i]] += 1
+                bad[r[2][i]] += r[0]
             p = n = 0
             for b, cut in enumerate(cuts[f]):
-                p, n = p + by[f].get(b, (0, 0))[0], n + by[f].get(b, (0, 0))[1]
+                p, n = p + bad[b], n + every[b]
                 out += [(Condition(f, True, cut), p0 - p, n0 - n), (Condition(f, False, cut), p, n)]
         return p0, n0, out
 
-    for _ in range(MAX_RULES):
+    rules: list[Rule] = []
+    for _ in range(max_rules):
         grown: list[Condition] = []
-        where = left & (F.col("part") != 0)
-        p0, n0, tests = grow(where)
-        while p0 >= MIN_COVER and len(grown) < MAX_CONDITIONS and p0 < n0:
+        left = [r for r in rows if r[1] != 0]
+        p0, n0, tests = grow(left)
+        while p0 >= MIN_COVER and len(grown) < max_conditions and p0 < n0:
             gain = lambda t: t[1] * (math.log2(t[1] / t[2]) - math.log2(p0 / n0)) if t[1] >= MIN_COVER else -1.0  # noqa: E731, B023
             best = max(tests, key=gain)
             if gain(best) <= 1e-9:
                 break
             grown.append(best[0])
-            where = where & best[0].column()
+            left = [r for r in left if holds(best[0], r[2])]
             if best[1] == best[2]:
                 break
-            p0, n0, tests = grow(where)
+            p0, n0, tests = grow(left)
         if not grown:
             break
-        prefixes = [Rule(tuple(grown[: i + 1]), 0, 0) for i in range(len(grown))]
-        held = F.col("part") == 0
-        got = binned.filter(left).agg(
-            *[F.sum(F.when(r.column() & side, what).otherwise(0)).alias(f"{name}{i}") for i, r in enumerate(prefixes) for name, side, what in (("hp", held, F.col("bad")), ("hn", held, F.lit(1)), ("p", F.lit(True), F.col("bad")), ("n", F.lit(True), F.lit(1)))]
-        ).first()
-        held_out = [(got[f"hp{i}"] + 1) / (got[f"hn{i}"] + 2) for i in range(len(prefixes))]
-        whole = [got[f"p{i}"] / max(got[f"n{i}"], 1) for i in range(len(prefixes))]
-        sound = [i for i in range(len(prefixes)) if whole[i] >= MIN_PRECISION]
-        if not sound:
+        choices = []
+        for i in range(len(grown)):
+            hit = [r for r in rows if all(holds(c, r[2]) for c in grown[: i + 1])]
+            held = [r for r in hit if r[1] == 0]
+            right, right_held = sum(r[0] for r in hit) / max(len(hit), 1), sum(r[0] for r in held)
+            if right >= MIN_PRECISION and (len(held) < MIN_COVER or right_held >= MIN_PRECISION * len(held)):
+                choices.append((round((right_held + 1) / (len(held) + 2), 3), -i, right, len(hit)))
+        if not choices:
             break
-        best = max(sound, key=lambda i: (round(held_out[i], 3), -i))
-        rules.append(Rule(prefixes[best].conditions, whole[best], got[f"n{best}"]))
-        left = left & ~rules[-1].column()
+        _, i, right, covered = max(choices)
+        rules.append(Rule(tuple(grown[: 1 - i]), right, covered))
+        rows = [r for r in rows if not all(holds(c, r[2]) for c in rules[-1].conditions)]
     return rules
 
 
@@ -298,35 +308,38 @@ class QualityModel:
     rules: tuple[Rule, ...]
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> QualityModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, stems: int = FLAG_STEMS, max_rules: int = MAX_RULES, max_conditions: int = MAX_CONDITIONS) -> QualityModel:
     """Fit flagged stems and the decision list on at most ``rows`` labelled documents.
 
     Without labelled rows of both kinds the model has no rules and rejects nothing.
     """
     sample = materialize(labelled_sample(docs, labels, rows), "sample")
-    strong, weak = flagged_stems(sample)
+    strong, weak = flagged_stems(sample, stems)
     stats = text_statistics(sample, strong, weak).join(F.broadcast(sample.select("doc_id", "bad", "part")), "doc_id")
-    return QualityModel(strong, weak, tuple(learn_rules(materialize(stats.select("bad", "part", *FEATURES), "stats"))))
+    return QualityModel(strong, weak, tuple(learn_rules(materialize(stats.select("bad", "part", *FEATURES), "stats"), max_rules, max_conditions)))
 
 
-def judge(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """Statistics of each document with base_failed, rule (number of the first rule that fires, or null) and kept."""
+def judge(docs: DataFrame, model: QualityModel, least_words: int = LEAST_WORDS) -> DataFrame:
+    """Statistics of each document with base_failed, rule (number of the first rule that fires, or null) and kept.
+
+    The base fails texts of fewer than ``least_words`` words and those of which over half the words repeat.
+    """
     stats = text_statistics(docs, model.strong, model.weak)
     fired = F.lit(None).cast("int")
     for i, rule in reversed(list(enumerate(model.rules, 1))):
         fired = F.when(rule.column(), F.lit(i)).otherwise(fired)
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return stats.withColumn("base_failed", failed).withColumn("rule", fired).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
-def filter_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def filter_quality(docs: DataFrame, labels: DataFrame, least_words: int = 1) -> DataFrame:
     """The documents that the base rule and the learned list keep, with all their columns.
 
-    Statistics stand beside each row, so repeated rows and null ids need no join.
+    A short text is not bad for being short: from ``least_words`` words on the list and repetition decide.  Statistics stand beside each row, so repeated rows and null ids need no join.
     """
     model = fit_quality(docs, labels)
     whole = docs.select(F.struct(*docs.columns).alias("doc_id"), F.col("text"))
-    return judge(whole, model).filter("kept").select("doc_id.*")
+    return judge(whole, model, least_words).filter("kept").select("doc_id.*")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

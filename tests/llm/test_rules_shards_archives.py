@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -59,6 +60,46 @@ def test_decision_list_learns_planted_rules(spark):
     assert kept == {i for i in range(240) if i % 4 in (0, 3)}
 
 
+def test_decision_list_matches_plain_covering(spark):
+    """The list against a cover written over the raw values."""
+    rng = random.Random(71)
+    rows = []
+    for i in range(600):
+        x = {f: rng.choice([0.0, round(rng.random(), 3)]) for f in quality.FEATURES}
+        bad = int(x["symbol_share"] > 0.6 or (x["upper_share"] > 0.5 and x["flag_words"] > 0.5)) if rng.random() > 0.005 else 1
+        rows.append((bad, i % 3, *(x[f] for f in quality.FEATURES)))
+    stats = spark.createDataFrame(rows, "bad int, part int, " + ", ".join(f"{f} double" for f in quality.FEATURES))
+    rules = quality.learn_rules(stats)
+    place = {f: 2 + k for k, f in enumerate(quality.FEATURES)}
+    hold = lambda c, r: (r[place[c.feature]] > c.cut) == c.above
+    left = rows
+    for rule in rules:
+        hit = [r for r in left if all(hold(c, r) for c in rule.conditions)]
+        assert len(hit) == rule.covered and abs(sum(r[0] for r in hit) / len(hit) - rule.precision) < 1e-12
+        held = [r for r in hit if r[1] == 0]
+        assert rule.precision >= quality.MIN_PRECISION and (len(held) < quality.MIN_COVER or sum(r[0] for r in held) >= quality.MIN_PRECISION * len(held))
+        left = [r for r in left if not all(hold(c, r) for c in rule.conditions)]
+    first = rules[0].conditions[0]  # no single threshold of the data gains more
+    grown = [r for r in rows if r[1] != 0]
+    base = sum(r[0] for r in grown) / len(grown)
+
+    def gain(feature, above, cut):
+        hit = [r for r in grown if (r[place[feature]] > cut) == above]
+        p = sum(r[0] for r in hit)
+        return p * (math.log2(p / len(hit)) - math.log2(base)) if p >= quality.MIN_COVER else -1.0
+
+    cuts = {c.cut for rule in rules for c in rule.conditions} | {0.0}
+    assert all(gain(f, above, cut) <= gain(first.feature, first.above, first.cut) + 1e-9 for f in quality.FEATURES for above in (True, False) for cut in cuts)
+    assert sum(r[0] for r in left) < 0.3 * sum(r[0] for r in rows)
+
+
+def test_short_texts_stay_in_the_filter_unless_they_repeat(spark):
+    docs = documents(spark, ["a few good words", "x y z x y z x y z", "", None, "one"])
+    assert sorted(r.doc_id for r in quality.filter_quality(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()) == [0, 4]
+    found = {r.doc_id: r.kept for r in quality.judge(docs, quality.QualityModel((), (), ())).collect()}
+    assert not any(found.values())
+
+
 def test_quality_without_labels_or_documents(spark):
     docs, labels = labelled(spark, n=8)
     model = quality.fit_quality(docs, labels.limit(0))
