@@ -13,7 +13,7 @@ from tessera.session import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rule nor the learned decision list rejects."""
+    """Documents that neither the learned decision list nor their own repetition rejects; short ones are judged alike."""
     return filter_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
