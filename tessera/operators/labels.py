@@ -201,7 +201,7 @@ def parse_annotation(raw: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(text, r"^```(?:json)?\s*", ""), r"\s*```$", "")
     label = F.get_json_object(bare, "$.label")
     line = _field(text, "label")
-    first = F.substring(F.btrim(F.element_at(F.filter(F.split(text, "\n"), lambda x: F.btrim(x) != ""), 1)), 1, 100)
+    first = F.substring(F.btrim(F.get(F.filter(F.split(text, "\n"), lambda x: F.btrim(x) != ""), F.lit(0))), 1, 100)
     pick = lambda name, default: F.when(label.isNotNull(), F.coalesce(F.get_json_object(bare, f"$.{name}"), F.lit(default))).when(line.isNotNull(), F.coalesce(_field(text, name), F.lit(default)))
     return F.struct(
         F.coalesce(label, line, first, F.lit("")).alias("label"),

@@ -64,7 +64,7 @@ def stem_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hpss_ratio(wide: DataFrame) -> DataFrame:
     """(track, stem, hpss_ratio): share of transients in transients and sustain; 0.5 for silence."""
     both = F.sum("transient") + F.sum("sustain")
-    return wide.groupBy(*SERIES).agg(F.when(both > 0, F.sum("transient") / both).otherwise(0.5).alias("hpss_ratio"))
+    return wide.groupBy(*SERIES).agg(F.round(F.when(both > 0, F.sum("transient") / both).otherwise(0.5), 9).alias("hpss_ratio"))
 
 
 def _derived(wide: DataFrame) -> DataFrame:
@@ -376,7 +376,7 @@ steps AS (SELECT *, coalesce(envelope - lag(envelope) OVER w, 0.0) AS step, avg(
 wide AS (SELECT track, stem, frame_idx, v, envelope, brightness, flatness, energy_smooth, greatest(0.0, step) AS transient, abs(step) AS flux, sustain, flash, least(c / 3.0::DOUBLE, 1.0) AS pitch_confidence, {_C.format('v / 500.0')} AS pitch_normalized,
   v / 10.0::DOUBLE - floor(v / 10.0::DOUBLE) AS chroma_centroid, CASE WHEN stem <> 'error' THEN least(1.0, 4 * abs(energy_smooth - sustain)) END AS tension, 0.5 * abs(step) AS tonal_distance,
   avg(abs(step)) OVER (PARTITION BY track, stem ORDER BY frame_idx ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) AS novelty_long, c > 0 AS voiced FROM steps),
-ratio AS (SELECT track, stem, CASE WHEN sum(transient) + sum(sustain) > 0 THEN sum(transient) / (sum(transient) + sum(sustain)) ELSE 0.5 END AS hpss_ratio FROM wide GROUP BY ALL)"""
+ratio AS (SELECT track, stem, round(CASE WHEN sum(transient) + sum(sustain) > 0 THEN sum(transient) / (sum(transient) + sum(sustain)) ELSE 0.5 END, 9) AS hpss_ratio FROM wide GROUP BY ALL)"""
 _SIG = f"""{_WIDE}, parts0 AS (SELECT w.*, stem || '_' || part AS target, part = 'harmonic' AS soft, {_C.format("energy_smooth * CASE WHEN part = 'harmonic' THEN 1 - hpss_ratio ELSE hpss_ratio END")} AS curve
   FROM wide w JOIN ratio r USING (track, stem), (VALUES ('harmonic'), ('percussive')) p(part) WHERE stem IN {_IN}),
 parts AS (SELECT *, abs(coalesce(curve - lag(curve) OVER (PARTITION BY track, target ORDER BY frame_idx), 0.0)) AS moved FROM parts0),

@@ -63,16 +63,14 @@ def test_factorisation_lowers_the_loss(spark):
     assert later < first < (x**2).sum()
 
 
-def test_triggers_wait_for_the_gap(spark):
-    rows = [(1, h, "b" if h >= 20 else "a") for h in range(0, 60, 4)]
-    df = spark.createDataFrame(rows, "session long, h long, event_type string").selectExpr("session", "timestamp_seconds(h * 3600) AS ts", "event_type", "h AS event_id")
-    got = sorted(r.hour for r in telemetry.checkpoint_triggers(df).collect())
-    at, kind, want = -10_000, "", []
-    for _, h, k in rows:
-        if h - at >= 12 and (k != kind or h - at >= 15):
-            at, kind = h, k
-            want.append(h)
-    assert got == want
+def test_triggers_follow_the_rules_in_order():
+    state, fired = (-1000, -1, ""), []
+    for hour, eligible in ((2, True), (17, True), (18, True), (26, False), (30, True), (41, True), (57, True), (60, True), (72, True)):
+        state = telemetry.trigger_step(state, hour, eligible)
+        if state[2]:
+            fired.append((hour, state[2]))
+    assert fired == [(2, "stable_interval"), (17, "stable_interval"), (30, "section_change"), (57, "section_change"), (72, "section_change")]
+    assert telemetry.trigger_step((-5, -1, ""), 18, True) == (18, 0, "section_near")
 
 
 def test_materialized_rows_stand_in_the_checkpoint_folder(spark):

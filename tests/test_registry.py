@@ -10,6 +10,8 @@ import __spark_entry__ as entry_module
 from tessera.plans import catalog
 
 SF = "/root/testdata/sf0.001"
+#: What these look for need not be in the smallest tables.
+RARE = {"join_event_tolerance"}
 
 
 @pytest.fixture(scope="module")
@@ -43,15 +45,14 @@ def test_query_matches_sql(spark, duck, name):
     columns = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(columns)
     a, b = table(got.collect(), got.columns), table(want.fetchall(), columns)
-    assert len(a) == len(b)
+    assert len(a) == len(b) and (a or name in RARE)
     for x, y in zip(a, b):
         for u, v in zip(x, y):
             assert u == v or (isinstance(u, (int, float)) and isinstance(v, (int, float)) and math.isclose(u, v, rel_tol=1e-6, abs_tol=1e-8)), (x, y)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
-def test_query_without_sql_runs(spark, name):
-    assert catalog.queries()[name](spark, SF).count() >= 0
+def test_every_query_has_sql():
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
 
 
 def test_entry_has_rows(spark):
