@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions.text import MARKS, THEME_STOPWORDS, aligned, clean_word, cosine, hashed_vector, hashed_vector_sql
 from tessera.session import delete_at_exit, scratch_path, table
 
-#: Marks of model chatter in labels, categories to mend, order of trust.
+#: Marks of model chatter in labels, order of trust.
 ARTIFACT = r"(?i)^(Looking at|I need to|Let me|I'll |Based on|Analyzing|The (image|feature))"
-CATEGORY_FIXES = {"** lighting": "lighting", "setting/environment": "setting"}
 ANNOTATORS = ("a0", "a1", "a2")
 AGREE, DISAGREE = 0.7, 0.65
 #: Marks of reasoning in place of a label, and its length from which it is no label.

@@ -362,7 +362,6 @@ QUERIES = {
     "fn_sample_position": lambda s, d: sample_positions(_w(s, d)),
     "fn_link_target": lambda s, d: link_targets(_sig(s, d)),
     "ml_track_analysis": _analysis,
-    "st_extended_activity": lambda s, d: _w(s, d).select("track", "stem", "frame_idx", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("envelope", "energy_smooth", "transient", "flux", "brightness", "flash", "sustain"))),
 }
 
 _C = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, {0}))"
@@ -472,5 +471,4 @@ p AS (SELECT track, target, string_agg(partner, '+' ORDER BY rn) AS partners FRO
 n AS (SELECT track, target, count(*) AS n_section_ranks FROM secranks GROUP BY ALL)
 SELECT prof.* EXCLUDE (brightness_dynamic), array_to_string({_tags_sql(MOVEMENT, 'steady')}, '+') AS movement_words, array_to_string({_tags_sql(USES, 'supporting_driver')}, '+') AS good_for, {SOURCE} AS preferred_source,
   coalesce(partners, '') AS partners, coalesce(rankings, '') AS rankings, coalesce(n_section_ranks, 0) AS n_section_ranks FROM prof LEFT JOIN p USING (track, target) LEFT JOIN k USING (track, target) LEFT JOIN n USING (track, target)""",
-    "st_extended_activity": f"WITH {_WIDE} SELECT track, stem, frame_idx, envelope, energy_smooth, transient, flux, brightness, flash, sustain FROM wide",
 }

@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.series import _envelope_sql, _fold_sql, follow_step
-from tessera.session import delete_at_exit, scratch_path, table
+from tessera.operators.series import _envelope_sql, _fold_sql, follow_step, hours
+from tessera.operators.signals import _WIDE, stem_frames
+from tessera.session import delete_at_exit, materialize, scratch_path, table
 
 TOLERANCE_MS = 50
 DECAY = 0.85
@@ -308,6 +309,22 @@ def stream_late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_table(kept, "append", ["event_id"])
 
 
+ACTIVITY = ("envelope", "energy_smooth", "transient", "flux", "brightness", "flash", "sustain")
+
+
+def stream_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At each event (a tick of its track) the channels of all stems, on the line between its frame and the next: a stream against a table."""
+    h0 = hours(table(spark, sf_dir, "events")).select("h0")
+    place = F.unix_micros("ts") / 3.6e9 - F.col("h0")
+    ticks = _event_stream(spark, sf_dir).crossJoin(F.broadcast(h0)).select("event_id", (F.col("user_id") % 10).alias("track"), F.floor(place).cast("int").alias("frame_idx"), (place - F.floor(place)).alias("past"))
+    w = Window.partitionBy("track", "stem").orderBy("frame_idx")
+    pairs = [F.struct(F.coalesce(c, F.lit(0.0)).alias("x"), F.coalesce(F.lead(c).over(w), F.col(c), F.lit(0.0)).alias("y")).alias(c) for c in ACTIVITY]
+    still = materialize(stem_frames(spark, sf_dir).select("track", "stem", "frame_idx", *pairs), "activity")
+    met = ticks.hint("merge").join(still, ["track", "frame_idx"])
+    line = lambda c: F.round(F.col(f"{c}.x") + F.col("past") * (F.col(f"{c}.y") - F.col(f"{c}.x")), 6).alias(c)
+    return run_to_table(met.select("event_id", "track", "stem", *map(line, ACTIVITY)), "append", ["event_id", "stem"])
+
+
 def stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """throttle over the stream, with a watermark of a day."""
     return run_to_table(throttle(deliveries(_event_stream(spark, sf_dir).withWatermark("ts", "1 day"))), "update", ["session", "start_s"])
@@ -403,6 +420,7 @@ QUERIES = {
     "st_surprise": stream_surprise,
     "st_drift_alert": stream_drift,
     "snk_telemetry": stream_telemetry,
+    "st_extended_activity": stream_activity,
     "agg_timing_summary": lambda s, d: _frames(s, d).withColumn("rn", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("ts"), F.desc("event_id")))).filter("rn <= 100").groupBy("session").agg(F.avg("value").alias("mean_ms"), F.count("*").alias("n")).filter("n >= 5").withColumn("fps", 1000 / F.col("mean_ms")),
     "st_library_cdc": stream_library,
     "snk_library_upsert": _split,
@@ -460,6 +478,9 @@ r AS (SELECT *, hour // 24 AS here, 24 - hour % 24 AS ahead FROM x),
 }, 'k', 'session')} SELECT session, k."at" AS hour, reason FROM k WHERE reason <> ''""",
     "st_drift_alert": """WITH c AS (SELECT user_id AS session, event_id, ts, (event_id * 7919) % 121 / 100.0::DOUBLE AS off FROM events WHERE event_type = 'view'), s AS (SELECT user_id AS session, event_id, ts, (event_id * 7919) % 121 / 100.0::DOUBLE AS off FROM events WHERE event_type = 'click')
 SELECT c.session, c.event_id AS client_event, s.event_id AS server_event, round(abs(c.off - s.off), 4) AS drift FROM c JOIN s ON c.session = s.session AND c.ts BETWEEN s.ts - INTERVAL 1 HOUR AND s.ts + INTERVAL 1 HOUR WHERE round(abs(c.off - s.off), 4) > 0.5""",
+    "st_extended_activity": f"""WITH {_WIDE}, t AS (SELECT event_id, user_id % 10 AS track, epoch_us(ts) / 3.6e9 - h0 AS place FROM events, span),
+p AS (SELECT track, stem, frame_idx, {', '.join(f"{c} AS {c}_x, coalesce(lead({c}) OVER (PARTITION BY track, stem ORDER BY frame_idx), {c}) AS {c}_y" for c in ACTIVITY)} FROM wide)
+SELECT event_id, t.track, stem, {', '.join(f"round({c}_x + (place - floor(place)) * ({c}_y - {c}_x), 6) AS {c}" for c in ACTIVITY)} FROM t JOIN p ON t.track = p.track AND p.frame_idx = floor(place)""",
     "snk_telemetry": "SELECT epoch(date_trunc('day', ts))::BIGINT AS start_s, count(*) AS n, avg(value) AS mean_ms, max(value) AS max_ms FROM events GROUP BY 1",
     "agg_timing_summary": f"""WITH {_D} SELECT session, avg(value) AS mean_ms, count(*) AS n, 1000 / avg(value) AS fps FROM (
   SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts DESC, event_id DESC) AS rn FROM f) WHERE rn <= 100 GROUP BY session HAVING count(*) >= 5""",
