@@ -164,7 +164,7 @@ def _clusters(s: SparkSession, d: str) -> DataFrame:
 
 def track_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record for each track: length, tempo, character, sections, mean tension, mean lock and first driver."""
-    df, wide, signals = frames(spark, sf_dir), stem_frames(spark, sf_dir), target_signals(spark, sf_dir)
+    df, wide, signals = materialize(frames(spark, sf_dir), "frames"), stem_frames(spark, sf_dir), materialize(target_signals(spark, sf_dir), "signals")
     out = overall_character(stem_profiles(wide)).select("track", "character")
     parts = (
         df.groupBy("track").agg((F.max("frame_idx") + 1).alias("n_frames")),

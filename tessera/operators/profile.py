@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.series import (
-    _FRAMES, BEAT, N, SCALE, SERIES, _debounce_sql, _fold_sql, _series, _uniform, _whole, debounce, folded, frames, local_correlation, matched_events, percentile_norm, stem_pairs, uniform_mean,
+    _FRAMES, BEAT, N, SCALE, SERIES, _debounce_sql, _fold_sql, _series, _uniform, _whole, debounce, folded, frames, local_correlation, matched_events, mirrored, percentile_norm, stem_pairs, uniform_mean,
 )
 from tessera.operators.signals import _WIDE, PHYSICAL, stem_frames
 from tessera.operators.spectra import clamp
-from tessera.session import table
+from tessera.session import materialize, table
 
 #: Window and tolerance, in frames, in which two stems are held to be locked.
 WINDOW, TOLERANCE = 48, 2
@@ -41,16 +41,13 @@ def kernel(sigma: float) -> list[float]:
 
 
 def gaussian(df: DataFrame, sigma: float, value: str = "v", name: str = "smooth") -> DataFrame:
-    """Gaussian smoothing with reflected edges: mirror rows, then a row window of bounded width under fixed weights."""
+    """Gaussian smoothing with reflected edges: a row window of bounded width under fixed weights."""
     weights = kernel(sigma)
     r = len(weights) // 2
-    sized = df.withColumn("size", F.count("*").over(_whole()))
-    low = sized.filter(F.col("frame_idx") < r).withColumn("frame_idx", -F.col("frame_idx") - 1)
-    high = sized.filter(F.col("frame_idx") >= F.col("size") - r).withColumn("frame_idx", (2 * F.col("size") - 1 - F.col("frame_idx")).cast("int"))
-    near = F.collect_list(value).over(_series().rowsBetween(-r, r))
+    near = F.collect_list(value).over(_series("place").rowsBetween(-r, r))
     fixed = F.array(*[F.lit(w) for w in weights])
-    padded = sized.unionByName(low).unionByName(high).withColumn("near", near).filter((F.col("frame_idx") >= 0) & (F.col("frame_idx") < F.col("size")))
-    return padded.withColumn(name, F.aggregate(F.zip_with("near", fixed, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)).drop("near", "size")
+    rows = mirrored(df, r).withColumn("near", near).filter("place = frame_idx")
+    return rows.withColumn(name, F.aggregate(F.zip_with("near", fixed, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)).drop("near", "place")
 
 
 def max_norm(df: DataFrame, value: str) -> DataFrame:
@@ -286,10 +283,11 @@ def prominence(wide: DataFrame) -> DataFrame:
     rising medium novelty, which then decays.
     """
     short, medium, _ = time_scales()
+    wide = materialize(wide, "wide")
     df = wide.select(*SERIES, "frame_idx", "v")
     rising = slopes(df, (short, medium))
     rows = _entered(wide).hint("merge").join(rising, [*SERIES, "frame_idx"]).hint("merge").join(rival_effects(df), [*SERIES, "frame_idx"], "left")
-    rows = ranked(rows).withColumn("boost", F.when(F.col("rank").isNull(), F.greatest(F.when(F.col("hit") == 1, ENTRY_BOOST).otherwise(0.0), F.when(F.col("d1") > NOVELTY_BAR, NOVELTY_BOOST).otherwise(0.0))).otherwise(0.0))
+    rows = materialize(ranked(rows).withColumn("boost", F.when(F.col("rank").isNull(), F.greatest(F.when(F.col("hit") == 1, ENTRY_BOOST).otherwise(0.0), F.when(F.col("d1") > NOVELTY_BAR, NOVELTY_BOOST).otherwise(0.0))).otherwise(0.0)), "ranked")
     surprise = folded(rows, lambda state, new: (new if new > state[0] else max(0.0, state[0] - DECAY),), (0.0,), ("boost",), "surprise")
     gate = clamp((F.col("db") + 40) / 40)
     raised = F.col("base") * (1 + NOVELTY_MAX * clamp(F.col("d0")) + F.coalesce("coupling", F.lit(0.0))) * F.coalesce("factor", F.lit(1.0)) * gate

@@ -66,18 +66,21 @@ def percentile_norm(df: DataFrame) -> DataFrame:
     return df.hint("merge").join(bounds, list(SERIES)).select(*SERIES, "frame_idx", value.alias("norm"))
 
 
-def uniform_mean(df: DataFrame, n: int, value: str = "v") -> DataFrame:
-    """Centred mean of n samples with reflected edges; an even n reaches n/2 back and n/2 - 1 on.
+def mirrored(df: DataFrame, reach: int) -> DataFrame:
+    """``df`` with place: each row at its own frame, and rows within ``reach`` of an edge once more beyond it, as in a mirror.
 
-    Edge frames are added as mirror rows, so one plain row window does the rest.
+    Rows of ``df`` itself are those whose place is their frame.  The series is read once.
     """
+    size, at = F.col("size"), F.col("frame_idx")
+    places = F.array_compact(F.array(at, F.when(at < reach, -at - 1), F.when(at >= size - reach, (2 * size - 1 - at).cast("int"))))
+    return df.withColumn("size", F.count("*").over(_whole())).withColumn("place", F.explode(places)).drop("size")
+
+
+def uniform_mean(df: DataFrame, n: int, value: str = "v") -> DataFrame:
+    """Centred mean of n samples with reflected edges; an even n reaches n/2 back and n/2 - 1 on."""
     half = n // 2
-    length = df.withColumn("size", F.count("*").over(_whole()))
-    low = length.filter(F.col("frame_idx") < half).withColumn("frame_idx", -F.col("frame_idx") - 1)
-    high = length.filter(F.col("frame_idx") >= F.col("size") - half).withColumn("frame_idx", (2 * F.col("size") - 1 - F.col("frame_idx")).cast("int"))
-    padded = length.unionByName(low).unionByName(high)
-    mean = F.avg(value).over(_series().rowsBetween(-half, n - half - 1))
-    return padded.withColumn("smooth", mean).filter((F.col("frame_idx") >= 0) & (F.col("frame_idx") < F.col("size"))).drop("size")
+    mean = F.avg(value).over(_series("place").rowsBetween(-half, n - half - 1))
+    return mirrored(df, half).withColumn("smooth", mean).filter("place = frame_idx").drop("place")
 
 
 def stem_pairs(df: DataFrame) -> DataFrame:

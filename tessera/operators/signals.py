@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.series import _FRAMES, _SECTIONS, SERIES, _series, band_stats, boundaries, framed_events, full_grid, hours
 from tessera.operators.spectra import clamp
-from tessera.session import table
+from tessera.session import materialize, table
 
 #: Stems that are recorded; the others are bands of them.
 PHYSICAL = ("click", "purchase", "view")
@@ -315,11 +315,12 @@ def _w(s, d):
 
 
 def _sig(s, d):
-    return target_signals(s, d)
+    """The signals, written once for the several passes over them."""
+    return materialize(target_signals(s, d), "signals")
 
 
 def _prof(s, d):
-    return target_profiles(target_signals(s, d))
+    return target_profiles(_sig(s, d))
 
 
 def _activity(s, d):
@@ -329,8 +330,8 @@ def _activity(s, d):
 
 def _analysis(s, d):
     """Profile, tags, partners and rankings of each target."""
-    signals = target_signals(s, d)
-    profiles = target_profiles(signals)
+    signals = _sig(s, d)
+    profiles = materialize(target_profiles(signals), "profiles")
     partners = coupled(signals).groupBy(*BY).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", "partner"))), lambda z: z["partner"]), "+").alias("partners"))
     kinds = ranked_drivers(profiles).groupBy(*BY).agg(F.array_join(F.sort_array(F.collect_set("kind")), "+").alias("rankings"))
     in_sections = section_targets(signals, boundaries(s, d)).groupBy(*BY).agg(F.count("*").alias("n_section_ranks"))
