@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import decontaminate, line_dedup, perspectives, pieces, quality, secret_scan, sharding, simhash, substring, warc
+from tessera.llm import decontaminate, line_dedup, personal_data, perspectives, pieces, quality, secret_scan, sharding, simhash, substring, warc
 
-MODULES = (pieces, line_dedup, substring, sharding, warc, perspectives, quality, simhash, decontaminate, secret_scan)
+MODULES = (pieces, line_dedup, substring, sharding, warc, perspectives, quality, simhash, decontaminate, secret_scan, personal_data)
 
 
 def queries() -> dict:
