@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import decontaminate, line_dedup, personal_data, perspectives, pieces, prefix_trie, quality, secret_scan, sharding, simhash, substring, warc
+from tessera.llm import decontaminate, hard_negatives, line_dedup, personal_data, perspectives, pieces, prefix_trie, quality, secret_scan, sharding, simhash, substring, warc
 
-MODULES = (pieces, line_dedup, substring, sharding, warc, perspectives, quality, simhash, decontaminate, secret_scan, prefix_trie, personal_data)
+MODULES = (pieces, line_dedup, substring, sharding, warc, perspectives, quality, simhash, decontaminate, secret_scan, prefix_trie, personal_data, hard_negatives)
 
 
 def queries() -> dict:
