@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,3 +104,38 @@ def join_counted(rows: DataFrame, counted: DataFrame, key: str | list[str], coun
     dealt = rows.join(F.broadcast(heavy), key)
     rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").hint("merge").join(light, key)
     return dealt.unionByName(rest)
+
+
+def join_salted(rows: DataFrame, counted: DataFrame, key: str, count: str, by: str, label: str, each: int = 500) -> DataFrame:
+    """``join_counted`` where ``counted`` is too wide to broadcast: a key of many rows meets in several tasks.
+
+    A key is dealt into as many parts as it has ``each`` rows, by the hash of ``by``; the row of ``counted`` goes to
+    all of them.  Only keys and numbers of parts are broadcast.
+    """
+    wide = materialize(counted.withColumn("parts", F.ceil(F.col(count) / each)), label)
+    dealt = join_counted(rows, wide.select(key, count, "parts"), key, count, None).withColumn("part", F.pmod(F.xxhash64(by), F.col("parts"))).drop(count, "parts")
+    spread = wide.drop(count).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    return dealt.hint("merge").join(spread, [key, "part"]).drop("part")
+
+
+def earlier_values(rows: DataFrame, key: str, order: list[str], value: str, lags: int, count: str, label: str, most: int = 1000) -> DataFrame:
+    """``rows`` with earlier, the up to ``lags`` values before each row among those of its key, the nearest first.
+
+    ``count`` is a column of the number of rows of the key.  A key of up to ``most`` is put in order by one task; a
+    larger one is cut by range into parts, which are put in order each and then learn the last values of the parts before.
+    """
+    def before(window) -> Column:
+        return F.array_compact(F.array(*[F.lag(value, i).over(window) for i in range(1, lags + 1)]))
+
+    light, heavy = rows.filter(F.col(count) <= most), rows.filter(F.col(count) > most)
+    plain = light.withColumn("earlier", before(Window.partitionBy(key).orderBy(*order)))
+    dealt = materialize(heavy.repartitionByRange(key, *order).withColumn("part", F.spark_partition_id()), label)
+    place = F.row_number().over(Window.partitionBy(key, "part").orderBy(*[F.desc(c) for c in order]))
+    last = dealt.select(key, "part", value, place.alias("place")).filter(F.col("place") <= lags)
+    last = last.groupBy(key, "part").agg(F.sort_array(F.collect_list(F.struct("place", value)))[value].alias("last"))
+    parts = Window.partitionBy(key).orderBy("part")
+    none = F.array().cast(last.schema["last"].dataType)
+    ahead = last.select(key, "part", F.concat(*[F.coalesce(F.lag("last", i).over(parts), none) for i in range(1, lags + 1)]).alias("ahead"))
+    inside = dealt.withColumn("inside", before(Window.partitionBy(key, "part").orderBy(*order)))
+    cut = inside.hint("merge").join(ahead, [key, "part"]).withColumn("earlier", F.slice(F.concat("inside", "ahead"), 1, lags)).drop("part", "inside", "ahead")
+    return plain.unionByName(cut)
