@@ -12,8 +12,6 @@ from tessera.session import join_counted, materialize
 SHARDS = 24
 #: Bins of a node in one pass of the median search: what the driver sees of it.
 BINS = 4096
-#: A cut goes through a group of equal texts only if beside it shards would be uneven by more than this share of one.
-TOLERANCE = 0.002
 #: Low bits of a code, which deal the rows of a group of equal texts.
 PIECE_BITS = 12
 #: Rows numbered in one window partition, about.
@@ -81,13 +79,13 @@ def _placed(rows: DataFrame) -> DataFrame:
     return join_counted(rows.select("doc_id", "size", "text_crc32", "digest"), groups, "digest", "n", None).select("doc_id", "size", "text_crc32", "digest", *[c.alias(n) for n, c in codes.items()])
 
 
-def _medians(rows: DataFrame, nodes: list[Node], where: Column, spans: dict[int, tuple[int, int, int]], slack: float) -> None:
+def _medians(rows: DataFrame, nodes: list[Node], where: Column, spans: dict[int, tuple[int, int, int]], shard: float) -> None:
     """Set the cut of each node at the code where the weight left of it is nearest its share.
 
     ``spans`` has (weight, least code, largest code) of each node.  A pass sums the
     weights of BINS bins of each node and goes on inside the bin of the median, until
-    that bin holds one group of equal texts.  The cut stands beside the group if it is
-    off by ``slack`` at most there, and is otherwise sought among the group's codes.
+    that bin holds one group of equal texts.  The cut stands beside the group, and goes through it only
+    if the group weighs more than a ``shard``.
     """
     search = {}  # weight below, weight wanted, least, largest, bits set aside
     for n in nodes:
@@ -121,7 +119,7 @@ def _medians(rows: DataFrame, nodes: list[Node], where: Column, spans: dict[int,
             under, over = target - below, below + c["w"] - target
             if c["a"] < c["b"]:
                 search[first] = (below, target, c["a"], c["b"], bits)
-            elif bits and min(under, over) > slack:
+            elif bits and c["w"] > shard:
                 search[first] = (below, target, c["a"] << bits, ((c["a"] + 1) << bits) - 1, 0)
             else:
                 n.cut = (c["a"] if under < over else c["a"] + 1) << bits
@@ -130,19 +128,19 @@ def _medians(rows: DataFrame, nodes: list[Node], where: Column, spans: dict[int,
 
 def kd_tree(rows: DataFrame, shards: int) -> Node:
     """Split ``rows``(size, code0..) level by level along each node's widest dimension."""
-    root, slack = Node(0, shards), 0.0
+    root, shard = Node(0, shards), 0.0
     while nodes := root.open():
         where = root.column()
         aggs = [x for i in range(len(DIMENSIONS)) for x in (F.min(f"code{i}").alias(f"a{i}"), F.max(f"code{i}").alias(f"b{i}"))]
         found = {r["node"]: r for r in rows.groupBy(where.alias("node")).agg(F.sum("size").alias("w"), *aggs).collect()}
-        slack = slack or TOLERANCE * sum(r["w"] for r in found.values()) / shards
+        shard = shard or sum(r["w"] for r in found.values()) / shards
         spans = {}
         for n in nodes:
             r = found.get(n.first)
             width = [((r[f"b{i}"] >> 32) - (r[f"a{i}"] >> 32)) if r else 0 for i in range(len(DIMENSIONS))]
             n.dim = width.index(max(width))
             spans[n.first] = (r["w"], r[f"a{n.dim}"], r[f"b{n.dim}"]) if r else (0, 0, 0)
-        _medians(rows, nodes, where, spans, slack)
+        _medians(rows, nodes, where, spans, shard)
         for n in nodes:
             half = n.shards // 2
             n.left, n.right = Node(n.first, half), Node(n.first + half, n.shards - half)
@@ -158,8 +156,8 @@ def shard_by_kd_tree(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     The dimensions are log length, source, language and doc_id, each scaled to the
     table's range; a node is split along its widest one at the weighted median, by
     passes of bounded histograms, until each leaf is one shard.  Equal texts share
-    their place in all dimensions and so their shard; a cut goes through a group only where
-    shards would be uneven by more than TOLERANCE of one beside it.  Sizes differ by that and the row on the cut.
+    their place in all dimensions and so their shard; a cut goes through a group only if
+    the group alone is larger than a shard.  Sizes differ by the groups and rows on the cuts.
 
     A null text counts as empty, a null source or language as "", a null doc_id as
     the least one.  Missing source or lang columns, extra columns, repeated rows and an

@@ -132,7 +132,7 @@ def test_shards_are_even_whole_and_gapless(spark):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
 
 
-def brute_tree(rows, shards, slack, first=0):
+def brute_tree(rows, shards, shard, first=0):
     """Shard by row number: the same tree from sorted codes."""
     if shards == 1 or not rows:
         return {r["i"]: first for r in rows}
@@ -147,13 +147,13 @@ def brute_tree(rows, shards, slack, first=0):
         for code in sorted(weights):
             if below + weights[code] >= target or code == max(weights):
                 under, over = target - below, below + weights[code] - target
-                if bits and min(under, over) > slack:
+                if bits and weights[code] > shard:
                     return cut([r for r in known if r[dim] >> bits == code], target, 0, below)
                 return (code if under < over else code + 1) << bits
             below += weights[code]
 
     at = cut(rows, sum(r["size"] for r in rows) * half / shards, sharding.PIECE_BITS, 0)
-    return brute_tree([r for r in rows if r[dim] < at], half, slack, first) | brute_tree([r for r in rows if r[dim] >= at], shards - half, slack, first + half)
+    return brute_tree([r for r in rows if r[dim] < at], half, shard, first) | brute_tree([r for r in rows if r[dim] >= at], shards - half, shard, first + half)
 
 
 def test_shards_match_a_tree_of_sorted_codes(spark, monkeypatch):
@@ -164,7 +164,7 @@ def test_shards_match_a_tree_of_sorted_codes(spark, monkeypatch):
     docs = documents(spark, texts)
     placed = sharding._placed(sharding._slim(docs)).collect()
     rows = [r.asDict() | {"i": r["doc_id"]} for r in placed]
-    want = brute_tree(rows, 24, sharding.TOLERANCE * sum(r["size"] for r in rows) / 24)
+    want = brute_tree(rows, 24, sum(r["size"] for r in rows) / 24)
     found = {r.doc_id: r.shard for r in sharding.shard_by_kd_tree(docs, 24).collect()}
     assert found == want
     sums = Counter()
