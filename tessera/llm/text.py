@@ -7,6 +7,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Base of the polynomial; odd, so that it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
@@ -23,6 +25,11 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of a row as one struct, whatever their names."""
+    return F.struct(*[docs[f"`{c.replace('`', '``')}`"] for c in docs.columns])
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
