@@ -7,12 +7,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.text import BASE, Rolling, WordHashes, mixed, sliced
+from tessera.llm.text import BASE, WordHashes, mixed, sliced, whole_row
 from tessera.session import materialize
 
 #: Places of a seed's words: four in a row, and four of five, which outlive an edit at every fourth word.
 PATTERNS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4))
 SEED_WORDS = 4
+#: A shorter item is one seed by itself.
+SHORT = {n: tuple(range(n)) for n in range(1, SEED_WORDS)}
+#: Seeds that name an item of which each stands in very many: so many, the rarest.
+NAMING = 3
 #: Seed hits on diagonals this close are one passage; words added around a passage.
 BAND = 12
 MARGIN = 8
@@ -35,13 +39,13 @@ def plain_words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").translate(PARTS).split()
 
 
-def seeds_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def seeds_of(words: np.ndarray, patterns: tuple[tuple[int, ...], ...] = PATTERNS) -> tuple[np.ndarray, np.ndarray]:
     """(seed, place) of each pattern at each place of a sequence of word hashes."""
     seeds, places = [], []
-    for number, pattern in enumerate(PATTERNS):
+    for pattern in patterns:
         n = len(words) - pattern[-1]
         if n > 0:
-            total = np.full(n, number, np.uint64)
+            total = np.full(n, sum(1 << i for i in pattern), np.uint64)
             for at in pattern:
                 total = total * np.uint64(BASE) + words[at : at + n]
             seeds.append(mixed(total))
@@ -70,7 +74,9 @@ class Items:
 
     def __init__(self, words: list[np.ndarray], most_items: float) -> None:
         self.words = words
-        found = [seeds_of(w) for w in words]
+        #: What is sought in texts: the patterns, and the lengths of shorter items that there are.
+        self.patterns = (*PATTERNS, *(SHORT[n] for n in sorted({len(w) for w in words} & set(SHORT))))
+        found = [seeds_of(w, (SHORT[len(w)],) if len(w) in SHORT else PATTERNS) for w in words]
         item = np.repeat(np.arange(len(found)), [len(g) for g, _ in found])
         place = np.concatenate([p for _, p in found]) if found else np.empty(0, np.int64)
         seeds = np.concatenate([g for g, _ in found]) if found else np.empty(0, np.uint64)
@@ -79,11 +85,14 @@ class Items:
         self.all_seeds, group = np.unique(seeds, return_inverse=True)
         first = np.ones(len(seeds), bool)
         first[1:] = (seeds[1:] != seeds[:-1]) | (item[1:] != item[:-1])
-        naming = (np.bincount(group, first, minlength=len(self.all_seeds)) <= most_items)[group]
-        # An item of which each seed stands in very many items is looked up as a whole.
+        held = np.bincount(group, first, minlength=len(self.all_seeds))[group]
+        by_item = np.lexsort((place, held, item))
+        rank = np.empty(len(item), np.int64)
+        rank[by_item] = np.arange(len(item)) - np.searchsorted(item[by_item], item[by_item])
+        few = held <= most_items
         named = np.zeros(len(words), bool)
-        named[item[naming]] = True
-        self.whole = [i for i in range(len(words)) if not named[i]]
+        named[item[few]] = True
+        naming = few | ~named[item] & (rank < NAMING)
         self.seeds, self.item, self.place = seeds[naming], item[naming], place[naming]
         sizes = np.array([len(w) for w in words], np.int64)
         # How far an item reaches before and after a place with the seed, at most.
@@ -93,7 +102,7 @@ class Items:
 
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in the text, number of the seed, seed) of each seed of an item found in a text."""
-        grams, places = seeds_of(words)
+        grams, places = seeds_of(words, self.patterns)
         if not len(self.all_seeds) or not len(grams):
             return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
         at = np.minimum(np.searchsorted(self.all_seeds, grams), len(self.all_seeds) - 1)
@@ -133,24 +142,11 @@ def _found(items: list[np.ndarray], most_items: float):
     return run
 
 
-def whole_items(words: np.ndarray, wanted: dict[int, dict[bytes, int]]) -> list[tuple[int, int]]:
-    """(item, end) of the items by length and words that stand word for word in a text, each once."""
-    found: dict[int, int] = {}
-    rolling = Rolling()
-    for size, known in wanted.items():
-        windows = rolling.windows(words, size)
-        keys = rolling.windows(np.concatenate([np.frombuffer(k, np.uint64) for k in known]), size)[::size]
-        for p in np.flatnonzero(np.isin(windows, keys)):
-            item = known.get(words[p : p + size].tobytes())
-            if item is not None:
-                found[item] = int(p) + size
-    return list(found.items())
-
-
 def passages(items: Items, places: np.ndarray, seeds: np.ndarray, frequent: np.ndarray, threshold: float) -> list[tuple[int, int, int]]:
     """(item, least diagonal, largest diagonal) of the groups of hits on near diagonals that are worth an alignment.
 
     One hit of a rare seed is enough; hits of frequent seeds must cover ``threshold`` of the item's words.
+    An item of fewer than SEED_WORDS words needs a rare seed: a frequent word or phrase is no copy of it.
     """
     lo, hi = np.searchsorted(items.seeds, seeds, "left"), np.searchsorted(items.seeds, seeds, "right")
     count = hi - lo
@@ -167,6 +163,8 @@ def passages(items: Items, places: np.ndarray, seeds: np.ndarray, frequent: np.n
             continue
         size = len(items.words[item[a]])
         if not rare[a:b].any():
+            if size < SEED_WORDS:
+                continue
             held = np.zeros(size, bool)
             for k in range(SEED_WORDS):
                 held[np.minimum(inside[a:b] + k, size - 1)] = True
@@ -181,21 +179,17 @@ def _scored(items: list[np.ndarray], most_items: float, frequent: np.ndarray, th
 
     def run(batches):
         block = Items(items, most_items)
-        wanted: dict[int, dict[bytes, int]] = {}
-        for i in block.whole:
-            if len(items[i]) >= SEED_WORDS:
-                wanted.setdefault(len(items[i]), {})[items[i].tobytes()] = i
         for batch in sliced(batches):
             rows: dict[str, list] = {k: [] for k in ("at", "item", "score", "last")}
             starts = batch.column(4).to_pylist()
             for i in range(batch.num_rows):
                 places, seeds, words = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (2, 3, 5))
                 words = words.view(np.uint64)
-                found = [(k, len(items[k]), end) for k, end in whole_items(words, wanted)] if wanted else []
+                found = []
                 for k, least, most in passages(block, places.astype(np.int64), seeds.view(np.uint64), frequent, threshold):
                     lo, hi = max(0, least - MARGIN), min(len(words), most + len(items[k]) + MARGIN)
                     score, end = align(items[k], words[lo:hi])
-                    if score >= threshold * len(items[k]):
+                    if score >= (threshold * len(items[k]) if len(items[k]) >= SEED_WORDS else len(items[k])):
                         found.append((k, score, lo + end))
                 for k, score, end in found:
                     rows["at"].append(i)
@@ -219,23 +213,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     """Documents that hold a copy of a test item: doc_id, text_key, item_id, score, item_words, last_word.
 
     Word n-grams, with and without a gap, that a document shares with an item seed
-    passages.  Seeds in more than RARE_ITEMS items and ITEM_SHARE of all name none of them; an item
-    that has no other is looked up word for word.  A passage with a seed that is rare among the
+    passages.  Of seeds in more than RARE_ITEMS items and ITEM_SHARE of all an item keeps
+    the NAMING rarest.  A passage with a seed that is rare among the
     documents too, or whose seeds cover ``threshold`` of the item's words, is aligned with the
     whole item by Smith-Waterman.  A pair is a leak if the score reaches ``threshold`` of the item's
-    words, so edited and paraphrased copies count.  The best passage of each pair is
+    words, so edited and paraphrased copies count.  An item of fewer than SEED_WORDS words leaks where all
+    of its words stand in a row and do so in few documents.  The best passage of each pair is
     returned.  last_word is the place after the passage's last aligned word.
 
     Items of equal words are one, under their smallest item_id.  They are sent to the executors in blocks of about BLOCK_WORDS words, a proven bound; a
     larger benchmark takes more passes over the documents.  Words are lower-cased runs
-    of letters and digits.  Null and empty texts, items of fewer than SEED_WORDS
+    of letters and digits.  Null and empty texts, items without
     words and rows with a null doc_id or item_id find nothing; repeated documents or
     items give a pair once.  Other columns are ignored; empty tables give no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     items = benchmark.filter("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    words = materialize(items.mapInArrow(_item_words, "item_id long, words array<long>").filter(F.size("words") >= SEED_WORDS).withColumn("content", F.sha2(F.to_json("words"), 256)), "items")
+    words = materialize(items.mapInArrow(_item_words, "item_id long, words array<long>").filter(F.size("words") > 0).withColumn("content", F.sha2(F.to_json("words"), 256)), "items")
     sized = materialize(words.groupBy("content").agg(F.min("item_id").alias("item_id"), F.first("words").alias("words"), F.size(F.first("words")).alias("n")), "contents")
     sums = sized.agg(F.count("*").alias("items"), F.sum("n").alias("words")).first()
     blocks = -(-(sums["words"] or 0) // BLOCK_WORDS)
@@ -264,7 +259,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents without those that leak a test item; all their columns stay, null ids too."""
     found = find_leaks(docs, benchmark, threshold).select(F.col("doc_id").alias("leak_id"), F.col("text_key").alias("leak_key")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(F.col("text").cast("string")).alias("own_key"))
+    rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(F.col("text").cast("string")).alias("own_key"))
     return rows.hint("merge").join(found, (F.col("own_id") == F.col("leak_id")) & (F.col("own_key") == F.col("leak_key")), "left_anti").select("row.*")
 
 

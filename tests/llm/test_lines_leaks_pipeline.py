@@ -129,6 +129,26 @@ def test_an_opening_of_many_items_names_none_of_them(spark, monkeypatch):
     assert found[20, 4] == (20, 20)
 
 
+def test_items_of_one_to_three_words(spark, monkeypatch):
+    rng = random.Random(18)
+    monkeypatch.setattr(decontaminate, "RARE_DOCS", 5)
+    items = ["zyzzyva", "quokka ramble", "vexil lorry umbra", "common words", "the"]
+    docs = [prose(rng, 20) + f" {x} " + prose(rng, 20) for x in ("Zyzzyva!", "quokka ramble", "quokka far ramble", "vexil, lorry umbra", "vexil lorry", *["common words"] * 9, *["the"] * 9)]
+    assert set(leaks(spark, docs, items)) == {(0, 0), (1, 1), (3, 2)}  # whole, and where few documents have them
+
+
+def test_an_edited_copy_of_an_item_of_common_seeds(spark, monkeypatch):
+    """Items that are cut from one text share all of their seeds with many others."""
+    rng = random.Random(20)
+    monkeypatch.setattr(decontaminate, "RARE_ITEMS", 3)
+    words = prose(rng, 40).split(" ")
+    items = [" ".join(words[i : i + 30]) for i in range(10)]
+    edited = words[3:33]
+    edited[20] = "edited"
+    found = leaks(spark, [prose(rng, 30) + " " + " ".join(edited) + " " + prose(rng, 30), prose(rng, 60)], items)
+    assert (0, 3) in found and found[0, 3] == (28, 30) and all(d == 0 for d, _ in found)
+
+
 def test_the_threshold_is_of_the_whole_item(spark):
     rng = random.Random(15)
     words = prose(rng, 1200).split(" ")
