@@ -5,13 +5,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.components import connected_components
+from tessera.functions.graph import connected_components
 from tessera.llm.simhash import LOWER, fingerprint, linked_fingerprints, without
 from tessera.llm.text import Rolling, WordHashes, sliced, texts
-from tessera.session import join_counted, materialize
+from tessera.session import earlier_values, join_counted, join_salted, materialize
 
 #: Words of a shingle, and the Jaccard similarity of two shingle sets from which texts are near copies.
 WIDTH = 5
@@ -20,8 +20,6 @@ SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 #: Members before it in a band that a text is compared with, besides the first one.
 LAGS = 4
-#: Members of a band that one window puts in order; larger bands are dealt into groups of about so many.
-GROUP = 500
 #: Shingles that are hashed at one time.
 BLOCK = 4096
 
@@ -82,8 +80,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
     Nodes within two bits of one another's fingerprint are linked as in op8.  In each band
     a node is compared with the least member and the LAGS before it; a band's members are in
     the order of their next band, so those that share that too are neighbours, and each
-    band gives other neighbours.  Bands of up to LAGS + 1 members are compared in full; very
-    large ones are ordered in groups of about GROUP members.
+    band gives other neighbours.  Bands of up to LAGS + 1 members are compared in full.
     """
     least = materialize(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")), "least")
     same = join_counted(nodes.select("fp", "node"), least.filter("n > 1"), "fp", "n", "twins").select(F.col("least").alias("a"), F.col("node").alias("b"))
@@ -91,10 +88,9 @@ def candidates(nodes: DataFrame) -> DataFrame:
     balls = balls.hint("merge").join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").hint("merge").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     keyed = materialize(nodes.select("node", "bands", F.posexplode("bands").alias("i", "key")).select("node", "key", F.get("bands", (F.col("i") + 1) % BANDS).alias("next")), "bands")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).filter("n > 1")
-    group = F.when(F.col("n") > 2 * GROUP, F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / GROUP))).otherwise(F.lit(0).cast("long"))
-    order = Window.partitionBy("key", "group").orderBy("next", "node")
-    before = F.array(F.col("leader"), *[F.lag("node", k).over(order) for k in range(1, LAGS + 1)])
-    banded = join_counted(keyed, sizes, "key", "n", "sizes").withColumn("group", group).select("node", before.alias("others")).select(F.explode("others").alias("a"), F.col("node").alias("b")).filter("a IS NOT NULL")
+    members = materialize(join_counted(keyed, sizes, "key", "n", "sizes"), "members")
+    placed = earlier_values(members, "key", ["next", "node"], "node", LAGS, "n", "placed")
+    banded = placed.select("node", F.explode(F.concat(F.array("leader"), "earlier")).alias("a")).select("a", F.col("node").alias("b"))
     pairs = same.union(balls).union(banded).filter("a <> b")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -105,7 +101,9 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().hint("merge").join(nodes.select("node", F.col("first_id").alias("doc_id"), "text_key"), "node")
     held = materialize(docs.hint("merge").join(wanted, ["doc_id", "text_key"]).select("node", "text").dropDuplicates(["node"]), "held")
     left, right = (held.select(F.col("node").alias(k), F.col("text").alias(f"{k}_text")) for k in "ab")
-    both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "a_text", "b_text")
+    counts = pairs.groupBy("a").agg(F.count("*").alias("n_others"))
+    led = join_salted(pairs, left.hint("merge").join(counts, "a"), "a", "n_others", "b", "leaders")
+    both = led.hint("merge").join(right, "b").select("a", "b", "a_text", "b_text")
     return both.mapInArrow(_verify, "a long, b long")
 
 

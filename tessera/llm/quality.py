@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.text import whole_row
 from tessera.session import materialize
 
 #: The characters that count as symbols, and white space that separates words.
@@ -338,7 +339,7 @@ def filter_quality(docs: DataFrame, labels: DataFrame, least_words: int = 1) ->
     A short text is not bad for being short: from ``least_words`` words on the list and repetition decide.  Statistics stand beside each row, so repeated rows and null ids need no join.
     """
     model = fit_quality(docs, labels)
-    whole = docs.select(F.struct(*docs.columns).alias("doc_id"), F.col("text"))
+    whole = docs.select(whole_row(docs).alias("doc_id"), F.col("text"))
     return judge(whole, model, least_words).filter("kept").select("doc_id.*")
 
 

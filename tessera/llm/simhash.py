@@ -10,8 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.components import connected_components
-from tessera.llm.text import sliced, texts
+from tessera.functions.graph import connected_components
+from tessera.llm.text import sliced, texts, whole_row
 from tessera.session import join_counted, materialize
 
 #: A-Z to a-z, nothing else.
@@ -101,7 +101,7 @@ def simhash_components(docs: DataFrame, width: int = 3, radius: int = 2) -> Data
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the rows whose doc_id is in ``gone``(gone_id); their columns may have any names."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("own_id"))
+    rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("own_id"))
     return rows.hint("merge").join(gone, F.col("own_id") == F.col("gone_id"), "left_anti").select("row.*")
 
 
