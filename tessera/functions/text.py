@@ -36,9 +36,12 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 #: Fixed list: words that name no theme.
-THEME_STOPWORDS = tuple(
-    "the and with for from that this into over under between through about after before looking images image first last reference feature active not are was were has have but also very more most some other each all both such than when where which while being having their these those what will can may its various multiple different similar visible present showing including versus".split()
-)
+THEME_STOPWORDS = (
+    "the", "and", "with", "for", "from", "that", "this", "into", "over", "under", "between", "through", "about", "after", "before", "looking",
+    "images", "image", "first", "last", "reference", "feature", "active", "not", "are", "was", "were", "has", "have", "but", "also", "very", "more",
+    "most", "some", "other", "each", "all", "both", "such", "than", "when", "where", "which", "while", "being", "having", "their", "these", "those",
+    "what", "will", "can", "may", "its", "various", "multiple", "different", "similar", "visible", "present", "showing", "including", "versus",
+)
 #: Stop words of term weights where the caller gives no list of its own.
 TERM_STOPWORDS = tuple(sorted({*STOPWORDS, *THEME_STOPWORDS}))
 #: Characters aside at the ends of a word.
@@ -55,7 +58,8 @@ def hashed_vector(text: Column, dims: int = 16) -> Column:
     """Counts of the hashed trigrams of a text in ``dims`` cells: the built-in embedder."""
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substr(text, i, F.lit(3)))
     cells = F.transform(grams, lambda g: F.pmod(F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long"), F.lit(dims)))
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(cells, lambda c: c == d)).cast("double"))
+    count = lambda held: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(held, lambda c: c == d)).cast("double"))
+    return F.transform(F.array(cells), count)[0]  # an argument of a lambda is computed once
 
 
 def hashed_vector_sql(text: str, dims: int = 16) -> str:

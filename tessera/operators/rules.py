@@ -28,9 +28,9 @@ def crop_window(row: Column, col: Column, grid: int = 4, image: int = 512, least
 
 
 def pitch_mask(level: Column, rows: int = 8, spread: float = 0.25) -> Column:
-    """Weight of each row of a mask for one of twelve pitch levels: a Gaussian around its height, the lowest at the bottom."""
+    """Weight of each row of a mask for one of twelve pitch levels: a Gaussian around its height to nine places, the lowest at the bottom."""
     centre = 1.0 - level / 11.0
-    return F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda y: F.exp(-(y / float(rows - 1) - centre) * (y / float(rows - 1) - centre) / (2 * spread * spread)))
+    return F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda y: F.round(F.exp(-(y / float(rows - 1) - centre) * (y / float(rows - 1) - centre) / (2 * spread * spread)), 9))
 
 
 def number_list(text: Column) -> Column:
@@ -109,7 +109,7 @@ ORACLE_SQL = {
     "fn_stage_map": f"WITH {_FRAMES} SELECT track, stem, frame_idx, {_C.format(f'(5.0 + 0.7 * ((-20.0 + {_X} * 50.0) - 5.0) + 20.0) / 50.0')}::DOUBLE AS staged FROM frames",
     "fn_activity_gate": f"WITH {_FRAMES} SELECT track, stem, frame_idx, CASE WHEN v > 0 THEN {_C.format('(20 * log10(v / 500.0) + 40) / 40')} ELSE 0.0 END AS gate FROM frames",
     "fn_log_pitch": f"WITH {_FRAMES} SELECT track, stem, frame_idx, {_C.format('ln(greatest(v, 80.0) / 80.0) / ln(25.0)')} AS pitch FROM frames",
-    "fn_pitch_bin": f"WITH {_FRAMES} SELECT track, stem, frame_idx, least(floor(12 * {_X}), 11)::INTEGER AS bin, list_transform(range(0, 8), lambda y: exp(-(y / 7.0::DOUBLE - (1 - least(floor(12 * {_X}), 11) / 11.0::DOUBLE)) * (y / 7.0::DOUBLE - (1 - least(floor(12 * {_X}), 11) / 11.0::DOUBLE)) / 0.125)) AS mask FROM frames",
+    "fn_pitch_bin": f"WITH {_FRAMES} SELECT track, stem, frame_idx, least(floor(12 * {_X}), 11)::INTEGER AS bin, list_transform(range(0, 8), lambda y: round(exp(-(y / 7.0::DOUBLE - (1 - least(floor(12 * {_X}), 11) / 11.0::DOUBLE)) * (y / 7.0::DOUBLE - (1 - least(floor(12 * {_X}), 11) / 11.0::DOUBLE)) / 0.125), 9)) AS mask FROM frames",
     "fn_time_to_frame": f"WITH {_FRAMES} SELECT event_id, greatest(0, least({N} - 1, round_even(event_id * 0.25, 0)::INTEGER)) AS frame FROM events",
     "fn_crop_window": f"WITH {_ACT} SELECT block, feature_id, item_id, greatest(0, least(352, grid_col * 128 - 16))::INTEGER AS x, greatest(0, least(352, grid_row * 128 - 16))::INTEGER AS y FROM stats",
     "fn_mean_scaling": f"""WITH {_ACT}, m AS (SELECT block, feature_id, avg(mean_value) AS m FROM stats GROUP BY ALL)

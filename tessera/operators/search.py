@@ -9,6 +9,7 @@ from tessera.functions.text import STOPWORDS, TERM_STOPWORDS, cosine, hashed_vec
 from tessera.operators.activation import hashed
 from tessera.session import delete_at_exit, materialize, scratch_path, table
 
+OPTION_QUERIES = [(0, "small blue anvil"), (1, "of the"), (2, "  "), (3, "burnished bolts")]
 K1, B = 1.5, 0.75
 PHRASE = 1.5
 LEXICAL, SEMANTIC, QUALITY = 0.72, 0.20, 0.08
@@ -17,7 +18,7 @@ QUERIES_IN = ("small blue anvil", "promo anvils", "large bolts and gears")
 NEAR_DUPLICATE = 0.86
 CATEGORY_FIXES = {"** lighting": "lighting", "setting/environment": "setting"}
 HITS_FOR_PICK, LEAST_HITS = 12, 64
-#: Entries of the built-in label vectors; candidates that one pick looks at for each that it takes.
+#: Entries of the built-in label vectors; rows that one round of a pick goes through for each that it takes.
 DIMS, POOL = 64, 20
 #: Shares of a palette's buckets up to a divergence, and the temperature of each bucket's draws.
 MIXES = (
@@ -138,26 +139,51 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     return scored.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k).drop("part")
 
 
-def diverse(rows: DataFrame, keys: list[str], k: int, pool: int = POOL) -> DataFrame:
-    """A greedy pick of k rows for each combination of ``keys``, best score first, then id, that skips labels like one already picked.
+def drawn(score: Column, temperature: float, *parts: Column) -> Column:
+    """The order of draws without replacement by softmax weights: score / T plus hashed Gumbel noise; the score itself at zero."""
+    if temperature <= 0:
+        return score
+    u = (hashed(*parts) + 0.5) / float(2**32)
+    return score / max(temperature, 0.05) - F.log(-F.log(u))
 
-    Labels are alike if their tokens are equal in order or overlap by NEAR_DUPLICATE of their union.  Of
-    equal labels only the best goes on; the pick then looks at the ``pool`` times k best that are
-    left, so its list is bounded.  Returns the rows' columns, rn from 1 and diversity.
-    """
-    columns = rows.columns
-    named = rows.withColumn("_key", label_key(F.col("label"))).withColumn("_rank", F.round("score", 9))
-    once = named.withColumn("_dup", F.row_number().over(Window.partitionBy(*keys, "_key").orderBy(F.desc("_rank"), "id"))).filter("_dup = 1")
-    best = once.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_rank"), "id"))).filter(F.col("_place") <= pool * k)
-    listed = best.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_place", "_key", F.array_distinct(tokens(F.col("label"))).alias("_tokens"), F.struct(*columns).alias("_row")))).alias("c"))
-    none = F.slice("c", 1, 0)
 
-    def step(taken: Column, x: Column) -> Column:
-        like = F.exists(taken, lambda y: jaccard(y["_tokens"], x["_tokens"]) >= NEAR_DUPLICATE)
-        return F.when((F.size(taken) >= k) | like, taken).otherwise(F.concat(taken, F.array(x)))
+def diverse(rows: DataFrame, keys: list[str], k: int, by: Column | None = None, pool: int = POOL) -> DataFrame:
+    """A greedy pick of k rows for each combination of ``keys``, largest ``by`` (the score) first, then id, that skips labels like one already picked.
 
-    picked = listed.select(F.posexplode(F.aggregate("c", none, step)).alias("i", "x"))
-    return picked.select(*[F.col(f"x._row.{c}").alias(c) for c in columns], (F.col("i") + 1).alias("rn"), (1 - F.col("i") / F.lit(float(k))).alias("diversity"))
+    Labels are alike if their tokens are equal in order or overlap by NEAR_DUPLICATE of their union.  A
+    round goes through the best ``pool`` times k rows that are left; before the next, all rows like a picked
+    one leave.  So a round picks one row at least, there are k rounds at most, and k rows
+    are picked wherever there are so many.  Returns the rows' columns, rn from 1 and diversity.
+    """
+    columns = rows.columns
+    named = rows.withColumn("_rank", F.round(F.col("score") if by is None else by, 9)).withColumn("_key", label_key(F.col("label"))).withColumn("_tokens", F.array_distinct(tokens(F.col("label"))))
+    first = F.row_number().over(Window.partitionBy(*keys, "_key").orderBy(F.desc("_rank"), "id"))
+    left = materialize(named.withColumn("_dup", first).filter("_dup = 1").drop("_dup", "_key"), "labels")
+    order = Window.partitionBy(*keys).orderBy(F.desc("_rank"), "id")
+    shape = left.schema["_tokens"].dataType.simpleString()
+    taken, found = left.select(*keys, F.array().cast(f"array<{shape}>").alias("_taken")).limit(0), None
+    alike = lambda held, own: F.exists(held, lambda y: jaccard(y, own) >= NEAR_DUPLICATE)
+    while True:
+        best = left.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= pool * k)
+        listed = best.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_place", "id", "_tokens"))).alias("_c"))
+        state = listed.hint("merge").join(taken, keys, "left").withColumn("_taken", F.coalesce("_taken", F.array().cast(f"array<{shape}>")))
+        start = F.struct(F.col("_taken").alias("held"), F.slice("_c.id", 1, 0).alias("ids"))
+
+        def step(a: Column, x: Column) -> Column:
+            skip = (F.size(a["held"]) >= k) | alike(a["held"], x["_tokens"])
+            return F.when(skip, a).otherwise(F.struct(F.concat(a["held"], F.array(x["_tokens"])).alias("held"), F.concat(a["ids"], F.array(x["id"])).alias("ids")))
+
+        done = materialize(state.select(*keys, F.size("_taken").alias("_before"), F.aggregate("_c", start, step).alias("_s")).select(*keys, "_before", F.col("_s.held").alias("_taken"), F.col("_s.ids").alias("_ids")), "picks")
+        picked = done.select(*keys, "_before", F.posexplode("_ids").alias("_i", "id")).hint("merge").join(left, [*keys, "id"])
+        picked = picked.select(*columns, (F.col("_before") + F.col("_i") + 1).alias("rn"), (1 - (F.col("_before") + F.col("_i")) / F.lit(float(k))).alias("diversity"))
+        found = picked if found is None else found.unionByName(picked)
+        taken = done.filter(F.size("_taken") < k).select(*keys, "_taken")
+        left = left.hint("merge").join(taken, keys).filter(~alike(F.col("_taken"), F.col("_tokens"))).drop("_taken")
+        if taken.isEmpty():
+            return found
+        left = materialize(left, "labels-left")
+        if left.isEmpty():
+            return found
 
 
 def semantic_hits(queries: DataFrame, rows: DataFrame, limit: int) -> DataFrame:
@@ -168,26 +194,50 @@ def semantic_hits(queries: DataFrame, rows: DataFrame, limit: int) -> DataFrame:
     return scored.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= limit).drop("rn")
 
 
-def hybrid(queries: DataFrame, rows: DataFrame, k: int = 8, semantic: bool = True) -> DataFrame:
+def candidates(queries: DataFrame, rows: DataFrame, limit: int, semantic: bool = True) -> DataFrame:
+    """(query_id, block, id, lexical, semantic): rows with a signal for each phrase, lexical or among the ``limit`` nearest.
+
+    A phrase without tokens has all rows.
+    """
+    asks = F.size(token_variants(F.col("phrase"))) > 0
+    zero = F.lit(0.0)
+    parts = [bm25(queries, rows).select("query_id", "block", "id", "lexical", zero.alias("semantic"))]
+    if semantic:
+        near = semantic_hits(queries.filter("trim(phrase) <> ''"), rows, limit).filter("semantic > 0")
+        parts.append(near.select("query_id", "block", "id", zero.alias("lexical"), "semantic"))
+    plain = F.broadcast(queries.filter(~asks).select("query_id"))  # a caller's phrases
+    parts.append(rows.select("block", "id").join(plain).select("query_id", "block", "id", zero.alias("lexical"), zero.alias("semantic")))
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("query_id", "block", "id").agg(F.max("lexical").alias("lexical"), F.max("semantic").alias("semantic"))
+
+
+def hybrid(
+    queries: DataFrame, rows: DataFrame, k: int = 8, semantic: bool = True, category: str | None = None, avoid: DataFrame | None = None, temperature: float = 0.0, seed: str = "search",
+) -> DataFrame:
     """The pick of k labels for each query and block by 0.72 lexical / largest lexical + 0.20 semantic + 0.08 quality.
 
     Candidates have a token of the phrase or are among the max(12 k, 64) nearest of their
-    block; the largest lexical score is that of the query's candidates in the block.  A
-    phrase without tokens ranks by quality alone.  fallback says why there was no semantic part.
+    block; ``category`` keeps rows of one category, ``avoid``(block, id) leaves rows out; the largest
+    lexical score is that of the query's candidates that are left.  A phrase without tokens
+    ranks all rows by quality.  At a ``temperature`` over zero the pick is drawn by softmax weights, by
+    hashes of ``seed``, query and row.  fallback says why there was no semantic part.
     """
-    asked = queries.withColumn("asks", F.size(token_variants(F.col("phrase"))) > 0)
-    lexical = bm25(queries, rows)
-    if semantic:
-        near = semantic_hits(queries, rows, max(HITS_FOR_PICK * k, LEAST_HITS)).filter("semantic > 0")
-        found = lexical.hint("merge").join(near, ["query_id", "block", "id"], "full").select("query_id", "block", "id", F.coalesce("lexical", F.lit(0.0)).alias("lexical"), F.coalesce("semantic", F.lit(0.0)).alias("semantic"))
-    else:
-        found = lexical.withColumn("semantic", F.lit(0.0))
-    top = F.max("lexical").over(Window.partitionBy("query_id", "block"))
-    full = found.withColumn("top", top).hint("merge").join(rows, ["block", "id"]).join(F.broadcast(asked.select("query_id", "asks")), "query_id")
+    asked = queries.select("query_id", (F.size(token_variants(F.col("phrase"))) > 0).alias("asks"), (F.trim("phrase") == "").alias("blank"))
+    allowed = rows if category is None else by_category(rows, category)
+    allowed = allowed if avoid is None else allowed.hint("merge").join(avoid.select("block", "id").distinct(), ["block", "id"], "left_anti")
+    found = candidates(queries, rows, max(HITS_FOR_PICK * k, LEAST_HITS), semantic)
+    full = found.hint("merge").join(allowed, ["block", "id"]).join(F.broadcast(asked), "query_id")
+    full = full.withColumn("top", F.max("lexical").over(Window.partitionBy("query_id", "block")))
     own = quality(F.col("confidence"), F.col("mean_activation"))
     share = F.when(F.col("top") > 0, F.col("lexical") / F.col("top")).otherwise(0.0)
-    scored = full.select("query_id", "block", "id", "label", share.alias("lexical"), "semantic", own.alias("quality"), F.when(F.col("asks"), LEXICAL * share + SEMANTIC * F.col("semantic") + QUALITY * own).otherwise(own).alias("score"))
-    return diverse(scored, ["query_id", "block"], k).withColumn("fallback", F.lit(None if semantic else "semantic disabled").cast("string"))
+    why = F.when(F.col("blank"), "empty query") if semantic else F.lit("semantic disabled")
+    scored = full.select(
+        "query_id", "block", "id", "label", share.alias("lexical"), "semantic", own.alias("quality"),
+        F.when(F.col("asks"), LEXICAL * share + SEMANTIC * F.col("semantic") + QUALITY * own).otherwise(own).alias("score"), why.cast("string").alias("fallback"),
+    )
+    return diverse(scored, ["query_id", "block"], k, drawn(F.col("score"), temperature, F.lit(seed), F.col("query_id"), F.col("block"), F.col("id")))
 
 
 def weighted_sample(rows: DataFrame, k: int = 3, temperature: float = 0.5, seed: str = "s", by: tuple[str, ...] = ("block",)) -> DataFrame:
@@ -257,10 +307,10 @@ def neighbourhood(rows: DataFrame, selected: int, size: int = 20) -> DataFrame:
 
 
 def by_category(rows: DataFrame, wanted: str) -> DataFrame:
-    """Rows of exactly this category if there are any, otherwise those whose category has it as a part."""
+    """Rows of each block that are exactly of this category if the block has any, otherwise those whose category has it as a part."""
     plain = F.lower(F.trim("category"))
-    exact = rows.agg(F.max((plain == wanted.strip().lower()).cast("int")).alias("exact"))
-    return rows.crossJoin(F.broadcast(exact)).filter(F.when(F.col("exact") == 1, plain == wanted.strip().lower()).otherwise(F.contains(plain, F.lit(wanted.strip().lower())))).drop("exact")
+    exact = rows.groupBy("block").agg(F.max((plain == wanted.strip().lower()).cast("int")).alias("exact"))
+    return rows.hint("merge").join(exact, "block").filter(F.when(F.col("exact") == 1, plain == wanted.strip().lower()).otherwise(F.contains(plain, F.lit(wanted.strip().lower())))).drop("exact")
 
 
 def merge_last_wins(*sources: DataFrame) -> DataFrame:
@@ -304,6 +354,12 @@ def _docs(s, d):
     return table(s, d, "documents").select("doc_id", "text", "source")
 
 
+def _options(s, d):
+    """Search in one category, without rows already used, drawn at a temperature; one phrase has no tokens and one is blank."""
+    rows, asked = materialize(catalog(s, d), "catalog"), s.createDataFrame(OPTION_QUERIES, "query_id int, phrase string")
+    return hybrid(asked, rows, 6, category="promo", avoid=rows.filter("id % 4 = 1"), temperature=0.35, seed="tide")
+
+
 QUERIES = {
     "src_catalog": lambda s, d: read_catalog(s, write_catalog(s, d)),
     "fn_tokenize": lambda s, d: catalog(s, d).select("id", tokens(F.col("label")).alias("tokens")),
@@ -314,8 +370,9 @@ QUERIES = {
     "agg_corpus_stats": lambda s, d: corpus_stats(catalog(s, d)),
     "join_query_catalog": lambda s, d: catalog_tokens(catalog(s, d)).hint("merge").join(user_queries(s).select("query_id", F.explode(F.array_distinct(token_variants(F.col("phrase")))).alias("token")), "token"),
     "fn_bm25": lambda s, d: bm25(user_queries(s), catalog(s, d)),
-    "flt_no_signal": lambda s, d: catalog(s, d).hint("merge").join(bm25(user_queries(s), catalog(s, d)).filter("lexical > 0").select("block", "id").distinct(), ["block", "id"], "left_semi").select("block", "id"),
+    "flt_no_signal": lambda s, d: candidates(user_queries(s), catalog(s, d), LEAST_HITS).filter("lexical > 0 OR semantic > 0").select("query_id", "block", "id"),
     "ml_hybrid_search": lambda s, d: hybrid(user_queries(s), catalog(s, d)),
+    "ml_search_options": _options,
     "top_cosine": lambda s, d: nearest(table(s, d, "embeddings")),
     "fn_l2_normalise": lambda s, d: table(s, d, "embeddings").select("vec_id", F.explode(unit(F.col("embedding"))).alias("x")).groupBy("vec_id").agg(F.sum(F.col("x") * F.col("x")).alias("norm2"), F.max("x").alias("top")),
     "flt_category": lambda s, d: by_category(catalog(s, d), " Promo ").select("block", "id", "category"),
@@ -383,13 +440,13 @@ tfidf AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) A
 _SHARE = "CASE WHEN len({0}) = 0 OR len({1}) = 0 THEN 0.0 ELSE len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1}))) END"
 
 
-def _diverse_sql(source: str, keys: str, k: int, name: str, columns: str) -> str:
+def _diverse_sql(source: str, keys: str, k: int, name: str, columns: str, by: str = "score") -> str:
     """CTE ``name``: the pick of ``diverse`` from the CTE ``source``(keys, columns, id, label, score), as a recursive query."""
     names = [x.strip() for x in keys.split(",")]
     on = " AND ".join(f"x.{c} = s.{c}" for c in names)
     like = _SHARE.format("t", f"x.{name}_t")
-    return f"""{name}_o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys}, {name}_k ORDER BY round(score, 9) DESC, id) AS {name}_d FROM (SELECT *, array_to_string({_TOK.format('label')}, ' ') AS {name}_k, list_distinct({_TOK.format('label')}) AS {name}_t FROM {source})) WHERE {name}_d = 1),
-{name}_p AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY round(score, 9) DESC, id) AS {name}_i FROM {name}_o) WHERE {name}_i <= {POOL * k}),
+    return f"""{name}_o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys}, {name}_k ORDER BY round({by}, 9) DESC, id) AS {name}_d FROM (SELECT *, array_to_string({_TOK.format('label')}, ' ') AS {name}_k, list_distinct({_TOK.format('label')}) AS {name}_t FROM {source})) WHERE {name}_d = 1),
+{name}_p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY round({by}, 9) DESC, id) AS {name}_i FROM {name}_o),
 {name}_r AS (SELECT {keys}, 0::BIGINT AS i, []::VARCHAR[][] AS taken, false AS took FROM (SELECT DISTINCT {keys} FROM {name}_p)
   UNION ALL SELECT {', '.join('s.' + c for c in names)}, s.i + 1, CASE WHEN len(s.taken) < {k} AND len(list_filter(s.taken, lambda t: {like} >= {NEAR_DUPLICATE})) = 0 THEN list_append(s.taken, x.{name}_t) ELSE s.taken END,
     len(s.taken) < {k} AND len(list_filter(s.taken, lambda t: {like} >= {NEAR_DUPLICATE})) = 0 FROM {name}_r s JOIN {name}_p x ON {on} AND x.{name}_i = s.i + 1),
@@ -408,18 +465,20 @@ def _bm_sql(queries: str, rows: str, p: str) -> str:
 {p}bm AS (SELECT query_id, block, id, s + CASE WHEN contains(label, lower(phrase)) THEN 1.5 ELSE 0.0 END AS lexical FROM {p}lex JOIN {rows} USING (block, id))"""
 
 
-def _hybrid_sql(queries: str, rows: str, k: int, p: str) -> str:
-    """CTE {p}pick(query_id, block, id, label, lexical, semantic, quality, score, rn, diversity)."""
+def _hybrid_sql(queries: str, rows: str, k: int, p: str, allowed: str | None = None, by: str = "score") -> str:
+    """CTE {p}pick(query_id, block, id, label, lexical, semantic, quality, score, rn, diversity) over the candidates {p}both."""
     dot_ = "list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q)))"
     size = "sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))"
     return f"""{_bm_sql(queries, rows, p)},
-{p}av AS MATERIALIZED (SELECT query_id, {hashed_vector_sql('lower(phrase)', DIMS)} AS q FROM {queries}), {p}rv AS MATERIALIZED (SELECT block, id, {hashed_vector_sql('lower(label)', DIMS)} AS v FROM {rows}),
+{p}av AS MATERIALIZED (SELECT query_id, {hashed_vector_sql('lower(phrase)', DIMS)} AS q FROM {queries} WHERE trim(phrase) <> ''), {p}rv AS MATERIALIZED (SELECT block, id, {hashed_vector_sql('lower(label)', DIMS)} AS v FROM {rows}),
 {p}sem0 AS (SELECT query_id, block, id, round(CASE WHEN {size} > 1e-8 THEN {dot_} ELSE 0.0 END, 9) AS semantic FROM {p}rv, {p}av),
 {p}sem AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, block ORDER BY semantic DESC, id) AS rn FROM {p}sem0) WHERE rn <= {max(HITS_FOR_PICK * k, LEAST_HITS)} AND semantic > 0),
-{p}both AS (SELECT query_id, block, id, coalesce(lexical, 0.0) AS lexical, coalesce(semantic, 0.0) AS semantic FROM {p}bm FULL JOIN {p}sem USING (query_id, block, id)),
-{p}top AS (SELECT *, max(lexical) OVER (PARTITION BY query_id, block) AS top FROM {p}both),
-{p}sc0 AS (SELECT query_id, block, id, label, CASE WHEN top > 0 THEN lexical / top ELSE 0.0 END AS lexical, semantic, {_QUAL} AS quality FROM {p}top JOIN {rows} USING (block, id)),
-{p}sc AS (SELECT *, {LEXICAL} * lexical + {SEMANTIC} * semantic + {QUALITY} * quality AS score FROM {p}sc0), {_diverse_sql(f'{p}sc', 'query_id, block', k, f'{p}pick', 'id, label, lexical, semantic, quality, score')}"""
+{p}none AS (SELECT query_id, trim(phrase) = '' AS blank FROM {queries} WHERE len({_variants('phrase')}) = 0),
+{p}both AS (SELECT query_id, block, id, max(lexical)::DOUBLE AS lexical, max(semantic)::DOUBLE AS semantic FROM (SELECT query_id, block, id, lexical, 0.0 AS semantic FROM {p}bm
+  UNION ALL SELECT query_id, block, id, 0.0, semantic FROM {p}sem UNION ALL SELECT query_id, block, id, 0.0, 0.0 FROM {p}none, {rows}) GROUP BY ALL),
+{p}top AS (SELECT *, max(lexical) OVER (PARTITION BY query_id, block) AS top FROM {p}both JOIN {allowed or rows} USING (block, id)),
+{p}sc0 AS (SELECT query_id, block, id, label, CASE WHEN top > 0 THEN lexical / top ELSE 0.0 END AS lexical, semantic, {_QUAL} AS quality, n.query_id IS NULL AS asks, CASE WHEN blank THEN 'empty query' END AS fallback FROM {p}top LEFT JOIN {p}none n USING (query_id)),
+{p}sc AS (SELECT *, CASE WHEN asks THEN {LEXICAL} * lexical + {SEMANTIC} * semantic + {QUALITY} * quality ELSE quality END AS score FROM {p}sc0), {_diverse_sql(f'{p}sc', 'query_id, block', k, f'{p}pick', 'id, label, lexical, semantic, quality, score, fallback', by)}"""
 
 
 def _sample_sql(rows: str, k: int, temperature: float, seed: str, by: str) -> str:
@@ -444,6 +503,7 @@ def _palette_sql(theme: str, per_block: int = 24, divergence: float = 0.75) -> s
     return f"WITH RECURSIVE {', '.join(out)} " + " UNION ALL ".join(f"SELECT block, id, '{b}' AS bucket, rn FROM b{i}" for i, b in enumerate(names))
 
 
+_EXACT = "e AS (SELECT block, max((trim(category) = '{0}')::INT) AS e FROM cat GROUP BY block), chosen AS (SELECT cat.* FROM cat JOIN e USING (block) WHERE CASE WHEN e = 1 THEN trim(category) = '{0}' ELSE contains(category, '{0}') END)"
 _COMPACT = f"""compact AS (SELECT block, id, label, CASE raw {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in CATEGORY_FIXES.items())} ELSE raw END AS category, confidence, round(mean_activation, 2) AS mean_activation FROM (
   SELECT *, CASE WHEN id % 5 = 0 THEN '** lighting' WHEN id % 7 = 0 THEN 'setting/environment' ELSE category END AS raw FROM cat))"""
 
@@ -457,15 +517,16 @@ ORACLE_SQL = {
     "agg_corpus_stats": f"WITH {_BM} SELECT * FROM stats",
     "join_query_catalog": f"WITH {_BM} SELECT inv.*, query_id FROM inv JOIN (SELECT DISTINCT query_id, token FROM qt) USING (token)",
     "fn_bm25": f"WITH {_BM} SELECT * FROM bm",
-    "flt_no_signal": f"WITH {_BM} SELECT DISTINCT block, id FROM bm WHERE lexical > 0",
-    "ml_hybrid_search": f"WITH RECURSIVE {_CAT}, {_Q}, {_hybrid_sql('asked', 'cat', 8, 'h')} SELECT *, NULL::VARCHAR AS fallback FROM hpick",
+    "flt_no_signal": f"WITH RECURSIVE {_CAT}, {_Q}, {_hybrid_sql('asked', 'cat', 1, 'h')} SELECT query_id, block, id FROM hboth WHERE lexical > 0 OR semantic > 0",
+    "ml_hybrid_search": f"WITH RECURSIVE {_CAT}, {_Q}, {_hybrid_sql('asked', 'cat', 8, 'h')} SELECT * FROM hpick",
+    "ml_search_options": f"""WITH RECURSIVE {_CAT}, asked AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{q}')" for i, q in OPTION_QUERIES)}) v(query_id, phrase)), {_EXACT.format('promo')},
+free AS (SELECT * FROM chosen WHERE id % 4 <> 1), {_hybrid_sql('asked', 'cat', 6, 'h', 'free', f"score / 0.35 - ln(-ln(({_hash(chr(39) + 'tide' + chr(39), 'query_id', 'block', 'id')} + 0.5) / 4294967296.0::DOUBLE))")} SELECT * FROM hpick""",
     "top_cosine": """WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings),
 scored AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.v, b.v), 9) AS cosine FROM u a JOIN u b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id)::INTEGER AS rn FROM scored) WHERE rn <= 5""",
     "fn_l2_normalise": """SELECT vec_id, list_sum(list_transform(v, lambda x: x * x)) AS norm2, list_max(v) AS top FROM (
   SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings)""",
-    "flt_category": f"""WITH {_CAT}, e AS (SELECT max((trim(category) = 'promo')::INT) AS e FROM cat)
-SELECT block, id, category FROM cat, e WHERE CASE WHEN e = 1 THEN category = 'promo' ELSE contains(category, 'promo') END""",
+    "flt_category": f"WITH {_CAT}, {_EXACT.format('promo')} SELECT block, id, category FROM chosen",
     "flt_label_search": f"WITH {_CAT} SELECT block, id, label FROM cat WHERE contains(label, 'anvil') OR contains(category, 'eco')",
     "flt_avoid_ids": f"WITH {_CAT}, avoid AS ({_STRAT}) SELECT block, id FROM cat ANTI JOIN avoid USING (block, id)",
     "flt_neighborhood": f"""WITH {_CAT}, placed AS (SELECT block, id, row_number() OVER (PARTITION BY block ORDER BY id)::INTEGER AS place, count(*) OVER (PARTITION BY block) AS n FROM cat),
@@ -479,7 +540,7 @@ SELECT block, id, rn FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER
     "prj_compact": f"WITH {_CAT} SELECT block, id, label, category, rn FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY mean_activation DESC, id)::INTEGER AS rn FROM cat) WHERE rn <= 12",
     "prj_category_fix": f"WITH {_CAT}, {_COMPACT} SELECT id, category FROM compact",
     "snk_compact_catalog": f"WITH {_CAT}, {_COMPACT} SELECT block, count(*) AS n, sum(id)::BIGINT AS ids, sum(mean_activation) AS activation, list_sort(list_distinct(list(category))) AS categories FROM compact GROUP BY block",
-    "ml_browse": f"""WITH {_CAT}, e AS (SELECT max((trim(category) = 'promo')::INT) AS e FROM cat), chosen AS (SELECT cat.* FROM cat, e WHERE CASE WHEN e = 1 THEN category = 'promo' ELSE contains(category, 'promo') END),
+    "ml_browse": f"""WITH {_CAT}, {_EXACT.format('promo')},
 a AS ({_sample_sql('cat', 3, 0.6, 'browse', 'block, category')}), b AS ({_sample_sql('chosen', 12, 0.6, 'browse-promo', 'block')})
 SELECT a.*, n FROM a JOIN (SELECT block, category, count(*) AS n FROM cat GROUP BY ALL) USING (block, category) UNION ALL BY NAME SELECT b.*, 'promo' AS category, n FROM b JOIN (SELECT block, count(*) AS n FROM chosen GROUP BY block) USING (block)""",
     "ml_palette": _palette_sql("small blue anvil"),
