@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.graph import connected_components
-from tessera.operators.profile import _CHANGE, _K, _PROMINENCE, _STARTS, _lock_sql, _smooth_sql, gaussian, lock_index, prominence, sections
+from tessera.operators.coupling import _LOCK, lock_index
+from tessera.operators.profile import _CHANGE, _K, _PROMINENCE, _STARTS, _smooth_sql, gaussian, prominence, sections
 from tessera.operators.search import dot, unit
 from tessera.operators.series import (
     _BEATS, _EASE, _FRAMES, N, SCALE, SERIES, _envelope_sql, _fold_sql, _lines, _series, asymmetric_envelope, beat_ease, folded, frames, linear_at, observed_frames, tempo,
@@ -163,7 +164,7 @@ def _clusters(s: SparkSession, d: str) -> DataFrame:
 
 
 def track_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One record for each track: length, tempo, character, sections, mean tension, mean lock and first driver."""
+    """One record for each track: length, tempo, character, sections, mean tension, mean lock of all pairs of stems and first driver."""
     df, wide, signals = materialize(frames(spark, sf_dir), "frames"), stem_frames(spark, sf_dir), materialize(target_signals(spark, sf_dir), "signals")
     out = overall_character(stem_profiles(wide)).select("track", "character")
     parts = (
@@ -275,11 +276,11 @@ SELECT track, stem, frame_idx, 1.5 * pulse AS pulse, 1.5 * tonal_distance * pi()
 FROM angles JOIN bw USING (track, stem, frame_idx) JOIN bw0 USING (track, stem, frame_idx)""",
     "join_refer_curves": f"""WITH {_FRAMES}, axis AS (SELECT s.track, s.frame_idx FROM seen s JOIN (SELECT track, arg_min(stem, list_position({list(AXIS_ORDER)!r}, stem)) AS first FROM seen GROUP BY track) f ON s.track = f.track AND s.stem = f.first),
 probes AS (SELECT a.track, b.stem, a.frame_idx::DOUBLE AS t FROM axis a JOIN (SELECT DISTINCT track, stem FROM seen) b USING (track)), {_lines('probes')} SELECT * FROM lines""",
-    "ml_track_profile": f"""WITH RECURSIVE {_RANKS}, {_STEMS}, {_CHARACTER}, {_CHANGE}, {_STARTS}, {_lock_sql('view', 'click', 'k')}, {_BEATS},
+    "ml_track_profile": f"""WITH RECURSIVE {_RANKS}, {_STEMS}, {_CHARACTER}, {_CHANGE}, {_STARTS}, {_LOCK}, {_BEATS},
 g AS (SELECT track, stem, count(*) AS n_beats, median(stop - start) / 60.0::DOUBLE AS gap FROM beats GROUP BY ALL)
 SELECT c.track, c.character, {N} AS n_frames, b.bpm, n_sections, mean_lock, mean_tension, d.target AS driver FROM chars c
 LEFT JOIN (SELECT track, CASE WHEN n_beats >= 2 AND 60.0 / gap BETWEEN 40 AND 220 THEN 60.0::DOUBLE / gap ELSE 120.0::DOUBLE END AS bpm FROM g WHERE stem = 'purchase') b ON c.track = b.track
-LEFT JOIN (SELECT track, count(*) AS n_sections FROM found GROUP BY track) n ON c.track = n.track LEFT JOIN (SELECT track, avg(lock) AS mean_lock FROM klock GROUP BY track) l ON c.track = l.track
+LEFT JOIN (SELECT track, count(*) AS n_sections FROM found GROUP BY track) n ON c.track = n.track LEFT JOIN (SELECT track, avg(lock) AS mean_lock FROM lock_ GROUP BY track) l ON c.track = l.track
 LEFT JOIN (SELECT track, avg(energy_smooth) AS mean_tension FROM sig WHERE target = 'tension' GROUP BY track) t ON c.track = t.track LEFT JOIN (SELECT track, target FROM ranks WHERE kind = 'primary_driver' AND rn = 1) d ON c.track = d.track""",
     "ml_slot_strength": f"""WITH RECURSIVE {_SIG}, {_PROMINENCE}, slots AS (SELECT * FROM (VALUES {_SLOT_ROWS}) v(slot, target, base, lo, hi, curve, gamma, enabled) WHERE enabled),
 fed AS (SELECT track, slot AS stem, frame_idx, base, lo, hi, CASE curve WHEN 'gamma' THEN pow(greatest(0.0, least(1.0, energy_smooth)), greatest(0.01, gamma)) WHEN 'clip' THEN greatest(0.0, least(1.0, 1.5 * energy_smooth)) ELSE greatest(0.0, least(1.0, energy_smooth)) END AS x FROM sig JOIN slots USING (target)),

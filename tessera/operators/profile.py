@@ -9,15 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.series import (
-    _FRAMES, BEAT, N, SCALE, SERIES, _debounce_sql, _fold_sql, _series, _uniform, _whole, debounce, folded, frames, local_correlation, matched_events, mirrored, percentile_norm, stem_pairs, uniform_mean,
-)
+from tessera.operators.coupling import RADIUS, WINDOW, coupled
+from tessera.operators.halo import before, gaussians, kernel, over_series
+from tessera.operators.series import _FRAMES, BEAT, N, SCALE, SERIES, _debounce_sql, _fold_sql, _uniform, _whole, debounce, folded, frames, percentile_norm
 from tessera.operators.signals import _WIDE, PHYSICAL, stem_frames
 from tessera.operators.spectra import clamp
 from tessera.session import materialize, table
 
-#: Window and tolerance, in frames, in which two stems are held to be locked.
-WINDOW, TOLERANCE = 48, 2
+TOLERANCE = RADIUS
 #: Rank of each stem (null for the others) and prominence of each rank.
 RANKS = {"purchase": 1, "view": 1, "click": 2}
 BASE = {1: 1.0, 2: 0.65, 3: 0.40, 4: 0.25}
@@ -33,26 +32,15 @@ FLUX_BAR, FLATNESS_BAR, ENTRY_SPACING, LAYER_FRAMES, SILENCE_DB = 0.4, 0.15, 5,
 BPM = 90.0
 
 
-def kernel(sigma: float) -> list[float]:
-    """Normalised Gaussian weights cut at four sigma."""
-    r = int(4 * sigma + 0.5)
-    w = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-r, r + 1)]
-    return [x / sum(w) for x in w]
-
-
 def gaussian(df: DataFrame, sigma: float, value: str = "v", name: str = "smooth") -> DataFrame:
-    """Gaussian smoothing with reflected edges: a row window of bounded width under fixed weights."""
-    weights = kernel(sigma)
-    r = len(weights) // 2
-    near = F.collect_list(value).over(_series("place").rowsBetween(-r, r))
-    fixed = F.array(*[F.lit(w) for w in weights])
-    rows = mirrored(df, r).withColumn("near", near).filter("place = frame_idx")
-    return rows.withColumn(name, F.aggregate(F.zip_with("near", fixed, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)).drop("near", "place")
+    """Gaussian smoothing with reflected edges, chunk by chunk."""
+    return gaussians(df, {name: (value, sigma)})
 
 
-def max_norm(df: DataFrame, value: str) -> DataFrame:
-    top = F.max(value).over(_whole())
-    return df.withColumn(value, F.when(top > 1e-8, F.col(value) / top).otherwise(0.0))
+def max_norm(df: DataFrame, *values: str) -> DataFrame:
+    """Each value over its largest of the series."""
+    tops = over_series(df, **{f"top_{v}": F.max(v) for v in values})
+    return tops.withColumns({v: F.when(F.col(f"top_{v}") > 1e-8, F.col(v) / F.col(f"top_{v}")).otherwise(0.0) for v in values}).drop(*[f"top_{v}" for v in values])
 
 
 def time_scales(fps: float = 1.0, bpm: float = BPM) -> tuple[int, int, int]:
@@ -62,75 +50,27 @@ def time_scales(fps: float = 1.0, bpm: float = BPM) -> tuple[int, int, int]:
 
 
 def novelty(df: DataFrame, sigmas: tuple[float, ...] | None = None) -> DataFrame:
-    """Absolute change of the series, smoothed at several scales, each over its largest value."""
+    """Absolute change of the series, smoothed at several scales in one pass, each over its largest value."""
     sigmas = sigmas or time_scales()
-    out = df.withColumn("change", F.coalesce(F.abs(F.col("v") - F.lag("v").over(_series())), F.lit(0.0)))
-    for i, s in enumerate(sigmas):
-        out = max_norm(gaussian(out, s, "change", f"n{i}"), f"n{i}")
-    return out.select(*SERIES, "frame_idx", *[f"n{i}" for i in range(len(sigmas))])
+    names = [f"n{i}" for i in range(len(sigmas))]
+    change = before(df.select(*SERIES, "frame_idx", "v"), ("v",)).withColumn("change", F.abs(F.col("v") - F.col("p_v")))
+    smooth = gaussians(change.drop("v", "p_v"), {n: ("change", s) for n, s in zip(names, sigmas)})
+    return max_norm(smooth, *names).select(*SERIES, "frame_idx", *names)
 
 
 def slopes(df: DataFrame, sigmas: tuple[float, ...]) -> DataFrame:
     """Change of novelty at each scale, smoothed, over its largest absolute value: d0, d1 and so on."""
-    out = novelty(df, sigmas)
-    for i in range(len(sigmas)):
-        step = out.withColumn("step", F.coalesce(F.col(f"n{i}") - F.lag(f"n{i}").over(_series()), F.lit(0.0)))
-        smooth = gaussian(step, 1.0, "step", f"d{i}")
-        top = F.max(F.abs(f"d{i}")).over(_whole())
-        out = smooth.withColumn(f"d{i}", F.when(top > 1e-8, F.col(f"d{i}") / top).otherwise(0.0)).drop("step")
-    return out.select(*SERIES, "frame_idx", *[f"d{i}" for i in range(len(sigmas))])
-
-
-def call_response(df: DataFrame, a: str = "click", b: str = "view", window: int = 8) -> DataFrame:
-    """Frames at which exactly one of two stems is loud, smoothed."""
-    loud = lambda c: F.col(c) / SCALE > 0.3
-    one = stem_pairs(df.filter(F.col("stem").isin(a, b))).select("track", F.lit("pair").alias("stem"), "frame_idx", (loud("va") != loud("vb")).cast("double").alias("v"))
-    return gaussian(one, window / 4).select("track", "frame_idx", clamp(F.col("smooth")).alias("response"))
-
-
-def onset_sync(df: DataFrame, a: str = "view", b: str = "click", tolerance: int = TOLERANCE) -> DataFrame:
-    """Matched onsets mark the frames within the tolerance; smoothed and clipped."""
-    marks = matched_events(df, tolerance, a, b).select("track", F.explode(F.sequence(F.col("frame_idx") - tolerance, F.col("frame_idx") + tolerance)).alias("frame_idx")).distinct().withColumn("hit", F.lit(1.0))
-    grid = df.filter(F.col("stem") == a).select("track", F.lit("pair").alias("stem"), "frame_idx")
-    curve = grid.hint("merge").join(marks, ["track", "frame_idx"], "left").withColumn("v", F.coalesce("hit", F.lit(0.0))).drop("hit")
-    return gaussian(curve, tolerance / 2).select("track", "frame_idx", clamp(F.col("smooth")).alias("sync"))
-
-
-def _phase(rows: pa.Table) -> pa.Table:
-    """Phase of the analytic signal of one series, by FFT."""
-    rows = rows.sort_by("frame_idx")
-    x = rows.column("v").to_numpy()
-    n = len(x)
-    gain = np.zeros(n)
-    gain[0] = 1
-    gain[1 : (n + 1) // 2] = 2
-    if n % 2 == 0:
-        gain[n // 2] = 1
-    phase = np.angle(np.fft.ifft(np.fft.fft(x - x.mean()) * gain))
-    return pa.table([rows.column("track"), rows.column("stem"), rows.column("frame_idx"), pa.array(phase)], names=["track", "stem", "frame_idx", "p"])
-
-
-def phase_locking(df: DataFrame, a: str = "click", b: str = "view", n: int = WINDOW) -> DataFrame:
-    """Modulus of the rolling mean of exp(i * phase difference) of two stems, edges reflected."""
-    phases = df.filter(F.col("stem").isin(a, b)).select("track", "stem", "frame_idx", "v").groupBy(*SERIES).applyInArrow(_phase, "track long, stem string, frame_idx int, p double")
-    x, y = phases.filter(F.col("stem") == a).alias("x"), phases.filter(F.col("stem") == b).alias("y")
-    gap = F.col("x.p") - F.col("y.p")
-    both = x.hint("merge").join(y, (F.col("x.track") == F.col("y.track")) & (F.col("x.frame_idx") == F.col("y.frame_idx"))).select(F.col("x.track").alias("track"), F.lit("pair").alias("stem"), F.col("x.frame_idx").alias("frame_idx"), F.cos(gap).alias("c"), F.sin(gap).alias("s"))
-    for c in ("c", "s"):
-        both = uniform_mean(both, n, c).withColumnRenamed("smooth", f"m_{c}")
-    return both.select("track", "frame_idx", F.sqrt(F.col("m_c") * F.col("m_c") + F.col("m_s") * F.col("m_s")).alias("plv"))
-
-
-def lock_index(df: DataFrame, a: str = "view", b: str = "click") -> DataFrame:
-    """0.40 (correlation + 1) / 2 + 0.35 phase locking + 0.25 onset synchrony of two stems."""
-    joined = local_correlation(df, WINDOW, a, b).hint("merge").join(phase_locking(df, a, b), ["track", "frame_idx"]).hint("merge").join(onset_sync(df, a, b), ["track", "frame_idx"])
-    return joined.select("track", "frame_idx", clamp(0.40 * (F.col("local_corr") + 1) / 2 + 0.35 * F.col("plv") + 0.25 * F.col("sync")).alias("lock"))
+    names, slope = tuple(f"n{i}" for i in range(len(sigmas))), {f"n{i}": f"d{i}" for i in range(len(sigmas))}
+    steps = before(novelty(df, sigmas), names).select(*SERIES, "frame_idx", *[(F.col(n) - F.col(f"p_{n}")).alias(n) for n in names])
+    smooth = gaussians(steps, {d: (n, 1.0) for n, d in slope.items()})
+    tops = over_series(smooth, **{f"top_{d}": F.max(F.abs(d)) for d in slope.values()})
+    return tops.select(*SERIES, "frame_idx", *[F.when(F.col(f"top_{d}") > 1e-8, F.col(d) / F.col(f"top_{d}")).otherwise(0.0).alias(d) for d in slope.values()])
 
 
 def layer_entries(wide: DataFrame) -> DataFrame:
     """Frames with much flux and a large smoothed change of flatness, ENTRY_SPACING apart."""
-    change = F.abs(F.coalesce(F.col("flatness") - F.lag("flatness").over(_series()), F.lit(0.0)))
-    both = gaussian(max_norm(wide.select(*SERIES, "frame_idx", "flux", change.alias("change")), "flux"), 1.0, "change", "moved")
+    change = before(wide.select(*SERIES, "frame_idx", "flux", "flatness"), ("flatness",)).withColumn("change", F.abs(F.col("flatness") - F.col("p_flatness")))
+    both = gaussian(max_norm(change.drop("flatness", "p_flatness"), "flux"), 1.0, "change", "moved")
     return debounce(both.filter((F.col("flux") > FLUX_BAR) & (F.col("moved") > FLATNESS_BAR)).select(*SERIES, "frame_idx"), ENTRY_SPACING)
 
 
@@ -261,12 +201,9 @@ def rival_effects(df: DataFrame) -> DataFrame:
     Null is a rank like any other.  Locked rivals raise each other; in a call and response
     the louder one is raised and the other lowered.
     """
-    rows = None
-    for a, b in RIVALS:
-        both = lock_index(df, a, b).hint("merge").join(call_response(df, a, b), ["track", "frame_idx"])
-        ways = F.explode(F.array(*[F.struct(F.lit(x).alias("stem"), F.lit(y).alias("other")) for x, y in ((a, b), (b, a))]))
-        one = both.select("track", "frame_idx", "lock", "response", ways.alias("z")).select("track", "z.*", "frame_idx", "lock", "response")
-        rows = one if rows is None else rows.unionByName(one)
+    both = coupled(df, WINDOW, RIVALS)
+    ways = F.explode(F.array(*[F.struct(F.col(x).alias("stem"), F.col(y).alias("other")) for x, y in (("stem_a", "stem_b"), ("stem_b", "stem_a"))]))
+    rows = both.select("track", "frame_idx", "lock", "response", ways.alias("z")).select("track", "z.*", "frame_idx", "lock", "response")
     level = df.select("track", "stem", "frame_idx", "v")
     other = level.select("track", F.col("stem").alias("other"), "frame_idx", F.col("v").alias("other_v"))
     known = rows.hint("merge").join(level, ["track", "stem", "frame_idx"]).hint("merge").join(other, ["track", "other", "frame_idx"])
@@ -315,11 +252,6 @@ QUERIES = {
     "win_gaussian": lambda s, d: gaussian(_f(s, d), 2.0).select(*SERIES, "frame_idx", "smooth"),
     "win_multi_novelty": lambda s, d: novelty(_f(s, d)),
     "win_novelty_deriv": lambda s, d: slopes(_f(s, d), (2.0,)).select(*SERIES, "frame_idx", (F.round("d0", 9) + 0.0).alias("slope")),
-    "win_call_response": lambda s, d: call_response(_f(s, d)),
-    "win_onset_sync": lambda s, d: onset_sync(_f(s, d)),
-    "win_plv": lambda s, d: phase_locking(_f(s, d)),
-    "win_lock_index": lambda s, d: lock_index(_f(s, d)),
-    "agg_mean_lock": lambda s, d: lock_index(_f(s, d)).groupBy("track").agg(clamp(F.avg("lock")).alias("mean_lock")),
     "win_layer_entry": lambda s, d: layer_entries(stem_frames(s, d)),
     "win_layer_count": lambda s, d: layer_count(stem_frames(s, d)),
     "win_find_peaks": lambda s, d: sections(_f(s, d)),
@@ -467,11 +399,6 @@ ORACLE_SQL = {
     "win_gaussian": f"WITH {_FRAMES}, {_smooth_sql('frames', 2.0, 'v', 'track, stem', 'g')} SELECT * FROM g",
     "win_multi_novelty": f"WITH {_FRAMES}, {_CHANGE}, {_novelty_sql(time_scales())} SELECT * FROM nov",
     "win_novelty_deriv": f"WITH {_FRAMES}, {_CHANGE}, {_slopes_sql((2.0,), '')} SELECT track, stem, frame_idx, round(d0, 9) + 0.0 AS slope FROM slope",
-    "win_call_response": f"WITH {_FRAMES}, {_response_sql('click', 'view', '')} SELECT * FROM cr",
-    "win_onset_sync": f"WITH {_FRAMES}, {_sync_sql('view', 'click', '')} SELECT * FROM sy",
-    "win_plv": f"WITH {_FRAMES}, {_plv_sql('click', 'view', 'z')} SELECT * FROM zplv",
-    "win_lock_index": f"WITH {_FRAMES}, {_lock_sql('view', 'click', 'z')} SELECT * FROM zlock",
-    "agg_mean_lock": f"WITH {_FRAMES}, {_lock_sql('view', 'click', 'z')} SELECT track, greatest(0.0, least(1.0, avg(lock))) AS mean_lock FROM zlock GROUP BY track",
     "win_layer_entry": f"WITH RECURSIVE {_WIDE}, {_ENTRIES} SELECT * FROM entries",
     "win_layer_count": f"""WITH RECURSIVE {_WIDE}, {_ENTRIES}, {_LEVELS}, {_fold_sql('levels', {'y': ('0.0::DOUBLE', f'CASE WHEN x.db < {SILENCE_DB} THEN 0.0 ELSE greatest(0.0, s.y + x.hit - {1 / LAYER_FRAMES}::DOUBLE) END')}, 'counted')}
 SELECT track, stem, frame_idx, least(6, round_even(y, 0)::INTEGER) AS layers FROM counted WHERE i > 0""",

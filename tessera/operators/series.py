@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.halo import uniform_means, warmed
 from tessera.session import table
 
 SERIES = ("track", "stem")
@@ -66,21 +67,9 @@ def percentile_norm(df: DataFrame) -> DataFrame:
     return df.hint("merge").join(bounds, list(SERIES)).select(*SERIES, "frame_idx", value.alias("norm"))
 
 
-def mirrored(df: DataFrame, reach: int) -> DataFrame:
-    """``df`` with place: each row at its own frame, and rows within ``reach`` of an edge once more beyond it, as in a mirror.
-
-    Rows of ``df`` itself are those whose place is their frame.  The series is read once.
-    """
-    size, at = F.col("size"), F.col("frame_idx")
-    places = F.array_compact(F.array(at, F.when(at < reach, -at - 1), F.when(at >= size - reach, (2 * size - 1 - at).cast("int"))))
-    return df.withColumn("size", F.count("*").over(_whole())).withColumn("place", F.explode(places)).drop("size")
-
-
 def uniform_mean(df: DataFrame, n: int, value: str = "v") -> DataFrame:
     """Centred mean of n samples with reflected edges; an even n reaches n/2 back and n/2 - 1 on."""
-    half = n // 2
-    mean = F.avg(value).over(_series("place").rowsBetween(-half, n - half - 1))
-    return mirrored(df, half).withColumn("smooth", mean).filter("place = frame_idx").drop("place")
+    return uniform_means(df, n, (value,)).withColumnRenamed(f"m_{value}", "smooth")
 
 
 def stem_pairs(df: DataFrame) -> DataFrame:
@@ -157,11 +146,13 @@ def peaks(df: DataFrame, before: int = 3, after: int = 3, reach: int = 10, delta
     )
 
 
-def folded(df: DataFrame, step: Callable[..., tuple], start: tuple, inputs: tuple[str, ...], name: str, kind: str = "double") -> DataFrame:
+def folded(df: DataFrame, step: Callable[..., tuple], start: tuple, inputs: tuple[str, ...], name: str, kind: str = "double", warm: int | None = None) -> DataFrame:
     """A fold over the ordered frames of each series: one value of ``name`` a frame.
 
     ``step`` takes the state and the ``inputs`` of a frame and returns the next state, whose
-    first entry is the value.  A series goes through one task in one pass, frame by frame.
+    first entry is the value.  Where what a state keeps of one ``warm`` frames ago is below rounding, give
+    that number: then each chunk of a series is folded on its own, from ``start`` that many frames
+    ahead of it.  Otherwise a series goes through one task in one pass, frame by frame.
     """
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*SERIES).schema.fields) + f", frame_idx int, {name} {kind}"
     arrow = pa.float64() if kind == "double" else pa.int32()
@@ -174,7 +165,11 @@ def folded(df: DataFrame, step: Callable[..., tuple], start: tuple, inputs: tupl
             out.append(state[0])
         return pa.table([*(rows.column(c) for c in (*SERIES, "frame_idx")), pa.array(out, arrow)], names=[*SERIES, "frame_idx", name])
 
-    return df.select(*SERIES, F.col("frame_idx").cast("int").alias("frame_idx"), *inputs).groupBy(*SERIES).applyInArrow(run, schema)
+    rows = df.select(*SERIES, F.col("frame_idx").cast("int").alias("frame_idx"), *inputs)
+    if warm is None:
+        return rows.groupBy(*SERIES).applyInArrow(run, schema)
+    spread = warmed(rows, warm)
+    return spread.groupBy(*SERIES, "chunk").applyInArrow(lambda part: run(part).filter(part.sort_by("frame_idx").column("own")), schema)
 
 
 def debounce(candidates: DataFrame, spacing: int = 4) -> DataFrame:
@@ -187,6 +182,11 @@ def debounce(candidates: DataFrame, spacing: int = 4) -> DataFrame:
     return folded(candidates.withColumn("at", F.col("frame_idx")), step, (0, -spacing), ("at",), "keep", "int").filter("keep = 1").select(*SERIES, "frame_idx")
 
 
+def settled(constant: float) -> int:
+    """Frames after which a follower of this time constant has forgotten its state to 1e-15."""
+    return math.ceil(35 * constant)
+
+
 def follow_step(attack: float, release: float) -> Callable[[tuple, float], tuple]:
     """One step of a one-pole follower with a time constant for rise and one for fall, in frames."""
     up, down = 1 - math.exp(-1 / attack), 1 - math.exp(-1 / release)
@@ -195,7 +195,7 @@ def follow_step(attack: float, release: float) -> Callable[[tuple, float], tuple
 
 def asymmetric_envelope(df: DataFrame, attack: float = 2.0, release: float = 12.0, value: str = "v") -> DataFrame:
     """One-pole follower with separate attack and release, from zero."""
-    return folded(df, follow_step(attack, release), (0.0,), (value,), "envelope")
+    return folded(df, follow_step(attack, release), (0.0,), (value,), "envelope", warm=settled(max(attack, release)))
 
 
 def target_profile(df: DataFrame) -> DataFrame:
@@ -216,17 +216,6 @@ def correlations(df: DataFrame, least: float = 0.0, k: int = 3) -> DataFrame:
     return both.filter(F.abs("r") >= least).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).select("track", "stem_a", "stem_b", "r", "rn")
 
 
-def local_correlation(df: DataFrame, n: int = 24, a: str = "view", b: str = "click") -> DataFrame:
-    """Correlation of two stems about each sample's own rolling mean, by two passes of rolling means; clipped to [-1, 1]."""
-    view = uniform_mean(df.filter(F.col("stem") == a), n).select("track", "frame_idx", (F.col("v") - F.col("smooth")).alias("a"))
-    click = uniform_mean(df.filter(F.col("stem") == b), n).select("track", "frame_idx", (F.col("v") - F.col("smooth")).alias("b"))
-    both = view.hint("merge").join(click, ["track", "frame_idx"]).withColumn("stem", F.lit("pair")).withColumns({"ab": F.col("a") * F.col("b"), "aa": F.col("a") * F.col("a"), "bb": F.col("b") * F.col("b")})
-    for c in ("ab", "aa", "bb"):
-        both = uniform_mean(both, n, c).withColumnRenamed("smooth", f"m_{c}")
-    r = F.col("m_ab") / (F.sqrt(F.greatest(F.col("m_aa"), F.lit(0.0))) * F.sqrt(F.greatest(F.col("m_bb"), F.lit(0.0))) + 1e-8)
-    return both.select("track", "frame_idx", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("local_corr"))
-
-
 def intervals(df: DataFrame) -> DataFrame:
     """Beats of each series: frames with a value over BEAT, each open until the next; energy is the value over SCALE."""
     w = _series("start")
@@ -256,15 +245,6 @@ def beat_ease(df: DataFrame) -> DataFrame:
     return in_beats(df).select(*SERIES, "frame_idx", angle.alias("angle"))
 
 
-def matched_events(df: DataFrame, tolerance: int = 2, one: str = "view", other: str = "click") -> DataFrame:
-    """Onsets of one stem with an onset of another of the same track within ``tolerance`` frames: a band join by buckets and a left semi join."""
-    size = tolerance + 1
-    a = df.filter(f"stem = '{one}' AND v > {BEAT}").select("track", "frame_idx", F.explode(F.array(*[F.expr(f"frame_idx div {size}") + i for i in (-1, 0, 1)])).alias("bucket")).alias("a")
-    b = df.filter(f"stem = '{other}' AND v > {BEAT}").select("track", F.col("frame_idx").alias("other"), F.expr(f"frame_idx div {size}").alias("bucket")).alias("b")
-    near = (F.col("a.track") == F.col("b.track")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.abs(F.col("a.frame_idx") - F.col("b.other")) <= tolerance)
-    return a.hint("merge").join(b, near, "left_semi").select("track", "frame_idx").distinct()
-
-
 def band_stats(df: DataFrame, sections: DataFrame, values: tuple[str, ...] = ("v",)) -> DataFrame:
     """Mean, maximum and change of each value in each section of a series' track, both ends of the section included.
 
@@ -329,7 +309,6 @@ QUERIES = {
     "win_energy_db": lambda s, d: frames(s, d).withColumn("top", F.max("v").over(_whole())).select(*SERIES, "frame_idx", F.when(F.col("v") > 0, F.greatest(F.lit(-40.0), 20 * F.log10(F.col("v") / F.col("top")))).otherwise(-40.0).alias("db")),
     "win_abs_delta": lambda s, d: frames(s, d).select(*SERIES, "frame_idx", F.coalesce(F.abs(F.col("v") - F.lag("v").over(_series())), F.lit(0.0)).alias("delta")),
     "win_mean_uniform": lambda s, d: uniform_mean(frames(s, d), 6).select(*SERIES, "frame_idx", "smooth"),
-    "win_local_corr": lambda s, d: local_correlation(frames(s, d)),
     "win_peak_pick": lambda s, d: peaks(frames(s, d)),
     "win_debounce": lambda s, d: debounce(peaks(frames(s, d))),
     "win_asym_envelope": lambda s, d: asymmetric_envelope(frames(s, d)),
@@ -341,7 +320,6 @@ QUERIES = {
     "join_asof_linear": lambda s, d: linear_at(_probes(s, d, 10.5), _curve(s, d)),
     "join_asof_section": lambda s, d: section_of(frames(s, d), boundaries(s, d)).drop("at"),
     "join_interval_beats": lambda s, d: in_beats(frames(s, d)).filter("b IS NOT NULL").select(*SERIES, "frame_idx", "b.start", "b.stop", "b.energy"),
-    "join_event_tolerance": lambda s, d: matched_events(frames(s, d)),
     "join_pairs_upper": lambda s, d: stem_pairs(observed_frames(s, d)),
     "join_band_window": lambda s, d: windowed(_curve(s, d), boundaries(s, d)),
     "set_boundaries": boundaries,
@@ -433,10 +411,6 @@ SELECT track, stem, frame_idx, CASE WHEN hi - lo <= 1e-8 THEN 0.0 ELSE greatest(
     "win_energy_db": f"WITH {_FRAMES} SELECT track, stem, frame_idx, CASE WHEN v > 0 THEN greatest(-40.0, 20 * log10(v / top)) ELSE -40.0 END AS db FROM (SELECT *, max(v) OVER (PARTITION BY track, stem) AS top FROM frames)",
     "win_abs_delta": f"WITH {_FRAMES} SELECT track, stem, frame_idx, coalesce(abs(v - lag(v) OVER {_W})), 0.0) AS delta FROM frames",
     "win_mean_uniform": f"WITH {_FRAMES}, {_uniform('frames', 6, 'v', 'track, stem', 'u')} SELECT track, stem, frame_idx, smooth FROM u",
-    "win_local_corr": f"""WITH {_FRAMES}, {_uniform("(SELECT * FROM frames WHERE stem = 'view')", 24, 'v', 'track', 'ua')}, {_uniform("(SELECT * FROM frames WHERE stem = 'click')", 24, 'v', 'track', 'ub')},
-pair AS (SELECT ua.track, ua.frame_idx, (ua.v_orig - ua.smooth) AS a, (ub.v_orig - ub.smooth) AS b FROM ua JOIN ub ON ua.track = ub.track AND ua.frame_idx = ub.frame_idx),
-{_uniform('pair', 24, 'a * b', 'track', 'mab')}, {_uniform('pair', 24, 'a * a', 'track', 'maa')}, {_uniform('pair', 24, 'b * b', 'track', 'mbb')}
-SELECT track, frame_idx, greatest(-1.0, least(1.0, mab.smooth / (sqrt(maa.smooth) * sqrt(mbb.smooth) + 1e-8))) AS local_corr FROM mab JOIN maa USING (track, frame_idx) JOIN mbb USING (track, frame_idx)""",
     "win_peak_pick": f"WITH {_FRAMES}, {_PEAKS} SELECT * FROM peaks",
     "win_debounce": f"WITH RECURSIVE {_FRAMES}, {_PEAKS}, {_debounce_sql('peaks', 4, 'kept')} SELECT track, stem, frame_idx FROM kept WHERE keep = 1",
     "win_asym_envelope": f"WITH RECURSIVE {_FRAMES}, {_envelope_sql('frames', 2.0, 12.0, 'env')} SELECT track, stem, frame_idx, y AS envelope FROM env WHERE i > 0",
@@ -455,8 +429,6 @@ SELECT track, stem, frame_idx, coalesce(2 * pi() * (before + energy * CASE WHEN
     "join_asof_linear": _linear(10.5),
     "join_asof_section": f"WITH {_FRAMES}, {_SECTIONS} SELECT track, stem, frame_idx, section, to_next FROM placed",
     "join_interval_beats": f"WITH {_FRAMES}, {_BEATS} SELECT f.track, f.stem, f.frame_idx, b.start, b.stop, b.energy FROM frames f ASOF JOIN beats b ON f.track = b.track AND f.stem = b.stem AND f.frame_idx >= b.start",
-    "join_event_tolerance": f"""WITH {_FRAMES} SELECT DISTINCT a.track, a.frame_idx FROM frames a SEMI JOIN (SELECT track, frame_idx FROM frames WHERE stem = 'click' AND v > {BEAT}) b
-ON a.track = b.track AND abs(a.frame_idx - b.frame_idx) <= 2 WHERE a.stem = 'view' AND a.v > {BEAT}""",
     "join_pairs_upper": f"WITH {_FRAMES} SELECT a.track, a.stem AS stem_a, b.stem AS stem_b, a.frame_idx, a.v AS va, b.v AS vb FROM seen a JOIN seen b ON a.track = b.track AND a.frame_idx = b.frame_idx AND a.stem < b.stem",
     "join_band_window": f"""WITH {_FRAMES}, {_SECTIONS}, w AS (SELECT DISTINCT x.track, x.stem, s.start, s.stop, s.section, (s.start + s.stop) * 0.5::DOUBLE AS t FROM seen x JOIN sections s ON x.track = s.track),
 {_lines('w')}, b AS (SELECT f.track, f.stem, s.section, avg(v) AS m, max(v) AS h, arg_max(v, frame_idx) - arg_min(v, frame_idx) AS d FROM seen f JOIN sections s ON f.track = s.track AND f.frame_idx BETWEEN s.start AND s.stop GROUP BY ALL)

@@ -43,6 +43,33 @@ def test_a_pick_skips_labels_that_are_nearly_one_taken(spark):
     assert [r.id for r in search.diverse(rows, ["block"], 1).collect()] == [4]
 
 
+def test_a_pick_is_full_wherever_there_are_enough_labels(spark):
+    alike = [(1, i, "high", 50.0, f"small blue anvil of tin and brass number x{'' if i % 2 else ' y'}") for i in range(200)]
+    odd = [(1, 1000 + i, "low", 1.0, f"word{i} other{i}") for i in range(20)]
+    shelf = spark.createDataFrame([(b, i, f"{t} {i // 100}" if i < 1000 else t, 100.0 - i / 100) for b, i, _, _, t in alike + odd], "block long, id long, label string, score double")
+    picked = search.diverse(shelf, ["block"], 8, pool=2).orderBy("rn").collect()
+    assert [r.rn for r in picked] == list(range(1, 9)) and picked[0].id == 0
+    assert [r.id for r in picked] == [r.id for r in search.diverse(shelf, ["block"], 8).orderBy("rn").collect()]
+    few = search.diverse(shelf.filter("id < 1003"), ["block"], 8, pool=1).collect()
+    assert {r.id for r in few} >= {1000, 1001, 1002}
+
+
+def test_search_without_tokens_in_a_category_and_at_a_temperature(spark):
+    rows = [("b", i, f"label number{i}", "tools" if i % 2 else "toys", ["high", "medium"][i % 2], float(i)) for i in range(40)]
+    shelf = spark.createDataFrame(rows, "block string, id long, label string, category string, confidence string, mean_activation double")
+    asked = spark.createDataFrame([(0, "of the"), (1, "")], "query_id int, phrase string")
+    for semantic in (True, False):
+        found = search.hybrid(asked, shelf, 8, semantic).collect()
+        assert [sum(r.query_id == q for r in found) for q in (0, 1)] == [8, 8]
+        assert {r.id for r in found if r.query_id == 0} == {24, 26, 28, 30, 32, 34, 36, 38}
+        assert {r.fallback for r in found if r.query_id == 1} == {"empty query" if semantic else "semantic disabled"}
+    used = shelf.filter("id > 30")
+    tools = search.hybrid(asked, shelf, 8, category=" Tools ", avoid=used).filter("query_id = 0").collect()
+    assert {r.id for r in tools} == {15, 17, 19, 21, 23, 25, 27, 29}
+    draws = [tuple(r.id for r in search.hybrid(asked.filter("query_id = 0"), shelf, 8, temperature=t, seed=s).orderBy("rn").collect()) for t, s in ((0.0, "a"), (0.9, "a"), (0.9, "a"), (0.9, "b"))]
+    assert draws[1] == draws[2] and len({*draws}) == 3 and all(len(d) == 8 for d in draws)
+
+
 @pytest.mark.parametrize("divergence", [0.0, 0.5, 0.75, 1.0])
 def test_bucket_counts_fill_the_palette(divergence):
     for per_block in (1, 8, 24, 39, 90):
