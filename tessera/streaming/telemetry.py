@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from tessera.operators.series import _envelope_sql, _fold_sql, follow_step, hours
 from tessera.operators.signals import _WIDE, stem_frames
@@ -57,11 +58,22 @@ def delivery_slo(df: DataFrame, last: int = 100) -> DataFrame:
     )
 
 
-def drop_rate(df: DataFrame, most: int = 2) -> DataFrame:
-    """Share of frames of each day that were late or that a session's backlog of ``most`` a day shed; 0 where there is none."""
-    shed = F.row_number().over(_newest("session", "day")) > most
-    x = df.withColumn("day", F.to_date("ts")).withColumn("shed", shed).withColumn("late", ~F.col("shed") & (F.col("sent_ms") - F.col("due_ms") > TOLERANCE_MS))
-    sums = x.groupBy("day").agg(F.count_if("late").alias("n_late"), F.count_if("shed").alias("n_shed"), F.count("*").alias("n"))
+def queued(before: DataFrame | None, df: DataFrame, most: int = 2) -> DataFrame:
+    """(session, day, event_id, ts, late, n): the ``most`` newest frames of each session and day, and how many it has had, after those of ``df``."""
+    fresh = df.select("session", F.to_date("ts").alias("day"), "event_id", "ts", (F.col("sent_ms") - F.col("due_ms") > TOLERANCE_MS).alias("late"))
+    counts = fresh.groupBy("session", "day").agg(F.count("*").alias("n"))
+    rows = fresh
+    if before is not None:
+        rows = fresh.unionByName(before.drop("n"))
+        counts = counts.unionByName(before.select("session", "day", "n").distinct()).groupBy("session", "day").agg(F.sum("n").alias("n"))
+    kept = rows.withColumn("rn", F.row_number().over(_newest("session", "day"))).filter(F.col("rn") <= most).drop("rn")
+    return kept.hint("merge").join(counts, ["session", "day"])
+
+
+def drop_rate(state: DataFrame) -> DataFrame:
+    """Share of frames of each day that were late or that a session's backlog of a day (``queued``) shed; 0 where there is none."""
+    own = state.groupBy("session", "day").agg(F.count_if("late").alias("n_late"), (F.max("n") - F.count("*")).alias("n_shed"), F.max("n").alias("n"))
+    sums = own.groupBy("day").agg(*[F.sum(c).alias(c) for c in ("n_late", "n_shed", "n")])
     return sums.select(F.unix_seconds(F.col("day").cast("timestamp")).alias("start_s"), "n_late", "n_shed", "n", ((F.col("n_late") + F.col("n_shed")) / F.col("n")).alias("rate"))
 
 
@@ -96,24 +108,73 @@ def ema_step(df: DataFrame, key: str, value: str, order: list[str], decay: float
     return sums.hint("merge").join(shift, key).withColumn("factor", F.pow(F.lit(decay), F.col("n")))
 
 
-def ema_rate(df: DataFrame) -> DataFrame:
-    """0.85 old + 0.15 new of the values of each session in order of time, started at the first."""
-    return ema_step(df, "session", "value", ["ts", "event_id"]).select("session", F.round(F.col("shift") + F.col("factor") * F.col("first"), 6).alias("ema"), "n")
+#: Frames a second until a session is calibrated, and the frames that calibrate it.
+BOOTSTRAP_FPS, CALIBRATION = 45.0, 30
+
+
+def ema_rate(before: DataFrame | None, df: DataFrame, frames: int = CALIBRATION) -> DataFrame:
+    """(session, n, total, fps) after the frames of ``df`` (value: milliseconds), from that state ``before`` them.
+
+    Until a session has had ``frames`` of them its rate is BOOTSTRAP_FPS; then it is that of their mean time; each
+    later frame that took time moves it on by 0.85 old + 0.15 new.  total is the time of the frames that calibrate.
+    """
+    had = df.select("session").distinct().select("session", F.lit(0).cast("long").alias("had"), F.lit(0.0).alias("was"), F.lit(BOOTSTRAP_FPS).alias("rate"))
+    if before is not None:
+        had = before.select("session", F.col("n").alias("had"), F.col("total").alias("was"), F.col("fps").alias("rate")).unionByName(had)
+        had = had.groupBy("session").agg(F.max_by("was", "had").alias("was"), F.max_by("rate", "had").alias("rate"), F.max("had").alias("had"))
+    order = Window.partitionBy("session").orderBy("ts", "event_id")
+    rows = df.withColumn("rn", F.row_number().over(order)).hint("merge").join(had.select("session", "had"), "session").withColumn("i", F.col("had") + F.col("rn"))
+    rows = materialize(rows.select("session", "ts", "event_id", "value", "i"), "frames")
+    sums = rows.groupBy("session").agg(F.count("*").alias("more"), F.coalesce(F.sum(F.when(F.col("i") <= frames, F.col("value"))), F.lit(0.0)).alias("time"))
+    later = rows.filter((F.col("i") > frames) & (F.col("value") > 0)).withColumn("instant", 1000.0 / F.col("value"))
+    moved = ema_step(later, "session", "instant", ["ts", "event_id"]).select("session", "shift", "factor")
+    joined = had.hint("merge").join(sums, "session", "left").hint("merge").join(moved, "session", "left")
+    n, total = F.col("had") + F.coalesce("more", F.lit(0).cast("long")), F.col("was") + F.coalesce("time", F.lit(0.0))
+    mean = F.when((n >= frames) & (total > 0), 1000.0 * frames / total).otherwise(BOOTSTRAP_FPS)
+    start = F.when(F.col("had") >= frames, F.col("rate")).otherwise(mean)
+    return joined.select("session", n.alias("n"), total.alias("total"), F.when(F.col("factor").isNull(), start).otherwise(F.col("shift") + F.col("factor") * start).alias("fps"))
+
+
+def lookahead(before: DataFrame | None, df: DataFrame, decay: float = 0.8, render_ms: float = 15.0) -> DataFrame:
+    """(session, day, time, n, closed, ema) after the frames of ``df``, from that state ``before`` them.
+
+    Each day (the interval of a refresh here) of a session gives an estimate: its mean frame time, the interval at its rate
+    and the time to render.  A day is closed by a later one; closed ones (their number) have moved ema on, the open
+    one is held as sums, which later micro-batches add to.
+    """
+    days = df.groupBy("session", F.to_date("ts").alias("day")).agg(F.sum("value").alias("time"), F.count("*").alias("n"))
+    if before is not None:
+        days = days.unionByName(before.select("session", "day", "time", "n")).groupBy("session", "day").agg(F.sum("time").alias("time"), F.sum("n").alias("n"))
+    last = F.max("day").over(Window.partitionBy("session"))
+    days = materialize(days.withColumn("last", last), "days")
+    mean = F.col("time") / F.col("n")
+    estimate = mean + 1000.0 / F.greatest(F.lit(1.0), 1000.0 / mean) + render_ms
+    moved = ema_step(days.filter("day < last").withColumn("estimate", estimate), "session", "estimate", ["day"], decay).withColumnRenamed("n", "more")
+    open_ = days.filter("day = last").drop("last").hint("merge").join(moved, "session", "left")
+    old = open_.withColumns({"had": F.lit(0).cast("long"), "old": F.lit(None).cast("double")}) if before is None else open_.hint("merge").join(before.select("session", F.col("closed").alias("had"), F.col("ema").alias("old")), "session", "left")
+    ema = F.when(F.col("more").isNull(), F.col("old")).otherwise(F.col("shift") + F.col("factor") * F.coalesce("old", "first"))
+    return old.select("session", "day", "time", "n", (F.coalesce("had", F.lit(0).cast("long")) + F.coalesce("more", F.lit(0).cast("long"))).alias("closed"), ema.alias("ema"))
+
+
+def looked_ahead(state: DataFrame, decay: float = 0.8, render_ms: float = 15.0) -> DataFrame:
+    """The lookahead of each session, its open day counted in."""
+    mean = F.col("time") / F.col("n")
+    now = mean + 1000.0 / F.greatest(F.lit(1.0), 1000.0 / mean) + render_ms
+    return state.select("session", F.round(F.when(F.col("closed") == 0, now).otherwise(decay * F.col("ema") + (1 - decay) * now), 6).alias("lookahead_ms"))
 
 
-def lookahead(df: DataFrame, decay: float = 0.8, render_ms: float = 15.0) -> DataFrame:
-    """Moving average over the days of each session of its mean frame time, the interval at its rate and the time to render."""
-    days = df.groupBy("session", F.to_date("ts").alias("day")).agg(F.avg("value").alias("m"))
-    estimate = F.col("m") + 1000.0 / F.greatest(F.lit(1.0), 1000.0 / F.col("m")) + render_ms
-    step = ema_step(days.withColumn("estimate", estimate), "session", "estimate", ["day"], decay)
-    return step.select("session", F.round(F.col("shift") + F.col("factor") * F.col("first"), 6).alias("lookahead_ms"))
+#: Bytes of files that a micro-batch takes.
+BATCH_BYTES = 1 << 30
 
 
 def _table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table as a stream of its files; zone-less timestamps become session timestamps."""
-    path = f"{sf_dir}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).parquet(f"{path}*")
+    """A table as a stream of its files, oldest first; zone-less timestamps become session timestamps.
+
+    A micro-batch takes files of about BATCH_BYTES, one at least.
+    """
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    exact = f"{sf_dir}/{name}[.]parquet"  # a stream of one file needs a pattern; this one matches nothing else
+    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", BATCH_BYTES).parquet(exact)
     for field in schema.fields:
         if field.dataType.simpleString() == "timestamp_ntz":
             stream = stream.withColumn(field.name, F.col(field.name).cast("timestamp"))
@@ -124,13 +185,13 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table_stream(spark, sf_dir, "events")
 
 
-def run_to_table(stream: DataFrame, mode: str, key: list[str]) -> DataFrame:
-    """Run a stream over all that is there, each micro-batch appended with its number; the last row of each key counts."""
+def run_to_table(stream: DataFrame, mode: str, key: list[str], each: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> DataFrame:
+    """Run a stream over all that is there, ``each`` of each micro-batch appended with its number; the last row of each key counts."""
     spark = stream.sparkSession
     out, state = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
 
     def sink(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/part={number}")
+        each(batch).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/part={number}")
 
     stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     delete_at_exit(spark, out)
@@ -158,9 +219,46 @@ def run_with_table(stream: DataFrame, step: Callable[[DataFrame | None, DataFram
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     delete_at_exit(spark, out)
     delete_at_exit(spark, state)
+    if not seen:  # no batch ran: the state of an empty one
+        return step(None, spark.createDataFrame([], stream.schema))
     return spark.read.parquet(f"{out}/{max(seen)}")
 
 
+#: Buckets of a state table.
+BUCKETS = 32
+
+
+def run_with_buckets(stream: DataFrame, key: str, step: Callable[[DataFrame | None, DataFrame], DataFrame], buckets: int = BUCKETS) -> DataFrame:
+    """``run_with_table`` for a state of which a micro-batch touches little: the table lies in buckets by ``key``.
+
+    ``step`` gets and gives rows of the touched buckets only; these are written anew under the number of the batch, the others
+    stay as they are.  A batch that runs again reads what there was before it.
+    """
+    spark = stream.sparkSession
+    out, state = scratch_path(spark, "buckets"), scratch_path(spark, "stream-state")
+    written: dict[int, list[int]] = {}
+    number_of = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+    def latest(which: list[int], before: int | None = None) -> list[str]:
+        held = {b: [n for n in written.get(b, []) if before is None or n < before] for b in which}
+        return [f"{out}/{max(n)}/bucket={b}" for b, n in held.items() if n]
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch = materialize(batch, "batch")
+        touched = sorted(r["b"] for r in batch.select(number_of.alias("b")).distinct().collect())  # at most ``buckets``
+        paths = latest(touched, number)
+        rows = step(spark.read.parquet(*paths) if paths else None, batch)
+        rows.withColumn("bucket", number_of).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/{number}")
+        for b in touched:
+            written[b] = [*[n for n in written.get(b, []) if n != number], number]
+
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    delete_at_exit(spark, out)
+    delete_at_exit(spark, state)
+    paths = latest(list(written))
+    return spark.read.parquet(*paths) if paths else step(None, spark.createDataFrame([], stream.schema))
+
+
 def keyed_fold(stream: DataFrame, step: Callable[..., tuple], start: tuple, inputs: tuple[str, ...], state: str, emit: Callable[[tuple], tuple | None] | None, out: str, each: bool = False) -> DataFrame:
     """A fold over the events of each session in order of time, its state kept between micro-batches.
 
@@ -187,16 +285,17 @@ def keyed_fold(stream: DataFrame, step: Callable[..., tuple], start: tuple, inpu
 
 
 def stream_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ema_rate with each session's average in a state table that every micro-batch moves on."""
-    def step(before: DataFrame | None, batch: DataFrame) -> DataFrame:
-        moved = ema_step(batch, "session", "value", ["ts", "event_id"])
-        if before is None:
-            return moved.select("session", (F.col("shift") + F.col("factor") * F.col("first")).alias("ema"), "n")
-        joined = before.alias("b").hint("merge").join(moved.alias("m"), "session", "full")
-        ema = F.when(F.col("m.n").isNull(), F.col("ema")).otherwise(F.col("shift") + F.col("factor") * F.coalesce("ema", "first"))
-        return joined.select("session", ema.alias("ema"), (F.coalesce("b.n", F.lit(0)) + F.coalesce("m.n", F.lit(0))).alias("n"))
+    """ema_rate with each session's state in a table that every micro-batch moves on; ten sessions, of enough frames to be calibrated."""
+    frames = deliveries(_event_stream(spark, sf_dir)).withColumn("session", F.col("session") % 10)
+    return run_with_buckets(frames, "session", ema_rate).select("session", F.round("fps", 6).alias("fps"), "n")
 
-    return run_with_table(deliveries(_event_stream(spark, sf_dir)), step).select("session", F.round("ema", 6).alias("ema"), "n")
+
+def stream_lookahead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return looked_ahead(run_with_buckets(deliveries(_event_stream(spark, sf_dir)), "session", lookahead))
+
+
+def stream_drop_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_rate(run_with_buckets(deliveries(_event_stream(spark, sf_dir)), "session", queued))
 
 
 #: Share of drift that a report corrects; kinds of events that play, pause and seek, the others report a time.
@@ -228,11 +327,72 @@ def stream_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_table(out, "update", ["session"])
 
 
-def stream_ttl(spark: SparkSession, sf_dir: str, now: int = 1_706_000_000, ttl: int = 86_400 * 3) -> DataFrame:
-    """The latest value of each session as keyed state; what was set over ``ttl`` seconds before ``now`` has expired, a new value starts its time again."""
-    events = _event_stream(spark, sf_dir).filter(F.unix_seconds("ts") <= now).select(F.col("user_id").alias("session"), "event_id", "ts", "value", F.unix_seconds("ts").alias("set_at"))
-    out = keyed_fold(events, lambda s, value, at: (value, at), (0.0, 0), ("value", "set_at"), "value double, set_at long", lambda s: s, "session long, value double, set_at long")
-    return run_to_table(out, "update", ["session"]).filter(F.col("set_at") + ttl > now)
+#: Kinds of events that put a value in the cache and that take it out; the others read it.  Seconds that a value is good for.
+PUT, REMOVE, GOOD_FOR = ("purchase", "signup"), "error", 86_400 * 3
+PROVIDER_KEY, ROCKSDB = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class ExpiringValue(StatefulProcessor):
+    """One value for each key, good for ``ttl`` seconds from when it was last put.
+
+    A read after that finds nothing and clears the state; a timer clears the state of keys that nobody reads once
+    the watermark has passed.  A new value starts its time again, a removal ends it.
+    """
+
+    def __init__(self, ttl: int):
+        self.ttl = ttl
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "value double, at_us long")
+
+    def _forget(self) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.held.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(["at_us", "event_id"])
+        value, since = self.held.get() if self.held.exists() else (None, 0)
+        was, found = since, []
+        for event, kind, x, at in zip(batch["event_id"].tolist(), batch["event_type"].tolist(), batch["value"].tolist(), batch["at_us"].tolist()):
+            if kind in PUT:
+                value, since = x, at
+            elif value is not None and (kind == REMOVE or at > since + self.ttl * 1_000_000):
+                value = None
+            if kind not in PUT and kind != REMOVE:
+                found.append((key[0], event, value is not None, value))
+        if value is None:
+            self._forget()
+        elif since != was or not self.held.exists():
+            self._forget()
+            self.held.update((value, since))
+            self.handle.registerTimer(max(since // 1000 + self.ttl * 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame(found, columns=["session", "event_id", "hit", "value"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._forget()
+        yield pd.DataFrame({"session": pd.Series(dtype="int64"), "event_id": pd.Series(dtype="int64"), "hit": pd.Series(dtype="bool"), "value": pd.Series(dtype="float64")})
+
+    def close(self) -> None:
+        pass
+
+
+def expiring(events: DataFrame, ttl: int = GOOD_FOR, late: str = "1 day") -> DataFrame:
+    """(session, event_id, hit, value) of each read of a stream of events(session, event_id, event_type, ts, value)."""
+    timed = events.withWatermark("ts", late).select("session", "event_id", "event_type", "ts", "value", F.unix_micros("ts").alias("at_us"))
+    return timed.groupBy("session").transformWithStateInPandas(ExpiringValue(ttl), "session long, event_id long, hit boolean, value double", "Append", "EventTime")
+
+
+def stream_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each read of a session's value finds: the value as keyed state that expires."""
+    events = _event_stream(spark, sf_dir).select(F.col("user_id").alias("session"), "event_id", "event_type", "ts", "value")
+    before = spark.conf.get(PROVIDER_KEY)
+    spark.conf.set(PROVIDER_KEY, ROCKSDB)  # timers and value state need it
+    try:
+        return run_to_table(expiring(events), "append", ["event_id"])
+    finally:
+        spark.conf.set(PROVIDER_KEY, before)
 
 
 def stream_envelope(spark: SparkSession, sf_dir: str, attack: float = 1.0, release: float = 8.0) -> DataFrame:
@@ -338,9 +498,8 @@ def stream_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """backlog_shed of each micro-batch, which is the queue that there is."""
-    step = lambda before, batch: backlog_shed(batch) if before is None else before.unionByName(backlog_shed(batch))
-    return run_with_table(deliveries(_event_stream(spark, sf_dir)), step)
+    """backlog_shed of each micro-batch, which is the queue that there is; what is kept is appended."""
+    return run_to_table(deliveries(_event_stream(spark, sf_dir)), "append", ["event_id"], backlog_shed)
 
 
 def stream_slo(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -363,8 +522,8 @@ def library_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The library after all changes of a feed, each micro-batch merged into the table as it was before."""
-    step = lambda before, batch: upsert(feed_of(batch)) if before is None else merge_library(before, upsert(feed_of(batch)))
-    return run_with_table(_table_stream(spark, sf_dir, "orders"), step)
+    step = lambda before, batch: upsert(batch) if before is None else merge_library(before.drop("bucket"), upsert(batch))
+    return run_with_buckets(feed_of(_table_stream(spark, sf_dir, "orders")), "song_id", step)
 
 
 def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -409,11 +568,11 @@ QUERIES = {
     "st_rate_per_second": stream_rate,
     "st_ema_rate": stream_ema,
     "st_delivery_slo": stream_slo,
-    "st_drop_rate": lambda s, d: drop_rate(_frames(s, d)),
+    "st_drop_rate": stream_drop_rate,
     "st_throttle": stream_throttle,
     "st_backlog_shed": stream_backlog,
     "st_checkpoint_trigger": stream_triggers,
-    "st_lookahead_ema": lambda s, d: lookahead(_frames(s, d)),
+    "st_lookahead_ema": stream_lookahead,
     "st_clock_correct": stream_clock,
     "st_ttl_state": stream_ttl,
     "st_envelope": stream_envelope,
@@ -439,9 +598,11 @@ _FIRES = f"x.eligible AND x.hour - s.at >= {GAP} AND ((s.section >= 0 AND x.here
 ORACLE_SQL = {
     "st_late_drop": f"WITH {_D} SELECT event_id, session FROM f WHERE sent_ms - due_ms <= 50",
     "st_rate_per_second": "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start_s, event_type, count(*) AS n FROM events GROUP BY ALL",
-    "st_ema_rate": f"""WITH RECURSIVE {_D}, o AS (SELECT session, value, row_number() OVER (PARTITION BY session ORDER BY ts, event_id) AS i FROM f),
-r AS (SELECT session, i, value AS ema FROM o WHERE i = 1 UNION ALL SELECT o.session, o.i, 0.85 * r.ema + 0.15 * o.value FROM r JOIN o ON o.session = r.session AND o.i = r.i + 1)
-SELECT session, round(arg_max(ema, i), 6) AS ema, max(i) AS n FROM r GROUP BY session""",
+    "st_ema_rate": f"""WITH RECURSIVE {_D}, o AS MATERIALIZED (SELECT session % 10 AS session, value, row_number() OVER (PARTITION BY session % 10 ORDER BY ts, event_id) AS i FROM f),
+c AS (SELECT session, count(*) AS n, sum(value) FILTER (i <= {CALIBRATION}) AS total FROM o GROUP BY session),
+r AS (SELECT session, {CALIBRATION}::BIGINT AS i, CASE WHEN total > 0 THEN 1000.0::DOUBLE * {CALIBRATION} / total ELSE {BOOTSTRAP_FPS} END AS fps FROM c WHERE n >= {CALIBRATION}
+  UNION ALL SELECT o.session, o.i, CASE WHEN o.value > 0 THEN 0.85 * r.fps + 0.15 * (1000.0 / o.value) ELSE r.fps END FROM r JOIN o ON o.session = r.session AND o.i = r.i + 1)
+SELECT c.session, round(coalesce(fps, {BOOTSTRAP_FPS}), 6) AS fps, n FROM c LEFT JOIN (SELECT session, arg_max(fps, i) AS fps FROM r GROUP BY session) USING (session)""",
     "st_delivery_slo": f"""WITH {_D}, k AS (SELECT session, sent_ms - due_ms AS d, (sent_ms - lag(sent_ms) OVER (PARTITION BY session ORDER BY ts, event_id))::DOUBLE AS gap FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts DESC, event_id DESC) AS rn FROM f) WHERE rn <= 100),
 l AS (SELECT session, list_sort(list(d)) AS d, list(gap) FILTER (gap IS NOT NULL) AS gaps, avg(gap) AS m FROM k GROUP BY session),
 j AS (SELECT session, d, list_sort(list_transform(gaps, lambda g: abs(g - m))) AS j FROM l)
@@ -462,8 +623,10 @@ SELECT session, round(arg_max(y, i), 6) AS lookahead_ms FROM r GROUP BY session"
     'b': ('-1.0::DOUBLE', f"CASE WHEN x.kind = '{PAUSE}' THEN s.b WHEN x.kind IN ('{SEEK}', '{PLAY}') OR s.b < 0 THEN x.tick ELSE s.b - {ALPHA} * (x.client - (s.a + x.tick - s.b)) END"),
     'c': ('false', f"CASE WHEN x.kind = '{PAUSE}' THEN false WHEN x.kind = '{SEEK}' THEN s.c WHEN x.kind = '{PLAY}' OR s.b < 0 THEN true ELSE s.c END"),
 }, 'k', 'session')} SELECT session, round(arg_max(a, i), 4) AS client, round(arg_max(b, i), 4) AS server, arg_max(c, i) AS playing, max(i) AS n FROM k GROUP BY session""",
-    "st_ttl_state": """WITH l AS (SELECT user_id AS session, arg_max(value, struct_pack(t := ts, e := event_id)) AS value, max(floor(epoch(ts)))::BIGINT AS set_at FROM events WHERE floor(epoch(ts)) <= 1706000000 GROUP BY user_id)
-SELECT * FROM l WHERE set_at + 259200 > 1706000000""",
+    "st_ttl_state": f"""WITH x AS (SELECT user_id AS session, event_id, event_type, ts, last(CASE WHEN event_type IN {PUT} OR event_type = '{REMOVE}' THEN {{'kind': event_type, 'at': ts, 'value': value}} END IGNORE NULLS) OVER (
+  PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS l FROM events),
+y AS (SELECT session, event_id, coalesce(l.kind IN {PUT} AND ts <= l.at + INTERVAL {GOOD_FOR} SECOND, false) AS hit, l.value AS v FROM x WHERE event_type NOT IN {(*PUT, REMOVE)})
+SELECT session, event_id, hit, CASE WHEN hit THEN v END AS value FROM y""",
     "st_envelope": f"""WITH RECURSIVE {_D}, x AS (SELECT session, (row_number() OVER (PARTITION BY session ORDER BY ts, event_id))::INTEGER AS frame_idx, value / 500.0 AS v FROM f),
 {_envelope_sql('x', 1.0, 8.0, 'k', 'v', 'session')} SELECT session, round(arg_max(y, i), 6) AS envelope, max(i) AS n FROM k GROUP BY session""",
     "st_surprise": f"""WITH RECURSIVE {_D}, x AS (SELECT session, event_id, (row_number() OVER (PARTITION BY session ORDER BY ts, event_id))::INTEGER AS frame_idx, value / 500.0 AS v, floor(epoch(ts)) / 3600.0::DOUBLE AS hour FROM f),
