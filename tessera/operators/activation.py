@@ -244,14 +244,19 @@ def dense(found: DataFrame) -> DataFrame:
     return ids.hint("merge").join(found, ["block", "feature_id"], "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
 
 
-def feature_terms(stats: DataFrame, weights: DataFrame, k: int = 10, top: int = 100) -> DataFrame:
-    """(block, feature_id, terms): the k terms with the largest mean weight over the prompts of each feature's top items, best first."""
+def term_means(stats: DataFrame, weights: DataFrame, top: int = 100) -> DataFrame:
+    """(block, feature_id, term, mean_weight): mean weight of terms over the prompts of each feature's top items, absent terms counting zero."""
     items = top_items(stats, top).select("block", "feature_id", F.col("item_id").alias("doc_id"))
     sizes = items.groupBy("block", "feature_id").agg(F.count("*").alias("n"))
     sums = items.hint("merge").join(weights, "doc_id").groupBy("block", "feature_id", "term").agg(F.sum("weight").alias("s"))
-    mean = sums.hint("merge").join(sizes, ["block", "feature_id"]).withColumn("mean_weight", F.round(F.col("s") / F.col("n"), 9)).filter("mean_weight > 0")
+    mean = sums.hint("merge").join(sizes, ["block", "feature_id"]).withColumn("mean_weight", F.round(F.col("s") / F.col("n"), 9))
+    return mean.filter("mean_weight > 0").select("block", "feature_id", "term", "mean_weight")
+
+
+def feature_terms(stats: DataFrame, weights: DataFrame, k: int = 10, top: int = 100) -> DataFrame:
+    """(block, feature_id, terms): the k terms with the largest mean weight over the prompts of each feature's top items, best first."""
     order = Window.partitionBy("block", "feature_id").orderBy(F.desc("mean_weight"), "term")
-    best = mean.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k)
+    best = term_means(stats, weights, top).withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k)
     return best.groupBy("block", "feature_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rn", "term"))), lambda z: z["term"]).alias("terms"))
 
 
@@ -268,6 +273,12 @@ def feature_sets(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def manifest(spark: SparkSession, d: str) -> DataFrame:
+    """(item_id, n_items): a row for each referenced item, written and read back, and how many there are."""
+    items = materialize(_referenced(spark, d), "manifest")
+    return items.crossJoin(F.broadcast(items.agg(F.count("*").alias("n_items"))))  # one row
+
+
 def _referenced(spark: SparkSession, d: str) -> DataFrame:
     """Items that stand in an ON, OFF or middle list of any feature."""
     stats = _stats(spark, d)
@@ -321,7 +332,7 @@ QUERIES = {
     "flt_dedup_limit": _dedup_captions,
     "snk_feature_sets": feature_sets,
     "agg_balanced_accuracy": detection,
-    "snk_manifest": lambda s, d: _referenced(s, d).agg(F.count("*").alias("n_items"), F.array_sort(F.collect_set("item_id")).alias("item_ids")),
+    "snk_manifest": manifest,
     "set_referenced": _referenced,
     "set_complement": _complement,
 }
@@ -404,7 +415,7 @@ SELECT * FROM first, rate""",
 f AS (SELECT block, feature_id, list(item_id ORDER BY draw) AS off_items FROM off3 GROUP BY ALL), m AS (SELECT block, feature_id, list(item_id ORDER BY item_id) AS mid_items FROM mid GROUP BY ALL)
 SELECT cv.block, cv.feature_id, cv, coalesce(on_items, []::BIGINT[]) AS on_items, coalesce(off_items, []::BIGINT[]) AS off_items, coalesce(mid_items, []::BIGINT[]) AS mid_items, 'mean' AS metric FROM cv
 LEFT JOIN o USING (block, feature_id) LEFT JOIN f USING (block, feature_id) LEFT JOIN m USING (block, feature_id)""",
-    "snk_manifest": f"WITH {_CV}, {_off(3)} SELECT count(*) AS n_items, list_sort(list(item_id)) AS item_ids FROM ({_REF})",
+    "snk_manifest": f"WITH {_CV}, {_off(3)} SELECT item_id, count(*) OVER () AS n_items FROM ({_REF})",
     "set_referenced": f"WITH {_CV}, {_off(3)} {_REF}",
     "set_complement": f"""WITH {STATS_SQL}, r AS (SELECT block, arg_min(feature_id, struct_pack(n := n, f := feature_id)) AS feature_id FROM (SELECT block, feature_id, count(*) AS n FROM stats GROUP BY ALL) GROUP BY block)
 SELECT block, feature_id, item_id FROM (SELECT DISTINCT vec_id // 16 AS item_id FROM embeddings), r EXCEPT SELECT block, feature_id, item_id FROM stats""",

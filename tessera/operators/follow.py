@@ -60,7 +60,7 @@ def dual_layer(df: DataFrame) -> DataFrame:
     return flash.hint("merge").join(sustain, [*SERIES, "frame_idx"]).withColumn("combined", (F.col("flash") + F.col("sustain")) / 2)
 
 
-def voiced_norm(wide: DataFrame, threshold: float = 0.3) -> DataFrame:
+def voiced_norm(wide: DataFrame, threshold: float = 0.5) -> DataFrame:
     """p5 to p95 over the frames that sound with confidence; fewer than ten give zero, a range under ten the least - 20 to the largest + 20."""
     sure = (F.col("v") > 0) & (F.col("pitch_confidence") >= threshold)
     q = wide.filter(sure).groupBy(*SERIES).agg(F.percentile("v", F.array(F.lit(0.05), F.lit(0.95))).alias("q"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
@@ -263,9 +263,9 @@ SELECT label, sum(n)::BIGINT AS n, count(*) AS n_clusters, max(n) / sum(n) AS to
     "win_slew_limit": f"""WITH RECURSIVE {_FRAMES}, {_fold_sql('frames', {'y': ('0.0::DOUBLE', f's.y + greatest(-{2.0 * DT!r}::DOUBLE, least({2.0 * DT!r}::DOUBLE, x.v / {SCALE} - s.y))')}, 'f')} SELECT track, stem, frame_idx, y AS place FROM f WHERE i > 0""",
     "win_dual_layer": f"""WITH RECURSIVE {_FRAMES}, {_envelope_sql('frames', 1.0, 4.0, 'a')}, {_envelope_sql('frames', 6.0, 24.0, 'b')}
 SELECT track, stem, frame_idx, a.y AS flash, b.y AS sustain, (a.y + b.y) / 2 AS combined FROM a JOIN b USING (track, stem, frame_idx) WHERE a.i > 0""",
-    "win_pitch_norm": f"""WITH {_WIDE}, q AS (SELECT track, stem, quantile_cont(v, 0.05) AS a, quantile_cont(v, 0.95) AS b, min(v) AS mn, max(v) AS mx, count(*) AS n FROM wide WHERE v > 0 AND pitch_confidence >= 0.3 GROUP BY ALL),
+    "win_pitch_norm": f"""WITH {_WIDE}, q AS (SELECT track, stem, quantile_cont(v, 0.05) AS a, quantile_cont(v, 0.95) AS b, min(v) AS mn, max(v) AS mx, count(*) AS n FROM wide WHERE v > 0 AND pitch_confidence >= 0.5 GROUP BY ALL),
 r AS (SELECT *, CASE WHEN b - a < 10 THEN mn - 20 ELSE a END AS lo, CASE WHEN b - a < 10 THEN mx + 20 ELSE b END AS hi FROM q)
-SELECT track, stem, frame_idx, CASE WHEN n >= 10 AND v > 0 AND pitch_confidence >= 0.3 THEN greatest(0.0, least(1.0, (v - lo) / (hi - lo))) ELSE 0.0 END AS pitch FROM wide LEFT JOIN r USING (track, stem)""",
+SELECT track, stem, frame_idx, CASE WHEN n >= 10 AND v > 0 AND pitch_confidence >= 0.5 THEN greatest(0.0, least(1.0, (v - lo) / (hi - lo))) ELSE 0.0 END AS pitch FROM wide LEFT JOIN r USING (track, stem)""",
     "win_align_pad": f"""WITH {_FRAMES}, g AS (SELECT track, stem, unnest(range(0, 400))::INTEGER AS frame_idx FROM (SELECT DISTINCT track, stem FROM seen))
 SELECT g.*, coalesce(s.v, 0.0) AS v FROM g ASOF LEFT JOIN seen s ON g.track = s.track AND g.stem = s.stem AND g.frame_idx >= s.frame_idx""",
     "win_beat_weight": f"WITH {_WIDE}, {_WEIGHT} SELECT track, stem, frame_idx, smooth AS weight FROM bw",

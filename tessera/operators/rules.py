@@ -95,7 +95,7 @@ QUERIES = {
     "agg_curve_score": lambda s, d: target_profile(frames(s, d)).select(*SERIES, "score"),
     "agg_active_ratio": lambda s, d: target_profile(frames(s, d)).select(*SERIES, "active_ratio"),
     "agg_onset_density": lambda s, d: target_profile(frames(s, d)).select(*SERIES, "onset_density"),
-    "agg_mean_tfidf": lambda s, d: search.tfidf(search._docs(s, d)).groupBy("term").agg((F.sum("weight") / search._docs(s, d).count()).alias("mean_weight")),
+    "agg_mean_tfidf": lambda s, d: activation.term_means(activation.aggregate_positions(activation.activation_log(s, d)), search.tfidf(search._docs(s, d))),
 }
 
 _ACT = activation.STATS_SQL
@@ -125,5 +125,5 @@ SELECT id, source, len(list_filter(terms, lambda t: contains(label, lower(t)) OR
     "agg_curve_score": f"WITH {_FRAMES}, {_TP} SELECT track, stem, score FROM tp",
     "agg_active_ratio": f"WITH {_FRAMES}, {_TP} SELECT track, stem, active_ratio FROM tp",
     "agg_onset_density": f"WITH {_FRAMES}, {_TP} SELECT track, stem, onset_density FROM tp",
-    "agg_mean_tfidf": f"WITH {search._TFIDF} SELECT term, sum(weight) / (SELECT count(*) FROM documents) AS mean_weight FROM tfidf GROUP BY term",
+    "agg_mean_tfidf": f"WITH {activation.STATS_SQL}, {search._TFIDF}, {activation._TERMS} SELECT block, feature_id, term, w AS mean_weight FROM fmean WHERE w > 0",
 }

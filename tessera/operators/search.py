@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import STOPWORDS, TERM_STOPWORDS, cosine, hashed_vector, hashed_vector_sql, jaccard, label_key, token_variants, tokens
+from tessera.functions.embedders import Embedder, HashedTrigrams
+from tessera.functions.text import STOPWORDS, TERM_STOPWORDS, cosine, hashed_vector_sql, jaccard, label_key, token_variants, tokens
 from tessera.operators.activation import hashed
 from tessera.session import delete_at_exit, materialize, scratch_path, table
 
@@ -186,15 +187,16 @@ def diverse(rows: DataFrame, keys: list[str], k: int, by: Column | None = None,
             return found
 
 
-def semantic_hits(queries: DataFrame, rows: DataFrame, limit: int) -> DataFrame:
-    """(query_id, block, id, semantic): the ``limit`` labels of each block nearest to each phrase by the cosine of their vectors."""
-    asked = queries.select("query_id", hashed_vector(F.lower("phrase"), DIMS).alias("q"))
-    scored = rows.select("block", "id", hashed_vector(F.lower("label"), DIMS).alias("v")).join(F.broadcast(asked)).select("query_id", "block", "id", F.round(cosine(F.col("v"), F.col("q")), 9).alias("semantic"))
+def semantic_hits(queries: DataFrame, rows: DataFrame, limit: int, embedder: Embedder = HashedTrigrams(DIMS)) -> DataFrame:
+    """(query_id, block, id, semantic): the ``limit`` labels of each block nearest to each phrase by the cosine of an embedder's vectors."""
+    asked = embedder.embed(queries.select("query_id", "phrase"), F.col("phrase"), "q").select("query_id", "q")
+    vectors = embedder.embed(rows.select("block", "id", "label"), F.col("label"), "v").filter("v IS NOT NULL")
+    scored = vectors.join(F.broadcast(asked)).select("query_id", "block", "id", F.round(cosine(F.col("v"), F.col("q")), 9).alias("semantic"))  # a caller's phrases
     order = Window.partitionBy("query_id", "block").orderBy(F.desc("semantic"), "id")
     return scored.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= limit).drop("rn")
 
 
-def candidates(queries: DataFrame, rows: DataFrame, limit: int, semantic: bool = True) -> DataFrame:
+def candidates(queries: DataFrame, rows: DataFrame, limit: int, semantic: bool = True, embedder: Embedder = HashedTrigrams(DIMS)) -> DataFrame:
     """(query_id, block, id, lexical, semantic): rows with a signal for each phrase, lexical or among the ``limit`` nearest.
 
     A phrase without tokens has all rows.
@@ -203,7 +205,7 @@ def candidates(queries: DataFrame, rows: DataFrame, limit: int, semantic: bool =
     zero = F.lit(0.0)
     parts = [bm25(queries, rows).select("query_id", "block", "id", "lexical", zero.alias("semantic"))]
     if semantic:
-        near = semantic_hits(queries.filter("trim(phrase) <> ''"), rows, limit).filter("semantic > 0")
+        near = semantic_hits(queries.filter("trim(phrase) <> ''"), rows, limit, embedder).filter("semantic > 0")
         parts.append(near.select("query_id", "block", "id", zero.alias("lexical"), "semantic"))
     plain = F.broadcast(queries.filter(~asks).select("query_id"))  # a caller's phrases
     parts.append(rows.select("block", "id").join(plain).select("query_id", "block", "id", zero.alias("lexical"), zero.alias("semantic")))
@@ -214,7 +216,7 @@ def candidates(queries: DataFrame, rows: DataFrame, limit: int, semantic: bool =
 
 
 def hybrid(
-    queries: DataFrame, rows: DataFrame, k: int = 8, semantic: bool = True, category: str | None = None, avoid: DataFrame | None = None, temperature: float = 0.0, seed: str = "search",
+    queries: DataFrame, rows: DataFrame, k: int = 8, semantic: bool = True, category: str | None = None, avoid: DataFrame | None = None, temperature: float = 0.0, seed: str = "search", embedder: Embedder = HashedTrigrams(DIMS),
 ) -> DataFrame:
     """The pick of k labels for each query and block by 0.72 lexical / largest lexical + 0.20 semantic + 0.08 quality.
 
@@ -222,12 +224,12 @@ def hybrid(
     block; ``category`` keeps rows of one category, ``avoid``(block, id) leaves rows out; the largest
     lexical score is that of the query's candidates that are left.  A phrase without tokens
     ranks all rows by quality.  At a ``temperature`` over zero the pick is drawn by softmax weights, by
-    hashes of ``seed``, query and row.  fallback says why there was no semantic part.
+    hashes of ``seed``, query and row.  ``embedder`` gives the vectors.  fallback says why there was no semantic part.
     """
     asked = queries.select("query_id", (F.size(token_variants(F.col("phrase"))) > 0).alias("asks"), (F.trim("phrase") == "").alias("blank"))
     allowed = rows if category is None else by_category(rows, category)
     allowed = allowed if avoid is None else allowed.hint("merge").join(avoid.select("block", "id").distinct(), ["block", "id"], "left_anti")
-    found = candidates(queries, rows, max(HITS_FOR_PICK * k, LEAST_HITS), semantic)
+    found = candidates(queries, rows, max(HITS_FOR_PICK * k, LEAST_HITS), semantic, embedder)
     full = found.hint("merge").join(allowed, ["block", "id"]).join(F.broadcast(asked), "query_id")
     full = full.withColumn("top", F.max("lexical").over(Window.partitionBy("query_id", "block")))
     own = quality(F.col("confidence"), F.col("mean_activation"))

@@ -195,7 +195,7 @@ QUERIES = {
     "fn_tension": lambda s, d: tension(spectra(s, d)),
     "win_first_diff_flux": lambda s, d: flux(_labelled(s, d)),
     "win_jsd_distance": lambda s, d: jsd_to_mean(_labelled(s, d)),
-    "fn_mask_active": lambda s, d: spectra(s, d).select("vec_id", F.size(F.filter("m", lambda x: x > 0.1)).cast("long").alias("active")),
+    "fn_mask_active": lambda s, d: spectra(s, d).select("vec_id", F.size(F.filter("m", lambda x: x > 0)).cast("long").alias("active")),
     "fn_intensity_curve": _rules,
     "fn_clean_curve": lambda s, d: _dirty(s, d).select(*SERIES, "frame_idx", clean(F.col("x")).alias("clean")),
     "flt_finite": lambda s, d: _dirty(s, d).groupBy(*SERIES).agg(F.avg(F.when(~F.isnan("x") & (F.abs("x") < float("inf")), F.col("x"))).alias("mean"), F.var_pop(F.when(~F.isnan("x") & (F.abs("x") < float("inf")), F.col("x"))).alias("variance")),
@@ -242,7 +242,7 @@ j AS (SELECT label AS track, 'all' AS stem, vec_id::INTEGER AS frame_idx, {_CLAM
 {_fold_sql('j', {'y': ('NULL::DOUBLE', f'CASE WHEN s.y IS NULL THEN x.jsd ELSE s.y + CASE WHEN x.jsd > s.y THEN {1 - math.exp(-1 / RISE)!r}::DOUBLE ELSE {1 - math.exp(-1 / RETURN)!r}::DOUBLE END * (x.jsd - s.y) END')}, 'f')},
 q AS (SELECT track, quantile_cont(y, 0.05) AS lo, quantile_cont(y, 0.95) AS hi FROM f WHERE i > 0 GROUP BY track)
 SELECT track AS label, frame_idx::BIGINT AS vec_id, CASE WHEN hi - lo > 1e-6 THEN {_CLAMP.format('(y - lo) / (hi - lo)')} ELSE 0.0 END AS distance FROM f JOIN q USING (track) WHERE i > 0""",
-    "fn_mask_active": f"WITH {_M} SELECT vec_id, len(list_filter(m, lambda x: x > 0.1)) AS active FROM s",
+    "fn_mask_active": f"WITH {_M} SELECT vec_id, len(list_filter(m, lambda x: x > 0)) AS active FROM s",
     "fn_intensity_curve": f"""WITH {_FR} SELECT track, stem, frame_idx, {_X} AS linear, pow({_X}, 2.2) AS gamma, {_CLAMP.format('1.5 * v / 250.0')} AS clipped,
   {_CLAMP.format("(CASE WHEN v > 0 THEN greatest(-40.0, 20 * log10(v / 500.0)) ELSE -40.0 END + 40) / 40")} AS gate, {_CLAMP.format(f"0.5 + 0.8 * (0.1 + {_X} * 0.8 - 0.5)")} AS staged,
   {_CLAMP.format("ln(greatest(v, 80.0) / 80.0) / ln(25.0)")} AS pitch, least(floor(12 * {_X}), 11)::INTEGER AS pitch_bin, round_even(frame_idx * 0.5, 0)::INTEGER AS half_frame FROM frames""",

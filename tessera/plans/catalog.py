@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.operators import activation, coupling, follow, labels, learn, profile, rules, search, series, signals, spectra
+from tessera.operators import activation, coupling, factors, follow, labels, learn, profile, rules, search, series, signals, spectra
 from tessera.plans import actions
 from tessera.sources import artifacts
 from tessera.streaming import telemetry
 
-MODULES = (activation, labels, series, signals, coupling, profile, follow, rules, search, spectra, learn, artifacts, telemetry, actions)
+MODULES = (activation, labels, series, signals, coupling, profile, follow, rules, search, spectra, learn, factors, artifacts, telemetry, actions)
 
 
 def queries() -> dict:

@@ -552,6 +552,24 @@ def merge_library(base: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
+#: Phases of a frame, in order, and least frames of a summary.
+PHASES, LEAST_FRAMES = ("steer", "infer", "d2h", "encode"), 5
+
+
+def timed_phases(df: DataFrame) -> DataFrame:
+    """Milliseconds of each phase of a frame: shares of its time that its event id gives."""
+    share = {"steer": F.col("event_id") % 7, "infer": 20 + F.col("event_id") % 11, "d2h": F.col("event_id") % 3, "encode": F.col("event_id") % 5}
+    return df.withColumns({f"{p}_ms": F.col("value") * share[p] / 50.0 for p in PHASES}).withColumnRenamed("value", "total_ms")
+
+
+def timing_summary(df: DataFrame, last: int = 100) -> DataFrame:
+    """Mean time of a frame and of each phase, and the rate, over the last frames of each session; none for fewer than LEAST_FRAMES."""
+    names = [f"{p}_ms" for p in ("total", *PHASES)]
+    kept = df.withColumn("rn", F.row_number().over(_newest("session"))).filter(F.col("rn") <= last)
+    means = kept.groupBy("session").agg(F.count("*").alias("n"), *[F.avg(c).alias(f"avg_{c}") for c in names]).filter(F.col("n") >= LEAST_FRAMES)
+    return means.withColumn("fps", F.when(F.col("avg_total_ms") > 0, 1000 / F.col("avg_total_ms")).otherwise(0.0))
+
+
 def _frames(s, d):
     return deliveries(table(s, d, "events"))
 
@@ -580,7 +598,7 @@ QUERIES = {
     "st_drift_alert": stream_drift,
     "snk_telemetry": stream_telemetry,
     "st_extended_activity": stream_activity,
-    "agg_timing_summary": lambda s, d: _frames(s, d).withColumn("rn", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("ts"), F.desc("event_id")))).filter("rn <= 100").groupBy("session").agg(F.avg("value").alias("mean_ms"), F.count("*").alias("n")).filter("n >= 5").withColumn("fps", 1000 / F.col("mean_ms")),
+    "agg_timing_summary": lambda s, d: timing_summary(timed_phases(_frames(s, d))),
     "st_library_cdc": stream_library,
     "snk_library_upsert": _split,
     "sort_library": lambda s, d: upsert(library_feed(s, d)).orderBy(F.desc("updated_at"), F.desc("created_at"), "song_id"),
@@ -645,8 +663,9 @@ SELECT c.session, c.event_id AS client_event, s.event_id AS server_event, round(
 p AS (SELECT track, stem, frame_idx, {', '.join(f"{c} AS {c}_x, coalesce(lead({c}) OVER (PARTITION BY track, stem ORDER BY frame_idx), {c}) AS {c}_y" for c in ACTIVITY)} FROM wide)
 SELECT event_id, t.track, stem, {', '.join(f"round({c}_x + (place - floor(place)) * ({c}_y - {c}_x), 6) AS {c}" for c in ACTIVITY)} FROM t JOIN p ON t.track = p.track AND p.frame_idx = floor(place)""",
     "snk_telemetry": "SELECT epoch(date_trunc('day', ts))::BIGINT AS start_s, count(*) AS n, avg(value) AS mean_ms, max(value) AS max_ms FROM events GROUP BY 1",
-    "agg_timing_summary": f"""WITH {_D} SELECT session, avg(value) AS mean_ms, count(*) AS n, 1000 / avg(value) AS fps FROM (
-  SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts DESC, event_id DESC) AS rn FROM f) WHERE rn <= 100 GROUP BY session HAVING count(*) >= 5""",
+    "agg_timing_summary": f"""WITH {_D} SELECT session, count(*) AS n, avg(value) AS avg_total_ms, avg(value * (event_id % 7) / 50.0) AS avg_steer_ms, avg(value * (20 + event_id % 11) / 50.0) AS avg_infer_ms, avg(value * (event_id % 3) / 50.0) AS avg_d2h_ms,
+  avg(value * (event_id % 5) / 50.0) AS avg_encode_ms, CASE WHEN avg(value) > 0 THEN 1000 / avg(value) ELSE 0.0 END AS fps FROM (
+  SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts DESC, event_id DESC) AS rn FROM f) WHERE rn <= 100 GROUP BY session HAVING count(*) >= {LEAST_FRAMES}""",
     "st_library_cdc": f"WITH {_LIB} SELECT * FROM lib",
     "snk_library_upsert": """WITH feed AS (SELECT o_custkey AS song_id, o_orderkey AS version, o_orderstatus AS status, o_totalprice AS duration, epoch(o_orderdate)::BIGINT AS ats FROM orders),
 b AS (SELECT song_id, arg_max(status, struct_pack(a := ats, v := version)) AS status, arg_max(duration, struct_pack(a := ats, v := version)) AS duration, min(ats) AS created_at, max(ats) AS updated_at FROM feed WHERE version % 3 <> 0 GROUP BY song_id),
