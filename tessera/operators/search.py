@@ -28,7 +28,8 @@ MIXES = (
     (0.90, {"anchor": 0.25, "adjacent": 0.25, "orthogonal": 0.30, "wildcard": 0.15, "anti_semantic": 0.05}),
     (2.0, {"anchor": 0.15, "adjacent": 0.20, "orthogonal": 0.35, "wildcard": 0.25, "anti_semantic": 0.05}),
 )
-TEMPERATURES = {"orthogonal": 0.85, "wildcard": 0.95, "anti_semantic": 1.0}
+TEMPERATURES = {"anchor": 0.30, "adjacent": 0.55, "orthogonal": 0.85, "wildcard": 0.95, "anti_semantic": 1.0}
+SEARCHED = ("anchor", "adjacent")
 ADJACENT_TERMS = "edge detail texture lateral contrast"
 
 
@@ -273,20 +274,21 @@ def bucket_counts(per_block: int, divergence: float) -> dict[str, int]:
 def palette(spark: SparkSession, rows: DataFrame, theme: str, per_block: int = 24, divergence: float = 0.75) -> DataFrame:
     """(block, id, bucket, rn): labels of each block in five buckets, none twice.
 
-    Anchors answer the theme, adjacent ones the theme with other terms, both by search; the others are
-    draws, hotter from bucket to bucket, from what is left.
+    Anchors answer the theme, adjacent ones the theme with other terms, both by search over all labels but those
+    already chosen; the others are draws from what is left.  All are hotter from bucket to bucket.
     """
     chosen = None
     rows = materialize(rows, "palette-rows")
     for bucket, k in bucket_counts(per_block, divergence).items():
         if not k:
             continue
-        left = rows if chosen is None else rows.hint("merge").join(chosen.select("block", "id"), ["block", "id"], "left_anti")
-        if bucket in TEMPERATURES:
-            taken = weighted_sample(left, k, TEMPERATURES[bucket], f"palette-{bucket}-{theme}")
-        else:
+        seed, temperature = f"palette-{bucket}-{theme}", TEMPERATURES[bucket]
+        if bucket in SEARCHED:
             phrase = theme if bucket == "anchor" else f"{theme} {ADJACENT_TERMS}"
-            taken = hybrid(spark.createDataFrame([(0, phrase)], "query_id int, phrase string"), left, k).select("block", "id", "rn")
+            taken = hybrid(spark.createDataFrame([(0, phrase)], "query_id int, phrase string"), rows, k, avoid=chosen, temperature=temperature, seed=seed).select("block", "id", "rn")
+        else:
+            left = rows if chosen is None else rows.hint("merge").join(chosen.select("block", "id"), ["block", "id"], "left_anti")
+            taken = weighted_sample(left, k, temperature, seed)
         part = materialize(taken.select("block", "id", F.lit(bucket).alias("bucket"), "rn"), f"palette-{bucket}")
         chosen = part if chosen is None else chosen.unionByName(part)
     return chosen
@@ -493,12 +495,14 @@ def _palette_sql(theme: str, per_block: int = 24, divergence: float = 0.75) -> s
     for i, (bucket, k) in enumerate((b, k) for b, k in bucket_counts(per_block, divergence).items() if k):
         avoid = " UNION ALL ".join(f"SELECT block, id FROM b{j}" for j in chosen)
         out.append(f"left{i} AS MATERIALIZED (SELECT * FROM cat" + (f" ANTI JOIN ({avoid}) x USING (block, id))" if chosen else ")"))
-        if bucket in TEMPERATURES:
+        if bucket not in SEARCHED:
             out.append(f"b{i} AS MATERIALIZED ({_sample_sql(f'left{i}', k, TEMPERATURES[bucket], f'palette-{bucket}-{theme}', 'block')})")
         else:
             phrase = theme if bucket == "anchor" else f"{theme} {ADJACENT_TERMS}"
             out.append(f"ask{i} AS (SELECT 0 AS query_id, '{phrase}' AS phrase)")
-            out.append(_hybrid_sql(f"ask{i}", f"left{i}", k, f"h{i}"))
+            seed = f"'palette-{bucket}-{theme}'"
+            noise = f"ln(-ln(({_hash(seed, 'query_id', 'block', 'id')} + 0.5) / 4294967296.0::DOUBLE))"
+            out.append(_hybrid_sql(f"ask{i}", "cat", k, f"h{i}", f"left{i}", f"score / {TEMPERATURES[bucket]} - {noise}"))
             out.append(f"b{i} AS MATERIALIZED (SELECT block, id, rn FROM h{i}pick)")
         chosen.append(i)
     names = [b for b, k in bucket_counts(per_block, divergence).items() if k]
