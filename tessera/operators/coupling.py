@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.halo import gaussians, kernel, uniform_means
-from tessera.operators.series import _FRAMES, BEAT, N, SCALE, SERIES, _uniform, frames, stem_pairs
+from tessera.operators.series import _FRAMES, BEAT, N, SCALE, SERIES, _uniform, frames
 from tessera.operators.spectra import clamp
 from tessera.session import materialize
 

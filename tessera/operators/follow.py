@@ -163,21 +163,53 @@ def _clusters(s: SparkSession, d: str) -> DataFrame:
     return density_clusters(table(s, d, "embeddings"))
 
 
+#: Points of the arcs of a track, and the change between the means of its first and last third that makes it rise or fall.
+ARC_POINTS, ARC_CHANGE = 10, 0.02
+#: Added before rounding, so that halves go up whatever the last bit.
+TIE = 1e-9
+
+
+def arcs(curve: DataFrame, n: DataFrame, value: str, name: str) -> DataFrame:
+    """(track, name): means of ``value``(track, frame_idx) over ARC_POINTS equal parts of each track of n_frames frames, to six places, in order."""
+    part = F.floor(F.col("frame_idx") * ARC_POINTS / F.col("n_frames")).cast("int")
+    means = curve.hint("merge").join(n, "track").groupBy("track", part.alias("part")).agg(F.round(F.avg(value) + TIE, 6).alias("mean"))
+    return means.groupBy("track").agg(F.transform(F.sort_array(F.collect_list(F.struct("part", "mean"))), lambda z: z["mean"]).alias(name))  # ARC_POINTS numbers
+
+
+def trend(arc: Column) -> Column:
+    """rising, falling or stable: the mean of an arc's last three points against that of its first three."""
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / 3
+    change = mean(F.slice(arc, -3, 3)) - mean(F.slice(arc, 1, 3))
+    return F.when(change > ARC_CHANGE, "rising").when(change < -ARC_CHANGE, "falling").otherwise("stable")
+
+
+def coupling_map(df: DataFrame) -> DataFrame:
+    """(track, mean_lock, coupling, strongest_pair): mean lock over all pairs of stems, that of each pair in thousandths as a=b:n, and the pair of the largest."""
+    pairs = lock_index(df).groupBy("track", "stem_a", "stem_b").agg(F.avg("lock").alias("lock"), F.count("*").alias("n"))
+    pairs = pairs.select("track", F.concat_ws("=", "stem_a", "stem_b").alias("pair"), "lock", "n", F.round(F.round("lock", 6) * 1000).cast("int").alias("share"))
+    shown = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pair", "share"))), lambda z: F.concat_ws(":", z["pair"], z["share"])), ",")  # a row for each pair of the few stems
+    return pairs.groupBy("track").agg((F.sum(F.col("lock") * F.col("n")) / F.sum("n")).alias("mean_lock"), shown.alias("coupling"), F.min_by("pair", F.struct(-F.col("share"), "pair")).alias("strongest_pair"))
+
+
 def track_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One record for each track: length, tempo, character, sections, mean tension, mean lock of all pairs of stems and first driver."""
+    """One record for each track: length, tempo, character, stems, sections, coupling of all pairs of stems, mean tension, arcs of energy and tension with their trends, first driver."""
     df, wide, signals = materialize(frames(spark, sf_dir), "frames"), stem_frames(spark, sf_dir), materialize(target_signals(spark, sf_dir), "signals")
     out = overall_character(stem_profiles(wide)).select("track", "character")
+    n = materialize(df.groupBy("track").agg((F.max("frame_idx") + 1).alias("n_frames")), "lengths")
     parts = (
-        df.groupBy("track").agg((F.max("frame_idx") + 1).alias("n_frames")),
+        n,
+        df.groupBy("track").agg(F.array_join(F.array_sort(F.collect_set("stem")), ",").alias("stems")),  # the few stems
+        arcs(df.withColumn("level", F.col("v") / SCALE), n, "level", "energy_arc"),
+        arcs(signals.filter("target = 'tension'"), n, "energy_smooth", "tension_arc"),
         tempo(df).filter("stem = 'purchase'").select("track", F.col("tempo").alias("bpm")),
         sections(df).groupBy("track").agg(F.count("*").alias("n_sections")),
-        lock_index(df).groupBy("track").agg(F.avg("lock").alias("mean_lock")),
+        coupling_map(df),
         signals.filter("target = 'tension'").groupBy("track").agg(F.avg("energy_smooth").alias("mean_tension")),
         ranked_drivers(target_profiles(signals)).filter("kind = 'primary_driver' AND rn = 1").select("track", F.col("target").alias("driver")),
     )
     for part in parts:
         out = out.hint("merge").join(part, "track", "left")
-    return out
+    return out.withColumns({"energy_trend": trend(F.col("energy_arc")), "tension_trend": trend(F.col("tension_arc"))})
 
 
 def shaped(x: Column, curve: Column, gamma: Column) -> Column:
@@ -253,6 +285,11 @@ reached(node, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT w, ro
 roots AS (SELECT node, min(root) AS root FROM reached GROUP BY node),
 clusters AS (SELECT vec_id, label, CASE WHEN count(*) OVER (PARTITION BY root) >= {MIN_SIZE} THEN root ELSE -1 END AS cluster FROM embeddings JOIN roots ON node = vec_id)"""
 
+def _trend_sql(arc: str) -> str:
+    change = f"list_sum({arc}[-3:]) / 3 - list_sum({arc}[1:3]) / 3"
+    return f"CASE WHEN {change} > {ARC_CHANGE} THEN 'rising' WHEN {change} < -{ARC_CHANGE} THEN 'falling' ELSE 'stable' END"
+
+
 ORACLE_SQL = {
     "ml_density_cluster": f"WITH RECURSIVE {_CLUSTERS} SELECT * FROM clusters",
     "agg_cluster_sizes": f"""WITH RECURSIVE {_CLUSTERS}, k AS (SELECT cluster, count(*) AS n FROM clusters WHERE cluster >= 0 GROUP BY cluster ORDER BY n DESC, cluster LIMIT 5),
@@ -277,8 +314,15 @@ FROM angles JOIN bw USING (track, stem, frame_idx) JOIN bw0 USING (track, stem,
     "join_refer_curves": f"""WITH {_FRAMES}, axis AS (SELECT s.track, s.frame_idx FROM seen s JOIN (SELECT track, arg_min(stem, list_position({list(AXIS_ORDER)!r}, stem)) AS first FROM seen GROUP BY track) f ON s.track = f.track AND s.stem = f.first),
 probes AS (SELECT a.track, b.stem, a.frame_idx::DOUBLE AS t FROM axis a JOIN (SELECT DISTINCT track, stem FROM seen) b USING (track)), {_lines('probes')} SELECT * FROM lines""",
     "ml_track_profile": f"""WITH RECURSIVE {_RANKS}, {_STEMS}, {_CHARACTER}, {_CHANGE}, {_STARTS}, {_LOCK}, {_BEATS},
+arc0 AS (SELECT track, floor(frame_idx * {ARC_POINTS} / {N})::INT AS part, round(avg(v / {SCALE}) + {TIE}, 6) AS mean FROM frames GROUP BY ALL),
+arc1 AS (SELECT track, floor(frame_idx * {ARC_POINTS} / {N})::INT AS part, round(avg(energy_smooth) + {TIE}, 6) AS mean FROM sig WHERE target = 'tension' GROUP BY ALL),
+a0 AS (SELECT track, list(mean ORDER BY part) AS energy_arc FROM arc0 GROUP BY track), a1 AS (SELECT track, list(mean ORDER BY part) AS tension_arc FROM arc1 GROUP BY track),
+pl AS (SELECT track, stem_a || '=' || stem_b AS pair, round(round(avg(lock), 6) * 1000)::INT AS share FROM lock_ GROUP BY track, stem_a, stem_b),
+cm AS (SELECT track, string_agg(pair || ':' || share, ',' ORDER BY pair) AS coupling, arg_min(pair, (-share, pair)) AS strongest_pair FROM pl GROUP BY track),
+st AS (SELECT track, string_agg(DISTINCT stem, ',' ORDER BY stem) AS stems FROM frames GROUP BY track),
 g AS (SELECT track, stem, count(*) AS n_beats, median(stop - start) / 60.0::DOUBLE AS gap FROM beats GROUP BY ALL)
-SELECT c.track, c.character, {N} AS n_frames, b.bpm, n_sections, mean_lock, mean_tension, d.target AS driver FROM chars c
+SELECT c.track, c.character, {N} AS n_frames, b.bpm, n_sections, mean_lock, mean_tension, d.target AS driver, stems, coupling, strongest_pair, energy_arc, tension_arc, {_trend_sql("energy_arc")} AS energy_trend, {_trend_sql("tension_arc")} AS tension_trend FROM chars c
+LEFT JOIN a0 ON c.track = a0.track LEFT JOIN a1 ON c.track = a1.track LEFT JOIN cm ON c.track = cm.track LEFT JOIN st ON c.track = st.track
 LEFT JOIN (SELECT track, CASE WHEN n_beats >= 2 AND 60.0 / gap BETWEEN 40 AND 220 THEN 60.0::DOUBLE / gap ELSE 120.0::DOUBLE END AS bpm FROM g WHERE stem = 'purchase') b ON c.track = b.track
 LEFT JOIN (SELECT track, count(*) AS n_sections FROM found GROUP BY track) n ON c.track = n.track LEFT JOIN (SELECT track, avg(lock) AS mean_lock FROM lock_ GROUP BY track) l ON c.track = l.track
 LEFT JOIN (SELECT track, avg(energy_smooth) AS mean_tension FROM sig WHERE target = 'tension' GROUP BY track) t ON c.track = t.track LEFT JOIN (SELECT track, target FROM ranks WHERE kind = 'primary_driver' AND rn = 1) d ON c.track = d.track""",

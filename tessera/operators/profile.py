@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.coupling import RADIUS, WINDOW, coupled
 from tessera.operators.halo import before, gaussians, kernel, over_series
-from tessera.operators.series import _FRAMES, BEAT, N, SCALE, SERIES, _debounce_sql, _fold_sql, _uniform, _whole, debounce, folded, frames, percentile_norm
+from tessera.operators.series import _FRAMES, BEAT, N, SCALE, SERIES, _debounce_sql, _fold_sql, _uniform, _whole, debounce, folded, frames, percentile_norm, stem_pairs
 from tessera.operators.signals import _WIDE, PHYSICAL, stem_frames
 from tessera.operators.spectra import clamp
 from tessera.session import materialize, table
