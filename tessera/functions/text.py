@@ -58,7 +58,7 @@ def hashed_vector(text: Column, dims: int = 16) -> Column:
     """Counts of the hashed trigrams of a text in ``dims`` cells: the built-in embedder."""
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substr(text, i, F.lit(3)))
     cells = F.transform(grams, lambda g: F.pmod(F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long"), F.lit(dims)))
-    count = lambda held: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(held, lambda c: c == d)).cast("double"))
+    count = lambda held: F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dims - 1).cast("long")), lambda d: (F.size(held) - F.size(F.array_remove(held, d))).cast("double"))
     return F.transform(F.array(cells), count)[0]  # an argument of a lambda is computed once
 
 

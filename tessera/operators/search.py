@@ -190,8 +190,8 @@ def diverse(rows: DataFrame, keys: list[str], k: int, by: Column | None = None,
 
 def semantic_hits(queries: DataFrame, rows: DataFrame, limit: int, embedder: Embedder = HashedTrigrams(DIMS)) -> DataFrame:
     """(query_id, block, id, semantic): the ``limit`` labels of each block nearest to each phrase by the cosine of an embedder's vectors."""
-    asked = embedder.embed(queries.select("query_id", "phrase"), F.col("phrase"), "q").select("query_id", "q")
-    vectors = embedder.embed(rows.select("block", "id", "label"), F.col("label"), "v").filter("v IS NOT NULL")
+    asked = materialize(embedder.embed(queries.select("query_id", "phrase"), F.col("phrase"), "q").select("query_id", "q"), "asked")
+    vectors = materialize(embedder.embed(rows.select("block", "id", "label"), F.col("label"), "v").select("block", "id", "v"), "label-vectors").filter("v IS NOT NULL")
     scored = vectors.join(F.broadcast(asked)).select("query_id", "block", "id", F.round(cosine(F.col("v"), F.col("q")), 9).alias("semantic"))  # a caller's phrases
     order = Window.partitionBy("query_id", "block").orderBy(F.desc("semantic"), "id")
     return scored.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= limit).drop("rn")
