@@ -111,3 +111,12 @@ def test_calibration_comes_before_the_moving_average(spark):
     want = 0.85 * (0.85 * 50.0 + 0.15 * 20.0) + 0.15 * 10.0  # three frames of 20 ms; the frame of no time counts for nothing
     got = {r.session: (r.n, round(r.fps, 9)) for r in after.collect()}
     assert got == {1: (6, round(want, 9)), 2: (1, 45.0)}
+
+
+def test_a_day_of_no_time_has_no_interval(spark):
+    """Closed or open, such a day counts with the time to render alone."""
+    day = dt.datetime(2024, 1, 1)
+    data = [(1, day, 0.0), (1, day + dt.timedelta(days=1), 20.0), (2, day, 20.0), (2, day + dt.timedelta(days=1), 0.0), (3, day, 0.0)]
+    events = spark.createDataFrame(data, "session long, ts timestamp, value double")
+    got = dict(map(tuple, telemetry.looked_ahead(telemetry.lookahead(None, events)).collect()))
+    assert got == {1: round(0.8 * 15 + 0.2 * 55, 6), 2: round(0.8 * 55 + 0.2 * 15, 6), 3: 15.0}
