@@ -21,6 +21,9 @@ RARE_SHARE = 0.002
 RARE_WORDS = 5
 LONG_WORDS = 20
 
+#: Further holders of a key that the first round of the rest takes, how many times more the next ones, and how many meet in one task.
+MORE, FACTOR, PART = 16, 16, 1000
+
 HALVES = struct.Struct("<qq")
 LINES = "doc_id long, text_key long, hashes array<long>, keys array<long>, words array<int>, numbers array<int>, total int"
 
@@ -98,18 +101,25 @@ def line_keys(lines: DataFrame) -> DataFrame:
     """(doc_id, text_key, key, always, line): each distinct line of a document, pair of adjacent lines, and the whole text.
 
     ``always`` marks keys that delete if an earlier document has them, ``line`` lines that do so only if they are rare.
+    With a column ``kept``, a boolean for each line, only keys of a line that is kept, and no whole text.
     """
     n = F.size("keys")
+    some = "kept" in lines.columns
 
     def single(h, i):
         words = F.get("words", i)
-        return F.struct(h.alias("key"), ((words >= LONG_WORDS) | (n == 1)).alias("always"), (words >= RARE_WORDS).alias("line"))
+        key = F.struct(h.alias("key"), ((words >= LONG_WORDS) | (n == 1)).alias("always"), (words >= RARE_WORDS).alias("line"))
+        return F.when(F.get("kept", i), key) if some else key
 
     def pair(h, i):
-        return F.struct(F.xxhash64(h, F.get("keys", i + 1)).alias("key"), F.lit(True).alias("always"), F.lit(False).alias("line"))
+        key = F.struct(F.xxhash64(h, F.get("keys", i + 1)).alias("key"), F.lit(True).alias("always"), F.lit(False).alias("line"))
+        return F.when(F.get("kept", i) | F.get("kept", i + 1), key) if some else key
 
     singles = F.transform("keys", single)
     pairs = F.transform(F.slice("keys", 1, F.greatest(n - 1, F.lit(0))), pair)
+    if some:
+        left = F.array_distinct(F.array_compact(F.concat(singles, pairs)))
+        return lines.select("doc_id", "text_key", F.explode(left).alias("k")).select("doc_id", "text_key", "k.*")
     whole = F.array(F.struct(F.xxhash64(F.lit("whole"), "keys").alias("key"), F.lit(True).alias("always"), F.lit(False).alias("line")))
     keys = F.array_distinct(F.concat(singles, pairs, whole))
     return lines.filter(n > 0).select("doc_id", "text_key", F.explode(keys).alias("k")).select("doc_id", "text_key", "k.*")
@@ -141,15 +151,19 @@ def _covered(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(partners, pa.list_(pa.int64()))], ["doc_id", "text_key", "rare", "partners"])
 
 
-def partners_of(lines: DataFrame, limit: int) -> DataFrame:
-    """(doc_id, text_key, rare, partners): earlier documents to align each document with, and its rare lines.
+def shared_keys(lines: DataFrame) -> DataFrame:
+    """Keys of each document that others have too: doc_id, text_key, key, always, line, docs (its holders) and first (the least of them)."""
+    keys = materialize(line_keys(lines), "keys")
+    held = keys.groupBy("key").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
+    return materialize(join_counted(keys, held, "key", "docs", "held"), "shared")
+
+
+def partners_of(shared: DataFrame, limit: int) -> DataFrame:
+    """(doc_id, text_key, rare, partners): the earlier documents to align each document with first, and its rare lines.
 
     A key that deletes has two holders to choose from: the first one, and the one just
     before the document.  Partners are the holders of most keys, until each key has one.
     """
-    keys = materialize(line_keys(lines), "keys")
-    held = keys.groupBy("key").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
-    shared = materialize(join_counted(keys, held, "key", "docs", "held"), "shared")
     rare = F.col("line") & (F.col("docs") <= limit)
     placed = earlier_values(shared, "key", ["doc_id", "text_key"], "doc_id", 1, "docs", "holders")
     named = placed.select("doc_id", "text_key", "key", "first", (rare & ~F.col("always")).alias("rare"), (rare | F.col("always")).alias("deletes"), F.get("earlier", F.lit(0)).alias("previous"))
@@ -161,11 +175,45 @@ def partners_of(lines: DataFrame, limit: int) -> DataFrame:
     return choice.select("doc_id", "text_key", "rare", "holders.first", "holders.earlier").mapInArrow(_covered, "doc_id long, text_key long, rare array<long>, partners array<long>")
 
 
+def _kept(batches):
+    for batch in sliced(batches):
+        masks = []
+        for keys, gone in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist()):
+            mask = [True] * len(keys)
+            for p in gone or ():
+                mask[p] = False
+            masks.append(mask)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(4)), pa.array(masks, pa.list_(pa.bool_()))], ["doc_id", "text_key", "keys", "words", "kept"])
+
+
+def open_keys(work: DataFrame, gone: DataFrame, shared: DataFrame, limit: int) -> DataFrame:
+    """(doc_id, text_key, key, docs): keys that delete and of which a line is left."""
+    mine = ["doc_id", "text_key"]
+    masked = work.select(*mine, "keys", "words").hint("merge").join(gone, mine, "left").mapInArrow(_kept, "doc_id long, text_key long, keys array<long>, words array<int>, kept array<boolean>")
+    left = line_keys(masked.filter("exists(kept, x -> x)"))
+    deletes = shared.filter(F.col("always") | (F.col("line") & (F.col("docs") <= limit))).filter("first < doc_id")
+    return left.select(*mine, "key").hint("merge").join(deletes.select(*mine, "key", "docs"), [*mine, "key"])
+
+
+def other_partners(left: DataFrame, holders: DataFrame, tried: int, upto: int) -> DataFrame:
+    """(doc_id, text_key, partner): earlier holders(key, partner, docs) of the keys that are left, in the order of a hash: from about the ``tried``-th up to about the ``upto``-th.
+
+    Holders of a key meet its documents in parts of about PART of them.
+    """
+    parts = F.ceil(F.least(F.col("docs"), F.lit(upto)) / F.lit(PART))
+    place = F.pmod(F.xxhash64(F.lit("place"), "partner"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("docs")
+    some = holders.filter(place >= tried).filter(place < upto).select("key", "partner", F.pmod(F.xxhash64("partner"), parts).alias("part"))
+    asked = left.filter(F.col("docs") > tried).select("doc_id", "text_key", "key", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    return asked.hint("merge").join(some, ["key", "part"]).filter("partner < doc_id").select("doc_id", "text_key", "partner").distinct()
+
+
 def aligned_deletions(docs: DataFrame, rare_docs: int = RARE_DOCS) -> DataFrame:
     """Per document row: all columns of ``docs``, keep (one boolean for each line, null if all stay), n_deleted, partners.
 
     A document is aligned in full with the earlier ones that ``partners_of`` names, by
-    patience (``line_align``), repeated lines included.  Aligned blocks go
+    patience (``line_align``), repeated lines included; where a key that deletes keeps a line, with all
+    other earlier holders of it in turn (``other_partners``), until it goes or none is left.  So a line goes
+    if alignment with any earlier document deletes it.  Aligned blocks go
     from the later document if they have two lines, a rare line of RARE_WORDS words, a line
     of LONG_WORDS words, or are the whole document; a line is frequent in more than
     ``rare_docs`` documents and RARE_SHARE of all.  So a short frequent line that stands alone stays.
@@ -181,13 +229,39 @@ def aligned_deletions(docs: DataFrame, rare_docs: int = RARE_DOCS) -> DataFrame:
     lines = materialize(known.mapInArrow(_lines, LINES), "lines")
     limit = max(rare_docs, int(RARE_SHARE * lines.count()))
     mine = ["doc_id", "text_key"]
-    work = materialize(lines.hint("merge").join(partners_of(lines, limit), mine).dropDuplicates(mine), "work")
+    shared = shared_keys(lines)
+    work = materialize(lines.hint("merge").join(partners_of(shared, limit), mine).dropDuplicates(mine), "work")
     theirs = lines.select(F.col("doc_id").alias("partner"), F.col("hashes").alias("partner_hashes"))
-    asked = work.select(*mine, "hashes", "keys", "words", "rare", F.explode("partners").alias("partner"))
-    counts = work.select(F.explode("partners").alias("partner")).groupBy("partner").agg(F.count("*").alias("n_asking"))
-    pairs = join_salted(asked, theirs.hint("merge").join(counts, "partner"), "partner", "n_asking", "doc_id", "partners")
-    gone = pairs.select(*mine, "partner", "hashes", "keys", "words", "rare", "partner_hashes").mapInArrow(_align, "doc_id long, text_key long, partner long, gone array<int>").filter("size(gone) > 0")
-    gone = materialize(gone, "gone").groupBy(*mine).agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"), F.sort_array(F.collect_set("partner")).alias("partners"))
+
+    def gone_by(pairs: DataFrame, among: DataFrame) -> DataFrame:
+        asked = materialize(among.select(*mine, "hashes", "keys", "words", "rare").hint("merge").join(pairs, mine), "asked")
+        counts = asked.groupBy("partner").agg(F.count("*").alias("n_asking"))
+        both = join_salted(asked, theirs.hint("merge").join(counts, "partner"), "partner", "n_asking", "doc_id", "partners")
+        found = both.select(*mine, "partner", "hashes", "keys", "words", "rare", "partner_hashes").mapInArrow(_align, "doc_id long, text_key long, partner long, gone array<int>")
+        return materialize(found.filter("size(gone) > 0"), "gone")
+
+    def merged(each: DataFrame) -> DataFrame:
+        return each.groupBy(*mine).agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"), F.sort_array(F.collect_set("partner")).alias("partners"))
+
+    each = gone_by(work.select(*mine, F.explode("partners").alias("partner")), work)
+    left = materialize(open_keys(work, merged(each).select(*mine, "gone"), shared, limit), "open-keys")
+    if not left.isEmpty():
+        # Of documents of the same lines the first stands for all; all that follows holds only what is left.
+        originals = lines.groupBy(F.xxhash64("keys"), F.size("keys")).agg(F.min(F.struct(*mine)).alias("first")).select("first.*")
+        rest = materialize(shared.hint("merge").join(left.select("key").distinct(), "key", "left_semi"), "rest")
+        holders = materialize(rest.hint("merge").join(originals, mine, "left_semi").select("key", F.col("doc_id").alias("partner"), "docs"), "holders")
+        few = materialize(work.hint("merge").join(left.select(*mine).distinct(), mine, "left_semi"), "few")
+        own = materialize(each.hint("merge").join(left.select(*mine).distinct(), mine, "left_semi"), "own")
+        most, tried, upto = left.agg(F.max("docs")).first()[0], 0, MORE
+        while most and tried < most:  # each round leaves fewer keys, and takes more of their holders
+            pairs = materialize(other_partners(left, holders, tried, upto), "others")
+            tried, upto = upto, upto * FACTOR
+            if not pairs.isEmpty():
+                more = gone_by(pairs, few)
+                each, own = each.unionByName(more), own.unionByName(more)
+                left = materialize(open_keys(few, merged(own).select(*mine, "gone"), rest, limit), "open-keys")
+                most = left.agg(F.max("docs")).first()[0]
+    gone = merged(each)
     found = materialize(
         work.select(*mine, "numbers", "total").hint("merge").join(gone, mine)
         .select(*mine, F.size("gone").cast("long").alias("n_deleted"), "partners", "numbers", "total", "gone")

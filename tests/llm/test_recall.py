@@ -63,3 +63,17 @@ def test_lines_that_all_earlier_documents_delete(spark, sf):
         got[r.i] = {p for p in gone if lines[p].strip()}
     found, missed, extra = missed_lines([(r.doc_id, r.text) for r in docs.collect()], got)
     assert extra == 0 and found > 100 and found >= 0.95 * (found + missed), (found, missed, extra)
+
+
+def test_a_block_that_only_a_middle_holder_aligns_goes(spark):
+    """First and latest holder have the block before other shared lines that stand after it here; one between has it alone."""
+    rng = random.Random(43)
+    block, long = [prose(rng, 3), prose(rng, 3)], [prose(rng, 9) for _ in range(6)]
+    own = [prose(rng, 30) for _ in range(40)]
+    crossed = lambda i: "\n".join([own[i], *block, own[i + 20], *long])
+    texts = [crossed(0), *("\n".join([own[i], *block]) for i in range(1, 5)), crossed(5), "\n".join([*long, own[10], *block, own[11]])]
+    got = {}
+    for row in line_dedup.aligned_deletions(documents(spark, texts)).selectExpr("row.doc_id AS i", "keep").collect():
+        got[row.i] = set() if row.keep is None else {p for p, k in enumerate(row.keep) if not k}
+    found, missed, extra = missed_lines(list(enumerate(texts)), got)
+    assert missed == extra == 0 and found and got[6] == {0, 1, 2, 3, 4, 5, 7, 8}, (found, missed, extra, got)
