@@ -45,7 +45,7 @@ def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Returns the manifest with the sum of all entries of the vectors that were read back.
     """
-    rows = search.catalog(spark, sf_dir).select("block", "id", "label", search.unit(hashed_vector(F.col("label"), 16)).alias("v"))
+    rows = search.catalog(spark, sf_dir).select("block", "id", "label", hashed_vector(F.col("label"), 16).alias("v")).withColumn("v", search.unit(F.col("v")))
     path = scratch_path(spark, "embeddings")
     rows.write.partitionBy("block").parquet(path)
     delete_at_exit(spark, path)
