@@ -46,3 +46,13 @@ def test_nearest_scores_blocks(spark, monkeypatch):
             each = [(-round(sum(a * b for a, b in zip(unit(w), unit(v))), 9) + 0.0, i) for i, w in rows if w is not None and i != q]
             want += [(q, rn, i, -c) for rn, (c, i) in enumerate(sorted(each)[:5], 1)]
     assert [x[:3] for x in got] == [x[:3] for x in sorted(want)]
+
+
+def test_terms_are_counted_where_documents_are_read(spark):
+    rows = [(1, "red red blue a1 of", "s"), (2, "blue green", "s"), (3, "green red", "t"), (3, "green x1", "t"), (4, None, "t"), (5, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {(r.doc_id, r.term): round(r.weight, 9) for r in search.tfidf(docs, stop_words=("of",)).collect()}
+    once = {(r.doc_id, r.term): round(r.weight, 9) for r in search.tfidf(docs.filter("text <> 'green x1'").replace("green red", "green green red x1"), stop_words=("of",)).collect()}
+    assert got.keys() == once.keys() == {(1, "red"), (1, "blue"), (2, "blue"), (2, "green"), (3, "green"), (3, "red")}
+    assert abs(sum(w * w for (d, _), w in got.items() if d == 3) - 1) < 1e-6
+    assert "Window" not in plan(search.tfidf(docs)) and "Join" not in plan(search.source_weights(docs))
