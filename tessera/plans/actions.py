@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.session import table
+from tessera.session import materialize, table
 
 #: The actions and the values that their fields may have.
 ACTIONS = ("update_block_config", "set_destination", "clear_destination", "freeze_blend", "set_destination_mode", "set_destination_link", "set_reactive_config", "set_blend_position", "set_composition_config")
@@ -270,8 +270,19 @@ def _actions(s, d):
     return normalised(parsed(plans(s, d)))
 
 
+def _written(s, d) -> tuple[DataFrame, DataFrame]:
+    """Plans and their normalised actions, made and parsed once."""
+    raw = materialize(plans(s, d), "plans")
+    return raw, materialize(normalised(parsed(raw)), "actions")
+
+
+def _invented(s, d):
+    raw, actions = _written(s, d)
+    return invented(actions, evidence(actions, raw, _known(s, d)))
+
+
 def _rejected(s, d):
-    raw, actions = plans(s, d), _actions(s, d)
+    raw, actions = _written(s, d)
     return rejections(actions, raw, evidence(actions, raw, _known(s, d)))
 
 
@@ -310,7 +321,7 @@ QUERIES = {
     "prj_clamp_stage": lambda s, d: _actions(s, d).select("plan_id", "idx", "part", *STAGE_FIELDS, "distance"),
     "flt_plan_valid": _rejected,
     "flt_plan_accepted": lambda s, d: plans(s, d).select("plan_id").hint("merge").join(_rejected(s, d).select("plan_id").distinct(), "plan_id", "left_anti"),
-    "flt_feature_evidence": lambda s, d: invented(_actions(s, d), evidence(_actions(s, d), plans(s, d), _known(s, d))),
+    "flt_feature_evidence": _invented,
     "agg_config_state": lambda s, d: config_state(_actions(s, d)),
     "fn_staleness_limit": lambda s, d: table(s, d, "events").select("event_id", _profile().alias("profile")).select("event_id", "profile", staleness(F.col("profile")).alias("limit_s")),
     "prj_base_stem": lambda s, d: table(s, d, "events").select("event_id", _cycle(F.col("event_id"), (*TARGETS, "kazoo", "bassoon")).alias("target")).select("event_id", "target", base_stem(F.col("target")).alias("base")),

@@ -56,3 +56,10 @@ def test_terms_are_counted_where_documents_are_read(spark):
     assert got.keys() == once.keys() == {(1, "red"), (1, "blue"), (2, "blue"), (2, "green"), (3, "green"), (3, "red")}
     assert abs(sum(w * w for (d, _), w in got.items() if d == 3) - 1) < 1e-6
     assert "Window" not in plan(search.tfidf(docs)) and "Join" not in plan(search.source_weights(docs))
+
+
+def test_plans_are_parsed_once(spark):
+    from tessera.plans import actions
+
+    for name in ("flt_plan_valid", "flt_feature_evidence"):
+        assert "array<struct<action:string,type" not in plan(actions.QUERIES[name](spark, "/root/testdata/sf0.001")) and "to_json" not in plan(actions.QUERIES[name](spark, "/root/testdata/sf0.001"))
