@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.graph import connected_components
@@ -18,8 +18,10 @@ WIDTH = 5
 SIMILARITY = 0.8
 #: A pair of similarity 0.8 shares none of 16 bands of four with a chance of (1 - 0.8 ** 4) ** 16 = 0.0002.
 BANDS, ROWS = 16, 4
-#: Members before it in a band that a text is compared with, besides the first one.
+#: Members before it in a band that a text is compared with at first, besides the first one; what that leaves apart goes to ``near_roots``.
 LAGS = 4
+#: Members of a shingle that the first round of the rest compares with all others, how many times more the next ones, and how many meet in one task.
+MORE, FACTOR, PART = 16, 16, 1000
 #: Shingles that are hashed at one time.
 BLOCK = 4096
 
@@ -74,32 +76,43 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(near)
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of ``nodes(node, fp, bands)`` that may be near copies, at most LAGS + 1 for each node and band.
+def band_members(nodes: DataFrame) -> DataFrame:
+    """(key, node, next, n, leader): the nodes of each band that has several, the key of a node's next band, the band's size and least node."""
+    keyed = materialize(nodes.select("node", "bands", F.posexplode("bands").alias("i", "key")).select("node", "key", F.get("bands", (F.col("i") + 1) % BANDS).alias("next")), "bands")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).filter("n > 1")
+    return materialize(join_counted(keyed, sizes, "key", "n", "sizes"), "members")
+
+
+def candidates(nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``nodes(node, fp, bands)`` that may be near copies, at most LAGS + 1 for each node and band; the first to be compared.
 
     Nodes within two bits of one another's fingerprint are linked as in op8.  In each band
     a node is compared with the least member and the LAGS before it; a band's members are in
     the order of their next band, so those that share that too are neighbours, and each
-    band gives other neighbours.  Bands of up to LAGS + 1 members are compared in full.
+    band gives other neighbours.  Bands of up to LAGS + 1 members are compared in full; of the others
+    ``near_roots`` compares what is not in one class by then.
     """
     least = materialize(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")), "least")
     same = join_counted(nodes.select("fp", "node"), least.filter("n > 1"), "fp", "n", "twins").select(F.col("least").alias("a"), F.col("node").alias("b"))
     balls = linked_fingerprints(least.select("fp"))
     balls = balls.hint("merge").join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").hint("merge").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    keyed = materialize(nodes.select("node", "bands", F.posexplode("bands").alias("i", "key")).select("node", "key", F.get("bands", (F.col("i") + 1) % BANDS).alias("next")), "bands")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).filter("n > 1")
-    members = materialize(join_counted(keyed, sizes, "key", "n", "sizes"), "members")
     placed = earlier_values(members, "key", ["next", "node"], "node", LAGS, "n", "placed")
     banded = placed.select("node", F.explode(F.concat(F.array("leader"), "earlier")).alias("a")).select("a", F.col("node").alias("b"))
     pairs = same.union(balls).union(banded).filter("a <> b")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The candidate pairs (a, b) whose shingle sets have a Jaccard similarity of SIMILARITY or more."""
-    pairs = materialize(candidates(nodes), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().hint("merge").join(nodes.select("node", F.col("first_id").alias("doc_id"), "text_key"), "node")
-    held = materialize(docs.hint("merge").join(wanted, ["doc_id", "text_key"]).select("node", "text").dropDuplicates(["node"]), "held")
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The columns of ``wanted``(first_id, text_key, node, ...) without the first two, and the text of each node."""
+    asked = wanted.withColumnRenamed("first_id", "doc_id")
+    kept = [c for c in asked.columns if c not in ("doc_id", "text_key")]
+    return docs.hint("merge").join(asked, ["doc_id", "text_key"]).select(*kept, "text").dropDuplicates(["node"])
+
+
+def near_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the written ``pairs`` (a, b) whose shingle sets have a Jaccard similarity of SIMILARITY or more."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().hint("merge").join(nodes.select("node", "first_id", "text_key"), "node")
+    held = materialize(texts_of(docs, wanted), "held")
     left, right = (held.select(F.col("node").alias(k), F.col("text").alias(f"{k}_text")) for k in "ab")
     counts = pairs.groupBy("a").agg(F.count("*").alias("n_others"))
     led = join_salted(pairs, left.hint("merge").join(counts, "a"), "a", "n_others", "b", "leaders")
@@ -107,6 +120,85 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.mapInArrow(_verify, "a long, b long")
 
 
+def _sets(batches):
+    hashes, rolling = WordHashes(), Rolling()
+    for batch in sliced(batches):
+        found = [shingles(t.translate(LOWER).split(), hashes, rolling).view(np.int64) for t in texts(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
+
+
+def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with root, the class of their node: that of ``roots(node, root)``, else the node itself."""
+    return rows.hint("merge").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def mixed(rows: DataFrame, key: str, label: str) -> DataFrame:
+    """The written ``rows(key, root)`` whose key has members of several classes, with df, its number of members."""
+    sizes = rows.groupBy(key).agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select(key, "df")
+    return join_counted(rows, sizes, key, "df", label)
+
+
+def crowded_prefixes(docs: DataFrame, nodes: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """(shingle, node, n): the first shingles of the texts in crowded bands that hold several classes; None if there are none.
+
+    Of two sets of a similarity of four fifths, each lacks at most a fifth of its n shingles in the other.  So in any order of all shingles they share
+    one of their first n - ceil(0.8 n) + 1.  Shingles that stand in one class only come first, as no pair that is still sought shares them; then the rarest.
+    """
+    inside = materialize(with_roots(members.filter(F.col("n") > LAGS + 1).select("key", "node"), roots), "inside")
+    crowd = materialize(mixed(inside, "key", "mixed-bands").select("node", "root").distinct(), "crowd")
+    if crowd.isEmpty():
+        return None
+    found = texts_of(docs, crowd.hint("merge").join(nodes.select("node", "first_id", "text_key"), "node")).select("node", "text").mapInArrow(_sets, "node long, shingles array<long>")
+    sets = materialize(found, "sets")
+    each = materialize(sets.hint("merge").join(crowd, "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "shingles")
+    known = mixed(each, "shingle", "mixed-shingles").select("node", "n", "shingle", "df")
+    own = Window.partitionBy("node")
+    placed = known.withColumn("place", F.row_number().over(own.orderBy("df", "shingle"))).withColumn("held", F.count("*").over(own))
+    least = F.floor((4 * F.col("n") + 4) / 5)
+    return materialize(placed.filter(F.col("n") - F.col("held") + F.col("place") <= F.col("n") - least + 1).select("shingle", "node", "n"), "prefixes")
+
+
+def pairs_between(rows: DataFrame, tried: int, upto: int) -> DataFrame:
+    """Pairs (a, b) of different classes among rows(shingle, node, n, root, df) that share a shingle and whose sizes allow the similarity.
+
+    One of them is from about the ``tried``-th up to about the ``upto``-th of its shingle in the order of a hash, the other not before.  Members meet in
+    squares of about PART by PART.
+    """
+    place = F.pmod(F.xxhash64(F.lit("place"), "node"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("df")
+    spread = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+    some, every = F.ceil((F.least(F.col("df"), F.lit(upto)) - tried) / F.lit(PART)), F.ceil((F.col("df") - tried) / F.lit(PART))
+    rows = rows.filter(F.col("df") > tried).withColumn("at", place).filter(F.col("at") >= tried)
+    x = rows.filter(F.col("at") < upto).select("shingle", F.pmod(F.xxhash64("node"), some).alias("i"), spread(every).alias("j"), F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("root").alias("x_root"))
+    y = rows.select("shingle", F.pmod(F.xxhash64("node"), every).alias("j"), spread(some).alias("i"), F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("root").alias("y_root"))
+    met = x.hint("merge").join(y, ["shingle", "i", "j"]).filter("x_root <> y_root AND 5 * least(x_n, y_n) >= 4 * greatest(x_n, y_n)")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def near_roots(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, root) of the nodes that are linked: all pairs of similarity SIMILARITY or more that share a band are in one class.
+
+    Where a crowded band holds several classes after the first links, its texts are compared by shared first shingles in rounds of FACTOR times as
+    many members; a shingle leaves once its members are of one class.
+    """
+    members = band_members(nodes)
+    links = materialize(near_links(docs, nodes, materialize(candidates(nodes, members), "pairs")), "near-links")
+    roots = connected_components(links)
+    prefixes = crowded_prefixes(docs, nodes, members, roots)
+    tried, upto = 0, MORE
+    while prefixes is not None:
+        rooted = materialize(with_roots(prefixes.select("shingle", "node", "n"), roots), "rooted-prefixes")
+        prefixes = materialize(mixed(rooted, "shingle", "mixed-prefixes"), "mixed")
+        most = prefixes.agg(F.max("df")).first()[0]
+        if most is None or tried >= most:
+            break
+        more = materialize(near_links(docs, nodes, materialize(pairs_between(prefixes, tried, upto), "pairs")), "near-links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = connected_components(links)
+        tried, upto = upto, upto * FACTOR
+    return roots
+
+
 def near_components(docs: DataFrame) -> DataFrame:
     """Class of near copies of each document row with a doc_id: doc_id, component_id.
 
@@ -118,8 +210,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
     sketches = materialize(rows.select("doc_id", "text_key", "text").mapInArrow(_sketches, "doc_id long, text_key long, node long, fp long, bands array<long>"), "sketches")
     nodes = materialize(sketches.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.count("*").alias("n_rows"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).select("node", "first.*", "n_rows", "fp", "bands").withColumnRenamed("doc_id", "first_id"), "nodes")
-    roots = connected_components(near_links(rows, nodes))
-    rooted = materialize(nodes.select("node", "first_id", "n_rows").hint("merge").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    rooted = materialize(with_roots(nodes.select("node", "first_id", "n_rows"), near_roots(rows, nodes)), "rooted")
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n_nodes"))
     labels = join_counted(rooted, named, "root", "n_nodes", "named").select("node", "component_id", "n_rows")
     return join_counted(sketches.select("doc_id", "node"), labels, "node", "n_rows", "labels").select("doc_id", "component_id")

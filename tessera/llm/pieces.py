@@ -24,7 +24,7 @@ TINY = 1e-150
 #: Weight of a character that no piece covers; its bytes are the pieces.
 FALLBACK = np.exp(-10.0)
 #: Code points whose lattices are built side by side.
-BATCH_CHARS = 600_000
+BATCH_CHARS = 200_000
 SEED = 42
 
 SLOT_BITS = 21
@@ -213,21 +213,10 @@ def decode(surfaces: tuple[bytes, ...], ids: list[int]) -> bytes:
     return b"".join(map(surfaces.__getitem__, ids))[1:]
 
 
-def encode_pieces(docs: DataFrame, vocabulary: Vocabulary, seed: int = SEED) -> DataFrame:
-    """(doc_id, text_key, piece_ids, n_pieces): one sampled segmentation of each whole text.
-
-    Words with the spaces before them are lattices of all pieces that fit, whole however long; no piece of
-    the model leaves such a unit, so their product is the lattice of the text.  Forward sums
-    of path weights filter them, and pieces are drawn from the end backwards, by a
-    counter generator on (seed, doc_id, place).  So a row's segmentation depends on its
-    own text and id only, not on partitions or runs.  Characters outside the
-    vocabulary fall back to bytes; nothing is normalised, so decoding gives the text back.
+ENCODED = "doc_id long, text_key long, piece_ids array<int>, n_pieces long"
 
-    A null text has null piece_ids and n_pieces 0; an empty one is the lone space piece.
-    A null doc_id draws by the text's hash.  Repeated rows repeat their results; other
-    columns are ignored; an empty table gives no rows.
-    """
 
+def _encoder(vocabulary: Vocabulary, seed: int):
     def run(batches):
         sampler = Sampler(vocabulary, seed)
         kind = pa.list_(pa.int32())
@@ -250,27 +239,51 @@ def encode_pieces(docs: DataFrame, vocabulary: Vocabulary, seed: int = SEED) ->
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), lists, pa.array(sizes, pa.int64())], ["doc_id", "text_key", "piece_ids", "n_pieces"])
                 at = to
 
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(run, "doc_id long, text_key long, piece_ids array<int>, n_pieces long")
-
+    return run
 
-def decode_pieces(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """All columns of ``encoded`` and text, decoded from piece_ids; null ids give null."""
-    surfaces = vocabulary.surfaces
 
+def _decoder(surfaces: tuple[bytes, ...]):
     def run(batches):
         for batch in sliced(batches):
             out = [None if x is None else decode(surfaces, x.tolist()) for x in (None if not y.is_valid else y.values.to_numpy(zero_copy_only=False) for y in batch.column("piece_ids"))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary()).cast(pa.string())], [*batch.schema.names, "text"])
 
+    return run
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+
+
+def encode_pieces(docs: DataFrame, vocabulary: Vocabulary, seed: int = SEED) -> DataFrame:
+    """(doc_id, text_key, piece_ids, n_pieces): one sampled segmentation of each whole text.
+
+    Words with the spaces before them are lattices of all pieces that fit, whole however long; no piece of
+    the model leaves such a unit, so their product is the lattice of the text.  Forward sums
+    of path weights filter them, and pieces are drawn from the end backwards, by a
+    counter generator on (seed, doc_id, place).  So a row's segmentation depends on its
+    own text and id only, not on partitions or runs.  Characters outside the
+    vocabulary fall back to bytes; nothing is normalised, so decoding gives the text back.
+
+    A null text has null piece_ids and n_pieces 0; an empty one is the lone space piece.
+    A null doc_id draws by the text's hash.  Repeated rows repeat their results; other
+    columns are ignored; an empty table gives no rows.
+    """
+    return _keyed(docs).mapInArrow(_encoder(vocabulary, seed), ENCODED)
+
+
+def decode_pieces(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """All columns of ``encoded`` and text, decoded from piece_ids; null ids give null."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(run, f"{schema}, text string")
+    return encoded.mapInArrow(_decoder(vocabulary.surfaces), f"{schema}, text string")
 
 
 def encode_and_check(docs: DataFrame, path: str = MODEL_PATH, seed: int = SEED) -> DataFrame:
     """doc_id, n_pieces, piece_ids, decoded_sha256 and lossless: whether the decoded text has the hash of the input."""
     vocabulary = Vocabulary.load(path)
-    decoded = decode_pieces(encode_pieces(docs, vocabulary, seed), vocabulary)
+    encode, decode = _encoder(vocabulary, seed), _decoder(vocabulary.surfaces)
+    decoded = _keyed(docs).mapInArrow(lambda batches: decode(encode(batches)), f"{ENCODED}, text string")  # one Python worker a task does both
     return decoded.select("doc_id", "n_pieces", "piece_ids", F.sha2("text", 256).alias("decoded_sha256"), (F.xxhash64("text") == F.col("text_key")).alias("lossless"))
 
 

@@ -60,3 +60,38 @@ def test_a_large_group_of_near_copies_is_one_class(spark):
     base = prose(rng, 200)
     docs = documents(spark, [base, *(edited(rng, base, 2) for _ in range(80))])
     assert [r.doc_id for r in near_copies.keep_first_near(docs).collect()] == [0]
+
+
+def template_texts(n=240):
+    """Texts with three quarters of their words in common; each has one near copy among the others."""
+    rng = random.Random(71)
+    template, out = prose(rng, 240), []
+    for _ in range(n // 2):
+        text = f"{template} {' '.join(f'own{rng.randrange(10**9)}' for _ in range(90))}"
+        words = text.split(" ")
+        out.append(text)
+        words[250 + rng.randrange(80)] = f"edit{rng.randrange(10**6)}"
+        for at in rng.sample(range(4, 240, 12), 2):
+            words[at] = f"edit{rng.randrange(10**6)}"
+        out.append(" ".join(words))
+    rng.shuffle(out)
+    return out
+
+
+def test_all_members_of_a_crowded_band_are_compared(spark, monkeypatch):
+    texts = template_texts()
+    sets = [set_of(t) for t in texts]
+    expected = [j for j, b in enumerate(sets) if not any(len(a & b) >= 0.8 * len(a | b) for a in sets[:j])]
+    assert len(expected) == len(texts) // 2
+    assert sorted(r.doc_id for r in near_copies.keep_first_near(documents(spark, texts)).collect()) == expected
+    # Unrelated pairs of copies that share nothing but one band, so that the first links join none of them; rounds and squares of few members.
+    monkeypatch.setattr(near_copies, "MORE", 1)
+    monkeypatch.setattr(near_copies, "FACTOR", 2)
+    monkeypatch.setattr(near_copies, "PART", 3)
+    rng = random.Random(72)
+    base = [prose(rng, 120) for _ in range(15)]
+    docs = documents(spark, [*base, *(edited(rng, t, 1) for t in base)])
+    rows = docs.selectExpr("doc_id", "xxhash64(text) AS text_key", "text")
+    nodes = rows.selectExpr("doc_id AS node", "doc_id AS first_id", "text_key", "xxhash64(doc_id) AS fp", "array(7L) AS bands")
+    found = {r.node: r.root for r in near_copies.near_roots(rows, nodes).collect()}
+    assert found == {i: i % 15 for i in range(30)}

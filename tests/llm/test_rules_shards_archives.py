@@ -395,3 +395,13 @@ def test_sampled_cuts_follow_forward_and_backward_sums(vocabulary, text):
     for byte, k in places.items():
         p = ahead[k] * back[k] / ahead[n]
         assert abs(seen[byte] / draws - p) < 5 * (max(p * (1 - p), 0) / draws) ** 0.5 + 2e-3, (k, p, seen[byte] / draws)
+
+
+def test_one_python_worker_encodes_and_decodes(spark):
+    docs = documents(spark, ["small blue anvil", "", None, "two  spaces \u2581 and \u00e9", "a" * 300])
+    found = pieces.encode_and_check(docs)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    vocabulary = pieces.Vocabulary.load()
+    want = {r.doc_id: (r.piece_ids, r.text) for r in pieces.decode_pieces(pieces.encode_pieces(docs, vocabulary), vocabulary).collect()}
+    assert {r.doc_id: r.piece_ids for r in found.collect()} == {k: ids for k, (ids, _) in want.items()}
+    assert {k: t for k, (_, t) in want.items()} == {r.doc_id: r.text for r in docs.collect()}
