@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tessera.functions.embedders import HashedTrigrams, Precomputed
 from tessera.functions.text import hashed_vector
 from tessera.operators import search
 
@@ -63,3 +64,21 @@ def test_plans_are_parsed_once(spark):
 
     for name in ("flt_plan_valid", "flt_feature_evidence"):
         assert "array<struct<action:string,type" not in plan(actions.QUERIES[name](spark, "/root/testdata/sf0.001")) and "to_json" not in plan(actions.QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_a_search_shuffles_only_the_tokens_asked_for_and_scores_in_batches(spark):
+    rows = spark.createDataFrame([("b", 1, "small blue anvil"), ("b", 2, "red bolts"), ("c", 3, None), ("c", 4, "blue")], "block string, id long, label string")
+    asked = spark.createDataFrame([(0, "blue bolts"), (1, "zz")], "query_id int, phrase string")
+    found = search.semantic_hits(asked, rows, 5)
+    assert "MapInArrow" in plan(found) and "zip_with" not in plan(found)
+    vectors = {r.id: r.v for r in HashedTrigrams(search.DIMS).embed(rows, F.col("label"), "v").collect()}
+    phrases = {r.query_id: r.v for r in HashedTrigrams(search.DIMS).embed(asked, F.col("phrase"), "v").collect()}
+
+    def cosine(a, b):
+        return sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5)
+
+    want = {(q, i): round(cosine(v, p), 9) for q, p in phrases.items() for i, v in vectors.items() if v is not None}
+    assert {(r.query_id, r.id): r.semantic for r in found.collect()} == want
+    assert {r.token for r in search.catalog_tokens(rows, asked.selectExpr("'blue' AS token")).collect()} == {"blue"}
+    odd = Precomputed(spark.createDataFrame([("blue", [1.0, None]), ("red bolts", [3.0]), ("small blue anvil", [0.0, 0.0]), ("zz", [1.0, 2.0])], "text string, vector array<double>"))
+    assert {(r.query_id, r.id): r.semantic for r in search.semantic_hits(asked, rows, 5, odd).collect()} == {(q, i): 0.0 for q in (0, 1) for i in (1, 2, 4)}
