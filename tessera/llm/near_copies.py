@@ -139,10 +139,11 @@ def mixed(rows: DataFrame, key: str, label: str) -> DataFrame:
 
 
 def crowded_prefixes(docs: DataFrame, nodes: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame | None:
-    """(shingle, node, n): the first shingles of the texts in crowded bands that hold several classes; None if there are none.
+    """(shingle, node, n, rest): the first shingles of the texts in crowded bands that hold several classes; None if there are none.
 
     Of two sets of a similarity of four fifths, each lacks at most a fifth of its n shingles in the other.  So in any order of all shingles they share
     one of their first n - ceil(0.8 n) + 1.  Shingles that stand in one class only come first, as no pair that is still sought shares them; then the rarest.
+    ``rest`` counts the shingles of the text from this one on: what it can share at most with a text whose first shared shingle it is.
     """
     inside = materialize(with_roots(members.filter(F.col("n") > LAGS + 1).select("key", "node"), roots), "inside")
     crowd = materialize(mixed(inside, "key", "mixed-bands").select("node", "root").distinct(), "crowd")
@@ -154,12 +155,31 @@ def crowded_prefixes(docs: DataFrame, nodes: DataFrame, members: DataFrame, root
     known = mixed(each, "shingle", "mixed-shingles").select("node", "n", "shingle", "df")
     own = Window.partitionBy("node")
     placed = known.withColumn("place", F.row_number().over(own.orderBy("df", "shingle"))).withColumn("held", F.count("*").over(own))
-    least = F.floor((4 * F.col("n") + 4) / 5)
-    return materialize(placed.filter(F.col("n") - F.col("held") + F.col("place") <= F.col("n") - least + 1).select("shingle", "node", "n"), "prefixes")
+    rest = F.col("held") - F.col("place") + 1
+    return materialize(placed.withColumn("rest", rest).filter(5 * rest >= 4 * F.col("n")).select("shingle", "node", "n", "rest"), "prefixes")
+
+
+def may_be_near(x_root: str, y_root: str) -> str:
+    """Condition on x_n, x_rest, y_n, y_rest of two members of a shingle: of different classes, and near copies if all the rest is shared."""
+    return f"{x_root} <> {y_root} AND 9 * least(x_rest, y_rest) >= 4 * (x_n + y_n)"
+
+
+def pairs_with_hubs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) as in ``pairs_between`` of each member of a shingle with the one that can share the most: one for each row.
+
+    In a group of near copies of one text that is the one with the fewest changes, to which all others may link.
+    """
+    hubs = rows.groupBy("shingle").agg(F.max(F.struct("rest", (-F.col("n")).alias("less"), "node", "root")).alias("hub"), F.count("*").alias("df"))
+    hubs = hubs.select("shingle", "df", F.col("hub.node").alias("y"), (-F.col("hub.less")).alias("y_n"), F.col("hub.rest").alias("y_rest"), F.col("hub.root").alias("y_root"))
+    named = rows.select("shingle", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("rest").alias("x_rest"), F.col("root").alias("x_root"))
+    met = join_counted(named, hubs, "shingle", "df", "hubs").filter(may_be_near("x_root", "y_root"))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def pairs_between(rows: DataFrame, tried: int, upto: int) -> DataFrame:
-    """Pairs (a, b) of different classes among rows(shingle, node, n, root, df) that share a shingle and whose sizes allow the similarity.
+    """Pairs (a, b) of different classes among rows(shingle, node, n, rest, root, df) that share a shingle and whose sizes and rest allow the similarity.
+
+    The first shingle that two texts share bounds what they share, so that a pair that fails at one shingle is not near or meets at an earlier one.
 
     One of them is from about the ``tried``-th up to about the ``upto``-th of its shingle in the order of a hash, the other not before.  Members meet in
     squares of about PART by PART.
@@ -168,34 +188,35 @@ def pairs_between(rows: DataFrame, tried: int, upto: int) -> DataFrame:
     spread = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
     some, every = F.ceil((F.least(F.col("df"), F.lit(upto)) - tried) / F.lit(PART)), F.ceil((F.col("df") - tried) / F.lit(PART))
     rows = rows.filter(F.col("df") > tried).withColumn("at", place).filter(F.col("at") >= tried)
-    x = rows.filter(F.col("at") < upto).select("shingle", F.pmod(F.xxhash64("node"), some).alias("i"), spread(every).alias("j"), F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("root").alias("x_root"))
-    y = rows.select("shingle", F.pmod(F.xxhash64("node"), every).alias("j"), spread(some).alias("i"), F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("root").alias("y_root"))
-    met = x.hint("merge").join(y, ["shingle", "i", "j"]).filter("x_root <> y_root AND 5 * least(x_n, y_n) >= 4 * greatest(x_n, y_n)")
+    x = rows.filter(F.col("at") < upto).select("shingle", F.pmod(F.xxhash64("node"), some).alias("i"), spread(every).alias("j"), F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("rest").alias("x_rest"), F.col("root").alias("x_root"))
+    y = rows.select("shingle", F.pmod(F.xxhash64("node"), every).alias("j"), spread(some).alias("i"), F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("rest").alias("y_rest"), F.col("root").alias("y_root"))
+    met = x.hint("merge").join(y, ["shingle", "i", "j"]).filter(may_be_near("x_root", "y_root"))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_roots(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, root) of the nodes that are linked: all pairs of similarity SIMILARITY or more that share a band are in one class.
 
-    Where a crowded band holds several classes after the first links, its texts are compared by shared first shingles in rounds of FACTOR times as
-    many members; a shingle leaves once its members are of one class.
+    Where a crowded band holds several classes after the first links, its texts are compared by shared first shingles, at first with one text of each
+    shingle (``pairs_with_hubs``), then in rounds of FACTOR times as many members; a shingle leaves once its members are of one class.
     """
     members = band_members(nodes)
     links = materialize(near_links(docs, nodes, materialize(candidates(nodes, members), "pairs")), "near-links")
     roots = connected_components(links)
     prefixes = crowded_prefixes(docs, nodes, members, roots)
-    tried, upto = 0, MORE
+    tried, upto = 0, 0
     while prefixes is not None:
-        rooted = materialize(with_roots(prefixes.select("shingle", "node", "n"), roots), "rooted-prefixes")
+        rooted = materialize(with_roots(prefixes.select("shingle", "node", "n", "rest"), roots), "rooted-prefixes")
         prefixes = materialize(mixed(rooted, "shingle", "mixed-prefixes"), "mixed")
         most = prefixes.agg(F.max("df")).first()[0]
         if most is None or tried >= most:
             break
-        more = materialize(near_links(docs, nodes, materialize(pairs_between(prefixes, tried, upto), "pairs")), "near-links")
+        pairs = pairs_between(prefixes, tried, upto) if upto else pairs_with_hubs(prefixes)
+        more = materialize(near_links(docs, nodes, materialize(pairs, "pairs")), "near-links")
         if not more.isEmpty():
             links = links.unionByName(more)
             roots = connected_components(links)
-        tried, upto = upto, upto * FACTOR
+        tried, upto = upto, upto * FACTOR or MORE
     return roots
 
 

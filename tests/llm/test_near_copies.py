@@ -95,3 +95,24 @@ def test_all_members_of_a_crowded_band_are_compared(spark, monkeypatch):
     nodes = rows.selectExpr("doc_id AS node", "doc_id AS first_id", "text_key", "xxhash64(doc_id) AS fp", "array(7L) AS bands")
     found = {r.node: r.root for r in near_copies.near_roots(rows, nodes).collect()}
     assert found == {i: i % 15 for i in range(30)}
+
+
+def test_a_shared_shingle_names_no_pair_that_lacks_too_much(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, i, 100, 100 if i == 7 else 85, i, 90) for i in range(90)], "shingle long, node long, n int, rest int, root long, df long")
+    assert near_copies.pairs_between(rows, 0, 256).count() == 0
+    hubs = spark.createDataFrame([(1, i, 100, 100 if i == 7 else 89 - i % 2, i) for i in range(90)], "shingle long, node long, n int, rest int, root long")
+    assert sorted(map(tuple, near_copies.pairs_with_hubs(hubs).collect())) == sorted((min(i, 7), max(i, 7)) for i in range(0, 90, 2))
+    # Copies of one text, many of them too far from it: as brute force, and pairs in proportion to the texts.
+    rng = random.Random(73)
+    base = prose(rng, 200)
+    texts = [edited(rng, base, n) for n in (2, 3, 4, 5, 6, 7) for _ in range(25)]
+    compared, links = [], near_copies.near_links
+    monkeypatch.setattr(near_copies, "near_links", lambda docs, nodes, pairs: compared.append(pairs.count()) or links(docs, nodes, pairs))
+    kept = [r.doc_id for r in near_copies.keep_first_near(documents(spark, texts)).collect()]
+    sets, root = [set_of(x) for x in texts], list(range(len(texts)))
+    near = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if len(a & b) >= 0.8 * len(a | b)]
+    for _ in texts:
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    assert sorted(kept) == sorted({*root})
+    assert 0 < sum(compared[1:]) < 5 * len(texts)
