@@ -43,7 +43,7 @@ def number_list(text: Column) -> Column:
 def _aligned(s, d):
     """Catalog labels against the top terms of the sources of documents, dealt to them by id."""
     docs = search._docs(s, d)
-    top = search.top_terms(search.source_weights(docs), docs, 5).groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct("rn", "term"))), lambda z: z["term"]).alias("terms"))
+    top = search.top_terms(docs, 5).groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct("rn", "term"))), lambda z: z["term"]).alias("terms"))
     listed = top.agg(F.sort_array(F.collect_list(F.struct("source", "terms"))).alias("sources"))  # five terms of each source
     one = search.catalog(s, d).crossJoin(F.broadcast(listed)).select("id", "label", F.get("sources", F.pmod(F.col("id"), F.size("sources")).cast("int")).alias("z"))
     return one.select("id", "z.source", aligned(F.col("label"), F.col("z.terms")).alias("aligned"))

@@ -32,7 +32,7 @@ def curated_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 def supplements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five top terms of each source, written as JSON and read back with a fixed schema; empty where there are none."""
     docs = search._docs(spark, sf_dir)
-    terms = search.top_terms(search.source_weights(docs), docs, 5).groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct("rn", "term"))), lambda x: x["term"]).alias("terms"))
+    terms = search.top_terms(docs, 5).groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct("rn", "term"))), lambda x: x["term"]).alias("terms"))
     path = scratch_path(spark, "supplements")
     terms.write.json(path)
     delete_at_exit(spark, path)

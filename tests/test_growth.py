@@ -59,6 +59,25 @@ def test_terms_are_counted_where_documents_are_read(spark):
     assert "Window" not in plan(search.tfidf(docs)) and "Join" not in plan(search.source_weights(docs))
 
 
+def test_terms_are_not_written_and_only_wanted_documents_are_weighed(spark, monkeypatch):
+    rows = [(1, "red red blue x of éà_1", "s"), (2, "blue ÉÀ_1 green", "s"), (3, "green-red\ngreen", "t"), (4, None, "t"), (5, "", None), (6, "red", None), (7, "blue", "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2)
+    assert "terms" not in plan(search.source_weights(docs)) and "regexp" not in plan(search.source_weights(docs))
+    weights = sorted(map(tuple, search.source_weights(docs).collect()), key=str)
+    assert {(d, w) for d, _, w, _ in weights} == {(1, "red"), (1, "blue"), (1, "éà_1"), (2, "blue"), (2, "éà_1"), (2, "green"), (3, "green"), (3, "red"), (6, "red"), (7, "blue")}
+    some = search.tfidf(docs, among=spark.createDataFrame([(1,), (3,), (3,), (99,)], "doc_id long"))
+    assert sorted(map(tuple, some.collect())) == sorted((d, w, x) for d, _, w, x in weights if d in (1, 3))
+    monkeypatch.setattr(search, "SOURCES", 1)
+    n = {"s": 2, "t": 2, "u": 1}
+    want = {}
+    for _, source, term, x in weights:
+        if source:
+            want[source, term] = want.get((source, term), 0) + x / n[source]
+    got = {(r.source, r.term): r.mean_weight for r in search.top_terms(docs).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
+    assert search.top_terms(docs.limit(0)).count() == 0
+
+
 def test_plans_are_parsed_once(spark):
     from tessera.plans import actions
 
