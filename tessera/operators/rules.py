@@ -9,7 +9,7 @@ from tessera.functions.text import aligned
 from tessera.operators import activation, search
 from tessera.operators.series import _FRAMES, N, SCALE, SERIES, frames, hours, target_profile
 from tessera.operators.spectra import clamp
-from tessera.session import table
+from tessera.session import materialize, table
 
 
 def stage_map(position: Column, left: Column, home: Column, right: Column, intensity: Column) -> Column:
@@ -49,11 +49,17 @@ def _aligned(s, d):
     return one.select("id", "z.source", aligned(F.col("label"), F.col("z.terms")).alias("aligned"))
 
 
+def _top_weights(s, d):
+    """The 100 top items of each feature, written, and the term weights of their documents."""
+    top = materialize(activation.top_items(activation.aggregate_positions(activation.activation_log(s, d)), 100), "top-items")
+    return top, search.tfidf(search._docs(s, d), among=top.select(F.col("item_id").alias("doc_id")))  # 100 for each feature
+
+
 def supplements(s, d):
     """(block, feature_id, terms, spatial_pattern) of every feature: top terms of the prompts of its items, and where on the grid it fires."""
-    stats = activation.aggregate_positions(activation.activation_log(s, d))
-    patterns = activation.spatial_pattern(activation.region_shares(activation.heat_map(stats)))
-    terms = activation.feature_terms(stats, search.tfidf(search._docs(s, d)))
+    top, weights = _top_weights(s, d)
+    patterns = activation.spatial_pattern(activation.region_shares(activation.heat_map(top)))
+    terms = activation.feature_terms(top, weights)
     return activation.dense(patterns.hint("merge").join(terms, ["block", "feature_id"], "left"))
 
 
@@ -95,7 +101,7 @@ QUERIES = {
     "agg_curve_score": lambda s, d: target_profile(frames(s, d)).select(*SERIES, "score"),
     "agg_active_ratio": lambda s, d: target_profile(frames(s, d)).select(*SERIES, "active_ratio"),
     "agg_onset_density": lambda s, d: target_profile(frames(s, d)).select(*SERIES, "onset_density"),
-    "agg_mean_tfidf": lambda s, d: activation.term_means(activation.aggregate_positions(activation.activation_log(s, d)), search.tfidf(search._docs(s, d))),
+    "agg_mean_tfidf": lambda s, d: activation.term_means(*_top_weights(s, d)),
 }
 
 _ACT = activation.STATS_SQL

@@ -60,6 +60,8 @@ def test_terms_are_counted_where_documents_are_read(spark):
 
 
 def test_terms_are_not_written_and_only_wanted_documents_are_weighed(spark, monkeypatch):
+    from tessera.operators import rules
+
     rows = [(1, "red red blue x of éà_1", "s"), (2, "blue ÉÀ_1 green", "s"), (3, "green-red\ngreen", "t"), (4, None, "t"), (5, "", None), (6, "red", None), (7, "blue", "u")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2)
     assert "terms" not in plan(search.source_weights(docs)) and "regexp" not in plan(search.source_weights(docs))
@@ -76,6 +78,7 @@ def test_terms_are_not_written_and_only_wanted_documents_are_weighed(spark, monk
     got = {(r.source, r.term): r.mean_weight for r in search.top_terms(docs).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
     assert search.top_terms(docs.limit(0)).count() == 0
+    assert "LeftSemi" in plan(rules.QUERIES["agg_mean_tfidf"](spark, "/root/testdata/sf0.001"))
 
 
 def test_plans_are_parsed_once(spark):
