@@ -20,23 +20,21 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = materialize(
         links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
     )
-    before = None
     for _ in range(max_rounds):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = materialize(join_counted(both.filter("v > u"), least, "u", "n", "least").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
+        if least.filter("m < u AND n > 1").isEmpty():  # all that have a smaller neighbour have only that one: stars, and m is the root
+            return least.select(F.col("u").alias("node"), F.col("m").alias("root"))
+        large = materialize(join_counted(both.filter("v > u"), least, "u", "n", None).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")
+        if low.filter("n > 1").isEmpty():  # one smaller neighbour each: the small star changes nothing
+            edges = large
+            continue
         small = (
-            join_counted(large, low, "u", "n", "low")
+            join_counted(large, low, "u", "n", None)
             .select(F.expr("inline(array(struct(v AS u, m AS v), struct(u AS u, m AS v)))"))
             .filter("u <> v")
             .distinct()
         )
         edges = materialize(small, "star")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
-        before = state
     raise RuntimeError(f"components have not settled after {max_rounds} rounds")

@@ -10,9 +10,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import session
 from tessera.llm.line_align import align, longest_increasing  # noqa: F401
 from tessera.llm.text import sliced, texts, whole_row
-from tessera.session import earlier_values, join_counted, join_salted, materialize
+from tessera.session import earlier_values, few_or_merge, join_counted, join_salted, materialize
 
 #: A line in more documents than this, and than this share of all, is frequent: alone it deletes nothing, unless it is long.
 RARE_DOCS = 20
@@ -186,23 +187,27 @@ def _kept(batches):
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(4)), pa.array(masks, pa.list_(pa.bool_()))], ["doc_id", "text_key", "keys", "words", "kept"])
 
 
-def open_keys(work: DataFrame, gone: DataFrame, shared: DataFrame, limit: int) -> DataFrame:
-    """(doc_id, text_key, key, docs): keys that delete and of which a line is left."""
+def open_keys(work: DataFrame, gone: DataFrame, shared: DataFrame, limit: int, few: bool = False) -> DataFrame:
+    """(doc_id, text_key, key, docs): keys that delete and of which a line is left; ``few`` says that they may be few enough to broadcast."""
     mine = ["doc_id", "text_key"]
     masked = work.select(*mine, "keys", "words").hint("merge").join(gone, mine, "left").mapInArrow(_kept, "doc_id long, text_key long, keys array<long>, words array<int>, kept array<boolean>")
     left = line_keys(masked.filter("exists(kept, x -> x)"))
     deletes = shared.filter(F.col("always") | (F.col("line") & (F.col("docs") <= limit))).filter("first < doc_id")
-    return left.select(*mine, "key").hint("merge").join(deletes.select(*mine, "key", "docs"), [*mine, "key"])
+    left = left.select(*mine, "key")
+    return deletes.select(*mine, "key", "docs").join(few_or_merge(materialize(left, "left-keys")) if few else left.hint("merge"), [*mine, "key"])
 
 
 def other_partners(left: DataFrame, holders: DataFrame, tried: int, upto: int) -> DataFrame:
     """(doc_id, text_key, partner): earlier holders(key, partner, docs) of the keys that are left, in the order of a hash: from about the ``tried``-th up to about the ``upto``-th.
 
-    Holders of a key meet its documents in parts of about PART of them.
+    Holders of a key meet its documents in parts of about PART of them; the written ``left`` goes to all holders if it is small.
     """
     parts = F.ceil(F.least(F.col("docs"), F.lit(upto)) / F.lit(PART))
     place = F.pmod(F.xxhash64(F.lit("place"), "partner"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("docs")
     some = holders.filter(place >= tried).filter(place < upto).select("key", "partner", F.pmod(F.xxhash64("partner"), parts).alias("part"))
+    if left.count() <= session.FEW:
+        met = some.join(F.broadcast(left.filter(F.col("docs") > tried).select("doc_id", "text_key", "key")), "key")
+        return met.filter("partner < doc_id").select("doc_id", "text_key", "partner").distinct()
     asked = left.filter(F.col("docs") > tried).select("doc_id", "text_key", "key", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
     return asked.hint("merge").join(some, ["key", "part"]).filter("partner < doc_id").select("doc_id", "text_key", "partner").distinct()
 
@@ -234,7 +239,7 @@ def aligned_deletions(docs: DataFrame, rare_docs: int = RARE_DOCS) -> DataFrame:
     theirs = lines.select(F.col("doc_id").alias("partner"), F.col("hashes").alias("partner_hashes"))
 
     def gone_by(pairs: DataFrame, among: DataFrame) -> DataFrame:
-        asked = materialize(among.select(*mine, "hashes", "keys", "words", "rare").hint("merge").join(pairs, mine), "asked")
+        asked = materialize(among.select(*mine, "hashes", "keys", "words", "rare").join(pairs, mine), "asked")
         counts = asked.groupBy("partner").agg(F.count("*").alias("n_asking"))
         both = join_salted(asked, theirs.hint("merge").join(counts, "partner"), "partner", "n_asking", "doc_id", "partners")
         found = both.select(*mine, "partner", "hashes", "keys", "words", "rare", "partner_hashes").mapInArrow(_align, "doc_id long, text_key long, partner long, gone array<int>")
@@ -243,23 +248,23 @@ def aligned_deletions(docs: DataFrame, rare_docs: int = RARE_DOCS) -> DataFrame:
     def merged(each: DataFrame) -> DataFrame:
         return each.groupBy(*mine).agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"), F.sort_array(F.collect_set("partner")).alias("partners"))
 
-    each = gone_by(work.select(*mine, F.explode("partners").alias("partner")), work)
+    each = gone_by(work.select(*mine, F.explode("partners").alias("partner")).hint("merge"), work)
     left = materialize(open_keys(work, merged(each).select(*mine, "gone"), shared, limit), "open-keys")
     if not left.isEmpty():
         # Of documents of the same lines the first stands for all; all that follows holds only what is left.
         originals = lines.groupBy(F.xxhash64("keys"), F.size("keys")).agg(F.min(F.struct(*mine)).alias("first")).select("first.*")
-        rest = materialize(shared.hint("merge").join(left.select("key").distinct(), "key", "left_semi"), "rest")
+        rest = materialize(shared.join(few_or_merge(left.select("key")), "key", "left_semi"), "rest")
         holders = materialize(rest.hint("merge").join(originals, mine, "left_semi").select("key", F.col("doc_id").alias("partner"), "docs"), "holders")
-        few = materialize(work.hint("merge").join(left.select(*mine).distinct(), mine, "left_semi"), "few")
-        own = materialize(each.hint("merge").join(left.select(*mine).distinct(), mine, "left_semi"), "own")
+        few = materialize(work.join(few_or_merge(left.select(*mine)), mine, "left_semi"), "few")
+        own = materialize(each.join(few_or_merge(left.select(*mine)), mine, "left_semi"), "own")
         most, tried, upto = left.agg(F.max("docs")).first()[0], 0, MORE
         while most and tried < most:  # each round leaves fewer keys, and takes more of their holders
             pairs = materialize(other_partners(left, holders, tried, upto), "others")
             tried, upto = upto, upto * FACTOR
             if not pairs.isEmpty():
-                more = gone_by(pairs, few)
+                more = gone_by(few_or_merge(pairs), few)
                 each, own = each.unionByName(more), own.unionByName(more)
-                left = materialize(open_keys(few, merged(own).select(*mine, "gone"), rest, limit), "open-keys")
+                left = materialize(open_keys(few, merged(own).select(*mine, "gone"), rest, limit, few=True), "open-keys")
                 most = left.agg(F.max("docs")).first()[0]
     gone = merged(each)
     found = materialize(

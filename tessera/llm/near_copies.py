@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions.graph import connected_components
 from tessera.llm.simhash import LOWER, fingerprint, linked_fingerprints, without
 from tessera.llm.text import Rolling, WordHashes, sliced, texts
-from tessera.session import earlier_values, join_counted, join_salted, materialize
+from tessera.session import earlier_values, few_or_merge, join_counted, join_salted, materialize
 
 #: Words of a shingle, and the Jaccard similarity of two shingle sets from which texts are near copies.
 WIDTH = 5
@@ -104,14 +104,15 @@ def candidates(nodes: DataFrame, members: DataFrame) -> DataFrame:
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The columns of ``wanted``(first_id, text_key, node, ...) without the first two, and the text of each node."""
-    asked = wanted.withColumnRenamed("first_id", "doc_id")
+    asked = materialize(wanted.withColumnRenamed("first_id", "doc_id"), "wanted")
     kept = [c for c in asked.columns if c not in ("doc_id", "text_key")]
-    return docs.hint("merge").join(asked, ["doc_id", "text_key"]).select(*kept, "text").dropDuplicates(["node"])
+    return docs.join(few_or_merge(asked), ["doc_id", "text_key"]).select(*kept, "text").dropDuplicates(["node"])
 
 
 def near_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the written ``pairs`` (a, b) whose shingle sets have a Jaccard similarity of SIMILARITY or more."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().hint("merge").join(nodes.select("node", "first_id", "text_key"), "node")
+    named = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "named")
+    wanted = nodes.select("node", "first_id", "text_key").join(few_or_merge(named), "node")
     held = materialize(texts_of(docs, wanted), "held")
     left, right = (held.select(F.col("node").alias(k), F.col("text").alias(f"{k}_text")) for k in "ab")
     counts = pairs.groupBy("a").agg(F.count("*").alias("n_others"))
@@ -128,8 +129,8 @@ def _sets(batches):
 
 
 def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """``rows`` with root, the class of their node: that of ``roots(node, root)``, else the node itself."""
-    return rows.hint("merge").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    """``rows`` with root, the class of their node: that of the written ``roots(node, root)``, else the node itself."""
+    return rows.join(few_or_merge(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def mixed(rows: DataFrame, key: str, label: str) -> DataFrame:
@@ -149,9 +150,9 @@ def crowded_prefixes(docs: DataFrame, nodes: DataFrame, members: DataFrame, root
     crowd = materialize(mixed(inside, "key", "mixed-bands").select("node", "root").distinct(), "crowd")
     if crowd.isEmpty():
         return None
-    found = texts_of(docs, crowd.hint("merge").join(nodes.select("node", "first_id", "text_key"), "node")).select("node", "text").mapInArrow(_sets, "node long, shingles array<long>")
+    found = texts_of(docs, nodes.select("node", "first_id", "text_key").join(few_or_merge(crowd.select("node")), "node")).select("node", "text").mapInArrow(_sets, "node long, shingles array<long>")
     sets = materialize(found, "sets")
-    each = materialize(sets.hint("merge").join(crowd, "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "shingles")
+    each = materialize(sets.join(few_or_merge(crowd), "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "shingles")
     known = mixed(each, "shingle", "mixed-shingles").select("node", "n", "shingle", "df")
     own = Window.partitionBy("node")
     placed = known.withColumn("place", F.row_number().over(own.orderBy("df", "shingle"))).withColumn("held", F.count("*").over(own))
@@ -214,8 +215,8 @@ def near_roots(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         pairs = pairs_between(prefixes, tried, upto) if upto else pairs_with_hubs(prefixes)
         more = materialize(near_links(docs, nodes, materialize(pairs, "pairs")), "near-links")
         if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = connected_components(links)
+            stars = roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+            roots = connected_components(stars.unionByName(more))
         tried, upto = upto, upto * FACTOR or MORE
     return roots
 

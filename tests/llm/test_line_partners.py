@@ -1,5 +1,6 @@
 import random
 
+from tessera import session
 from tessera.llm import line_dedup
 
 from .helpers import documents, prose
@@ -96,3 +97,24 @@ def test_deletions_match_alignment_with_all_earlier_documents(spark):
             missed += len(want - got[i])
             extra += len(got[i] - want)
     assert extra == 0 and found > 200 and found >= 0.9 * (found + missed), (found, missed, extra)
+
+
+def test_small_sides_are_broadcast_and_large_ones_merged_alike(spark, monkeypatch):
+    """Rounds of the rest over few open keys don't shuffle their holders; what they find is the same."""
+    left = spark.createDataFrame([(d, d, k, 40) for d in range(30, 40) for k in (1, 2)], "doc_id long, text_key long, key long, docs long")
+    holders = spark.createDataFrame([(k, p, 40) for p in range(40) for k in (1, 2, 3)], "key long, partner long, docs long")
+    work = spark.createDataFrame([(d, d, [1, 2, 5], [6, 6, 6]) for d in range(30, 40)], "doc_id long, text_key long, keys array<long>, words array<int>")
+    gone = spark.createDataFrame([(d, d, [0]) for d in range(30, 35)], "doc_id long, text_key long, gone array<int>")
+    shared = spark.createDataFrame([(d, d, k, False, True, 15, 3) for d in range(40) for k in (1, 2)], "doc_id long, text_key long, key long, always boolean, line boolean, docs long, first long")
+
+    def found():
+        rounds = [line_dedup.other_partners(left, holders, tried, upto) for tried, upto in ((0, 16), (16, 256))]
+        opened = line_dedup.open_keys(work, gone, shared, 20, few=True)
+        shuffles = sum(x._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") for x in (*rounds, opened))
+        return [sorted(map(tuple, x.collect())) for x in (*rounds, opened.select("doc_id", "key"))], shuffles
+
+    few, spared = found()
+    assert sorted({*few[0], *few[1]}) == [(d, d, p) for d in range(30, 40) for p in range(d)]
+    assert few[2] == sorted([(d, 1) for d in range(35, 40)] + [(d, 2) for d in range(30, 40)])
+    monkeypatch.setattr(session, "FEW", 0)
+    assert spared == 3 and found() == (few, 0)

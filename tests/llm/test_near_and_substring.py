@@ -5,6 +5,7 @@ import pytest
 import xxhash
 
 from tessera.llm import simhash, substring
+from tessera.functions import graph
 from tessera.functions.graph import connected_components
 
 from .helpers import CLASH, documents, sample_texts
@@ -54,6 +55,20 @@ def test_chain_of_links_is_one_component(spark):
     assert roots == {0}
 
 
+def test_stars_are_told_without_a_further_round(spark, monkeypatch):
+    """A round costs the driver several jobs: links that are stars take none, others none beyond the round that made them stars."""
+    written, write = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, label: written.append(label) or write(df, label))
+    stars = spark.range(300).selectExpr("id - id % 10 AS a", "id AS b")
+    assert {(r.node, r.root) for r in connected_components(stars).collect()} == {(i, i - i % 10) for i in range(300)}
+    assert written == ["links", "least"]
+    written.clear()
+    pairs = [(5, 9), (9, 7), (7, 5), (9, 20), (30, 31), (31, 32), (40, 40), (None, 3)]
+    found = {r.node: r.root for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert found == {5: 5, 7: 5, 9: 5, 20: 5, 30: 30, 31: 30, 32: 30}
+    assert written.count("least") <= 3
+
+
 def test_odd_radius_is_refused(spark):
     with pytest.raises(ValueError):
         simhash.linked_fingerprints(spark.createDataFrame([(1,)], "fp long"), 3)

@@ -2,6 +2,7 @@ import random
 import re
 
 import corpus_pipeline
+from tessera import session
 from tessera.llm import near_copies, simhash
 
 from .helpers import CLASH, documents, prose, sample_texts
@@ -48,6 +49,16 @@ def test_stage_drops_what_brute_force_drops(spark):
     assert sorted(r.doc_id for r in simhash.keep_first(docs).collect()) != expected  # two bits of 64 miss edited copies
 
 
+def test_small_sides_are_broadcast_and_large_ones_merged_alike(spark, monkeypatch):
+    texts = near_texts()
+    seen, choose = [], near_copies.few_or_merge
+    monkeypatch.setattr(near_copies, "few_or_merge", lambda few: seen.append(few.count()) or choose(few))
+    few = sorted(r.doc_id for r in near_copies.keep_first_near(documents(spark, texts)).collect())
+    assert seen and max(seen) <= session.FEW
+    monkeypatch.setattr(session, "FEW", 0)
+    assert sorted(r.doc_id for r in near_copies.keep_first_near(documents(spark, texts)).collect()) == few == brute_kept(texts)
+
+
 def test_stage_keeps_null_ids_and_repeats(spark):
     rows = [(5, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (9, "something else entirely now")]
     kept = near_copies.keep_first_near(documents(spark, rows)).collect()
